@@ -10,7 +10,7 @@ the same assignment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit import schema
@@ -25,23 +25,42 @@ def thresholds(weights) -> list[str]:
     return out
 
 
-def weighted_pick(key: Column, salt: str, values, weights) -> Column:
-    """CASE over substr(md5(salt || key), 1, 4) against cumulative thresholds."""
-    h = F.substring(F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string"))), 1, 4)
-    bounds = thresholds(weights)
+DRAWS = {
+    "country": (schema.COUNTRIES, schema.COUNTRY_WEIGHTS),
+    "device": (schema.DEVICES, schema.DEVICE_WEIGHTS),
+    "channel": (schema.CHANNELS, schema.CHANNEL_WEIGHTS),
+}
+
+
+def draw_hash(key: Column, salt: str) -> Column:
+    """substr(md5(salt || ':' || key), 1, 4): a uniform 16-bit number as hex text."""
+    return F.substring(F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string"))), 1, 4)
+
+
+def pick_from_hash(h: Column, values, weights) -> Column:
+    """CASE over the hash prefix against the cumulative thresholds."""
     expr = None
-    for value, bound in zip(values[:-1], bounds):
+    for value, bound in zip(values[:-1], thresholds(weights)):
         expr = F.when(h < F.lit(bound), F.lit(value)) if expr is None else expr.when(h < F.lit(bound), F.lit(value))
     return expr.otherwise(F.lit(values[-1]))
 
 
-def dimension_columns(key: Column) -> dict[str, Column]:
-    """country / device / channel for a row key (see module docstring)."""
-    return {
-        "country": weighted_pick(key, "country", schema.COUNTRIES, schema.COUNTRY_WEIGHTS),
-        "device": weighted_pick(key, "device", schema.DEVICES, schema.DEVICE_WEIGHTS),
-        "channel": weighted_pick(key, "channel", schema.CHANNELS, schema.CHANNEL_WEIGHTS),
-    }
+def weighted_pick(key: Column, salt: str, values, weights) -> Column:
+    """Single-expression form (the hash appears in every CASE branch)."""
+    return pick_from_hash(draw_hash(key, salt), values, weights)
+
+
+def with_dimensions(df: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """Add country / device / channel drawn from column `key`.
+
+    The md5 prefix is projected first and the CASE applied in a second
+    projection: Catalyst does not collapse a non-cheap expression into several
+    references, so each hash is computed once per row instead of once per
+    CASE branch. Unused dimensions are pruned by the optimizer.
+    """
+    hashed = df.withColumns({f"_h_{d}": draw_hash(F.col(key), d) for d in DRAWS})
+    picked = hashed.withColumns({d: pick_from_hash(F.col(f"_h_{d}"), *DRAWS[d]) for d in DRAWS})
+    return picked.drop(*[f"_h_{d}" for d in DRAWS])
 
 
 def sql_pick(key_sql: str, salt: str, values, weights) -> str:

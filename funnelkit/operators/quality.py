@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from funnelkit import schema
 from funnelkit.operators.flags import is_type
 from funnelkit.sources.files import TS_FORMAT
+from funnelkit.operators.ordering import sorted_small
 
 PROFILE_COLUMNS = ("event_time", "user_id", "event_type", "country", "device", "channel")
 VALUE_COUNT_COLUMNS = ("event_type", "country", "device", "channel")
@@ -52,7 +53,7 @@ def value_counts(events: DataFrame, columns: Sequence[str] = VALUE_COUNT_COLUMNS
     pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in columns)
     long = events.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
     return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")).orderBy("column_name", F.col("n").desc(), "value")
+        F.count(F.lit(1)).alias("n")).transform(sorted_small("column_name", F.col("n").desc(), "value"))
 
 
 def null_profile(events: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelkit import schema
-from funnelkit.functions.dims import dimension_columns
+from funnelkit.functions.dims import with_dimensions
 
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss z",)
 
@@ -41,7 +41,7 @@ def parse_time(col: Column, dtype: T.DataType) -> Column:
 
 def assign_dims(df: DataFrame, key: str = "event_id") -> DataFrame:
     """Add country / device / channel drawn from the row key (see functions.dims)."""
-    return df.withColumns(dimension_columns(F.col(key)))
+    return with_dimensions(df, key)
 
 
 def standardise(raw: DataFrame, key: str = "event_id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.rates import avg_of_rates, pct
 from funnelkit.operators.flags import is_type, segment_users
 from funnelkit.operators.joins import bounded_lookup
+from funnelkit.operators.ordering import sorted_small
 
 
 def channel_cells(events: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def channel_rank(events: DataFrame, min_sessions: int = 50) -> DataFrame:
     return cells.select(
         "country", "channel", "sessions", "purchasers", "cvr_pct",
         F.dense_rank().over(w).alias("rank_in_country"),
-    ).orderBy("country", "rank_in_country", "channel")
+    ).transform(sorted_small("country", "rank_in_country", "channel"))
 
 
 def _row_type(gid):
@@ -66,7 +67,7 @@ def channel_country_rollup(events: DataFrame, min_sessions: int = 30) -> DataFra
         "sessions", "purchasers",
         pct("purchasers", "sessions").alias("cvr_pct"),
         _row_type(F.col("gid")).alias("row_type"),
-    ).orderBy("row_type", F.col("cvr_pct").desc(), "country", "channel")
+    ).transform(sorted_small("row_type", F.col("cvr_pct").desc(), "country", "channel"))
 
 
 def rollup_union(events: DataFrame, min_sessions: int = 30) -> DataFrame:
@@ -80,8 +81,8 @@ def rollup_union(events: DataFrame, min_sessions: int = 30) -> DataFrame:
     grand = cells.agg(*sums).select(
         F.lit("ALL").alias("country"), F.lit("ALL").alias("channel"), "sessions", "purchasers",
         pct("purchasers", "sessions").alias("cvr_pct"), F.lit("grand_total").alias("row_type"))
-    return detail.unionByName(by_channel).unionByName(grand).orderBy(
-        "row_type", F.col("cvr_pct").desc(), "country", "channel")
+    return detail.unionByName(by_channel).unionByName(grand).transform(sorted_small(
+        "row_type", F.col("cvr_pct").desc(), "country", "channel"))
 
 
 def segment_cube(events: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def segment_cube(events: DataFrame) -> DataFrame:
         "sessions", "purchasers",
         pct("purchasers", "sessions").alias("cvr_pct"),
         _row_type(F.col("gid")).alias("row_type"),
-    ).orderBy("row_type", F.col("cvr_pct").desc(), "country", "channel")
+    ).transform(sorted_small("row_type", F.col("cvr_pct").desc(), "country", "channel"))
 
 
 def channel_vs_average(events: DataFrame, min_sessions: int = 50, band: float = 0.10) -> DataFrame:
@@ -125,7 +126,7 @@ def channel_vs_average(events: DataFrame, min_sessions: int = 50, band: float =
         mean.alias("channel_avg_cvr_pct"),
         F.round(cvr - mean, 2).alias("vs_channel_avg_pp"),
         flag.alias("performance_flag"),
-    ).orderBy("channel", F.col("vs_channel_avg_pp").desc(), "country")
+    ).transform(sorted_small("channel", F.col("vs_channel_avg_pp").desc(), "country"))
 
 
 def distinct_vs_flags(events: DataFrame) -> DataFrame:
@@ -140,8 +141,8 @@ def distinct_vs_flags(events: DataFrame) -> DataFrame:
     )
     flags = segment_users(events, ["country", "channel"]).withColumnsRenamed(
         {"sessions": "sessions_flags", "purchasers": "purchasers_flags"})
-    return distinct.join(bounded_lookup(flags, ["country", "channel"]), ["country", "channel"]).orderBy(
-        "country", "channel")
+    return distinct.join(bounded_lookup(flags, ["country", "channel"]), ["country", "channel"]).transform(sorted_small(
+        "country", "channel"))
 
 
 def sessions_approx(events: DataFrame, rsd: float = 0.05) -> DataFrame:
@@ -149,4 +150,4 @@ def sessions_approx(events: DataFrame, rsd: float = 0.05) -> DataFrame:
     return events.groupBy("country", "channel").agg(
         F.approx_count_distinct("user_id", rsd).alias("sessions_approx"),
         F.approx_count_distinct(F.when(is_type("purchase"), F.col("user_id")), rsd).alias("purchasers_approx"),
-    ).orderBy("country", "channel")
+    ).transform(sorted_small("country", "channel"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.rates import pct
 from funnelkit.functions.timefmt import year_month
 from funnelkit.operators.flags import is_type
+from funnelkit.operators.ordering import sorted_small
 
 
 def _purchases(events: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def _cohort_table(per_user: DataFrame, repeat_flag, min_cohort: int) -> DataFram
     return agg.where(F.col("cohort_size") >= min_cohort).select(
         "cohort_month", "cohort_size", "repeat_buyers",
         pct("repeat_buyers", "cohort_size").alias("retention_60d_pct"),
-    ).orderBy("cohort_month")
+    ).transform(sorted_small("cohort_month"))
 
 
 def cohort_retention(events: DataFrame, window_days: int = 60, min_cohort: int = 10) -> DataFrame:

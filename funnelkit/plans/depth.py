@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelkit.operators.joins import bounded_by_limit, bounded_lookup
+from funnelkit.operators.ordering import sorted_small
 
 DEPTH = {"purchase": 3, "cart": 2, "view": 1}
 LABELS = {3: "converted", 2: "carted_no_purchase", 1: "view_only"}
@@ -97,7 +98,7 @@ def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
     ud = user_depth(events)
     top = ud.orderBy(F.col("country").asc_nulls_first(), F.col("depth_score").desc(),
                      F.col("total_events").desc(), "user_id", "channel", "device")
-    return _attach(bounded_by_limit(top, limit), ud).orderBy(*_order())
+    return _attach(bounded_by_limit(top, limit), ud).transform(sorted_small(*_order()))
 
 
 def session_quality_full(events: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.rates import pct, pct_or_zero, ratio
 from funnelkit.operators.flags import user_flags
+from funnelkit.operators.ordering import sorted_small
 
 
 def _lenient_segment(events: DataFrame, dim: str) -> DataFrame:
@@ -40,18 +41,18 @@ def _lenient_rates() -> list:
 def country_funnel(events: DataFrame) -> DataFrame:
     """Lenient funnel per country, worst overall conversion first."""
     seg = _lenient_segment(events, "country")
-    return seg.select("country", "viewers", "carted", "purchasers", *_lenient_rates()).orderBy(
+    return seg.select("country", "viewers", "carted", "purchasers", *_lenient_rates()).transform(sorted_small(
         F.col("overall_cvr_pct").asc_nulls_first(), "country"
-    )
+    ))
 
 
 def device_funnel(events: DataFrame, low_sample: int = 1000) -> DataFrame:
     """Lenient funnel per device with a small-sample flag, best first."""
     seg = _lenient_segment(events, "device")
     flag = F.when(F.col("total_users") < F.lit(low_sample), F.lit("low_sample")).otherwise(F.lit("ok"))
-    return seg.select("device", "viewers", "carted", "purchasers", *_lenient_rates(), flag.alias("sample_flag")).orderBy(
+    return seg.select("device", "viewers", "carted", "purchasers", *_lenient_rates(), flag.alias("sample_flag")).transform(sorted_small(
         F.col("overall_cvr_pct").desc_nulls_last(), "device"
-    )
+    ))
 
 
 # --------------------------------------------------------------------------
@@ -79,7 +80,7 @@ def country_funnel_seq(events: DataFrame) -> DataFrame:
         pct_or_zero("carted", "viewers").alias("view_to_cart_pct"),
         pct_or_zero("purchasers", "carted").alias("cart_to_purchase_pct"),
         pct_or_zero("purchasers", "viewers").alias("overall_cvr_pct"),
-    ).orderBy(F.col("overall_cvr_pct").desc(), "country")
+    ).transform(sorted_small(F.col("overall_cvr_pct").desc(), "country"))
 
 
 def channel_cvr_seq(events: DataFrame) -> DataFrame:
@@ -89,19 +90,19 @@ def channel_cvr_seq(events: DataFrame) -> DataFrame:
         F.col("viewers").alias("sessions"),
         F.col("purchasers").alias("purchases"),
         pct_or_zero("purchasers", "viewers").alias("cvr_pct"),
-    ).orderBy(F.col("cvr_pct").desc(), "channel")
+    ).transform(sorted_small(F.col("cvr_pct").desc(), "channel"))
 
 
 def device_cvr_seq(events: DataFrame) -> DataFrame:
     seg = sequential_segment(events, "device")
-    return seg.select("device", pct_or_zero("purchasers", "viewers").alias("cvr_pct")).orderBy(
+    return seg.select("device", pct_or_zero("purchasers", "viewers").alias("cvr_pct")).transform(sorted_small(
         F.col("cvr_pct").desc(), "device"
-    )
+    ))
 
 
 def worst_market(events: DataFrame) -> DataFrame:
     """The country with the lowest sequential overall CVR (ties: first name)."""
-    return country_funnel_seq(events).orderBy(F.col("overall_cvr_pct").asc(), "country").limit(1)
+    return country_funnel_seq(events).transform(sorted_small(F.col("overall_cvr_pct").asc(), "country")).limit(1)
 
 
 def funnel_counts(events: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def funnel_stages(events: DataFrame) -> DataFrame:
     return stages.select(
         "s.stage_order", "s.stage", "s.users",
         pct_or_zero("s.users", "viewers", 1).alias("pct_of_initial"),
-    ).orderBy("stage_order")
+    ).transform(sorted_small("stage_order"))
 
 
 def overall_funnel(events: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from funnelkit import schema
 from funnelkit.operators.flags import user_profile
+from funnelkit.operators.ordering import sorted_small
 
 
 def _rate(num: str, den: str) -> Column:
@@ -39,7 +40,7 @@ def home_funnel(events: DataFrame, dim: str = "country", profile: DataFrame | No
         _rate("carted", "viewers").alias("v2c_pct"),
         _rate("purchasers", "carted").alias("c2p_pct"),
         _rate("purchasers", "viewers").alias("overall_cvr"),
-    ).orderBy(F.col("overall_cvr").desc_nulls_last(), dim)
+    ).transform(sorted_small(F.col("overall_cvr").desc_nulls_last(), dim))
 
 
 def home_channel_funnel(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def home_channel_funnel(events: DataFrame, profile: DataFrame | None = None) ->
     return counts.select(
         "channel", "viewers", "carted", "purchasers",
         _rate("purchasers", "viewers").alias("overall_cvr"),
-    ).orderBy(F.col("overall_cvr").desc_nulls_last(), "channel")
+    ).transform(sorted_small(F.col("overall_cvr").desc_nulls_last(), "channel"))
 
 
 def channel_country_matrix(events: DataFrame, countries=schema.COUNTRIES,
@@ -63,7 +64,7 @@ def channel_country_matrix(events: DataFrame, countries=schema.COUNTRIES,
         F.sum("viewed").alias("viewers"),
         F.sum("purchased").alias("purchasers"),
     ).select("channel", "country", _rate("purchasers", "viewers").alias("cvr"))
-    return cells.groupBy("channel").pivot("country", list(countries)).agg(F.first("cvr")).orderBy("channel")
+    return cells.groupBy("channel").pivot("country", list(countries)).agg(F.first("cvr")).transform(sorted_small("channel"))
 
 
 def channel_conversion_summary(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
@@ -73,6 +74,6 @@ def channel_conversion_summary(events: DataFrame, profile: DataFrame | None = No
         F.count(F.lit(1)).alias("users"),
         F.sum("purchased").alias("converters"),
     )
-    return agg.select("channel", "users", "converters", _rate("converters", "users").alias("cvr")).orderBy(
+    return agg.select("channel", "users", "converters", _rate("converters", "users").alias("cvr")).transform(sorted_small(
         F.col("cvr").desc_nulls_last(), "channel"
-    )
+    ))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from funnelkit import schema
 from funnelkit.functions.rates import ratio_or_zero
 from funnelkit.plans.funnel import funnel_counts, sequential_segment
+from funnelkit.operators.ordering import sorted_small
 
 STAGES = ("view_to_cart", "cart_to_purchase")
 
@@ -53,10 +54,10 @@ def _scenarios(base: DataFrame, keys: list[str], steps: Sequence[float], aov: fl
 def uplift_by_country(events: DataFrame, steps: Sequence[float] = schema.IMPROVEMENT_STEPS,
                       aov: float = schema.AVG_ORDER_VALUE) -> DataFrame:
     base = sequential_segment(events, "country")
-    return _scenarios(base, ["country"], steps, aov).orderBy(
-        "stage", "improvement_pct", F.col("additional_revenue_eur").desc(), "country")
+    return _scenarios(base, ["country"], steps, aov).transform(sorted_small(
+        "stage", "improvement_pct", F.col("additional_revenue_eur").desc(), "country"))
 
 
 def uplift_overall(events: DataFrame, steps: Sequence[float] = schema.IMPROVEMENT_STEPS,
                    aov: float = schema.AVG_ORDER_VALUE) -> DataFrame:
-    return _scenarios(funnel_counts(events), [], steps, aov).orderBy("stage", "improvement_pct")
+    return _scenarios(funnel_counts(events), [], steps, aov).transform(sorted_small("stage", "improvement_pct"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.rates import pct
 from funnelkit.operators.flags import is_type
+from funnelkit.operators.ordering import sorted_small
 
 
 def user_purchases(events: DataFrame) -> DataFrame:
@@ -36,4 +37,4 @@ def order_value(events: DataFrame, min_buyers: int = 20) -> DataFrame:
     return agg.where(F.col("buyers") >= min_buyers).select(
         "country", "buyers", "avg_orders_per_buyer", "avg_spend_per_buyer", "aov",
         pct("repeaters", "buyers").alias("repeat_buyer_rate_pct"),
-    ).orderBy(F.col("avg_spend_per_buyer").desc_nulls_last(), "country")
+    ).transform(sorted_small(F.col("avg_spend_per_buyer").desc_nulls_last(), "country"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from funnelkit.functions.rates import pct
 from funnelkit.functions.timefmt import hour_of_day, year_week
 from funnelkit.operators.flags import is_type, segment_users
+from funnelkit.operators.ordering import sorted_small
 
 
 def weekly_trend(events: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def weekly_trend(events: DataFrame) -> DataFrame:
         "week", "sessions", "purchasers", "cvr_pct",
         prev.alias("prev_week_cvr"),
         F.round(F.col("cvr_pct") - prev, 2).alias("wow_cvr_change_pp"),
-    ).orderBy("week")
+    ).transform(sorted_small("week"))
 
 
 def hourly_abandonment(events: DataFrame) -> DataFrame:
@@ -53,4 +54,4 @@ def hourly_abandonment(events: DataFrame) -> DataFrame:
         abandoned.alias("abandoned"),
         pct(abandoned, "cart_users").alias("abandonment_rate_pct"),
         running.alias("running_carts"),
-    ).orderBy("hour_of_day")
+    ).transform(sorted_small("hour_of_day"))

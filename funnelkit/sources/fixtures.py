@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.functions.dims import dimension_columns
+from funnelkit import schema
+from funnelkit.functions.dims import with_dimensions
 
 # How the driver's event vocabulary maps onto the funnel stages
 # (rows of any other type are not funnel events).
@@ -39,18 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(*CLICK_EVENT_MAP))
-    dims = dimension_columns(F.col("event_id"))
-    return ev.select(
+    base = ev.select(
         F.col("event_id"),
         F.col("ts").alias("event_time"),
         _map_values("event_type", CLICK_EVENT_MAP).alias("event_type"),
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  (F.col("event_id") % USER_SPLIT).cast("string")).alias("user_id"),
-        dims["country"].alias("country"),
-        dims["device"].alias("device"),
-        dims["channel"].alias("channel"),
         F.col("value").cast("decimal(18,2)").alias("price"),
     )
+    return with_dimensions(base, "event_id").select(*schema.CANONICAL_COLUMNS)
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
