@@ -1,9 +1,13 @@
-"""Ratio and rounding helpers, all built-in column expressions.
+"""Ratio and rounding helpers as SQL expression snippets.
 
 Rules the reports share:
-* percentages are DOUBLE (`100.0` literal is a double, never a decimal);
+* percentages are DOUBLE (`100.0D` is a double literal; a bare `100.0` would be
+  a DECIMAL and turn the whole ratio into a decimal);
 * a zero denominator yields NULL (SQL reports) or 0.0 (dashboard reports);
 * rounding is SQL ROUND, half away from zero.
+
+The `*_sql` functions return text for `selectExpr` / `F.expr`; the Column
+forms wrap them.
 """
 
 from __future__ import annotations
@@ -12,35 +16,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def pct(num: str | Column, den: str | Column, digits: int = 2) -> Column:
+def pct_sql(num: str, den: str, digits: int = 2) -> str:
     """ROUND(100.0 * num / NULLIF(den, 0), digits) — NULL when den is 0."""
-    return F.round(F.lit(100.0) * _col(num) / F.nullif(_col(den), F.lit(0)), digits)
+    return f"round(100.0D * ({num}) / nullif({den}, 0), {digits})"
 
 
-def pct_or_zero(num: str | Column, den: str | Column, digits: int = 2) -> Column:
+def pct0_sql(num: str, den: str, digits: int = 2) -> str:
     """Dashboard form: round(100 * num / den, digits) if den else 0."""
-    return F.coalesce(pct(num, den, digits), F.lit(0.0))
+    return f"coalesce({pct_sql(num, den, digits)}, 0.0D)"
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
+def div_first_pct_sql(num: str, den: str, digits: int = 2) -> str:
+    """round(num / den * 100, digits): divide first, then scale (notebook form)."""
+    return f"round(({num}) / nullif({den}, 0) * 100.0D, {digits})"
+
+
+def ratio_sql(num: str, den: str) -> str:
     """Unrounded num / den as DOUBLE, NULL when den is 0."""
-    return _col(num).cast("double") / F.nullif(_col(den), F.lit(0))
+    return f"CAST({num} AS DOUBLE) / nullif({den}, 0)"
+
 
+def ratio0_sql(num: str, den: str) -> str:
+    return f"coalesce({ratio_sql(num, den)}, 0.0D)"
 
-def ratio_or_zero(num: str | Column, den: str | Column) -> Column:
-    return F.coalesce(ratio(num, den), F.lit(0.0))
 
+def pct(num: str, den: str, digits: int = 2) -> Column:
+    return F.expr(pct_sql(num, den, digits))
 
-def basis_points(rate_pct: str | Column) -> Column:
-    """A 2-decimal percentage as an exact integer number of basis points."""
-    return F.round(_col(rate_pct) * 100).cast("bigint")
 
+def pct_or_zero(num: str, den: str, digits: int = 2) -> Column:
+    return F.expr(pct0_sql(num, den, digits))
 
-def avg_of_rates(rate_pct: str | Column) -> Column:
+
+def ratio(num: str, den: str) -> Column:
+    return F.expr(ratio_sql(num, den))
+
+
+def avg_of_rates_sql(rate_pct: str) -> str:
     """ROUND(AVG(rate), 2) computed exactly.
 
     Averaging already-rounded doubles and rounding again lands on ties whose
@@ -48,6 +60,10 @@ def avg_of_rates(rate_pct: str | Column) -> Column:
     engines and partitionings). Summing integer basis points and rounding the
     quotient half-up with integer arithmetic is order-independent.
     """
-    bp = basis_points(rate_pct)
-    n = F.count(bp)
-    return F.floor((F.lit(2) * F.sum(bp) + n) / F.nullif(F.lit(2.0) * n, F.lit(0.0))) / F.lit(100.0)
+    bp = f"CAST(round({rate_pct} * 100) AS BIGINT)"
+    n = f"count({bp})"
+    return f"floor((2 * sum({bp}) + {n}) / nullif(2.0D * {n}, 0)) / 100.0D"
+
+
+def avg_of_rates(rate_pct: str) -> Column:
+    return F.expr(avg_of_rates_sql(rate_pct))

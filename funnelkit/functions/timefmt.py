@@ -6,23 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def year_week(t: str | Column) -> Column:
+def year_week_sql(t: str) -> str:
     """`%Y-%W`: year, then the Monday-first week of year 00-53 (not ISO).
 
     Days before the first Monday of January fall in week 00.
     """
-    t = F.col(t) if isinstance(t, str) else t
-    week = F.floor((F.dayofyear(t) + F.lit(6) - F.weekday(t)) / F.lit(7))
-    return F.concat(F.date_format(t, "yyyy"), F.lit("-"), F.lpad(week.cast("string"), 2, "0"))
+    week = f"floor((dayofyear({t}) + 6 - weekday({t})) / 7)"
+    return f"concat(date_format({t}, 'yyyy'), '-', lpad(CAST({week} AS STRING), 2, '0'))"
 
 
-def year_month(t: str | Column) -> Column:
+def year_week(t: str) -> Column:
+    return F.expr(year_week_sql(t))
+
+
+def year_month_sql(t: str) -> str:
     """`%Y-%m`."""
-    t = F.col(t) if isinstance(t, str) else t
-    return F.date_format(t, "yyyy-MM")
+    return f"date_format({t}, 'yyyy-MM')"
+
+
+def year_month(t: str) -> Column:
+    return F.expr(year_month_sql(t))
 
 
-def hour_of_day(t: str | Column) -> Column:
+def hour_of_day(t: str) -> Column:
     """`CAST(strftime('%H', t) AS INTEGER)` in the session zone (UTC)."""
-    t = F.col(t) if isinstance(t, str) else t
-    return F.hour(t).cast("int")
+    return F.expr(f"CAST(hour({t}) AS INT)")

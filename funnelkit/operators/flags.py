@@ -5,6 +5,9 @@ segment) holding 0/1 flags, then sums the flags per segment. Expressed as two
 hash aggregations, Spark runs a partial (map-side) aggregate before each
 shuffle, so a user with a huge number of events still sends at most one row per
 map task and grouping key across the network: hot users cannot skew the stage.
+
+Expressions are written as SQL snippets (`F.expr`): the same Catalyst
+expressions, built with one driver->JVM call each.
 """
 
 from __future__ import annotations
@@ -16,17 +19,20 @@ from pyspark.sql import functions as F
 
 from funnelkit import schema
 
+FLAG_NAMES = {"view": "did_view", "cart": "did_cart", "purchase": "did_purchase"}
+
 
 def is_type(event_type: str) -> Column:
-    return F.col("event_type") == F.lit(event_type)
+    return F.expr(f"event_type = '{event_type}'")
 
 
-def stage_flag(event_type: str) -> Column:
-    """MAX(CASE WHEN event_type = t THEN 1 ELSE 0 END) as INT."""
-    return F.max(F.when(is_type(event_type), F.lit(1)).otherwise(F.lit(0)))
+def flag_sql(event_type: str) -> str:
+    return f"max(CASE WHEN event_type = '{event_type}' THEN 1 ELSE 0 END)"
 
 
-FLAG_NAMES = {"view": "did_view", "cart": "did_cart", "purchase": "did_purchase"}
+def stage_flag(event_type: str) -> Column:
+    """MAX(CASE WHEN event_type = t THEN 1 ELSE 0 END) as INT."""
+    return F.expr(flag_sql(event_type))
 
 
 def user_flags(events: DataFrame, dims: Sequence[str] = (), with_count: bool = False) -> DataFrame:
@@ -35,9 +41,9 @@ def user_flags(events: DataFrame, dims: Sequence[str] = (), with_count: bool = F
     GROUP BY semantics: a NULL user_id forms one group, as in the SQL reports
     that count rows of this grain.
     """
-    aggs = [stage_flag(t).alias(FLAG_NAMES[t]) for t in schema.EVENT_TYPES]
+    aggs = [F.expr(f"{flag_sql(t)} AS {FLAG_NAMES[t]}") for t in schema.EVENT_TYPES]
     if with_count:
-        aggs.append(F.count(F.lit(1)).alias("n_events"))
+        aggs.append(F.expr("count(1) AS n_events"))
     return events.groupBy("user_id", *dims).agg(*aggs)
 
 
@@ -49,14 +55,11 @@ def segment_users(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     COUNT(DISTINCT) does.
     """
     per_user = (
-        events.where(F.col("user_id").isNotNull())
+        events.where("user_id IS NOT NULL")
         .groupBy(*keys, "user_id")
-        .agg(stage_flag("purchase").alias("did_purchase"))
-    )
-    return per_user.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.sum("did_purchase").alias("purchasers"),
+        .agg(F.expr(f"{flag_sql('purchase')} AS did_purchase"))
     )
+    return per_user.groupBy(*keys).agg(F.expr("count(1) AS sessions"), F.expr("sum(did_purchase) AS purchasers"))
 
 
 def user_profile(events: DataFrame) -> DataFrame:
@@ -67,17 +70,17 @@ def user_profile(events: DataFrame) -> DataFrame:
     vocabulary, and it merges partial results, so it is skew-safe too.
     """
     return events.groupBy("user_id").agg(
-        stage_flag("view").alias("viewed"),
-        stage_flag("cart").alias("carted"),
-        stage_flag("purchase").alias("purchased"),
-        F.count(F.lit(1)).alias("n_events"),
-        *[F.mode(d, True).alias(f"home_{d}") for d in schema.DIMENSIONS],
+        F.expr(f"{flag_sql('view')} AS viewed"),
+        F.expr(f"{flag_sql('cart')} AS carted"),
+        F.expr(f"{flag_sql('purchase')} AS purchased"),
+        F.expr("count(1) AS n_events"),
+        *[F.expr(f"mode({d}, true) AS home_{d}") for d in schema.DIMENSIONS],
     )
 
 
 def user_mode_dims(events: DataFrame) -> DataFrame:
     """(user_id, home_country, home_device, home_channel)."""
-    return events.groupBy("user_id").agg(*[F.mode(d, True).alias(f"home_{d}") for d in schema.DIMENSIONS])
+    return events.groupBy("user_id").agg(*[F.expr(f"mode({d}, true) AS home_{d}") for d in schema.DIMENSIONS])
 
 
 def event_sets(events: DataFrame) -> DataFrame:
@@ -87,13 +90,12 @@ def event_sets(events: DataFrame) -> DataFrame:
     members, so concatenating the present names in sorted order is the same
     value without materialising an array per group.
     """
-    f = user_flags(events)
-    present = [F.when(F.col(FLAG_NAMES[t]) == 1, F.lit(t)) for t in sorted(schema.EVENT_TYPES)]
-    return f.select(
+    present = ", ".join(f"CASE WHEN {FLAG_NAMES[t]} = 1 THEN '{t}' END" for t in sorted(schema.EVENT_TYPES))
+    return user_flags(events).selectExpr(
         "user_id",
-        F.concat_ws(",", *present).alias("event_set"),
-        (F.col("did_view") == 1).alias("has_view"),
-        (F.col("did_cart") == 1).alias("has_cart"),
-        (F.col("did_purchase") == 1).alias("has_purchase"),
-        ((F.col("did_cart") == 1) & (F.col("did_purchase") == 1)).alias("sequential_purchase"),
+        f"concat_ws(',', {present}) AS event_set",
+        "did_view = 1 AS has_view",
+        "did_cart = 1 AS has_cart",
+        "did_purchase = 1 AS has_purchase",
+        "did_cart = 1 AND did_purchase = 1 AS sequential_purchase",
     )

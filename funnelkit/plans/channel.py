@@ -9,44 +9,33 @@ bounded by the channel vocabulary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import avg_of_rates, pct
-from funnelkit.operators.flags import is_type, segment_users
+from funnelkit.functions.rates import avg_of_rates_sql, pct_sql
+from funnelkit.operators.flags import segment_users
 from funnelkit.operators.joins import bounded_lookup
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.operators.ordering import order_small
+
+CELL_CVR = f"{pct_sql('purchasers', 'sessions')} AS cvr_pct"
+ROW_TYPE = "CASE gid WHEN 0 THEN 'detail' WHEN 1 THEN 'channel_total' ELSE 'grand_total' END AS row_type"
+# country / channel labelled 'ALL' where the grouping set rolled them up
+LABELS = ("CASE WHEN gid & 1 = 1 THEN 'ALL' ELSE country END AS country",
+          "CASE WHEN gid & 2 = 2 THEN 'ALL' ELSE channel END AS channel")
+ROLLUP_ORDER = ("row_type", "cvr_pct DESC", "country", "channel")
 
 
 def channel_cells(events: DataFrame) -> DataFrame:
     """(country, channel, sessions, purchasers, cvr_pct)."""
-    return segment_users(events, ["country", "channel"]).withColumn("cvr_pct", pct("purchasers", "sessions"))
+    return segment_users(events, ["country", "channel"]).selectExpr("*", CELL_CVR)
 
 
 def channel_rank(events: DataFrame, min_sessions: int = 50) -> DataFrame:
     """Channels ranked by CVR within each country (dense rank, ties share)."""
-    cells = channel_cells(events).where(F.col("sessions") >= min_sessions)
-    w = Window.partitionBy("country").orderBy(F.col("cvr_pct").desc())
-    return cells.select(
+    ranked = channel_cells(events).where(f"sessions >= {int(min_sessions)}").selectExpr(
         "country", "channel", "sessions", "purchasers", "cvr_pct",
-        F.dense_rank().over(w).alias("rank_in_country"),
-    ).transform(sorted_small("country", "rank_in_country", "channel"))
-
-
-def _row_type(gid):
-    return (
-        F.when(gid == 0, F.lit("detail"))
-        .when(gid == 1, F.lit("channel_total"))
-        .otherwise(F.lit("grand_total"))
-    )
-
-
-def _labels(gid):
-    """country / channel with 'ALL' where the grouping set rolled them up."""
-    return [
-        F.when((gid.bitwiseAND(1)) == 1, F.lit("ALL")).otherwise(F.col("country")).alias("country"),
-        F.when((gid.bitwiseAND(2)) == 2, F.lit("ALL")).otherwise(F.col("channel")).alias("channel"),
-    ]
+        "dense_rank() OVER (PARTITION BY country ORDER BY cvr_pct DESC) AS rank_in_country")
+    return order_small(ranked, "country", "rank_in_country", "channel")
 
 
 def channel_country_rollup(events: DataFrame, min_sessions: int = 30) -> DataFrame:
@@ -56,33 +45,24 @@ def channel_country_rollup(events: DataFrame, min_sessions: int = 30) -> DataFra
     active in two countries counts twice), which is the report's definition;
     `segment_cube` is the true distinct rollup.
     """
-    cells = channel_cells(events).where(F.col("sessions") >= min_sessions)
+    cells = channel_cells(events).where(f"sessions >= {int(min_sessions)}")
     rolled = cells.rollup("channel", "country").agg(
-        F.sum("sessions").alias("sessions"),
-        F.sum("purchasers").alias("purchasers"),
-        F.grouping_id().alias("gid"),
-    )
-    return rolled.select(
-        *_labels(F.col("gid")),
-        "sessions", "purchasers",
-        pct("purchasers", "sessions").alias("cvr_pct"),
-        _row_type(F.col("gid")).alias("row_type"),
-    ).transform(sorted_small("row_type", F.col("cvr_pct").desc(), "country", "channel"))
+        F.expr("sum(sessions) AS sessions"), F.expr("sum(purchasers) AS purchasers"),
+        F.expr("grouping_id() AS gid"))
+    out = rolled.selectExpr(*LABELS, "sessions", "purchasers", CELL_CVR, ROW_TYPE)
+    return order_small(out, *ROLLUP_ORDER)
 
 
 def rollup_union(events: DataFrame, min_sessions: int = 30) -> DataFrame:
     """The same report as three UNION ALL branches over the filtered cells."""
-    cells = channel_cells(events).where(F.col("sessions") >= min_sessions)
-    detail = cells.select("country", "channel", "sessions", "purchasers", "cvr_pct", F.lit("detail").alias("row_type"))
-    sums = [F.sum("sessions").alias("sessions"), F.sum("purchasers").alias("purchasers")]
-    by_channel = cells.groupBy("channel").agg(*sums).select(
-        F.lit("ALL").alias("country"), "channel", "sessions", "purchasers",
-        pct("purchasers", "sessions").alias("cvr_pct"), F.lit("channel_total").alias("row_type"))
-    grand = cells.agg(*sums).select(
-        F.lit("ALL").alias("country"), F.lit("ALL").alias("channel"), "sessions", "purchasers",
-        pct("purchasers", "sessions").alias("cvr_pct"), F.lit("grand_total").alias("row_type"))
-    return detail.unionByName(by_channel).unionByName(grand).transform(sorted_small(
-        "row_type", F.col("cvr_pct").desc(), "country", "channel"))
+    cells = channel_cells(events).where(f"sessions >= {int(min_sessions)}")
+    detail = cells.selectExpr("country", "channel", "sessions", "purchasers", "cvr_pct", "'detail' AS row_type")
+    sums = [F.expr("sum(sessions) AS sessions"), F.expr("sum(purchasers) AS purchasers")]
+    by_channel = cells.groupBy("channel").agg(*sums).selectExpr(
+        "'ALL' AS country", "channel", "sessions", "purchasers", CELL_CVR, "'channel_total' AS row_type")
+    grand = cells.agg(*sums).selectExpr(
+        "'ALL' AS country", "'ALL' AS channel", "sessions", "purchasers", CELL_CVR, "'grand_total' AS row_type")
+    return order_small(detail.unionByName(by_channel).unionByName(grand), *ROLLUP_ORDER)
 
 
 def segment_cube(events: DataFrame) -> DataFrame:
@@ -92,41 +72,34 @@ def segment_cube(events: DataFrame) -> DataFrame:
     one Expand (3 copies of the projected rows, pre-aggregated before the
     shuffle), then the flags are summed per set.
     """
-    ev = events.where(F.col("user_id").isNotNull()).select(
-        "user_id", "channel", "country", F.when(is_type("purchase"), 1).otherwise(0).alias("p"))
+    ev = events.where("user_id IS NOT NULL").selectExpr(
+        "user_id", "channel", "country", "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS p")
     per_user = ev.groupingSets(
         [["channel", "country", "user_id"], ["channel", "user_id"], ["user_id"]],
         "channel", "country", "user_id",
-    ).agg(F.max("p").alias("did_purchase"),
-          (F.grouping("channel") * 2 + F.grouping("country")).alias("gid"))
+    ).agg(F.expr("max(p) AS did_purchase"), F.expr("grouping(channel) * 2 + grouping(country) AS gid"))
     agg = per_user.groupBy("gid", "channel", "country").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("did_purchase").alias("purchasers"))
-    return agg.select(
-        *_labels(F.col("gid")),
-        "sessions", "purchasers",
-        pct("purchasers", "sessions").alias("cvr_pct"),
-        _row_type(F.col("gid")).alias("row_type"),
-    ).transform(sorted_small("row_type", F.col("cvr_pct").desc(), "country", "channel"))
+        F.expr("count(1) AS sessions"), F.expr("sum(did_purchase) AS purchasers"))
+    out = agg.selectExpr(*LABELS, "sessions", "purchasers", CELL_CVR, ROW_TYPE)
+    return order_small(out, *ROLLUP_ORDER)
 
 
 def channel_vs_average(events: DataFrame, min_sessions: int = 50, band: float = 0.10) -> DataFrame:
     """Each kept (channel, country) cell against the channel's unweighted mean CVR."""
-    cells = channel_cells(events).where(F.col("sessions") >= min_sessions)
-    avg = cells.groupBy("channel").agg(avg_of_rates("cvr_pct").alias("channel_avg_cvr_pct"))
+    cells = channel_cells(events).where(f"sessions >= {int(min_sessions)}")
+    avg = cells.groupBy("channel").agg(F.expr(f"{avg_of_rates_sql('cvr_pct')} AS channel_avg_cvr_pct"))
     joined = cells.join(bounded_lookup(avg, ["channel"]), "channel")
-    cvr, mean = F.col("cvr_pct"), F.col("channel_avg_cvr_pct")
-    flag = (
-        F.when(cvr > mean * F.lit(1.0 + band), F.lit("outperforming"))
-        .when(cvr < mean * F.lit(1.0 - band), F.lit("underperforming"))
-        .otherwise(F.lit("in_line"))
-    )
-    return joined.select(
+    hi, lo = repr(1.0 + band), repr(1.0 - band)
+    out = joined.selectExpr(
         "channel", "country", "sessions",
-        cvr.alias("country_cvr_pct"),
-        mean.alias("channel_avg_cvr_pct"),
-        F.round(cvr - mean, 2).alias("vs_channel_avg_pp"),
-        flag.alias("performance_flag"),
-    ).transform(sorted_small("channel", F.col("vs_channel_avg_pp").desc(), "country"))
+        "cvr_pct AS country_cvr_pct",
+        "channel_avg_cvr_pct",
+        "round(cvr_pct - channel_avg_cvr_pct, 2) AS vs_channel_avg_pp",
+        f"CASE WHEN cvr_pct > channel_avg_cvr_pct * {hi}D THEN 'outperforming'"
+        f" WHEN cvr_pct < channel_avg_cvr_pct * {lo}D THEN 'underperforming'"
+        " ELSE 'in_line' END AS performance_flag",
+    )
+    return order_small(out, "channel", "vs_channel_avg_pp DESC", "country")
 
 
 def distinct_vs_flags(events: DataFrame) -> DataFrame:
@@ -136,18 +109,18 @@ def distinct_vs_flags(events: DataFrame) -> DataFrame:
     distinct aggregates with different arguments need.
     """
     distinct = events.groupBy("country", "channel").agg(
-        F.count_distinct("user_id").alias("sessions_distinct"),
-        F.count_distinct(F.when(is_type("purchase"), F.col("user_id"))).alias("purchasers_distinct"),
-    )
+        F.expr("count(DISTINCT user_id) AS sessions_distinct"),
+        F.expr("count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS purchasers_distinct"))
     flags = segment_users(events, ["country", "channel"]).withColumnsRenamed(
         {"sessions": "sessions_flags", "purchasers": "purchasers_flags"})
-    return distinct.join(bounded_lookup(flags, ["country", "channel"]), ["country", "channel"]).transform(sorted_small(
-        "country", "channel"))
+    joined = distinct.join(bounded_lookup(flags, ["country", "channel"]), ["country", "channel"])
+    return order_small(joined, "country", "channel")
 
 
 def sessions_approx(events: DataFrame, rsd: float = 0.05) -> DataFrame:
     """HyperLogLog++ estimate of distinct users per cell (scale variant)."""
-    return events.groupBy("country", "channel").agg(
-        F.approx_count_distinct("user_id", rsd).alias("sessions_approx"),
-        F.approx_count_distinct(F.when(is_type("purchase"), F.col("user_id")), rsd).alias("purchasers_approx"),
-    ).transform(sorted_small("country", "channel"))
+    agg = events.groupBy("country", "channel").agg(
+        F.expr(f"approx_count_distinct(user_id, {rsd}) AS sessions_approx"),
+        F.expr(f"approx_count_distinct(CASE WHEN event_type = 'purchase' THEN user_id END, {rsd})"
+               " AS purchasers_approx"))
+    return order_small(agg, "country", "channel")

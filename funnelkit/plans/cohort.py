@@ -19,62 +19,53 @@ inclusive upper bound) as the general operator; it must return the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import pct
-from funnelkit.functions.timefmt import year_month
-from funnelkit.operators.flags import is_type
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.functions.rates import pct_sql
+from funnelkit.functions.timefmt import year_month_sql
+from funnelkit.operators.ordering import order_small
 
-
-def _purchases(events: DataFrame) -> DataFrame:
-    return events.where(is_type("purchase") & F.col("user_id").isNotNull() & F.col("event_time").isNotNull())
-
-
-def _within(t0, t1, window_days: int):
-    return t1 <= t0 + F.make_dt_interval(days=F.lit(window_days))
+PURCHASES = "event_type = 'purchase' AND user_id IS NOT NULL AND event_time IS NOT NULL"
 
 
 def first_two_purchases(events: DataFrame) -> DataFrame:
     """(user_id, first_purchase_time, next_purchase_time or NULL)."""
-    times = _purchases(events).select("user_id", "event_time").distinct()
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_time"))
-    top2 = times.withColumn("rn", rn).where(F.col("rn") <= 2)
+    times = events.where(PURCHASES).select("user_id", "event_time").distinct()
+    top2 = times.selectExpr(
+        "user_id", "event_time", "row_number() OVER (PARTITION BY user_id ORDER BY event_time) AS rn"
+    ).where("rn <= 2")
     return top2.groupBy("user_id").agg(
-        F.min("event_time").alias("first_purchase_time"),
-        F.max(F.when(F.col("rn") == 2, F.col("event_time"))).alias("next_purchase_time"),
+        F.expr("min(event_time) AS first_purchase_time"),
+        F.expr("max(CASE WHEN rn = 2 THEN event_time END) AS next_purchase_time"),
     )
 
 
-def _cohort_table(per_user: DataFrame, repeat_flag, min_cohort: int) -> DataFrame:
-    agg = per_user.groupBy(year_month("first_purchase_time").alias("cohort_month")).agg(
-        F.count(F.lit(1)).alias("cohort_size"),
-        F.sum(F.when(repeat_flag, 1).otherwise(0)).alias("repeat_buyers"),
+def _cohort_table(per_user: DataFrame, repeat_sql: str, min_cohort: int) -> DataFrame:
+    agg = per_user.groupBy(F.expr(f"{year_month_sql('first_purchase_time')} AS cohort_month")).agg(
+        F.expr("count(1) AS cohort_size"),
+        F.expr(f"sum(CASE WHEN {repeat_sql} THEN 1 ELSE 0 END) AS repeat_buyers"),
     )
-    return agg.where(F.col("cohort_size") >= min_cohort).select(
+    out = agg.where(f"cohort_size >= {int(min_cohort)}").selectExpr(
         "cohort_month", "cohort_size", "repeat_buyers",
-        pct("repeat_buyers", "cohort_size").alias("retention_60d_pct"),
-    ).transform(sorted_small("cohort_month"))
+        f"{pct_sql('repeat_buyers', 'cohort_size')} AS retention_60d_pct")
+    return order_small(out, "cohort_month")
 
 
 def cohort_retention(events: DataFrame, window_days: int = 60, min_cohort: int = 10) -> DataFrame:
     """cohort_month, cohort_size, repeat_buyers, retention_60d_pct."""
-    per_user = first_two_purchases(events)
-    t0, t1 = F.col("first_purchase_time"), F.col("next_purchase_time")
-    return _cohort_table(per_user, t1.isNotNull() & _within(t0, t1, window_days), min_cohort)
+    repeat = (f"next_purchase_time IS NOT NULL AND "
+              f"next_purchase_time <= first_purchase_time + INTERVAL {int(window_days)} DAYS")
+    return _cohort_table(first_two_purchases(events), repeat, min_cohort)
 
 
 def cohort_selfjoin(events: DataFrame, window_days: int = 60, min_cohort: int = 10) -> DataFrame:
     """Interval self-join form: first purchase x later purchases of the same user."""
-    p = _purchases(events).select("user_id", "event_time")
-    first = p.groupBy("user_id").agg(F.min("event_time").alias("first_purchase_time"))
-    later = p.select(F.col("user_id").alias("r_user"), F.col("event_time").alias("r_time"))
-    cond = (
-        (first.user_id == later.r_user)
-        & (later.r_time > first.first_purchase_time)
-        & _within(first.first_purchase_time, later.r_time, window_days)
-    )
-    repeats = first.join(later, cond).groupBy("user_id").agg(F.min("r_time").alias("repeat_purchase_time"))
+    p = events.where(PURCHASES).select("user_id", "event_time")
+    first = p.groupBy("user_id").agg(F.expr("min(event_time) AS first_purchase_time"))
+    later = p.selectExpr("user_id AS r_user", "event_time AS r_time")
+    cond = F.expr(f"user_id = r_user AND r_time > first_purchase_time"
+                  f" AND r_time <= first_purchase_time + INTERVAL {int(window_days)} DAYS")
+    repeats = first.join(later, cond).groupBy("user_id").agg(F.expr("min(r_time) AS repeat_purchase_time"))
     per_user = first.join(repeats, "user_id", "left")
-    return _cohort_table(per_user, F.col("repeat_purchase_time").isNotNull(), min_cohort)
+    return _cohort_table(per_user, "repeat_purchase_time IS NOT NULL", min_cohort)

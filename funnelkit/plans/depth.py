@@ -22,83 +22,67 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.operators.joins import bounded_by_limit, bounded_lookup
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.operators.ordering import order, order_small
 
-DEPTH = {"purchase": 3, "cart": 2, "view": 1}
-LABELS = {3: "converted", 2: "carted_no_purchase", 1: "view_only"}
-OUTPUT = ["user_id", "country", "channel", "device", "depth_score", "quality_label", "total_events",
-          "country_avg_depth", "vs_country_avg", "rank_in_country"]
+DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
+             " AS depth_score")
+LABEL_SQL = ("CASE depth_score WHEN 3 THEN 'converted' WHEN 2 THEN 'carted_no_purchase'"
+             " WHEN 1 THEN 'view_only' ELSE 'unknown' END AS quality_label")
+OUTPUT = ("user_id", "country", "channel", "device", "depth_score", LABEL_SQL, "total_events",
+          "country_avg_depth", "round(depth_score - country_avg_depth, 2) AS vs_country_avg", "rank_in_country")
+ORDER = ("country ASC NULLS FIRST", "rank_in_country", "user_id", "channel", "device")
 
 
-def _depth_case():
-    expr = None
-    for t, score in DEPTH.items():
-        cond = F.col("event_type") == F.lit(t)
-        expr = F.when(cond, F.lit(score)) if expr is None else expr.when(cond, F.lit(score))
-    return expr.otherwise(F.lit(0))
+def user_depth(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", "country", "channel", "device").agg(
+        F.expr(DEPTH_SQL), F.expr("count(1) AS total_events"))
 
 
-def _label_case(col):
-    expr = None
-    for score, label in LABELS.items():
-        expr = F.when(col == score, F.lit(label)) if expr is None else expr.when(col == score, F.lit(label))
-    return expr.otherwise(F.lit("unknown"))
+def rank_ladder(ud: DataFrame) -> DataFrame:
+    """(country, depth_score, total_events, users, rank_in_country)."""
+    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
+    return triples.selectExpr(
+        "*", "dense_rank() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC)"
+             " AS rank_in_country")
 
 
-def user_depth(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id", "country", "channel", "device").agg(
-        F.max(_depth_case()).alias("depth_score"),
-        F.count(F.lit(1)).alias("total_events"),
-    )
+def average_from_ladder(ladder: DataFrame) -> DataFrame:
+    """Country average depth from the ladder: sum(depth * users) / sum(users).
 
+    Integer sums are exact, so this equals AVG over the user rows without
+    another pass over them.
+    """
+    return ladder.groupBy("country").agg(
+        F.expr("round(CAST(sum(depth_score * users) AS DOUBLE) / sum(users), 2) AS country_avg_depth"))
 
-def country_average(ud: DataFrame) -> DataFrame:
-    return ud.groupBy("country").agg(F.round(F.avg("depth_score"), 2).alias("country_avg_depth"))
 
+def _ladder_keys(ladder: DataFrame) -> DataFrame:
+    return ladder.selectExpr("country AS l_country", "depth_score AS l_depth", "total_events AS l_events",
+                             "rank_in_country")
 
-def rank_ladder(ud: DataFrame) -> DataFrame:
-    """(country, depth_score, total_events, users, rank_in_country)."""
-    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.count(F.lit(1)).alias("users"))
-    w = Window.partitionBy("country").orderBy(F.col("depth_score").desc(), F.col("total_events").desc())
-    return triples.withColumn("rank_in_country", F.dense_rank().over(w))
+
+def _rank_join(rows: DataFrame, ladder: DataFrame) -> DataFrame:
+    keys = _ladder_keys(ladder)
+    return rows.join(keys, F.expr("country <=> l_country AND depth_score = l_depth AND total_events = l_events"))
 
 
 def _attach(rows: DataFrame, ud: DataFrame) -> DataFrame:
     """rows (user-depth grain) + country average + rank from the ladder."""
-    ladder = rank_ladder(ud).select(
-        F.col("country").alias("l_country"), F.col("depth_score").alias("l_depth"),
-        F.col("total_events").alias("l_events"), "rank_in_country")
-    avg = bounded_lookup(country_average(ud).withColumnRenamed("country", "a_country"), ["country"])
-    ranked = rows.join(
-        ladder,
-        rows.country.eqNullSafe(ladder.l_country)
-        & (rows.depth_score == ladder.l_depth)
-        & (rows.total_events == ladder.l_events),
-    )
-    with_avg = ranked.join(avg, ranked.country == avg.a_country, "left")
-    return with_avg.select(
-        "user_id", "country", "channel", "device", "depth_score",
-        _label_case(F.col("depth_score")).alias("quality_label"),
-        "total_events", "country_avg_depth",
-        F.round(F.col("depth_score") - F.col("country_avg_depth"), 2).alias("vs_country_avg"),
-        "rank_in_country",
-    )
-
-
-def _order():
-    return [F.col("country").asc_nulls_first(), F.col("rank_in_country"), "user_id", "channel", "device"]
+    ladder = rank_ladder(ud)
+    avg = bounded_lookup(average_from_ladder(ladder).withColumnRenamed("country", "a_country"), ["country"])
+    ranked = _rank_join(rows, ladder)
+    return ranked.join(avg, F.expr("country = a_country"), "left").selectExpr(*OUTPUT)
 
 
 def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
     """Top `limit` rows by (country, rank) with deterministic tie-breaks."""
     ud = user_depth(events)
-    top = ud.orderBy(F.col("country").asc_nulls_first(), F.col("depth_score").desc(),
-                     F.col("total_events").desc(), "user_id", "channel", "device")
-    return _attach(bounded_by_limit(top, limit), ud).transform(sorted_small(*_order()))
+    top = order(ud, "country ASC NULLS FIRST", "depth_score DESC", "total_events DESC", "user_id", "channel", "device")
+    return order_small(_attach(bounded_by_limit(top, limit), ud), *ORDER)
 
 
 def session_quality_full(events: DataFrame) -> DataFrame:
@@ -108,14 +92,14 @@ def session_quality_full(events: DataFrame) -> DataFrame:
     under the adaptive threshold, else keeps a sort-merge join with skew split.
     """
     ud = user_depth(events)
-    return _attach(ud, ud).orderBy(*_order())
+    return order(_attach(ud, ud), *ORDER)
 
 
 def depth_window(events: DataFrame) -> DataFrame:
     """The rank ladder itself: how many rows share each (country, rank)."""
-    return rank_ladder(user_depth(events)).select(
-        "country", "depth_score", "total_events", "users", "rank_in_country"
-    ).orderBy(F.col("country").asc_nulls_first(), "rank_in_country")
+    ladder = rank_ladder(user_depth(events)).select(
+        "country", "depth_score", "total_events", "users", "rank_in_country")
+    return order(ladder, "country ASC NULLS FIRST", "rank_in_country")
 
 
 def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -133,19 +117,4 @@ def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
                    AS country_avg_depth
         FROM {name} u
     """)
-    ladder = rank_ladder(ud).select(
-        F.col("country").alias("l_country"), F.col("depth_score").alias("l_depth"),
-        F.col("total_events").alias("l_events"), "rank_in_country")
-    ranked = scored.join(
-        ladder,
-        scored.country.eqNullSafe(ladder.l_country)
-        & (scored.depth_score == ladder.l_depth)
-        & (scored.total_events == ladder.l_events),
-    )
-    return ranked.select(
-        "user_id", "country", "channel", "device", "depth_score",
-        _label_case(F.col("depth_score")).alias("quality_label"),
-        "total_events", "country_avg_depth",
-        F.round(F.col("depth_score") - F.col("country_avg_depth"), 2).alias("vs_country_avg"),
-        "rank_in_country",
-    ).orderBy(*_order())
+    return order(_rank_join(scored, rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)

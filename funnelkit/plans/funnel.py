@@ -16,43 +16,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import pct, pct_or_zero, ratio
+from funnelkit.functions.rates import pct0_sql, pct_sql, ratio_sql
 from funnelkit.operators.flags import user_flags
-from funnelkit.operators.ordering import sorted_small
-
-
-def _lenient_segment(events: DataFrame, dim: str) -> DataFrame:
+from funnelkit.operators.ordering import order_small
+
+LENIENT_RATES = (
+    f"{pct_sql('carted', 'viewers')} AS view_to_cart_pct",
+    f"{pct_sql('purchasers', 'carted')} AS cart_to_purchase_pct",
+    f"{pct_sql('purchasers', 'viewers')} AS overall_cvr_pct",
+)
+SEQUENTIAL_RATES = (
+    f"{pct0_sql('carted', 'viewers')} AS view_to_cart_pct",
+    f"{pct0_sql('purchasers', 'carted')} AS cart_to_purchase_pct",
+    f"{pct0_sql('purchasers', 'viewers')} AS overall_cvr_pct",
+)
+
+
+def lenient_segment(events: DataFrame, dim: str) -> DataFrame:
+    """(dim, total_users, viewers, carted, purchasers) at the (user, dim) grain."""
     return user_flags(events, [dim]).groupBy(dim).agg(
-        F.count(F.lit(1)).alias("total_users"),
-        F.sum("did_view").alias("viewers"),
-        F.sum("did_cart").alias("carted"),
-        F.sum("did_purchase").alias("purchasers"),
+        F.expr("count(1) AS total_users"),
+        F.expr("sum(did_view) AS viewers"),
+        F.expr("sum(did_cart) AS carted"),
+        F.expr("sum(did_purchase) AS purchasers"),
     )
 
 
-def _lenient_rates() -> list:
-    return [
-        pct("carted", "viewers").alias("view_to_cart_pct"),
-        pct("purchasers", "carted").alias("cart_to_purchase_pct"),
-        pct("purchasers", "viewers").alias("overall_cvr_pct"),
-    ]
-
-
 def country_funnel(events: DataFrame) -> DataFrame:
     """Lenient funnel per country, worst overall conversion first."""
-    seg = _lenient_segment(events, "country")
-    return seg.select("country", "viewers", "carted", "purchasers", *_lenient_rates()).transform(sorted_small(
-        F.col("overall_cvr_pct").asc_nulls_first(), "country"
-    ))
+    out = lenient_segment(events, "country").selectExpr("country", "viewers", "carted", "purchasers", *LENIENT_RATES)
+    return order_small(out, "overall_cvr_pct ASC NULLS FIRST", "country")
 
 
 def device_funnel(events: DataFrame, low_sample: int = 1000) -> DataFrame:
     """Lenient funnel per device with a small-sample flag, best first."""
-    seg = _lenient_segment(events, "device")
-    flag = F.when(F.col("total_users") < F.lit(low_sample), F.lit("low_sample")).otherwise(F.lit("ok"))
-    return seg.select("device", "viewers", "carted", "purchasers", *_lenient_rates(), flag.alias("sample_flag")).transform(sorted_small(
-        F.col("overall_cvr_pct").desc_nulls_last(), "device"
-    ))
+    out = lenient_segment(events, "device").selectExpr(
+        "device", "viewers", "carted", "purchasers", *LENIENT_RATES,
+        f"CASE WHEN total_users < {int(low_sample)} THEN 'low_sample' ELSE 'ok' END AS sample_flag")
+    return order_small(out, "overall_cvr_pct DESC NULLS LAST", "device")
 
 
 # --------------------------------------------------------------------------
@@ -60,12 +61,11 @@ def device_funnel(events: DataFrame, low_sample: int = 1000) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _sequential_counts(flags: DataFrame, keys: list[str]) -> DataFrame:
-    return flags.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("viewers"),
-        F.sum("did_cart").alias("carted"),
-        F.sum(F.col("did_cart") * F.col("did_purchase")).alias("purchasers"),
-        *([F.sum("n_events").alias("total_events")] if "n_events" in flags.columns else []),
-    )
+    aggs = [F.expr("count(1) AS viewers"), F.expr("sum(did_cart) AS carted"),
+            F.expr("sum(did_cart * did_purchase) AS purchasers")]
+    if "n_events" in flags.columns:
+        aggs.append(F.expr("sum(n_events) AS total_events"))
+    return flags.groupBy(*keys).agg(*aggs)
 
 
 def sequential_segment(events: DataFrame, dim: str) -> DataFrame:
@@ -74,35 +74,29 @@ def sequential_segment(events: DataFrame, dim: str) -> DataFrame:
 
 
 def country_funnel_seq(events: DataFrame) -> DataFrame:
-    seg = sequential_segment(events, "country")
-    return seg.select(
-        "country", "viewers", "carted", "purchasers",
-        pct_or_zero("carted", "viewers").alias("view_to_cart_pct"),
-        pct_or_zero("purchasers", "carted").alias("cart_to_purchase_pct"),
-        pct_or_zero("purchasers", "viewers").alias("overall_cvr_pct"),
-    ).transform(sorted_small(F.col("overall_cvr_pct").desc(), "country"))
+    out = sequential_segment(events, "country").selectExpr(
+        "country", "viewers", "carted", "purchasers", *SEQUENTIAL_RATES)
+    return order_small(out, "overall_cvr_pct DESC", "country")
 
 
 def channel_cvr_seq(events: DataFrame) -> DataFrame:
-    seg = sequential_segment(events, "channel")
-    return seg.select(
-        "channel",
-        F.col("viewers").alias("sessions"),
-        F.col("purchasers").alias("purchases"),
-        pct_or_zero("purchasers", "viewers").alias("cvr_pct"),
-    ).transform(sorted_small(F.col("cvr_pct").desc(), "channel"))
+    out = sequential_segment(events, "channel").selectExpr(
+        "channel", "viewers AS sessions", "purchasers AS purchases",
+        f"{pct0_sql('purchasers', 'viewers')} AS cvr_pct")
+    return order_small(out, "cvr_pct DESC", "channel")
 
 
 def device_cvr_seq(events: DataFrame) -> DataFrame:
-    seg = sequential_segment(events, "device")
-    return seg.select("device", pct_or_zero("purchasers", "viewers").alias("cvr_pct")).transform(sorted_small(
-        F.col("cvr_pct").desc(), "device"
-    ))
+    out = sequential_segment(events, "device").selectExpr(
+        "device", f"{pct0_sql('purchasers', 'viewers')} AS cvr_pct")
+    return order_small(out, "cvr_pct DESC", "device")
 
 
 def worst_market(events: DataFrame) -> DataFrame:
     """The country with the lowest sequential overall CVR (ties: first name)."""
-    return country_funnel_seq(events).transform(sorted_small(F.col("overall_cvr_pct").asc(), "country")).limit(1)
+    out = sequential_segment(events, "country").selectExpr(
+        "country", "viewers", "carted", "purchasers", *SEQUENTIAL_RATES)
+    return order_small(out, "overall_cvr_pct", "country").limit(1)
 
 
 def funnel_counts(events: DataFrame) -> DataFrame:
@@ -112,43 +106,32 @@ def funnel_counts(events: DataFrame) -> DataFrame:
 
 def funnel_kpis(events: DataFrame) -> DataFrame:
     """Headline KPIs of the overview page (sequential funnel)."""
-    c = funnel_counts(events)
-    abandon = F.round(F.lit(100.0) * (F.lit(1.0) - F.col("purchasers") / F.nullif(F.col("carted"), F.lit(0))), 1)
-    return c.select(
+    return funnel_counts(events).selectExpr(
         "viewers", "carted", "purchasers", "total_events",
-        F.coalesce(abandon, F.lit(0.0)).alias("cart_abandon_rate"),
-        pct_or_zero("purchasers", "viewers").alias("overall_cvr"),
+        "coalesce(round(100.0D * (1.0D - purchasers / nullif(carted, 0)), 1), 0.0D) AS cart_abandon_rate",
+        f"{pct0_sql('purchasers', 'viewers')} AS overall_cvr",
     )
 
 
 def funnel_stages(events: DataFrame) -> DataFrame:
     """The funnel chart's data: one row per stage with % of the first stage."""
-    c = funnel_counts(events)
-    stages = c.select(
+    stages = funnel_counts(events).selectExpr(
         "viewers",
-        F.explode(F.array(
-            F.struct(F.lit(1).alias("stage_order"), F.lit("Viewed").alias("stage"), F.col("viewers").alias("users")),
-            F.struct(F.lit(2).alias("stage_order"), F.lit("Added to Cart").alias("stage"), F.col("carted").alias("users")),
-            F.struct(F.lit(3).alias("stage_order"), F.lit("Purchased").alias("stage"), F.col("purchasers").alias("users")),
-        )).alias("s"),
+        "stack(3, 1, 'Viewed', viewers, 2, 'Added to Cart', carted, 3, 'Purchased', purchasers)"
+        " AS (stage_order, stage, users)",
     )
-    return stages.select(
-        "s.stage_order", "s.stage", "s.users",
-        pct_or_zero("s.users", "viewers", 1).alias("pct_of_initial"),
-    ).transform(sorted_small("stage_order"))
+    out = stages.selectExpr("stage_order", "stage", "users", f"{pct0_sql('users', 'viewers', 1)} AS pct_of_initial")
+    return order_small(out, "stage_order")
 
 
 def overall_funnel(events: DataFrame) -> DataFrame:
     """Lenient overall funnel with unrounded ratios (NULL on zero)."""
-    f = user_flags(events)
-    c = f.agg(
-        F.sum("did_view").alias("viewers"),
-        F.sum("did_cart").alias("carted"),
-        F.sum("did_purchase").alias("purchasers"),
-    )
-    return c.select(
+    c = user_flags(events).agg(
+        F.expr("sum(did_view) AS viewers"), F.expr("sum(did_cart) AS carted"),
+        F.expr("sum(did_purchase) AS purchasers"))
+    return c.selectExpr(
         "viewers", "carted", "purchasers",
-        ratio("carted", "viewers").alias("v2c_rate"),
-        ratio("purchasers", "carted").alias("c2p_rate"),
-        ratio("purchasers", "viewers").alias("overall"),
+        f"{ratio_sql('carted', 'viewers')} AS v2c_rate",
+        f"{ratio_sql('purchasers', 'carted')} AS c2p_rate",
+        f"{ratio_sql('purchasers', 'viewers')} AS overall",
     )

@@ -12,44 +12,38 @@ all three modes are computed in a single shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit import schema
+from funnelkit.functions.rates import div_first_pct_sql
 from funnelkit.operators.flags import user_profile
-from funnelkit.operators.ordering import sorted_small
-
-
-def _rate(num: str, den: str) -> Column:
-    return F.round(F.col(num) / F.nullif(F.col(den), F.lit(0)) * F.lit(100.0), 2)
+from funnelkit.operators.ordering import order_small
 
 
 def _home_counts(profile: DataFrame, dim: str) -> DataFrame:
     return profile.groupBy(F.col(f"home_{dim}").alias(dim)).agg(
-        F.sum("viewed").alias("viewers"),
-        F.sum("carted").alias("carted"),
-        F.sum("purchased").alias("purchasers"),
-    )
+        F.expr("sum(viewed) AS viewers"), F.expr("sum(carted) AS carted"), F.expr("sum(purchased) AS purchasers"))
 
 
 def home_funnel(events: DataFrame, dim: str = "country", profile: DataFrame | None = None) -> DataFrame:
     """dim, viewers, carted, purchasers, v2c_pct, c2p_pct, overall_cvr; best first."""
     counts = _home_counts(profile if profile is not None else user_profile(events), dim)
-    return counts.select(
+    out = counts.selectExpr(
         dim, "viewers", "carted", "purchasers",
-        _rate("carted", "viewers").alias("v2c_pct"),
-        _rate("purchasers", "carted").alias("c2p_pct"),
-        _rate("purchasers", "viewers").alias("overall_cvr"),
-    ).transform(sorted_small(F.col("overall_cvr").desc_nulls_last(), dim))
+        f"{div_first_pct_sql('carted', 'viewers')} AS v2c_pct",
+        f"{div_first_pct_sql('purchasers', 'carted')} AS c2p_pct",
+        f"{div_first_pct_sql('purchasers', 'viewers')} AS overall_cvr",
+    )
+    return order_small(out, "overall_cvr DESC NULLS LAST", dim)
 
 
 def home_channel_funnel(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """channel, viewers, carted, purchasers, overall_cvr; best first."""
     counts = _home_counts(profile if profile is not None else user_profile(events), "channel")
-    return counts.select(
-        "channel", "viewers", "carted", "purchasers",
-        _rate("purchasers", "viewers").alias("overall_cvr"),
-    ).transform(sorted_small(F.col("overall_cvr").desc_nulls_last(), "channel"))
+    out = counts.selectExpr("channel", "viewers", "carted", "purchasers",
+                            f"{div_first_pct_sql('purchasers', 'viewers')} AS overall_cvr")
+    return order_small(out, "overall_cvr DESC NULLS LAST", "channel")
 
 
 def channel_country_matrix(events: DataFrame, countries=schema.COUNTRIES,
@@ -61,19 +55,15 @@ def channel_country_matrix(events: DataFrame, countries=schema.COUNTRIES,
     """
     p = profile if profile is not None else user_profile(events)
     cells = p.groupBy(F.col("home_channel").alias("channel"), F.col("home_country").alias("country")).agg(
-        F.sum("viewed").alias("viewers"),
-        F.sum("purchased").alias("purchasers"),
-    ).select("channel", "country", _rate("purchasers", "viewers").alias("cvr"))
-    return cells.groupBy("channel").pivot("country", list(countries)).agg(F.first("cvr")).transform(sorted_small("channel"))
+        F.expr(f"{div_first_pct_sql('sum(purchased)', 'sum(viewed)')} AS cvr"))
+    matrix = cells.groupBy("channel").pivot("country", list(countries)).agg(F.expr("first(cvr)"))
+    return order_small(matrix, "channel")
 
 
 def channel_conversion_summary(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """channel, users (all users whose home channel it is), converters, cvr."""
     p = profile if profile is not None else user_profile(events)
     agg = p.groupBy(F.col("home_channel").alias("channel")).agg(
-        F.count(F.lit(1)).alias("users"),
-        F.sum("purchased").alias("converters"),
-    )
-    return agg.select("channel", "users", "converters", _rate("converters", "users").alias("cvr")).transform(sorted_small(
-        F.col("cvr").desc_nulls_last(), "channel"
-    ))
+        F.expr("count(1) AS users"), F.expr("sum(purchased) AS converters"))
+    out = agg.selectExpr("channel", "users", "converters", f"{div_first_pct_sql('converters', 'users')} AS cvr")
+    return order_small(out, "cvr DESC NULLS LAST", "channel")

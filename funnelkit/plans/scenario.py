@@ -13,51 +13,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from funnelkit import schema
-from funnelkit.functions.rates import ratio_or_zero
+from funnelkit.functions.rates import ratio0_sql
+from funnelkit.operators.ordering import order_small
 from funnelkit.plans.funnel import funnel_counts, sequential_segment
-from funnelkit.operators.ordering import sorted_small
 
 STAGES = ("view_to_cart", "cart_to_purchase")
 
 
-def _grid(df: DataFrame, steps: Sequence[float]) -> DataFrame:
-    return df.withColumn("stage", F.explode(F.array(*[F.lit(s) for s in STAGES]))).withColumn(
-        "improvement_pct", F.explode(F.array(*[F.lit(float(x)) for x in steps])))
-
-
-def _new_purchases(v: Column, ca: Column, p: Column, imp: Column) -> Column:
-    lift = F.lit(1.0) + imp / F.lit(100.0)
-    v2c, c2p = ratio_or_zero(ca, v), ratio_or_zero(p, ca)
-    via_cart = F.floor(F.floor(v * (v2c * lift)) * c2p)
-    via_checkout = F.floor(ca * (c2p * lift))
-    return F.when(F.col("stage") == F.lit("view_to_cart"), via_cart).otherwise(via_checkout)
-
-
 def _scenarios(base: DataFrame, keys: list[str], steps: Sequence[float], aov: float) -> DataFrame:
-    g = _grid(base, steps)
-    new_p = _new_purchases(F.col("viewers"), F.col("carted"), F.col("purchasers"), F.col("improvement_pct"))
-    g = g.withColumn("new_purchases", new_p)
-    add = F.greatest(F.lit(0), F.col("new_purchases") - F.col("purchasers"))
-    return g.select(
+    stages = ", ".join(f"'{s}'" for s in STAGES)
+    improvements = ", ".join(f"{float(x)!r}D" for x in steps)
+    grid = base.selectExpr("*", f"explode(array({stages})) AS stage").selectExpr(
+        "*", f"explode(array({improvements})) AS improvement_pct")
+    lift = "(1.0D + improvement_pct / 100.0D)"
+    v2c, c2p = ratio0_sql("carted", "viewers"), ratio0_sql("purchasers", "carted")
+    new_p = grid.selectExpr(
+        "*",
+        f"CASE WHEN stage = 'view_to_cart' THEN floor(floor(viewers * ({v2c} * {lift})) * {c2p})"
+        f" ELSE floor(carted * ({c2p} * {lift})) END AS new_purchases")
+    add = "greatest(0, new_purchases - purchasers)"
+    return new_p.selectExpr(
         "stage", "improvement_pct", *keys,
-        F.col("purchasers").alias("baseline_purchases"),
-        "new_purchases",
-        add.alias("additional_purchases"),
-        F.round(add * F.lit(aov), 2).alias("additional_revenue_eur"),
+        "purchasers AS baseline_purchases", "new_purchases",
+        f"{add} AS additional_purchases",
+        f"round({add} * {float(aov)!r}D, 2) AS additional_revenue_eur",
     )
 
 
 def uplift_by_country(events: DataFrame, steps: Sequence[float] = schema.IMPROVEMENT_STEPS,
                       aov: float = schema.AVG_ORDER_VALUE) -> DataFrame:
-    base = sequential_segment(events, "country")
-    return _scenarios(base, ["country"], steps, aov).transform(sorted_small(
-        "stage", "improvement_pct", F.col("additional_revenue_eur").desc(), "country"))
+    out = _scenarios(sequential_segment(events, "country"), ["country"], steps, aov)
+    return order_small(out, "stage", "improvement_pct", "additional_revenue_eur DESC", "country")
 
 
 def uplift_overall(events: DataFrame, steps: Sequence[float] = schema.IMPROVEMENT_STEPS,
                    aov: float = schema.AVG_ORDER_VALUE) -> DataFrame:
-    return _scenarios(funnel_counts(events), [], steps, aov).transform(sorted_small("stage", "improvement_pct"))
+    return order_small(_scenarios(funnel_counts(events), [], steps, aov), "stage", "improvement_pct")

@@ -11,30 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import pct
-from funnelkit.operators.flags import is_type
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.functions.rates import pct_sql
+from funnelkit.operators.ordering import order_small
 
 
 def user_purchases(events: DataFrame) -> DataFrame:
-    return events.where(is_type("purchase")).groupBy("user_id", "country").agg(
-        F.count(F.lit(1)).alias("purchase_count"),
-        F.sum("price").alias("total_spend"),
-    )
+    return events.where("event_type = 'purchase'").groupBy("user_id", "country").agg(
+        F.expr("count(1) AS purchase_count"), F.expr("sum(price) AS total_spend"))
 
 
 def order_value(events: DataFrame, min_buyers: int = 20) -> DataFrame:
     """country, buyers, avg_orders_per_buyer, avg_spend_per_buyer, aov, repeat_buyer_rate_pct."""
-    up = user_purchases(events)
-    spend = F.sum("total_spend").cast("double")
-    agg = up.groupBy("country").agg(
-        F.count("user_id").alias("buyers"),
-        F.round(F.avg("purchase_count"), 2).alias("avg_orders_per_buyer"),
-        F.round(spend / F.nullif(F.count("total_spend"), F.lit(0)), 2).alias("avg_spend_per_buyer"),
-        F.round(spend / F.nullif(F.sum("purchase_count"), F.lit(0)), 2).alias("aov"),
-        F.count(F.when(F.col("purchase_count") > 1, F.col("user_id"))).alias("repeaters"),
+    spend = "CAST(sum(total_spend) AS DOUBLE)"
+    agg = user_purchases(events).groupBy("country").agg(
+        F.expr("count(user_id) AS buyers"),
+        F.expr("round(avg(purchase_count), 2) AS avg_orders_per_buyer"),
+        F.expr(f"round({spend} / nullif(count(total_spend), 0), 2) AS avg_spend_per_buyer"),
+        F.expr(f"round({spend} / nullif(sum(purchase_count), 0), 2) AS aov"),
+        F.expr("count(CASE WHEN purchase_count > 1 THEN user_id END) AS repeaters"),
     )
-    return agg.where(F.col("buyers") >= min_buyers).select(
+    out = agg.where(f"buyers >= {int(min_buyers)}").selectExpr(
         "country", "buyers", "avg_orders_per_buyer", "avg_spend_per_buyer", "aov",
-        pct("repeaters", "buyers").alias("repeat_buyer_rate_pct"),
-    ).transform(sorted_small(F.col("avg_spend_per_buyer").desc_nulls_last(), "country"))
+        f"{pct_sql('repeaters', 'buyers')} AS repeat_buyer_rate_pct")
+    return order_small(out, "avg_spend_per_buyer DESC NULLS LAST", "country")

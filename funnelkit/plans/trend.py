@@ -7,27 +7,26 @@ never on raw events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import pct
-from funnelkit.functions.timefmt import hour_of_day, year_week
-from funnelkit.operators.flags import is_type, segment_users
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.functions.rates import pct_sql
+from funnelkit.functions.timefmt import year_week_sql
+from funnelkit.operators.flags import segment_users
+from funnelkit.operators.ordering import order_small
 
 
 def weekly_trend(events: DataFrame) -> DataFrame:
     """week (%Y-%W), sessions, purchasers, cvr_pct, prev_week_cvr, wow_cvr_change_pp."""
-    weekly = events.where(F.col("event_time").isNotNull()).select(
-        year_week("event_time").alias("week"), "user_id", "event_type")
-    cells = segment_users(weekly, ["week"]).withColumn("cvr_pct", pct("purchasers", "sessions"))
-    w = Window.orderBy("week")
-    prev = F.lag("cvr_pct").over(w)
-    return cells.select(
+    weekly = events.where("event_time IS NOT NULL").selectExpr(
+        f"{year_week_sql('event_time')} AS week", "user_id", "event_type")
+    cells = segment_users(weekly, ["week"]).selectExpr("*", f"{pct_sql('purchasers', 'sessions')} AS cvr_pct")
+    out = cells.selectExpr(
         "week", "sessions", "purchasers", "cvr_pct",
-        prev.alias("prev_week_cvr"),
-        F.round(F.col("cvr_pct") - prev, 2).alias("wow_cvr_change_pp"),
-    ).transform(sorted_small("week"))
+        "lag(cvr_pct) OVER (ORDER BY week) AS prev_week_cvr",
+        "round(cvr_pct - lag(cvr_pct) OVER (ORDER BY week), 2) AS wow_cvr_change_pp",
+    )
+    return order_small(out, "week")
 
 
 def hourly_abandonment(events: DataFrame) -> DataFrame:
@@ -37,21 +36,19 @@ def hourly_abandonment(events: DataFrame) -> DataFrame:
     its hour alive with a NULL user, so view traffic collapses to one row per
     hour in the map-side partial aggregate instead of one row per viewer.
     """
-    relevant = (is_type("cart") | is_type("purchase")) & F.col("user_id").isNotNull()
-    ev = events.where(F.col("event_time").isNotNull()).select(
-        hour_of_day("event_time").alias("hour_of_day"),
-        F.when(relevant, F.col("user_id")).alias("u"),
-        F.when(relevant & is_type("cart"), 1).otherwise(0).alias("c"),
-        F.when(relevant & is_type("purchase"), 1).otherwise(0).alias("p"),
+    relevant = "event_type IN ('cart', 'purchase') AND user_id IS NOT NULL"
+    ev = events.where("event_time IS NOT NULL").selectExpr(
+        "CAST(hour(event_time) AS INT) AS hour_of_day",
+        f"CASE WHEN {relevant} THEN user_id END AS u",
+        f"CASE WHEN {relevant} AND event_type = 'cart' THEN 1 ELSE 0 END AS c",
+        f"CASE WHEN {relevant} AND event_type = 'purchase' THEN 1 ELSE 0 END AS p",
     )
-    per_user = ev.groupBy("hour_of_day", "u").agg(F.max("c").alias("c"), F.max("p").alias("p"))
-    hours = per_user.groupBy("hour_of_day").agg(
-        F.sum("c").alias("cart_users"), F.sum("p").alias("purchase_users"))
-    running = F.sum("cart_users").over(Window.orderBy("hour_of_day").rowsBetween(Window.unboundedPreceding, 0))
-    abandoned = F.col("cart_users") - F.col("purchase_users")
-    return hours.select(
+    per_user = ev.groupBy("hour_of_day", "u").agg(F.expr("max(c) AS c"), F.expr("max(p) AS p"))
+    hours = per_user.groupBy("hour_of_day").agg(F.expr("sum(c) AS cart_users"), F.expr("sum(p) AS purchase_users"))
+    out = hours.selectExpr(
         "hour_of_day", "cart_users", "purchase_users",
-        abandoned.alias("abandoned"),
-        pct(abandoned, "cart_users").alias("abandonment_rate_pct"),
-        running.alias("running_carts"),
-    ).transform(sorted_small("hour_of_day"))
+        "cart_users - purchase_users AS abandoned",
+        f"{pct_sql('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct",
+        "sum(cart_users) OVER (ORDER BY hour_of_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_carts",
+    )
+    return order_small(out, "hour_of_day")
