@@ -32,7 +32,8 @@ REPORTS = {
     "q08": spend.order_value,
     "q09": channel.channel_vs_average,
     "q10": depth.session_quality,
-    "q10s": depth.session_quality_full,
+    # the same top-500 report, ranking every row through the ladder first
+    "q10s": lambda ev: depth.session_quality_full(ev).limit(500),
     "app_country": funnel.country_funnel_seq,
     "app_channel": funnel.channel_cvr_seq,
     "app_device": funnel.device_cvr_seq,

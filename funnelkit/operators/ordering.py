@@ -33,6 +33,15 @@ def sort_key(spec: str | Column) -> Column:
     return _SORTS[(direction, nulls)](name)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """One partition for a bounded intermediate (dimension cells, buckets).
+
+    Windows, rollups and sorts over it then need no exchange: a single
+    partition already satisfies any clustering requirement.
+    """
+    return df.coalesce(1)
+
+
 def order(df: DataFrame, *specs) -> DataFrame:
     """Distributed global sort (range partitioning) for unbounded outputs."""
     return df.orderBy(*[sort_key(s) for s in specs])

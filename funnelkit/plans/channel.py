@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import avg_of_rates_sql, pct_sql
+from funnelkit.functions.rates import pct_sql
 from funnelkit.operators.flags import segment_users
 from funnelkit.operators.joins import bounded_lookup
-from funnelkit.operators.ordering import order_small
+from funnelkit.operators.ordering import order_small, small
 
 CELL_CVR = f"{pct_sql('purchasers', 'sessions')} AS cvr_pct"
 ROW_TYPE = "CASE gid WHEN 0 THEN 'detail' WHEN 1 THEN 'channel_total' ELSE 'grand_total' END AS row_type"
@@ -26,8 +26,12 @@ ROLLUP_ORDER = ("row_type", "cvr_pct DESC", "country", "channel")
 
 
 def channel_cells(events: DataFrame) -> DataFrame:
-    """(country, channel, sessions, purchasers, cvr_pct)."""
-    return segment_users(events, ["country", "channel"]).selectExpr("*", CELL_CVR)
+    """(country, channel, sessions, purchasers, cvr_pct), in one partition.
+
+    At most |countries| x |channels| rows, so the ranking window, rollup and
+    channel averages below run in that partition without another exchange.
+    """
+    return small(segment_users(events, ["country", "channel"]).selectExpr("*", CELL_CVR))
 
 
 def channel_rank(events: DataFrame, min_sessions: int = 50) -> DataFrame:
@@ -85,12 +89,19 @@ def segment_cube(events: DataFrame) -> DataFrame:
 
 
 def channel_vs_average(events: DataFrame, min_sessions: int = 50, band: float = 0.10) -> DataFrame:
-    """Each kept (channel, country) cell against the channel's unweighted mean CVR."""
+    """Each kept (channel, country) cell against the channel's unweighted mean CVR.
+
+    The detail-to-own-aggregate join is a window aggregate over the channel:
+    same rows as joining the per-channel averages back, without a join.
+    """
     cells = channel_cells(events).where(f"sessions >= {int(min_sessions)}")
-    avg = cells.groupBy("channel").agg(F.expr(f"{avg_of_rates_sql('cvr_pct')} AS channel_avg_cvr_pct"))
-    joined = cells.join(bounded_lookup(avg, ["channel"]), "channel")
+    bp = "CAST(round(cvr_pct * 100) AS BIGINT)"
+    w = "OVER (PARTITION BY channel)"
+    with_avg = cells.selectExpr(
+        "*", f"floor((2 * sum({bp}) {w} + count({bp}) {w}) / nullif(2.0D * count({bp}) {w}, 0)) / 100.0D"
+             " AS channel_avg_cvr_pct")
     hi, lo = repr(1.0 + band), repr(1.0 - band)
-    out = joined.selectExpr(
+    out = with_avg.selectExpr(
         "channel", "country", "sessions",
         "cvr_pct AS country_cvr_pct",
         "channel_avg_cvr_pct",

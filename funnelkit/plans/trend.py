@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from funnelkit.functions.rates import pct_sql
 from funnelkit.functions.timefmt import year_week_sql
 from funnelkit.operators.flags import segment_users
-from funnelkit.operators.ordering import order_small
+from funnelkit.operators.ordering import order_small, small
 
 
 def weekly_trend(events: DataFrame) -> DataFrame:
     """week (%Y-%W), sessions, purchasers, cvr_pct, prev_week_cvr, wow_cvr_change_pp."""
     weekly = events.where("event_time IS NOT NULL").selectExpr(
         f"{year_week_sql('event_time')} AS week", "user_id", "event_type")
-    cells = segment_users(weekly, ["week"]).selectExpr("*", f"{pct_sql('purchasers', 'sessions')} AS cvr_pct")
+    cells = small(segment_users(weekly, ["week"])).selectExpr("*", f"{pct_sql('purchasers', 'sessions')} AS cvr_pct")
     out = cells.selectExpr(
         "week", "sessions", "purchasers", "cvr_pct",
         "lag(cvr_pct) OVER (ORDER BY week) AS prev_week_cvr",
@@ -45,7 +45,7 @@ def hourly_abandonment(events: DataFrame) -> DataFrame:
     )
     per_user = ev.groupBy("hour_of_day", "u").agg(F.expr("max(c) AS c"), F.expr("max(p) AS p"))
     hours = per_user.groupBy("hour_of_day").agg(F.expr("sum(c) AS cart_users"), F.expr("sum(p) AS purchase_users"))
-    out = hours.selectExpr(
+    out = small(hours).selectExpr(
         "hour_of_day", "cart_users", "purchase_users",
         "cart_users - purchase_users AS abandoned",
         f"{pct_sql('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct",
