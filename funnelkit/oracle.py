@@ -429,6 +429,23 @@ SELECT country, depth_score, total_events, users,
 FROM t"""
 
 
+def hourly_stream() -> str:
+    """Finalized event-time hours of the streaming job: the watermark is the
+    latest cart/purchase hour minus one hour, and an hour is emitted once the
+    watermark has reached it."""
+    return f"""k AS (
+    SELECT DISTINCT date_trunc('hour', event_time) AS hour_start, user_id, event_type
+    FROM ev WHERE event_type IN ('cart', 'purchase') AND user_id IS NOT NULL AND event_time IS NOT NULL),
+h AS (
+    SELECT hour_start,
+           CAST(SUM(CASE WHEN event_type = 'cart' THEN 1 ELSE 0 END) AS BIGINT) AS cart_users,
+           CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchase_users
+    FROM k GROUP BY hour_start)
+SELECT hour_start, cart_users, purchase_users, cart_users - purchase_users AS abandoned,
+       {pct('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct
+FROM h WHERE hour_start <= (SELECT MAX(hour_start) FROM k) - INTERVAL 1 HOUR"""
+
+
 def _with(fixture: str, body: str) -> str:
     """WITH ev AS (<fixture>) followed by the body's own CTEs or its SELECT."""
     head = f"WITH ev AS ({fixture})"
@@ -507,6 +524,7 @@ FROM ev GROUP BY country, channel"""),
     "cohort_selfjoin": _click(cohort_retention()),
     "depth_correlated": _click(session_quality(None)),
     "depth_window": _click(depth_window()),
+    "hourly_abandonment_stream": _click(hourly_stream()),
     # order-based fixture
     "country_funnel_orders": _orders(lenient_funnel("country")),
     "channel_rank_orders": _orders(channel_rank()),

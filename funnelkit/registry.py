@@ -18,6 +18,7 @@ from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spen
 from funnelkit.session import configure, scratch_path
 from funnelkit.sources import adapters, files
 from funnelkit.sources.fixtures import clickstream, order_events, table
+from funnelkit.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +110,12 @@ def q_segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money_as_double(segment.segment_filter(clickstream(spark, sf_dir), ["DE", "NL"], ["mobile", "tablet"]))
 
 
+def q_hourly_abandonment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event files -> streaming job (availableNow) -> its finalized hours."""
+    configure(spark)
+    return hourly.hourly_abandonment_from_files(spark, sf_dir)
+
+
 def q_depth_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return depth.depth_correlated(spark, clickstream(spark, sf_dir))
@@ -169,6 +176,8 @@ QUERIES: dict[str, Query] = {
     "depth_correlated": q_depth_correlated,
     "depth_window": _click(depth.depth_window),
     "sessions_approx": _click(channel.sessions_approx),
+    # streaming re-aim of the hourly report (event-time hours, watermark 1 hour)
+    "hourly_abandonment_stream": q_hourly_abandonment_stream,
     # order-based fixture: long date range, real dimension joins
     "country_funnel_orders": _orders(funnel.country_funnel),
     "channel_rank_orders": _orders(channel.channel_rank),

@@ -38,9 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(*CLICK_EVENT_MAP))
-    base = ev.select(
+def clickstream_from(ev: DataFrame) -> DataFrame:
+    """Canonical events from rows shaped like `events.parquet` (batch or stream)."""
+    base = ev.where(F.col("event_type").isin(*CLICK_EVENT_MAP)).select(
         F.col("event_id"),
         F.col("ts").alias("event_time"),
         _map_values("event_type", CLICK_EVENT_MAP).alias("event_type"),
@@ -51,6 +51,10 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_dimensions(base, "event_id").select(*schema.CANONICAL_COLUMNS)
 
 
+def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clickstream_from(table(spark, sf_dir, "events"))
+
+
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders x customer x nation x region as funnel events.
 
