@@ -22,6 +22,11 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # parquet timestamps without zone read as TIMESTAMP_NTZ (the fixture's type)
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # No broadcast from static estimates (compressed file sizes can hide a
+    # large table): broadcasts come from explicit hints on provably bounded
+    # sides, or from AQE once a shuffle stage has *measured* the side's size.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 
