@@ -13,9 +13,8 @@ report needs no join over all users at all: take the top n rows by
 (country, depth desc, total_events desc, tie-breaks) - a per-partition top-n
 merged on the driver side of the exchange - and look up ranks for those n.
 
-The country average is an aggregate keyed by country (bounded by the
-vocabulary) and is broadcast; a NULL country gets a NULL average, as the
-correlated subquery `WHERE ud2.country = ud.country` does.
+The country average comes from the ladder too (see `rank_ladder`), so the
+whole report reads and shuffles the events once.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.operators.joins import bounded_by_limit, bounded_lookup
+from funnelkit.operators.joins import bounded_by_limit
 from funnelkit.operators.ordering import order, order_small
 
 DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
@@ -43,39 +42,33 @@ def user_depth(events: DataFrame) -> DataFrame:
 
 
 def rank_ladder(ud: DataFrame) -> DataFrame:
-    """(country, depth_score, total_events, users, rank_in_country)."""
-    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
-    return triples.selectExpr(
-        "*", "dense_rank() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC)"
-             " AS rank_in_country")
-
-
-def average_from_ladder(ladder: DataFrame) -> DataFrame:
-    """Country average depth from the ladder: sum(depth * users) / sum(users).
+    """(country, depth_score, total_events, users, rank_in_country, country_avg_depth).
 
-    Integer sums are exact, so this equals AVG over the user rows without
-    another pass over them.
+    Both the dense rank and the country average are window functions over the
+    same `PARTITION BY country`, so they share one exchange of this small
+    table. The average is sum(depth * users) / sum(users): integer sums are
+    exact, so it equals AVG over the user rows. A NULL country gets a NULL
+    average, as the correlated `WHERE ud2.country = ud.country` gives.
     """
-    return ladder.groupBy("country").agg(
-        F.expr("round(CAST(sum(depth_score * users) AS DOUBLE) / sum(users), 2) AS country_avg_depth"))
-
-
-def _ladder_keys(ladder: DataFrame) -> DataFrame:
-    return ladder.selectExpr("country AS l_country", "depth_score AS l_depth", "total_events AS l_events",
-                             "rank_in_country")
+    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
+    w = "OVER (PARTITION BY country)"
+    return triples.selectExpr(
+        "*",
+        "dense_rank() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC) AS rank_in_country",
+        f"CASE WHEN country IS NOT NULL THEN round(CAST(sum(depth_score * users) {w} AS DOUBLE)"
+        f" / sum(users) {w}, 2) END AS country_avg_depth",
+    )
 
 
-def _rank_join(rows: DataFrame, ladder: DataFrame) -> DataFrame:
-    keys = _ladder_keys(ladder)
+def _rank_join(rows: DataFrame, ladder: DataFrame, with_avg: bool = True) -> DataFrame:
+    keys = ladder.selectExpr("country AS l_country", "depth_score AS l_depth", "total_events AS l_events",
+                             "rank_in_country", *(["country_avg_depth"] if with_avg else []))
     return rows.join(keys, F.expr("country <=> l_country AND depth_score = l_depth AND total_events = l_events"))
 
 
 def _attach(rows: DataFrame, ud: DataFrame) -> DataFrame:
-    """rows (user-depth grain) + country average + rank from the ladder."""
-    ladder = rank_ladder(ud)
-    avg = bounded_lookup(average_from_ladder(ladder).withColumnRenamed("country", "a_country"), ["country"])
-    ranked = _rank_join(rows, ladder)
-    return ranked.join(avg, F.expr("country = a_country"), "left").selectExpr(*OUTPUT)
+    """rows (user-depth grain) + rank and country average from the ladder."""
+    return _rank_join(rows, rank_ladder(ud)).selectExpr(*OUTPUT)
 
 
 def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
@@ -117,4 +110,4 @@ def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
                    AS country_avg_depth
         FROM {name} u
     """)
-    return order(_rank_join(scored, rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)
+    return order(_rank_join(scored, rank_ladder(ud), with_avg=False).selectExpr(*OUTPUT), *ORDER)
