@@ -531,4 +531,16 @@ FROM ev GROUP BY country, channel"""),
     "weekly_trend_orders": _orders(weekly_trend()),
     "cohort_retention_orders": _orders(cohort_retention()),
     "order_value_orders": _orders(order_value()),
+    "device_funnel_orders": _orders(lenient_funnel(
+        "device", ",\n       CASE WHEN total_users < 1000 THEN 'low_sample' ELSE 'ok' END AS sample_flag")),
+    "channel_country_rollup_orders": _orders(rollup_union()),
+    "channel_vs_average_orders": _orders(channel_vs_average()),
+    "session_quality_orders": _orders(session_quality(500)),
+    "country_funnel_seq_orders": _orders(seq_country()),
+    "channel_cvr_seq_orders": _orders(f"""{sequential_segment('channel')}
+SELECT channel, viewers AS sessions, purchasers AS purchases, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
+    "device_cvr_seq_orders": _orders(f"""{sequential_segment('device')}
+SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
+    "home_country_funnel_orders": _orders(home_funnel("country")),
+    "uplift_by_country_orders": _orders(uplift("country")),
 }

@@ -184,6 +184,15 @@ QUERIES: dict[str, Query] = {
     "weekly_trend_orders": _orders(trend.weekly_trend),
     "cohort_retention_orders": _orders(cohort.cohort_retention),
     "order_value_orders": _orders(spend.order_value),
+    "device_funnel_orders": _orders(funnel.device_funnel),
+    "channel_country_rollup_orders": _orders(channel.channel_country_rollup),
+    "channel_vs_average_orders": _orders(channel.channel_vs_average),
+    "session_quality_orders": _orders(depth.session_quality),
+    "country_funnel_seq_orders": _orders(funnel.country_funnel_seq),
+    "channel_cvr_seq_orders": _orders(funnel.channel_cvr_seq),
+    "device_cvr_seq_orders": _orders(funnel.device_cvr_seq),
+    "home_country_funnel_orders": _orders(lambda ev: home.home_funnel(ev, "country")),
+    "uplift_by_country_orders": _orders(scenario.uplift_by_country),
 }
 
 # The flagship query returned by `entry`.
