@@ -45,11 +45,6 @@ def pick_from_hash(h: Column, values, weights) -> Column:
     return expr.otherwise(F.lit(values[-1]))
 
 
-def weighted_pick(key: Column, salt: str, values, weights) -> Column:
-    """Single-expression form (the hash appears in every CASE branch)."""
-    return pick_from_hash(draw_hash(key, salt), values, weights)
-
-
 def with_dimensions(df: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """Add country / device / channel drawn from column `key`.
 

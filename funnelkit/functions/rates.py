@@ -44,26 +44,19 @@ def pct(num: str, den: str, digits: int = 2) -> Column:
     return F.expr(pct_sql(num, den, digits))
 
 
-def pct_or_zero(num: str, den: str, digits: int = 2) -> Column:
-    return F.expr(pct0_sql(num, den, digits))
-
-
 def ratio(num: str, den: str) -> Column:
     return F.expr(ratio_sql(num, den))
 
 
-def avg_of_rates_sql(rate_pct: str) -> str:
+def avg_of_rates_sql(rate_pct: str, over: str = "") -> str:
     """ROUND(AVG(rate), 2) computed exactly.
 
     Averaging already-rounded doubles and rounding again lands on ties whose
     outcome depends on float noise and summation order (so it differs between
     engines and partitionings). Summing integer basis points and rounding the
-    quotient half-up with integer arithmetic is order-independent.
+    quotient half-up with integer arithmetic is order-independent. `over` turns
+    the aggregates into window aggregates (e.g. "OVER (PARTITION BY channel)").
     """
     bp = f"CAST(round({rate_pct} * 100) AS BIGINT)"
-    n = f"count({bp})"
-    return f"floor((2 * sum({bp}) + {n}) / nullif(2.0D * {n}, 0)) / 100.0D"
-
-
-def avg_of_rates(rate_pct: str) -> Column:
-    return F.expr(avg_of_rates_sql(rate_pct))
+    n = f"count({bp}) {over}"
+    return f"floor((2 * sum({bp}) {over} + {n}) / nullif(2.0D * {n}, 0)) / 100.0D"

@@ -24,10 +24,6 @@ def year_month_sql(t: str) -> str:
     return f"date_format({t}, 'yyyy-MM')"
 
 
-def year_month(t: str) -> Column:
-    return F.expr(year_month_sql(t))
-
-
 def hour_of_day(t: str) -> Column:
     """`CAST(strftime('%H', t) AS INTEGER)` in the session zone (UTC)."""
     return F.expr(f"CAST(hour({t}) AS INT)")

@@ -30,11 +30,6 @@ def flag_sql(event_type: str) -> str:
     return f"max(CASE WHEN event_type = '{event_type}' THEN 1 ELSE 0 END)"
 
 
-def stage_flag(event_type: str) -> Column:
-    """MAX(CASE WHEN event_type = t THEN 1 ELSE 0 END) as INT."""
-    return F.expr(flag_sql(event_type))
-
-
 def user_flags(events: DataFrame, dims: Sequence[str] = (), with_count: bool = False) -> DataFrame:
     """(user_id, *dims, did_view, did_cart, did_purchase[, n_events]).
 

@@ -497,6 +497,7 @@ SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "value_counts": _click(value_counts()),
     "null_profile": _click(null_profile()),
     "canonical_events": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
+    "ingest_events": _click(quality_checks()),
     "adapt_multistore": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
     # the retail export has no price column: NULL; its times are epoch milliseconds
     "adapt_retail": _click(

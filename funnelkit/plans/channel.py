@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.rates import pct_sql
+from funnelkit.functions.rates import avg_of_rates_sql, pct_sql
 from funnelkit.operators.flags import segment_users
 from funnelkit.operators.joins import bounded_lookup
 from funnelkit.operators.ordering import order_small, small
@@ -95,11 +95,8 @@ def channel_vs_average(events: DataFrame, min_sessions: int = 50, band: float =
     same rows as joining the per-channel averages back, without a join.
     """
     cells = channel_cells(events).where(f"sessions >= {int(min_sessions)}")
-    bp = "CAST(round(cvr_pct * 100) AS BIGINT)"
-    w = "OVER (PARTITION BY channel)"
     with_avg = cells.selectExpr(
-        "*", f"floor((2 * sum({bp}) {w} + count({bp}) {w}) / nullif(2.0D * count({bp}) {w}, 0)) / 100.0D"
-             " AS channel_avg_cvr_pct")
+        "*", f"{avg_of_rates_sql('cvr_pct', 'OVER (PARTITION BY channel)')} AS channel_avg_cvr_pct")
     hi, lo = repr(1.0 + band), repr(1.0 - band)
     out = with_avg.selectExpr(
         "channel", "country", "sessions",

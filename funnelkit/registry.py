@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from funnelkit.operators import flags, quality, segment, standardise as std
 from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend
 from funnelkit.session import configure, scratch_path
-from funnelkit.sources import adapters, files
+from funnelkit.sources import adapters, files, ingest
 from funnelkit.sources.fixtures import clickstream, order_events, table
 from funnelkit.streaming import hourly
 
@@ -76,6 +76,19 @@ def q_adapt_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money_as_double(std.standardise(chosen))
 
 
+def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source fallback (missing export, then the multi-store export) -> validate -> write."""
+    configure(spark)
+
+    def missing_export() -> DataFrame:
+        return adapters.read_heuristic_source(spark, scratch_path(spark, "no-export"))
+
+    def multistore() -> DataFrame:
+        return adapters.adapt_multistore(adapters.raw_multistore(spark, sf_dir))
+
+    return ingest.ingest([missing_export, multistore], scratch_path(spark, "events-ingested"))
+
+
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = files.write_csv(clickstream(spark, sf_dir), scratch_path(spark, "events-csv"))
@@ -156,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "value_counts": _click(quality.value_counts),
     "null_profile": _click(quality.null_profile),
     "canonical_events": q_canonical_events,
+    "ingest_events": q_ingest_events,
     "adapt_multistore": q_adapt_multistore,
     "adapt_retail": q_adapt_retail,
     "adapt_heuristic": q_adapt_heuristic,

@@ -80,3 +80,17 @@ def test_quality_checks_fail_on_small_input_and_missing_columns(spark):
     assert not checks["has_cart_events"]["passed"]
     no_dims = {r["check_name"]: r for r in as_dicts(quality.quality_checks(df.drop("channel")))}
     assert not no_dims["channel_present"]["passed"]
+
+
+def test_ingest_validates_before_writing(spark):
+    from funnelkit.sources import ingest
+
+    good = lambda: adapters.adapt_multistore(adapters.raw_multistore(spark, SF_SMALL))
+    refused = scratch_path(spark, "ingest-refused")
+    checks = {r["check_name"]: r["passed"] for r in ingest.ingest([good], refused).collect()}
+    assert checks["row_count"] is False and not files.path_exists(spark, refused)
+    accepted = scratch_path(spark, "ingest-ok")
+    ingest.ingest([good], accepted, min_rows=1).collect()
+    back = spark.read.parquet(accepted)
+    assert back.where("event_type = 'purchase'").count() == clickstream(spark, SF_SMALL).where(
+        "event_type = 'purchase'").count()
