@@ -71,7 +71,7 @@ def q_adapt_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "heuristic")
     files.write_csv(adapters.raw_heuristic(spark, sf_dir), f"{folder}/export.csv")
     chosen = adapters.first_successful([
-        lambda: adapters.read_heuristic_source(spark, folder, preferred="kz.csv"),
+        lambda: adapters.read_heuristic_source(spark, folder, preferred="events.csv"),
     ])
     return _money_as_double(std.standardise(chosen))
 

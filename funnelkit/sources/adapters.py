@@ -123,7 +123,7 @@ def adapt_heuristic(raw: DataFrame) -> DataFrame:
     return df
 
 
-def read_heuristic_source(spark: SparkSession, folder: str, preferred: str = "kz.csv",
+def read_heuristic_source(spark: SparkSession, folder: str, preferred: str = "events.csv",
                           nrows: int | None = None) -> DataFrame:
     """The preferred file if present, else the first `*.csv` in the folder."""
     path = f"{folder.rstrip('/')}/{preferred}"

@@ -50,7 +50,7 @@ def test_heuristic_source_prefers_named_file_then_first_csv(spark):
     files.write_csv(raw, f"{folder}/b_export.csv")
     files.write_csv(raw.limit(3), f"{folder}/a_export.csv")
     assert adapters.read_heuristic_source(spark, folder).count() == 3  # first *.csv by name
-    files.write_csv(raw, f"{folder}/kz.csv")
+    files.write_csv(raw, f"{folder}/events.csv")
     assert adapters.read_heuristic_source(spark, folder).count() == raw.count()
 
 
