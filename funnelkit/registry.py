@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.operators import flags, quality, segment, standardise as std
 from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend
-from funnelkit.session import configure, scratch_path
+from funnelkit.session import configure, scratch_path, size_shuffles
 from funnelkit.sources import adapters, files, ingest
 from funnelkit.sources.fixtures import clickstream, order_events, table
 from funnelkit.streaming import hourly
@@ -23,9 +23,19 @@ from funnelkit.streaming import hourly
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+CLICK_TABLES = ("events",)
+ORDER_TABLES = ("orders", "customer", "nation", "region")
+
+
+def _prepare(spark: SparkSession, sf_dir: str, tables=CLICK_TABLES) -> None:
+    """Session options plus shuffle partitions sized from the input tables."""
+    configure(spark)
+    size_shuffles(spark, [f"{sf_dir}/{t}.parquet" for t in tables])
+
+
 def _click(report: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        configure(spark)
+        _prepare(spark, sf_dir)
         return report(clickstream(spark, sf_dir))
     run.__name__ = getattr(report, "__name__", "report")
     return run
@@ -33,7 +43,7 @@ def _click(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _orders(report: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        configure(spark)
+        _prepare(spark, sf_dir, ORDER_TABLES)
         return report(order_events(spark, sf_dir))
     run.__name__ = getattr(report, "__name__", "report") + "_orders"
     return run
@@ -46,28 +56,28 @@ def _money_as_double(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ source queries
 
 def q_canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     raw = adapters.adapt_multistore(adapters.raw_multistore(spark, sf_dir))
     return _money_as_double(std.standardise(raw))
 
 
 def q_adapt_multistore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw multi-store export written as CSV, read back as text, adapted, standardised."""
-    configure(spark)
+    _prepare(spark, sf_dir)
     path = files.write_csv(adapters.raw_multistore(spark, sf_dir), scratch_path(spark, "multistore"))
     raw = adapters.adapt_multistore(files.read_csv(spark, path))
     return _money_as_double(std.standardise(raw))
 
 
 def q_adapt_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     raw = adapters.adapt_retail(adapters.raw_retail(spark, sf_dir))
     return _money_as_double(std.standardise(raw))
 
 
 def q_adapt_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown export in a folder without the preferred file: first *.csv wins."""
-    configure(spark)
+    _prepare(spark, sf_dir)
     folder = scratch_path(spark, "heuristic")
     files.write_csv(adapters.raw_heuristic(spark, sf_dir), f"{folder}/export.csv")
     chosen = adapters.first_successful([
@@ -78,7 +88,7 @@ def q_adapt_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source fallback (missing export, then the multi-store export) -> validate -> write."""
-    configure(spark)
+    _prepare(spark, sf_dir)
 
     def missing_export() -> DataFrame:
         return adapters.read_heuristic_source(spark, scratch_path(spark, "no-export"))
@@ -90,47 +100,47 @@ def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     path = files.write_csv(clickstream(spark, sf_dir), scratch_path(spark, "events-csv"))
     return _money_as_double(files.read_events_csv(spark, path))
 
 
 def q_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     t = files.replace_table(spark, clickstream(spark, sf_dir), "events_canonical", scratch_path(spark, "events-tbl"))
     return _money_as_double(t)
 
 
 def q_assign_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     ev = table(spark, sf_dir, "events").select("event_id")
     return std.assign_dims(ev, "event_id")
 
 
 def q_parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     raw = adapters.raw_multistore(spark, sf_dir).select("event_id", F.col("event_time").alias("event_time_text"))
     return raw.withColumn("event_time", std.parse_time(F.col("event_time_text"), raw.schema["event_time_text"].dataType))
 
 
 def q_preview_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     return _money_as_double(quality.preview_head(clickstream(spark, sf_dir)))
 
 
 def q_segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     return _money_as_double(segment.segment_filter(clickstream(spark, sf_dir), ["DE", "NL"], ["mobile", "tablet"]))
 
 
 def q_hourly_abandonment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event files -> streaming job (availableNow) -> its finalized hours."""
-    configure(spark)
+    _prepare(spark, sf_dir)
     return hourly.hourly_abandonment_from_files(spark, sf_dir)
 
 
 def q_depth_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _prepare(spark, sf_dir)
     return depth.depth_correlated(spark, clickstream(spark, sf_dir))
 
 

@@ -9,9 +9,11 @@ one of its own.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +39,41 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffle sizing: the user-grain aggregates shuffle roughly half the scanned
+# bytes after map-side pre-aggregation; aim for ~256 MB per shuffle partition
+# and let AQE coalesce whatever turns out smaller.
+SHUFFLE_BYTES_PER_PARTITION = 256 * 1024 * 1024
+SHUFFLE_REDUCTION = 0.5
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
+def input_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Total size of the given files/folders (Hadoop FileSystem, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hpath.getFileSystem(conf)
+        if fs.exists(hpath):
+            total += fs.getContentSummary(hpath).getLength()
+    return total
+
+
+def size_shuffles(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Set `spark.sql.shuffle.partitions` from the input size and return it.
+
+    At least the cluster's default parallelism, at most MAX_SHUFFLE_PARTITIONS;
+    with AQE on this is the *initial* number, coalesced at run time, so a
+    generous value costs little while keeping each reducer's share of a
+    100 TB input within executor memory.
+    """
+    wanted = math.ceil(input_bytes(spark, paths) * SHUFFLE_REDUCTION / SHUFFLE_BYTES_PER_PARTITION)
+    n = min(max(wanted, spark.sparkContext.defaultParallelism), MAX_SHUFFLE_PARTITIONS)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app_name: str = "funnelkit", driver_memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark (UI off, no server port)."""

@@ -49,7 +49,7 @@ def _map(col: str, mapping: dict[str, str]):
     return expr.otherwise(F.col(col))
 
 
-def _user(ev: DataFrame):
+def _user():
     return F.concat(F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % USER_SPLIT).cast("string"))
 
 
@@ -60,7 +60,7 @@ def raw_multistore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.date_format("ts", files.TS_FORMAT).alias("event_time"),
         _map("event_type", MULTISTORE_EVENTS).alias("event_type"),
-        _user(ev).alias("user_id"),
+        _user().alias("user_id"),
         F.col("value").alias("price"),
         F.col("event_id"),
         F.col("props"),
@@ -71,7 +71,7 @@ def raw_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-        _user(ev).alias("visitorid"),
+        _user().alias("visitorid"),
         _map("event_type", RETAIL_EVENTS).alias("event"),
         F.col("event_id"),
     )
@@ -83,7 +83,7 @@ def raw_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id"),
         F.date_format("ts", files.TS_FORMAT).alias("Event_Date"),
         _map("event_type", RETAIL_EVENTS).alias("Event_Type"),
-        _user(ev).alias("Visitor_Session"),
+        _user().alias("Visitor_Session"),
         F.col("value").alias("price"),
     )
 

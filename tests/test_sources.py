@@ -94,3 +94,12 @@ def test_ingest_validates_before_writing(spark):
     back = spark.read.parquet(accepted)
     assert back.where("event_type = 'purchase'").count() == clickstream(spark, SF_SMALL).where(
         "event_type = 'purchase'").count()
+
+
+def test_shuffle_sizing_from_input_bytes(spark):
+    from funnelkit import session
+
+    n = session.size_shuffles(spark, [f"{SF_SMALL}/events.parquet"])
+    assert n == spark.sparkContext.defaultParallelism  # tiny input: one partition per core
+    assert session.input_bytes(spark, [f"{SF_SMALL}/events.parquet", f"{SF_SMALL}/missing.parquet"]) > 0
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
