@@ -68,8 +68,13 @@ def size_shuffles(spark: SparkSession, paths: Sequence[str]) -> int:
     generous value costs little while keeping each reducer's share of a
     100 TB input within executor memory.
     """
-    wanted = math.ceil(input_bytes(spark, paths) * SHUFFLE_REDUCTION / SHUFFLE_BYTES_PER_PARTITION)
-    n = min(max(wanted, spark.sparkContext.defaultParallelism), MAX_SHUFFLE_PARTITIONS)
+    try:
+        measured = input_bytes(spark, paths)
+        floor = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no JVM gateway (e.g. a Connect session): keep the session's setting
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = math.ceil(measured * SHUFFLE_REDUCTION / SHUFFLE_BYTES_PER_PARTITION)
+    n = min(max(wanted, floor), MAX_SHUFFLE_PARTITIONS)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 
