@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.operators import flags, quality, segment, standardise as std
+from funnelkit.operators import quality, segment, standardise as std
 from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend
 from funnelkit.session import configure, scratch_path, size_shuffles
 from funnelkit.sources import adapters, files, ingest
 from funnelkit.sources.fixtures import clickstream, order_events, table
+from funnelkit.reports import REPORTS
 from funnelkit.streaming import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,39 +146,8 @@ def q_depth_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    # SQL reports
-    "country_funnel": _click(funnel.country_funnel),
-    "channel_rank": _click(channel.channel_rank),
-    "weekly_trend": _click(trend.weekly_trend),
-    "device_funnel": _click(funnel.device_funnel),
-    "cohort_retention": _click(cohort.cohort_retention),
-    "channel_country_rollup": _click(channel.channel_country_rollup),
-    "hourly_abandonment": _click(trend.hourly_abandonment),
-    "order_value": _click(spend.order_value),
-    "channel_vs_average": _click(channel.channel_vs_average),
-    "session_quality": _click(depth.session_quality),
-    "session_quality_full": _click(depth.session_quality_full),
-    # dashboard reports (sequential funnel)
-    "funnel_kpis": _click(funnel.funnel_kpis),
-    "funnel_stages": _click(funnel.funnel_stages),
-    "country_funnel_seq": _click(funnel.country_funnel_seq),
-    "channel_cvr_seq": _click(funnel.channel_cvr_seq),
-    "device_cvr_seq": _click(funnel.device_cvr_seq),
-    "worst_market": _click(funnel.worst_market),
-    "uplift_by_country": _click(scenario.uplift_by_country),
-    "uplift_overall": _click(scenario.uplift_overall),
-    # notebook reports (home segment, lenient)
-    "home_country_funnel": _click(lambda ev: home.home_funnel(ev, "country")),
-    "home_device_funnel": _click(lambda ev: home.home_funnel(ev, "device")),
-    "home_channel_funnel": _click(home.home_channel_funnel),
-    "channel_country_matrix": _click(home.channel_country_matrix),
-    "channel_conversion_summary": _click(home.channel_conversion_summary),
-    "overall_funnel": _click(funnel.overall_funnel),
-    # ingestion, quality, profile
-    "quality_checks": _click(quality.quality_checks),
-    "dataset_profile": _click(quality.dataset_profile),
-    "value_counts": _click(quality.value_counts),
-    "null_profile": _click(quality.null_profile),
+    # every catalogue report over the clickstream fixture
+    **{name: _click(report) for name, report in REPORTS.items() if name != "preview_head"},
     "canonical_events": q_canonical_events,
     "ingest_events": q_ingest_events,
     "adapt_multistore": q_adapt_multistore,
@@ -189,17 +159,8 @@ QUERIES: dict[str, Query] = {
     "parse_times": q_parse_times,
     "preview_head": q_preview_head,
     "segment_filter": q_segment_filter,
-    # primitives
-    "user_flags": _click(lambda ev: flags.user_flags(ev, ["country"])),
-    "event_sets": _click(flags.event_sets),
-    "user_mode_dims": _click(flags.user_mode_dims),
-    "distinct_vs_flags": _click(channel.distinct_vs_flags),
-    "segment_cube": _click(channel.segment_cube),
-    "rollup_union": _click(channel.rollup_union),
-    "cohort_selfjoin": _click(cohort.cohort_selfjoin),
+    # correlated-subquery form of the session quality ranking
     "depth_correlated": q_depth_correlated,
-    "depth_window": _click(depth.depth_window),
-    "sessions_approx": _click(channel.sessions_approx),
     # streaming re-aim of the hourly report (event-time hours, watermark 1 hour)
     "hourly_abandonment_stream": q_hourly_abandonment_stream,
     # order-based fixture: long date range, real dimension joins
