@@ -3,8 +3,8 @@
 A side is broadcast only when its size is bounded by construction:
 
 * it is an aggregate keyed by nothing but dimension columns (`schema.DIMENSIONS`),
-  whose vocabularies are closed and small (4 countries x 3 devices x 6
-  channels at most), or
+  whose vocabularies are closed and small (a handful of values each: at most
+  the product of the vocabulary sizes in rows, whatever the data volume), or
 * it is the output of an explicit LIMIT n, bounded by n rows.
 
 Any other side is left to the planner: adaptive query execution measures the

@@ -2,9 +2,9 @@
 
 `channel_cells` is COUNT(DISTINCT user) / COUNT(DISTINCT purchasing user) per
 (country, channel) in flags form. It has at most |countries| x |channels|
-rows, so everything downstream (ranking, subtotals, averages, the join back to
-the averages) runs on a handful of rows and the broadcast of the averages is
-bounded by the channel vocabulary.
+rows and is kept in one partition, so everything downstream (ranking window,
+rollup, per-channel averages as window aggregates) runs on a handful of rows
+without another exchange.
 """
 
 from __future__ import annotations

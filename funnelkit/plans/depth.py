@@ -10,8 +10,8 @@ countries - into four tasks. Instead:
 
 Because the rank is monotone in (depth desc, total_events desc), the top-n
 report needs no join over all users at all: take the top n rows by
-(country, depth desc, total_events desc, tie-breaks) - a per-partition top-n
-merged on the driver side of the exchange - and look up ranks for those n.
+(country, depth desc, total_events desc, tie-breaks) - each task keeps its own
+top n and one task merges those - and look up ranks for those n rows only.
 
 The country average comes from the ladder too (see `rank_ladder`), so the
 whole report reads and shuffles the events once.
