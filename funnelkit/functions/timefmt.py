@@ -12,7 +12,9 @@ def year_week_sql(t: str) -> str:
     Days before the first Monday of January fall in week 00.
     """
     week = f"floor((dayofyear({t}) + 6 - weekday({t})) / 7)"
-    return f"concat(date_format({t}, 'yyyy'), '-', lpad(CAST({week} AS STRING), 2, '0'))"
+    # year as zero-padded digits: the same text as date_format(t, 'yyyy') for
+    # years 0-9999, without a formatter call per row
+    return f"concat(lpad(CAST(year({t}) AS STRING), 4, '0'), '-', lpad(CAST({week} AS STRING), 2, '0'))"
 
 
 def year_week(t: str) -> Column:

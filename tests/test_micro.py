@@ -153,3 +153,17 @@ def test_dims_are_partition_independent(spark):
     shares = {r["country"]: r["count"] / 2000 for r in
               standardise.assign_dims(base, "event_id").groupBy("country").count().collect()}
     assert abs(shares["DE"] - 0.45) < 0.05 and abs(shares["FR"] - 0.15) < 0.05
+
+
+def test_week_bucket_matches_strftime_over_decades(spark):
+    import duckdb
+
+    from funnelkit.functions.timefmt import year_week_sql
+
+    df = spark.sql(f"SELECT CAST(d AS STRING) AS d, {year_week_sql('CAST(d AS TIMESTAMP_NTZ)')} AS w "
+                   "FROM (SELECT explode(sequence(DATE'1990-01-01', DATE'2035-12-31')) AS d)")
+    got = {r.d: r.w for r in df.collect()}
+    want = {str(d)[:10]: w for d, w in duckdb.sql(
+        "SELECT d, strftime(d, '%Y-%W') FROM (SELECT unnest(range(DATE '1990-01-01', DATE '2036-01-01', "
+        "INTERVAL 1 DAY)) AS d)").fetchall()}
+    assert got == want
