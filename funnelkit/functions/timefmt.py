@@ -22,8 +22,8 @@ def year_week(t: str) -> Column:
 
 
 def year_month_sql(t: str) -> str:
-    """`%Y-%m`."""
-    return f"date_format({t}, 'yyyy-MM')"
+    """`%Y-%m` (zero-padded digits, no per-row formatter)."""
+    return f"concat(lpad(CAST(year({t}) AS STRING), 4, '0'), '-', lpad(CAST(month({t}) AS STRING), 2, '0'))"
 
 
 def hour_of_day(t: str) -> Column:
