@@ -54,12 +54,16 @@ WHERE o_orderstatus IN ({_in(ORDER_STATUS_MAP)})
 """
 
 # ------------------------------------------------------------------ pieces
+# Stage flags as BOOL_OR, distinct counts with FILTER: a different formulation
+# from the Spark plans (MAX of CASE, flags summed), so each check compares two
+# computations rather than one written twice.
 
-V = "MAX(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)"
-C = "MAX(CASE WHEN event_type = 'cart' THEN 1 ELSE 0 END)"
-P = "MAX(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)"
-CD_USERS = "COUNT(DISTINCT user_id)"
-CD_BUYERS = "COUNT(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END)"
+def flag(t: str) -> str:
+    return f"CAST(bool_or(event_type = '{t}') AS INTEGER)"
+
+
+USERS = "COUNT(DISTINCT user_id)"
+BUYERS = "COUNT(DISTINCT user_id) FILTER (WHERE event_type = 'purchase')"
 
 
 def pct(num: str, den: str, digits: int = 2) -> str:
@@ -78,171 +82,168 @@ def mode_cte(name: str, dim: str) -> str:
     """(user_id, dim): the most frequent value per user, smallest on ties."""
     return f"""{name} AS (
     SELECT user_id, {dim} FROM (
-        SELECT user_id, {dim}, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY n DESC, {dim}) AS rn
-        FROM (SELECT user_id, {dim}, COUNT(*) AS n FROM ev GROUP BY user_id, {dim})
-    ) WHERE rn = 1)"""
+        SELECT user_id, {dim}, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY n DESC, {dim}) AS pick
+        FROM (SELECT user_id, {dim}, COUNT(*) AS n FROM ev GROUP BY ALL)
+    ) WHERE pick = 1)"""
 
 
 PROFILE = f"""prof AS (
-    SELECT user_id, {V} AS viewed, {C} AS carted, {P} AS purchased FROM ev GROUP BY user_id)"""
+    SELECT user_id, {flag('view')} AS viewed, {flag('cart')} AS carted, {flag('purchase')} AS purchased
+    FROM ev GROUP BY ALL)"""
 
 
 def lenient_funnel(dim: str, extra: str = "") -> str:
-    return f"""base AS (
-    SELECT user_id, {dim}, {V} AS did_view, {C} AS did_cart, {P} AS did_purchase
-    FROM ev GROUP BY user_id, {dim}),
-agg AS (
-    SELECT {dim}, COUNT(*) AS total_users, CAST(SUM(did_view) AS BIGINT) AS viewers,
-           CAST(SUM(did_cart) AS BIGINT) AS carted, CAST(SUM(did_purchase) AS BIGINT) AS purchasers
-    FROM base GROUP BY {dim})
+    return f"""per_user AS (
+    SELECT user_id, {dim}, {flag('view')} AS v, {flag('cart')} AS c, {flag('purchase')} AS p
+    FROM ev GROUP BY ALL),
+seg AS (
+    SELECT {dim}, COUNT(*) AS total_users, SUM(v)::BIGINT AS viewers, SUM(c)::BIGINT AS carted,
+           SUM(p)::BIGINT AS purchasers
+    FROM per_user GROUP BY ALL)
 SELECT {dim}, viewers, carted, purchasers,
        {pct('carted', 'viewers')} AS view_to_cart_pct,
        {pct('purchasers', 'carted')} AS cart_to_purchase_pct,
        {pct('purchasers', 'viewers')} AS overall_cvr_pct{extra}
-FROM agg"""
+FROM seg"""
 
 
 def sequential_segment(dim: str | None) -> str:
     key = f"{dim}, " if dim else ""
-    group = f" GROUP BY {dim}" if dim else ""
-    return f"""u AS (
-    SELECT user_id, {key}{C} AS c, {P} AS p, COUNT(*) AS n FROM ev GROUP BY user_id{', ' + dim if dim else ''}),
+    return f"""per_user AS (
+    SELECT user_id, {key}{flag('cart')} AS c,
+           CAST(bool_or(event_type = 'cart') AND bool_or(event_type = 'purchase') AS INTEGER) AS cp,
+           COUNT(*) AS n
+    FROM ev GROUP BY ALL),
 s AS (
-    SELECT {key}COUNT(*) AS viewers, CAST(SUM(c) AS BIGINT) AS carted,
-           CAST(SUM(c * p) AS BIGINT) AS purchasers, CAST(SUM(n) AS BIGINT) AS total_events
-    FROM u{group})"""
+    SELECT {key}COUNT(*) AS viewers, SUM(c)::BIGINT AS carted, SUM(cp)::BIGINT AS purchasers,
+           SUM(n)::BIGINT AS total_events
+    FROM per_user{' GROUP BY ALL' if dim else ''})"""
+
 
+def cells(min_sessions: int | None = None) -> str:
+    keep = f" WHERE sessions >= {min_sessions}" if min_sessions else ""
+    return f"""cell_counts AS (
+    SELECT country, channel, {USERS} AS sessions, {BUYERS} AS purchasers FROM ev GROUP BY ALL),
+cells AS (
+    SELECT *, {pct('purchasers', 'sessions')} AS cvr_pct FROM cell_counts{keep})"""
 
-CELLS = f"""cells AS (
-    SELECT country, channel, {CD_USERS} AS sessions, {CD_BUYERS} AS purchasers,
-           {pct(CD_BUYERS, CD_USERS)} AS cvr_pct
-    FROM ev GROUP BY country, channel)"""
 
-USER_DEPTH = """ud AS (
+USER_DEPTH = """depth AS (
     SELECT user_id, country, channel, device,
-           MAX(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS depth_score,
+           COALESCE(MAX(list_position(['view', 'cart', 'purchase'], event_type)), 0) AS depth_score,
            COUNT(*) AS total_events
-    FROM ev GROUP BY user_id, country, channel, device)"""
+    FROM ev GROUP BY ALL)"""
 
 
 def session_quality(limit: int | None) -> str:
+    """Country average as a window AVG (NULL for a NULL country), rank as a window."""
     tail = f" LIMIT {limit}" if limit else ""
     return f"""{USER_DEPTH},
 scored AS (
     SELECT *,
-           CASE depth_score WHEN 3 THEN 'converted' WHEN 2 THEN 'carted_no_purchase'
-                            WHEN 1 THEN 'view_only' ELSE 'unknown' END AS quality_label,
-           (SELECT ROUND(AVG(ud2.depth_score), 2) FROM ud ud2 WHERE ud2.country = ud.country) AS country_avg_depth
-    FROM ud),
-ranked AS (
-    SELECT *, ROUND(depth_score - country_avg_depth, 2) AS vs_country_avg,
+           CASE WHEN country IS NOT NULL THEN ROUND(AVG(depth_score) OVER (PARTITION BY country), 2) END AS avg_d,
            CAST(DENSE_RANK() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC) AS INTEGER)
-               AS rank_in_country
-    FROM scored)
-SELECT user_id, country, channel, device, depth_score, quality_label, total_events,
-       country_avg_depth, vs_country_avg, rank_in_country
-FROM ranked
-ORDER BY country NULLS FIRST, rank_in_country, user_id, channel, device{tail}"""
+               AS rk
+    FROM depth)
+SELECT user_id, country, channel, device, depth_score,
+       ['unknown', 'view_only', 'carted_no_purchase', 'converted'][depth_score + 1] AS quality_label,
+       total_events, avg_d AS country_avg_depth, ROUND(depth_score - avg_d, 2) AS vs_country_avg,
+       rk AS rank_in_country
+FROM scored
+ORDER BY country NULLS FIRST, rk, user_id, channel, device{tail}"""
 
 
 def weekly_trend() -> str:
-    return f"""we AS (
-    SELECT strftime(event_time, '%Y-%W') AS week, user_id, event_type FROM ev WHERE event_time IS NOT NULL),
-wf AS (
-    SELECT week, {CD_USERS} AS sessions, {CD_BUYERS} AS purchasers, {pct(CD_BUYERS, CD_USERS)} AS cvr_pct
-    FROM we GROUP BY week)
+    return f"""by_week AS (
+    SELECT strftime(event_time, '%Y-%W') AS week, {USERS} AS sessions, {BUYERS} AS purchasers
+    FROM ev WHERE event_time IS NOT NULL GROUP BY ALL),
+rated AS (SELECT *, {pct('purchasers', 'sessions')} AS cvr_pct FROM by_week)
 SELECT week, sessions, purchasers, cvr_pct,
-       LAG(cvr_pct) OVER (ORDER BY week) AS prev_week_cvr,
-       ROUND(cvr_pct - LAG(cvr_pct) OVER (ORDER BY week), 2) AS wow_cvr_change_pp
-FROM wf ORDER BY week"""
+       LAG(cvr_pct) OVER w AS prev_week_cvr,
+       ROUND(cvr_pct - LAG(cvr_pct) OVER w, 2) AS wow_cvr_change_pp
+FROM rated WINDOW w AS (ORDER BY week)"""
 
 
 def cohort_retention() -> str:
-    return f"""fp AS (
-    SELECT user_id, MIN(event_time) AS first_purchase_time, strftime(MIN(event_time), '%Y-%m') AS cohort_month
-    FROM ev WHERE event_type = 'purchase' GROUP BY user_id),
-rp AS (
-    SELECT fp.user_id, MIN(e.event_time) AS repeat_purchase_time
-    FROM fp JOIN ev e
-      ON e.user_id = fp.user_id AND e.event_type = 'purchase'
-     AND e.event_time > fp.first_purchase_time
-     AND e.event_time <= fp.first_purchase_time + INTERVAL {schema.REPEAT_WINDOW_DAYS} DAY
-    GROUP BY fp.user_id)
-SELECT fp.cohort_month, COUNT(DISTINCT fp.user_id) AS cohort_size, COUNT(DISTINCT rp.user_id) AS repeat_buyers,
-       {pct('COUNT(DISTINCT rp.user_id)', 'COUNT(DISTINCT fp.user_id)')} AS retention_60d_pct
-FROM fp LEFT JOIN rp ON fp.user_id = rp.user_id
-GROUP BY fp.cohort_month HAVING COUNT(DISTINCT fp.user_id) >= 10
-ORDER BY fp.cohort_month"""
+    """Repeat purchase as EXISTS over the distinct purchase times."""
+    return f"""buys AS (SELECT DISTINCT user_id, event_time FROM ev WHERE event_type = 'purchase'),
+firsts AS (SELECT user_id, MIN(event_time) AS t0 FROM buys GROUP BY ALL),
+flagged AS (
+    SELECT strftime(t0, '%Y-%m') AS cohort_month,
+           EXISTS (SELECT 1 FROM buys b WHERE b.user_id = f.user_id AND b.event_time > f.t0
+                   AND b.event_time <= f.t0 + INTERVAL {schema.REPEAT_WINDOW_DAYS} DAY) AS again
+    FROM firsts f)
+SELECT cohort_month, COUNT(*) AS cohort_size, COUNT(*) FILTER (WHERE again) AS repeat_buyers,
+       {pct('COUNT(*) FILTER (WHERE again)', 'COUNT(*)')} AS retention_60d_pct
+FROM flagged GROUP BY ALL HAVING COUNT(*) >= 10"""
 
 
 def order_value() -> str:
-    return f"""up AS (
-    SELECT user_id, country, COUNT(*) AS purchase_count, SUM(price) AS total_spend
-    FROM ev WHERE event_type = 'purchase' GROUP BY user_id, country)
+    return f"""per_buyer AS (
+    SELECT user_id, country, COUNT(*) AS orders, SUM(price) AS spend
+    FROM ev WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT country, COUNT(DISTINCT user_id) AS buyers,
-       ROUND(AVG(purchase_count), 2) AS avg_orders_per_buyer,
-       ROUND(CAST(SUM(total_spend) AS DOUBLE) / NULLIF(COUNT(total_spend), 0), 2) AS avg_spend_per_buyer,
-       ROUND(CAST(SUM(total_spend) AS DOUBLE) / NULLIF(SUM(purchase_count), 0), 2) AS aov,
-       {pct('COUNT(DISTINCT CASE WHEN purchase_count > 1 THEN user_id END)', 'COUNT(DISTINCT user_id)')}
-           AS repeat_buyer_rate_pct
-FROM up GROUP BY country HAVING COUNT(DISTINCT user_id) >= 20
-ORDER BY avg_spend_per_buyer DESC NULLS LAST"""
+       ROUND(AVG(orders), 2) AS avg_orders_per_buyer,
+       ROUND(SUM(spend)::DOUBLE / NULLIF(COUNT(spend), 0), 2) AS avg_spend_per_buyer,
+       ROUND(SUM(spend)::DOUBLE / NULLIF(SUM(orders), 0), 2) AS aov,
+       {pct('COUNT(DISTINCT user_id) FILTER (WHERE orders > 1)', 'COUNT(DISTINCT user_id)')} AS repeat_buyer_rate_pct
+FROM per_buyer GROUP BY ALL HAVING COUNT(DISTINCT user_id) >= 20"""
 
 
 def channel_rank() -> str:
-    return f"""{CELLS}
+    return f"""{cells(50)}
 SELECT country, channel, sessions, purchasers, cvr_pct,
        CAST(DENSE_RANK() OVER (PARTITION BY country ORDER BY cvr_pct DESC) AS INTEGER) AS rank_in_country
-FROM cells WHERE sessions >= 50
-ORDER BY country, rank_in_country"""
+FROM cells"""
+
+
+ROW_TYPE = "CASE GROUPING(channel, country) WHEN 0 THEN 'detail' WHEN 1 THEN 'channel_total' ELSE 'grand_total' END"
+
+
+def rollup_report() -> str:
+    """ROLLUP over the kept cells, summing their distinct counts."""
+    return f"""{cells(30)}
+SELECT CASE WHEN GROUPING(country) = 1 THEN 'ALL' ELSE country END AS country,
+       CASE WHEN GROUPING(channel) = 1 THEN 'ALL' ELSE channel END AS channel,
+       SUM(sessions)::BIGINT AS sessions, SUM(purchasers)::BIGINT AS purchasers,
+       {pct('SUM(purchasers)', 'SUM(sessions)')} AS cvr_pct, {ROW_TYPE} AS row_type
+FROM cells GROUP BY ROLLUP (channel, country)"""
 
 
 def rollup_union() -> str:
-    return f"""{CELLS.replace('FROM ev GROUP BY country, channel)', 'FROM ev GROUP BY country, channel HAVING COUNT(DISTINCT user_id) >= 30)')},
-ct AS (
-    SELECT 'ALL' AS country, channel, CAST(SUM(sessions) AS BIGINT) AS sessions,
-           CAST(SUM(purchasers) AS BIGINT) AS purchasers, {pct('SUM(purchasers)', 'SUM(sessions)')} AS cvr_pct
-    FROM cells GROUP BY channel),
-gt AS (
-    SELECT 'ALL' AS country, 'ALL' AS channel, CAST(SUM(sessions) AS BIGINT) AS sessions,
-           CAST(SUM(purchasers) AS BIGINT) AS purchasers, {pct('SUM(purchasers)', 'SUM(sessions)')} AS cvr_pct
-    FROM cells)
+    """The same rows as three UNION ALL branches (Spark's `rollup_union` is checked against this, its ROLLUP report against `rollup_report`)."""
+    sums = f"SUM(sessions)::BIGINT AS sessions, SUM(purchasers)::BIGINT AS purchasers, {pct('SUM(purchasers)', 'SUM(sessions)')} AS cvr_pct"
+    return f"""{cells(30)}
 SELECT country, channel, sessions, purchasers, cvr_pct, 'detail' AS row_type FROM cells
-UNION ALL SELECT country, channel, sessions, purchasers, cvr_pct, 'channel_total' FROM ct
-UNION ALL SELECT country, channel, sessions, purchasers, cvr_pct, 'grand_total' FROM gt
-ORDER BY row_type, cvr_pct DESC"""
+UNION ALL SELECT 'ALL', channel, {sums}, 'channel_total' FROM cells GROUP BY channel
+UNION ALL SELECT 'ALL', 'ALL', {sums}, 'grand_total' FROM cells"""
 
 
 def hourly_abandonment() -> str:
-    return f"""hourly AS (
-    SELECT CAST(hour(event_time) AS INTEGER) AS hour_of_day, user_id, event_type FROM ev WHERE event_time IS NOT NULL),
-ha AS (
-    SELECT hour_of_day,
-           COUNT(DISTINCT CASE WHEN event_type = 'cart' THEN user_id END) AS cart_users,
-           COUNT(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS purchase_users
-    FROM hourly GROUP BY hour_of_day)
+    return f"""by_hour AS (
+    SELECT CAST(hour(event_time) AS INTEGER) AS hour_of_day,
+           COUNT(DISTINCT user_id) FILTER (WHERE event_type = 'cart') AS cart_users,
+           COUNT(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS purchase_users
+    FROM ev WHERE event_time IS NOT NULL GROUP BY ALL)
 SELECT hour_of_day, cart_users, purchase_users, cart_users - purchase_users AS abandoned,
        {pct('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct,
-       CAST(SUM(cart_users) OVER (ORDER BY hour_of_day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_carts
-FROM ha ORDER BY hour_of_day"""
+       SUM(cart_users) OVER (ORDER BY hour_of_day ROWS UNBOUNDED PRECEDING)::BIGINT AS running_carts
+FROM by_hour"""
 
 
 def channel_vs_average() -> str:
-    kept = CELLS.replace("FROM ev GROUP BY country, channel)",
-                         "FROM ev GROUP BY country, channel HAVING COUNT(DISTINCT user_id) >= 50)")
-    return f"""{kept},
-ca AS (
+    """Per-channel exact mean of the kept cells' rates, joined back."""
+    return f"""{cells(50)},
+means AS (
     SELECT channel,
-           FLOOR((2 * SUM(CAST(ROUND(cvr_pct * 100) AS BIGINT)) + COUNT(*)) / (2.0::DOUBLE * COUNT(*)))
-               / 100.0::DOUBLE AS avg_cvr_pct
-    FROM cells GROUP BY channel)
-SELECT cc.channel, cc.country, cc.sessions, cc.cvr_pct AS country_cvr_pct, ca.avg_cvr_pct AS channel_avg_cvr_pct,
-       ROUND(cc.cvr_pct - ca.avg_cvr_pct, 2) AS vs_channel_avg_pp,
-       CASE WHEN cc.cvr_pct > ca.avg_cvr_pct * 1.1::DOUBLE THEN 'outperforming'
-            WHEN cc.cvr_pct < ca.avg_cvr_pct * 0.9::DOUBLE THEN 'underperforming'
+           FLOOR((2 * SUM(ROUND(cvr_pct * 100)::BIGINT) + COUNT(*)) / (2.0::DOUBLE * COUNT(*))) / 100.0::DOUBLE AS m
+    FROM cells GROUP BY ALL)
+SELECT c.channel, c.country, c.sessions, c.cvr_pct AS country_cvr_pct, means.m AS channel_avg_cvr_pct,
+       ROUND(c.cvr_pct - means.m, 2) AS vs_channel_avg_pp,
+       CASE WHEN c.cvr_pct > means.m * 1.1::DOUBLE THEN 'outperforming'
+            WHEN c.cvr_pct < means.m * 0.9::DOUBLE THEN 'underperforming'
             ELSE 'in_line' END AS performance_flag
-FROM cells cc JOIN ca ON cc.channel = ca.channel
-ORDER BY cc.channel, vs_channel_avg_pp DESC"""
+FROM cells c JOIN means USING (channel)"""
 
 
 def funnel_kpis() -> str:
@@ -255,10 +256,10 @@ FROM s"""
 
 
 def funnel_stages() -> str:
-    rows = [(1, "Viewed", "viewers"), (2, "Added to Cart", "carted"), (3, "Purchased", "purchasers")]
-    parts = [f"SELECT {o} AS stage_order, '{name}' AS stage, {col} AS users, {pct0(col, 'viewers', 1)} AS pct_of_initial FROM s"
-             for o, name, col in rows]
-    return f"{sequential_segment(None)}\n" + "\nUNION ALL ".join(parts)
+    return f"""{sequential_segment(None)}
+SELECT st.stage_order, st.stage, st.users, {pct0('st.users', 's.viewers', 1)} AS pct_of_initial
+FROM s, LATERAL (VALUES (1, 'Viewed', s.viewers), (2, 'Added to Cart', s.carted), (3, 'Purchased', s.purchasers))
+     AS st(stage_order, stage, users)"""
 
 
 def seq_country() -> str:
@@ -272,60 +273,60 @@ FROM s"""
 
 def home_funnel(dim: str) -> str:
     return f"""{PROFILE},
-{mode_cte('md', dim)},
-agg AS (
-    SELECT md.{dim}, CAST(SUM(viewed) AS BIGINT) AS viewers, CAST(SUM(carted) AS BIGINT) AS carted,
-           CAST(SUM(purchased) AS BIGINT) AS purchasers
-    FROM prof JOIN md USING (user_id) GROUP BY md.{dim})
+{mode_cte('home', dim)},
+counts AS (
+    SELECT home.{dim}, SUM(viewed)::BIGINT AS viewers, SUM(carted)::BIGINT AS carted,
+           SUM(purchased)::BIGINT AS purchasers
+    FROM prof JOIN home USING (user_id) GROUP BY ALL)
 SELECT {dim}, viewers, carted, purchasers,
        {rate_div_first('carted', 'viewers')} AS v2c_pct,
        {rate_div_first('purchasers', 'carted')} AS c2p_pct,
        {rate_div_first('purchasers', 'viewers')} AS overall_cvr
-FROM agg"""
+FROM counts"""
 
 
 def home_channel_funnel() -> str:
     return f"""{PROFILE},
-{mode_cte('md', 'channel')},
-agg AS (
-    SELECT md.channel, CAST(SUM(viewed) AS BIGINT) AS viewers, CAST(SUM(carted) AS BIGINT) AS carted,
-           CAST(SUM(purchased) AS BIGINT) AS purchasers
-    FROM prof JOIN md USING (user_id) GROUP BY md.channel)
+{mode_cte('home', 'channel')},
+counts AS (
+    SELECT home.channel, SUM(viewed)::BIGINT AS viewers, SUM(carted)::BIGINT AS carted,
+           SUM(purchased)::BIGINT AS purchasers
+    FROM prof JOIN home USING (user_id) GROUP BY ALL)
 SELECT channel, viewers, carted, purchasers, {rate_div_first('purchasers', 'viewers')} AS overall_cvr
-FROM agg"""
+FROM counts"""
 
 
 def channel_country_matrix() -> str:
-    cols = ",\n       ".join(f"MAX(CASE WHEN country = '{c}' THEN cvr END) AS \"{c}\"" for c in schema.COUNTRIES)
+    cols = ",\n       ".join(f"MAX(cvr) FILTER (WHERE country = '{c}') AS \"{c}\"" for c in schema.COUNTRIES)
     return f"""{PROFILE},
-{mode_cte('mco', 'country')},
-{mode_cte('mch', 'channel')},
-cells AS (
-    SELECT mch.channel, mco.country,
-           {rate_div_first('CAST(SUM(purchased) AS BIGINT)', 'CAST(SUM(viewed) AS BIGINT)')} AS cvr
-    FROM prof JOIN mco USING (user_id) JOIN mch USING (user_id)
-    GROUP BY mch.channel, mco.country)
+{mode_cte('home_c', 'country')},
+{mode_cte('home_ch', 'channel')},
+grid AS (
+    SELECT home_ch.channel, home_c.country,
+           {rate_div_first('SUM(purchased)::BIGINT', 'SUM(viewed)::BIGINT')} AS cvr
+    FROM prof JOIN home_c USING (user_id) JOIN home_ch USING (user_id)
+    GROUP BY ALL)
 SELECT channel,
        {cols}
-FROM cells GROUP BY channel"""
+FROM grid GROUP BY ALL"""
 
 
 def channel_conversion_summary() -> str:
     return f"""{PROFILE},
-{mode_cte('mch', 'channel')}
-SELECT channel, COUNT(*) AS users, CAST(SUM(purchased) AS BIGINT) AS converters,
-       {rate_div_first('CAST(SUM(purchased) AS BIGINT)', 'COUNT(*)')} AS cvr
-FROM prof JOIN mch USING (user_id) GROUP BY channel"""
+{mode_cte('home', 'channel')}
+SELECT channel, COUNT(*) AS users, SUM(purchased)::BIGINT AS converters,
+       {rate_div_first('SUM(purchased)::BIGINT', 'COUNT(*)')} AS cvr
+FROM prof JOIN home USING (user_id) GROUP BY ALL"""
 
 
 def overall_funnel() -> str:
     return f"""{PROFILE},
-t AS (SELECT CAST(SUM(viewed) AS BIGINT) AS viewers, CAST(SUM(carted) AS BIGINT) AS carted,
-             CAST(SUM(purchased) AS BIGINT) AS purchasers FROM prof)
+t AS (SELECT SUM(viewed)::BIGINT AS viewers, SUM(carted)::BIGINT AS carted,
+             SUM(purchased)::BIGINT AS purchasers FROM prof)
 SELECT viewers, carted, purchasers,
-       CAST(carted AS DOUBLE) / NULLIF(viewers, 0) AS v2c_rate,
-       CAST(purchasers AS DOUBLE) / NULLIF(carted, 0) AS c2p_rate,
-       CAST(purchasers AS DOUBLE) / NULLIF(viewers, 0) AS overall
+       carted::DOUBLE / NULLIF(viewers, 0) AS v2c_rate,
+       purchasers::DOUBLE / NULLIF(carted, 0) AS c2p_rate,
+       purchasers::DOUBLE / NULLIF(viewers, 0) AS overall
 FROM t"""
 
 
@@ -335,8 +336,8 @@ def uplift(dim: str | None) -> str:
     return f"""{sequential_segment(dim)},
 g AS (
     SELECT s.*, st.stage, imp.improvement_pct,
-           COALESCE(CAST(carted AS DOUBLE) / NULLIF(viewers, 0), 0.0::DOUBLE) AS v2c,
-           COALESCE(CAST(purchasers AS DOUBLE) / NULLIF(carted, 0), 0.0::DOUBLE) AS c2p,
+           COALESCE(carted::DOUBLE / NULLIF(viewers, 0), 0.0::DOUBLE) AS v2c,
+           COALESCE(purchasers::DOUBLE / NULLIF(carted, 0), 0.0::DOUBLE) AS c2p,
            1.0::DOUBLE + imp.improvement_pct / 100.0::DOUBLE AS lift
     FROM s, (VALUES ('view_to_cart'), ('cart_to_purchase')) st(stage), (VALUES {steps}) imp(improvement_pct)),
 n AS (
@@ -414,15 +415,13 @@ FROM m1 JOIN m2 USING (user_id) JOIN m3 USING (user_id)"""
 def segment_cube() -> str:
     return f"""SELECT CASE WHEN GROUPING(country) = 1 THEN 'ALL' ELSE country END AS country,
        CASE WHEN GROUPING(channel) = 1 THEN 'ALL' ELSE channel END AS channel,
-       {CD_USERS} AS sessions, {CD_BUYERS} AS purchasers, {pct(CD_BUYERS, CD_USERS)} AS cvr_pct,
-       CASE GROUPING(channel, country) WHEN 0 THEN 'detail' WHEN 1 THEN 'channel_total' ELSE 'grand_total' END
-           AS row_type
+       {USERS} AS sessions, {BUYERS} AS purchasers, {pct(BUYERS, USERS)} AS cvr_pct, {ROW_TYPE} AS row_type
 FROM ev GROUP BY ROLLUP (channel, country)"""
 
 
 def depth_window() -> str:
     return f"""{USER_DEPTH},
-t AS (SELECT country, depth_score, total_events, COUNT(*) AS users FROM ud GROUP BY country, depth_score, total_events)
+t AS (SELECT country, depth_score, total_events, COUNT(*) AS users FROM depth GROUP BY ALL)
 SELECT country, depth_score, total_events, users,
        CAST(DENSE_RANK() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC) AS INTEGER)
            AS rank_in_country
@@ -470,7 +469,7 @@ ORACLE_SQL: dict[str, str] = {
     "device_funnel": _click(lenient_funnel(
         "device", ",\n       CASE WHEN total_users < 1000 THEN 'low_sample' ELSE 'ok' END AS sample_flag")),
     "cohort_retention": _click(cohort_retention()),
-    "channel_country_rollup": _click(rollup_union()),
+    "channel_country_rollup": _click(rollup_report()),
     "hourly_abandonment": _click(hourly_abandonment()),
     "order_value": _click(order_value()),
     "channel_vs_average": _click(channel_vs_average()),
@@ -483,7 +482,7 @@ ORACLE_SQL: dict[str, str] = {
 SELECT channel, viewers AS sessions, purchasers AS purchases, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "device_cvr_seq": _click(f"""{sequential_segment('device')}
 SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
-    "worst_market": _click(f"""{seq_country().replace('FROM s', 'FROM s ORDER BY overall_cvr_pct, country LIMIT 1')}"""),
+    "worst_market": _click(f"""{seq_country()} ORDER BY overall_cvr_pct, country LIMIT 1"""),
     "uplift_by_country": _click(uplift("country")),
     "uplift_overall": _click(uplift(None)),
     "home_country_funnel": _click(home_funnel("country")),
@@ -514,12 +513,13 @@ FROM events""",
     "parse_times": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time_text, ts AS event_time FROM events",
     "preview_head": _click(f"SELECT {EVENT_COLUMNS} FROM ev ORDER BY event_time, event_id LIMIT 5"),
     "segment_filter": _click(f"SELECT {EVENT_COLUMNS} FROM ev WHERE country IN ('DE', 'NL') AND device IN ('mobile', 'tablet')"),
-    "user_flags": _click(f"SELECT user_id, country, {V} AS did_view, {C} AS did_cart, {P} AS did_purchase FROM ev GROUP BY user_id, country"),
+    "user_flags": _click(f"SELECT user_id, country, {flag('view')} AS did_view, {flag('cart')} AS did_cart, "
+                         f"{flag('purchase')} AS did_purchase FROM ev GROUP BY ALL"),
     "event_sets": _click(event_sets()),
     "user_mode_dims": _click(user_mode_dims()),
-    "distinct_vs_flags": _click(f"""SELECT country, channel, {CD_USERS} AS sessions_distinct, {CD_BUYERS} AS purchasers_distinct,
-       {CD_USERS} AS sessions_flags, {CD_BUYERS} AS purchasers_flags
-FROM ev GROUP BY country, channel"""),
+    "distinct_vs_flags": _click(f"""SELECT country, channel, {USERS} AS sessions_distinct, {BUYERS} AS purchasers_distinct,
+       {USERS} AS sessions_flags, {BUYERS} AS purchasers_flags
+FROM ev GROUP BY ALL"""),
     "segment_cube": _click(segment_cube()),
     "rollup_union": _click(rollup_union()),
     "cohort_selfjoin": _click(cohort_retention()),
@@ -534,7 +534,7 @@ FROM ev GROUP BY country, channel"""),
     "order_value_orders": _orders(order_value()),
     "device_funnel_orders": _orders(lenient_funnel(
         "device", ",\n       CASE WHEN total_users < 1000 THEN 'low_sample' ELSE 'ok' END AS sample_flag")),
-    "channel_country_rollup_orders": _orders(rollup_union()),
+    "channel_country_rollup_orders": _orders(rollup_report()),
     "channel_vs_average_orders": _orders(channel_vs_average()),
     "session_quality_orders": _orders(session_quality(500)),
     "country_funnel_seq_orders": _orders(seq_country()),
