@@ -2,6 +2,7 @@
 
   python -m funnelkit list
   python -m funnelkit run country_funnel --events /data/events_canonical [--out /data/reports/cf]
+                      [--countries DE,NL] [--devices mobile,tablet]
   python -m funnelkit ingest --source multistore --path /data/export/ --out /data/events_canonical
 
 `run` reads a canonical events table (parquet; `--csv` for a CSV written by the
@@ -28,6 +29,10 @@ def _session() -> SparkSession:
     return configure(builder.getOrCreate())
 
 
+def _split(text: str | None) -> list[str]:
+    return [x for x in (text or "").split(",") if x]
+
+
 def _run(args) -> int:
     spark = _session()
     size_shuffles(spark, [args.events])
@@ -36,6 +41,11 @@ def _run(args) -> int:
         events = read_events_csv(spark, args.events)
     else:
         events = spark.read.parquet(args.events)
+    if args.countries or args.devices:
+        from funnelkit import schema
+        from funnelkit.operators.segment import segment_filter
+        events = segment_filter(events, _split(args.countries) or list(schema.COUNTRIES),
+                                _split(args.devices) or list(schema.DEVICES))
     df = REPORTS[args.report](events)
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
@@ -73,6 +83,8 @@ def main(argv=None) -> int:
     run.add_argument("--csv", action="store_true")
     run.add_argument("--out")
     run.add_argument("--rows", type=int, default=50)
+    run.add_argument("--countries", help="comma-separated selection, e.g. DE,NL (default: all)")
+    run.add_argument("--devices", help="comma-separated selection, e.g. mobile (default: all)")
     ing = sub.add_parser("ingest")
     ing.add_argument("--source", choices=["auto", "multistore", "retail", "heuristic"], default="auto")
     ing.add_argument("--path", required=True)

@@ -17,3 +17,15 @@ def test_cli_ingest_then_run(spark, capsys):
     assert spark.read.parquet(out).count() == 4
     assert main(["list"]) == 0 and "session_quality" in capsys.readouterr().out
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_cli_segment_selection(spark):
+    from funnelkit.sources.fixtures import clickstream
+
+    table = scratch_path(spark, "cli-seg")
+    clickstream(spark, SF_SMALL).write.parquet(table)
+    out = scratch_path(spark, "cli-seg-out")
+    assert main(["run", "country_funnel_seq", "--events", table, "--countries", "DE,NL", "--devices", "mobile",
+                 "--out", out]) == 0
+    assert {r.country for r in spark.read.parquet(out).collect()} == {"DE", "NL"}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
