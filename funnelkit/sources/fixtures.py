@@ -1,6 +1,6 @@
 """Canonical event tables derived from the driver's parquet tables.
 
-`clickstream`  - from `events.parquet` (one month, second-level times).
+`clickstream`  - from `events.parquet` (one month, microsecond times).
 `order_events` - from orders joined to customer, nation and region (long date
                  range, real dimension joins).
 
