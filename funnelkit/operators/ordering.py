@@ -50,8 +50,3 @@ def order(df: DataFrame, *specs) -> DataFrame:
 def order_small(df: DataFrame, *specs) -> DataFrame:
     """Sort a result whose row count is bounded by dimensions, buckets or a limit."""
     return df.coalesce(1).orderBy(*[sort_key(s) for s in specs])
-
-
-def sorted_small(*specs):
-    """`df.transform(sorted_small(...))` form of `order_small`."""
-    return lambda df: order_small(df, *specs)

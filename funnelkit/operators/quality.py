@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from funnelkit import schema
 from funnelkit.operators.flags import is_type
 from funnelkit.sources.files import TS_FORMAT
-from funnelkit.operators.ordering import sorted_small
+from funnelkit.operators.ordering import order, order_small
 
 PROFILE_COLUMNS = ("event_time", "user_id", "event_type", "country", "device", "channel")
 VALUE_COUNT_COLUMNS = ("event_type", "country", "device", "channel")
@@ -49,11 +49,17 @@ def quality_checks(events: DataFrame, min_rows: int = schema.MIN_ROWS) -> DataFr
 
 
 def value_counts(events: DataFrame, columns: Sequence[str] = VALUE_COUNT_COLUMNS) -> DataFrame:
-    """column_name, value, n — non-NULL value frequencies of several columns in one pass."""
+    """column_name, value, n — non-NULL value frequencies of several columns in one pass.
+
+    Closed-vocabulary columns give a bounded result, sorted in one partition;
+    any other column may have as many values as rows and keeps the
+    distributed sort.
+    """
     pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in columns)
     long = events.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
-    return long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")).transform(sorted_small("column_name", F.col("n").desc(), "value"))
+    counts = long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.expr("count(1) AS n"))
+    bounded = set(columns) <= {"event_type", *schema.DIMENSIONS}
+    return (order_small if bounded else order)(counts, "column_name", "n DESC", "value")
 
 
 def null_profile(events: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:

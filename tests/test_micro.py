@@ -167,3 +167,13 @@ def test_week_bucket_matches_strftime_over_decades(spark):
         "SELECT d, strftime(d, '%Y-%W') FROM (SELECT unnest(range(DATE '1990-01-01', DATE '2036-01-01', "
         "INTERVAL 1 DAY)) AS d)").fetchall()}
     assert got == want
+
+
+def test_value_counts_of_an_unbounded_column(spark):
+    from funnelkit.operators import quality
+
+    df = events_df(spark, [("u1", "view", T0, "DE", "mobile", "email"),
+                           ("u1", "cart", T0, "DE", "mobile", "email"),
+                           ("u2", "view", T0, "NL", "mobile", "email")])
+    rows = as_dicts(quality.value_counts(df, ["user_id"]))
+    assert rows == [{"column_name": "user_id", "value": "u1", "n": 2}, {"column_name": "user_id", "value": "u2", "n": 1}]
