@@ -28,6 +28,8 @@ def _home_counts(profile: DataFrame, dim: str) -> DataFrame:
 
 def home_funnel(events: DataFrame, dim: str = "country", profile: DataFrame | None = None) -> DataFrame:
     """dim, viewers, carted, purchasers, v2c_pct, c2p_pct, overall_cvr; best first."""
+    if dim not in schema.DIMENSIONS:
+        raise ValueError(f"home segment must be one of {schema.DIMENSIONS}, got {dim!r}")
     counts = _home_counts(profile if profile is not None else user_profile(events), dim)
     out = counts.selectExpr(
         dim, "viewers", "carted", "purchasers",
