@@ -65,11 +65,12 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
+    # both lookups broadcast side by side (independent, so their jobs run in parallel)
     customer = (
         table(spark, sf_dir, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("c_custkey", "c_mktsegment", "r_name")
     )
     orders = (
