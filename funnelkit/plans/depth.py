@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.operators.joins import bounded_by_limit
 from funnelkit.operators.ordering import order, order_small
+from funnelkit.session import shared_dir
 
 DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
              " AS depth_score")
@@ -78,14 +79,32 @@ def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
     return order_small(_attach(bounded_by_limit(top, limit), ud), *ORDER)
 
 
-def session_quality_full(events: DataFrame) -> DataFrame:
-    """Every (user, country, channel, device) row with its rank.
+# A ladder up to this many rows is broadcast to the user rows (a few tens of MB).
+LADDER_BROADCAST_MAX_ROWS = 1_000_000
+
 
-    The ladder side is not hinted: AQE broadcasts it when its measured size is
-    under the adaptive threshold, else keeps a sort-merge join with skew split.
+def checked_ladder(ud: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user rows, ladder) ready for the rank join, with a size-checked broadcast.
+
+    The user grain is materialised once with a reliable checkpoint in the
+    shared folder (lineage cut; both sides then read it instead of recomputing
+    the aggregation). The ladder's row count is then cheap to take: at most
+    LADDER_BROADCAST_MAX_ROWS rows are broadcast, so the user rows are joined
+    where they lie; a larger ladder goes to a sort-merge join whose skewed
+    triples AQE splits.
     """
-    ud = user_depth(events)
-    return order(_attach(ud, ud), *ORDER)
+    shared_dir(ud.sparkSession)
+    rows = ud.checkpoint(eager=True)
+    ladder = rank_ladder(rows)
+    if ladder.count() <= LADDER_BROADCAST_MAX_ROWS:
+        ladder = F.broadcast(ladder)
+    return rows, ladder
+
+
+def session_quality_full(events: DataFrame) -> DataFrame:
+    """Every (user, country, channel, device) row with its rank."""
+    rows, ladder = checked_ladder(user_depth(events))
+    return order(_rank_join(rows, ladder).selectExpr(*OUTPUT), *ORDER)
 
 
 def depth_window(events: DataFrame) -> DataFrame:
