@@ -117,16 +117,21 @@ def depth_window(events: DataFrame) -> DataFrame:
 def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
     """The country average written as the correlated scalar subquery in SQL.
 
-    Catalyst decorrelates it into an aggregate plus a left outer join; the
-    rank comes from the ladder join as in `session_quality_full`.
+    Catalyst decorrelates it into an aggregate plus a left outer join on
+    country; it has no static size for that aggregate, so the join is planned
+    as a sort-merge join that AQE turns into a broadcast once it has measured
+    the aggregate (after the user rows were shuffled by country). This is the
+    literal SQL form; `session_quality_full` is the scale path. Both read the
+    user grain from one checkpoint, and the rank comes from the size-checked
+    ladder.
     """
+    rows, ladder = checked_ladder(user_depth(events))
     name = f"user_depth_{uuid.uuid4().hex}"
-    ud = user_depth(events)
-    ud.createOrReplaceTempView(name)
+    rows.createOrReplaceTempView(name)
     scored = spark.sql(f"""
         SELECT u.*,
                (SELECT ROUND(AVG(u2.depth_score), 2) FROM {name} u2 WHERE u2.country = u.country)
                    AS country_avg_depth
         FROM {name} u
     """)
-    return order(_rank_join(scored, rank_ladder(ud), with_avg=False).selectExpr(*OUTPUT), *ORDER)
+    return order(_rank_join(scored, ladder, with_avg=False).selectExpr(*OUTPUT), *ORDER)
