@@ -103,3 +103,9 @@ def test_shuffle_sizing_from_input_bytes(spark):
     assert n == spark.sparkContext.defaultParallelism  # tiny input: one partition per core
     assert session.input_bytes(spark, [f"{SF_SMALL}/events.parquet", f"{SF_SMALL}/missing.parquet"]) > 0
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_csv_reader_row_cap(spark):
+    path = files.write_csv(adapters.raw_multistore(spark, SF_SMALL), scratch_path(spark, "cap"))
+    assert files.read_csv(spark, path, nrows=5).count() == 5
+    assert files.read_csv(spark, path).count() == adapters.raw_multistore(spark, SF_SMALL).count()
