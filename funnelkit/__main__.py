@@ -40,7 +40,8 @@ def _run(args) -> int:
         from funnelkit.sources.files import read_events_csv
         events = read_events_csv(spark, args.events)
     else:
-        events = spark.read.parquet(args.events)
+        from funnelkit.sources.files import read_canonical
+        events = read_canonical(spark, args.events)
     if args.countries or args.devices:
         from funnelkit import schema
         from funnelkit.operators.segment import segment_filter

@@ -32,6 +32,13 @@ def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema.CANONICAL_SCHEMA)
 
 
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """A canonical events table (parquet, e.g. written by `ingest`, partitioned by
+    event_type) read with the canonical schema: no footer-based inference."""
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.CANONICAL_SCHEMA.fields])
+    return spark.read.schema(nullable).parquet(path).select(*schema.CANONICAL_COLUMNS)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """Header CSV, replacing the folder's content."""
     (df.write.mode("overwrite").option("header", True)

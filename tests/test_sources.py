@@ -109,3 +109,15 @@ def test_csv_reader_row_cap(spark):
     path = files.write_csv(adapters.raw_multistore(spark, SF_SMALL), scratch_path(spark, "cap"))
     assert files.read_csv(spark, path, nrows=5).count() == 5
     assert files.read_csv(spark, path).count() == adapters.raw_multistore(spark, SF_SMALL).count()
+
+
+def test_read_canonical_of_partitioned_ingest_output(spark):
+    from funnelkit.sources import ingest
+
+    good = lambda: adapters.adapt_multistore(adapters.raw_multistore(spark, SF_SMALL))
+    out = scratch_path(spark, "canon")
+    ingest.ingest([good], out, min_rows=1).collect()
+    back = files.read_canonical(spark, out)
+    ref = clickstream(spark, SF_SMALL)
+    assert back.columns == ref.columns
+    assert back.exceptAll(ref).count() == 0 and ref.exceptAll(back).count() == 0
