@@ -47,9 +47,12 @@ def assign_dims(df: DataFrame, key: str = "event_id") -> DataFrame:
 def standardise(raw: DataFrame, key: str = "event_id") -> DataFrame:
     """Canonical events (`schema.CANONICAL_COLUMNS`) from an adapted raw frame.
 
-    `raw` needs event_time, event_type and user_id; `key` names a stable,
-    unique row key used for the dimension draw (sources without one get a
-    content hash). `price` is kept when present, NULL otherwise.
+    `raw` needs event_time, event_type and user_id; `key` names a stable row
+    key used for the dimension draw. Sources without one get a 64-bit hash of
+    the row's content: deterministic under any partitioning, but not unique
+    (identical rows share it, and at ~10^10 rows and beyond distinct rows can
+    collide), which only means such rows share their drawn dimensions. `price`
+    is kept when present, NULL otherwise.
     """
     dtypes = dict((f.name, f.dataType) for f in raw.schema.fields)
     missing = {"event_time", "event_type", "user_id"} - set(dtypes)
