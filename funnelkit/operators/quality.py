@@ -31,8 +31,9 @@ def quality_checks(events: DataFrame, min_rows: int = schema.MIN_ROWS) -> DataFr
     """check_name, passed, observed — the post-ingest validation rules.
 
     Row count; each funnel event type present; each dimension column present
-    and not entirely NULL; no NULL event_time / user_id. A missing column fails
-    its check instead of raising.
+    and not entirely NULL; no NULL event_time / user_id. A missing dimension,
+    event_time or user_id column fails its check instead of raising (the
+    event_type column itself is required).
     """
     cols = set(events.columns)
     aggs = [F.count(F.lit(1)).alias("n_rows")]
