@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.operators.joins import bounded_by_limit
-from funnelkit.operators.ordering import order, order_small
+from funnelkit.operators.ordering import order, order_small, small
 from funnelkit.session import shared_dir
 
 DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
@@ -51,7 +51,9 @@ def rank_ladder(ud: DataFrame) -> DataFrame:
     exact, so it equals AVG over the user rows. A NULL country gets a NULL
     average, as the correlated `WHERE ud2.country = ud.country` gives.
     """
-    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
+    # The window partitions by country, i.e. one task per country already;
+    # one partition for the (pre-aggregated) triples saves the extra exchange.
+    triples = small(ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users")))
     w = "OVER (PARTITION BY country)"
     return triples.selectExpr(
         "*",
