@@ -70,16 +70,24 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+MAX_STRATA = 100_000
+
+
 def sample_by_hash(rows: DataFrame, key: Column, strata: list[str], n: int, seed: int) -> DataFrame:
     """At most `n` rows of each stratum, those with the smallest hash of `key`: a fixed, bounded sample.
 
     Counts come first, so that the ranking sees about 2 `n` rows a stratum
     rather than the table; the draw depends on `key` alone, not on partitions.
+    The counts are broadcast: one row a stratum, at most `MAX_STRATA`, checked.
     """
     from pyspark.sql import Window
 
     names = [f"__s{i}" for i in range(len(strata))]
     sizes = rows.groupBy(*[F.col(s).alias(a) for s, a in zip(strata, names)]).agg(F.count(F.lit(1)).alias("__size"))
+    held = sizes.limit(MAX_STRATA + 1).collect()
+    if len(held) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(held, sizes.schema))
     u = (F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
     on = [F.col(s).eqNullSafe(F.col(a)) for s, a in zip(strata, names)]
     cond = on[0]
