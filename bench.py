@@ -16,7 +16,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend  # noqa: E402
+from funnelkit.plans import channel, cohort, depth, funnel, home, spend, trend  # noqa: E402
 from funnelkit.session import local_session  # noqa: E402
 from funnelkit.sources.fixtures import clickstream, order_events  # noqa: E402
 
@@ -38,7 +38,6 @@ REPORTS = {
     "app_channel": funnel.channel_cvr_seq,
     "app_device": funnel.device_cvr_seq,
     "nb_mode": lambda ev: home.home_funnel(ev, "country"),
-    "whatif": scenario.uplift_by_country,
 }
 
 

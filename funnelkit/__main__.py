@@ -15,6 +15,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from funnelkit.reports import REPORTS
 from funnelkit.session import configure, size_shuffles
@@ -42,31 +43,29 @@ def _run(args) -> int:
     else:
         from funnelkit.sources.files import read_canonical
         events = read_canonical(spark, args.events)
-    if args.countries or args.devices:
-        from funnelkit import schema
-        from funnelkit.operators.segment import segment_filter
-        events = segment_filter(events, _split(args.countries) or list(schema.COUNTRIES),
-                                _split(args.devices) or list(schema.DEVICES))
+    for column, chosen in (("country", _split(args.countries)), ("device", _split(args.devices))):
+        if chosen:
+            events = events.where(F.col(column).isin(*chosen))
     df = REPORTS[args.report](events)
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
-    else:
-        df.show(args.rows, truncate=False)
+        return 0
+    df = df.cache()
+    df.show(args.rows, truncate=False)
+    more = df.count() - args.rows
+    if more > 0:
+        print(f"{more} more rows; use --rows or --out for all of them")
+    df.unpersist()
     return 0
 
 
 def _ingest(args) -> int:
-    from funnelkit.sources import adapters, files
+    from funnelkit.sources import adapters
     from funnelkit.sources.ingest import ingest
 
     spark = _session()
-    sources = {
-        "multistore": lambda: adapters.adapt_multistore(files.read_csv(spark, args.path, nrows=args.nrows)),
-        "retail": lambda: adapters.adapt_retail(files.read_csv(
-            spark, args.path, "timestamp BIGINT, visitorid STRING, event STRING, itemid STRING", nrows=args.nrows)),
-        "heuristic": lambda: adapters.read_heuristic_source(spark, args.path, nrows=args.nrows),
-    }
-    order = [args.source] if args.source != "auto" else ["multistore", "retail", "heuristic"]
+    sources = adapters.export_sources(spark, args.path)
+    order = [args.source] if args.source != "auto" else list(sources)
     checks = ingest([sources[name] for name in order], args.out, min_rows=args.min_rows)
     rows = checks.collect()
     for r in rows:
@@ -90,7 +89,6 @@ def main(argv=None) -> int:
     ing.add_argument("--source", choices=["auto", "multistore", "retail", "heuristic"], default="auto")
     ing.add_argument("--path", required=True)
     ing.add_argument("--out", required=True)
-    ing.add_argument("--nrows", type=int)
     ing.add_argument("--min-rows", type=int, default=100_000)
     args = p.parse_args(argv)
     if args.cmd == "list":

@@ -45,7 +45,7 @@ def pick_from_hash(h: Column, values, weights) -> Column:
     return expr.otherwise(F.lit(values[-1]))
 
 
-def with_dimensions(df: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+def with_dimensions(df: DataFrame, key: str) -> DataFrame:
     """Add country / device / channel drawn from column `key`.
 
     The md5 prefix is projected first and the CASE applied in a second
@@ -56,10 +56,3 @@ def with_dimensions(df: DataFrame, key: str, keep: list[str] | None = None) -> D
     hashed = df.withColumns({f"_h_{d}": draw_hash(F.col(key), d) for d in DRAWS})
     picked = hashed.withColumns({d: pick_from_hash(F.col(f"_h_{d}"), *DRAWS[d]) for d in DRAWS})
     return picked.drop(*[f"_h_{d}" for d in DRAWS])
-
-
-def sql_pick(key_sql: str, salt: str, values, weights) -> str:
-    """The same draw as SQL text (used by the DuckDB oracles)."""
-    h = f"substr(md5('{salt}:' || CAST({key_sql} AS VARCHAR)), 1, 4)"
-    arms = " ".join(f"WHEN {h} < '{b}' THEN '{v}'" for v, b in zip(values[:-1], thresholds(weights)))
-    return f"CASE {arms} ELSE '{values[-1]}' END"

@@ -1,35 +1,28 @@
 """Join helpers with an explicit broadcast policy.
 
-A side is broadcast only when its size is bounded by construction:
-
-* it is an aggregate keyed by nothing but dimension columns (`schema.DIMENSIONS`),
-  whose vocabularies are closed and small (a handful of values each: at most
-  the product of the vocabulary sizes in rows, whatever the data volume), or
-* it is the output of an explicit LIMIT n, bounded by n rows.
-
-Any other side is left to the planner: adaptive query execution measures the
-shuffled side at run time and converts to a broadcast only below
-`spark.sql.adaptive.autoBroadcastJoinThreshold`; beyond it the join stays a
-sort-merge join whose skewed partitions AQE splits.
+A side is broadcast only when its size is known to be small: it was counted
+(`checked_broadcast`) or it is the output of a small LIMIT. Any other side is
+left to the planner: adaptive query execution measures the shuffled side at run
+time and broadcasts it only below its threshold; beyond it the join stays a
+sort-merge join whose skewed partitions are split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit import schema
+BROADCAST_MAX_ROWS = 100_000
+
 
+def checked_broadcast(lookup: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast an aggregated `lookup` if a count finds at most `max_rows` rows; else leave it to the planner.
 
-def bounded_lookup(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Broadcast `lookup` if every key is a closed-vocabulary dimension."""
-    if keys and all(k in schema.DIMENSIONS for k in keys):
-        return F.broadcast(lookup)
-    return lookup
+    The rows of the join are the same either way.
+    """
+    return F.broadcast(lookup) if lookup.limit(max_rows + 1).count() <= max_rows else lookup
 
 
 def bounded_by_limit(df: DataFrame, n: int) -> DataFrame:
-    """`df.limit(n)` broadcast: the row bound is the limit itself."""
-    return F.broadcast(df.limit(n))
+    """`df.limit(n)`, broadcast if n itself is small."""
+    return F.broadcast(df.limit(n)) if n <= BROADCAST_MAX_ROWS else df.limit(n)

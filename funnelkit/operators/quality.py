@@ -52,15 +52,24 @@ def quality_checks(events: DataFrame, min_rows: int = schema.MIN_ROWS) -> DataFr
 def value_counts(events: DataFrame, columns: Sequence[str] = VALUE_COUNT_COLUMNS) -> DataFrame:
     """column_name, value, n — non-NULL value frequencies of several columns in one pass.
 
-    Closed-vocabulary columns give a bounded result, sorted in one partition;
-    any other column may have as many values as rows and keeps the
-    distributed sort.
+    Dimension columns: the events are grouped once by all of them, then the
+    cells are unpivoted. Any other column may have as many values as rows: its
+    values are unpivoted before the aggregate, and the sort is distributed.
     """
+    if set(columns) <= {"event_type", *schema.DIMENSIONS}:
+        counts = _unpivoted(events.groupBy(*columns).agg(F.expr("count(1) AS n")), columns)
+        return order_small(counts, "column_name", "n DESC", "value")
     pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in columns)
     long = events.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
     counts = long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.expr("count(1) AS n"))
-    bounded = set(columns) <= {"event_type", *schema.DIMENSIONS}
-    return (order_small if bounded else order)(counts, "column_name", "n DESC", "value")
+    return order(counts, "column_name", "n DESC", "value")
+
+
+def _unpivoted(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, value, n from cells that carry a count n."""
+    pairs = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in columns)
+    long = cells.selectExpr("n AS cell_n", f"stack({len(columns)}, {pairs}) AS (column_name, value)")
+    return long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.expr("sum(cell_n) AS n"))
 
 
 def null_profile(events: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
@@ -71,12 +80,22 @@ def null_profile(events: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) ->
 
 
 def dataset_profile(events: DataFrame) -> DataFrame:
-    """section, column_name, value, n: value counts, NULL counts and the time range."""
-    vc = value_counts(events).select(F.lit("value_count").alias("section"), "column_name", "value", "n")
-    one = events.agg(
-        *[F.sum(F.col(c).isNull().cast("bigint")).alias(f"nulls_{c}") for c in PROFILE_COLUMNS],
-        F.date_format(F.min("event_time"), TS_FORMAT).alias("t_min"),
-        F.date_format(F.max("event_time"), TS_FORMAT).alias("t_max"),
+    """section, column_name, value, n: value counts, NULL counts and the time range.
+
+    One grouped scan: the cells of the dimension columns carry counts, NULL
+    counts and times, and both parts of the profile are taken from them.
+    """
+    open_columns = [c for c in PROFILE_COLUMNS if c not in VALUE_COUNT_COLUMNS]
+    cells = events.groupBy(*VALUE_COUNT_COLUMNS).agg(
+        F.expr("count(1) AS n"), *[F.expr(f"count_if({c} IS NULL) AS nulls_{c}") for c in open_columns],
+        F.expr("min(event_time) AS t_min"), F.expr("max(event_time) AS t_max"))
+    vc = order_small(_unpivoted(cells, VALUE_COUNT_COLUMNS), "column_name", "n DESC", "value").select(
+        F.lit("value_count").alias("section"), "column_name", "value", "n")
+    one = cells.agg(
+        *[F.expr(f"coalesce(sum(nulls_{c}), 0) AS nulls_{c}") for c in open_columns],
+        *[F.expr(f"coalesce(sum(CASE WHEN {c} IS NULL THEN n ELSE 0 END), 0) AS nulls_{c}") for c in VALUE_COUNT_COLUMNS],
+        F.date_format(F.min("t_min"), TS_FORMAT).alias("t_min"),
+        F.date_format(F.max("t_max"), TS_FORMAT).alias("t_max"),
     )
     rows = [f"'null_count', '{c}', CAST(NULL AS STRING), nulls_{c}" for c in PROFILE_COLUMNS]
     rows += ["'min_time', 'event_time', t_min, CAST(NULL AS BIGINT)",

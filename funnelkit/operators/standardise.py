@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from funnelkit import schema
 from funnelkit.functions.dims import with_dimensions
 
+# digits that no calendar format uses: 8 digits are a date
+EPOCH_DIGITS = r"^-?[0-9]{9,16}$"
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss z",)
 
 
@@ -23,8 +25,9 @@ def parse_time(col: Column, dtype: T.DataType) -> Column:
     """Lenient parse to TIMESTAMP_NTZ in the session zone (UTC).
 
     Text: ISO / `yyyy-MM-dd HH:mm:ss[.ffffff]`, or with a zone suffix such as
-    `2019-11-01 00:00:00 UTC`; anything else becomes NULL. Integers are epoch
-    milliseconds. Timestamps pass through.
+    `2019-11-01 00:00:00 UTC`, or `EPOCH_DIGITS` digits (epoch milliseconds);
+    anything else becomes NULL. Integers are epoch milliseconds. Timestamps pass
+    through.
     """
     if isinstance(dtype, T.TimestampNTZType):
         return col
@@ -33,7 +36,8 @@ def parse_time(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.LongType, T.IntegerType)):
         return F.timestamp_millis(col).cast("timestamp_ntz")
     text = col.cast("string")
-    parsed = F.try_to_timestamp(text)
+    epoch = F.when(text.rlike(EPOCH_DIGITS), F.timestamp_millis(text.try_cast("bigint")))
+    parsed = F.coalesce(epoch, F.try_to_timestamp(text))
     for fmt in TIME_FORMATS:
         parsed = F.coalesce(parsed, F.try_to_timestamp(text, F.lit(fmt)))
     return parsed.cast("timestamp_ntz")

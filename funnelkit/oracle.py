@@ -10,37 +10,40 @@ exact formulation on both sides (integer basis points, DECIMAL sums).
 
 from __future__ import annotations
 
-from funnelkit import schema
-from funnelkit.functions.dims import sql_pick
-from funnelkit.sources.fixtures import CLICK_EVENT_MAP, ORDER_STATUS_MAP, USER_SPLIT
-
-
-def _case(col: str, mapping: dict[str, str]) -> str:
-    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
-    return f"CASE {col} {arms} END"
-
-
-def _in(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
+# Fixed values of the fixtures, stated here on their own and not taken from the
+# engine: the draw compares four hex digits of a salted md5 with the cumulative
+# weights x 65536, and the event maps are those of FIXTURES.md.
+DRAW = """
+       CASE WHEN substr(md5('country:' || CAST(event_id AS VARCHAR)), 1, 4) < '7333' THEN 'DE'
+            WHEN substr(md5('country:' || CAST(event_id AS VARCHAR)), 1, 4) < 'b333' THEN 'NL'
+            WHEN substr(md5('country:' || CAST(event_id AS VARCHAR)), 1, 4) < 'd99a' THEN 'BE' ELSE 'FR' END AS country,
+       CASE WHEN substr(md5('device:' || CAST(event_id AS VARCHAR)), 1, 4) < '9eb8' THEN 'mobile'
+            WHEN substr(md5('device:' || CAST(event_id AS VARCHAR)), 1, 4) < 'f0a4' THEN 'desktop' ELSE 'tablet' END AS device,
+       CASE WHEN substr(md5('channel:' || CAST(event_id AS VARCHAR)), 1, 4) < '47ae' THEN 'organic_search'
+            WHEN substr(md5('channel:' || CAST(event_id AS VARCHAR)), 1, 4) < '8000' THEN 'paid_social'
+            WHEN substr(md5('channel:' || CAST(event_id AS VARCHAR)), 1, 4) < 'ae14' THEN 'email'
+            WHEN substr(md5('channel:' || CAST(event_id AS VARCHAR)), 1, 4) < 'cccd' THEN 'direct'
+            WHEN substr(md5('channel:' || CAST(event_id AS VARCHAR)), 1, 4) < 'eb85' THEN 'paid_search'
+            ELSE 'influencer' END AS channel"""
 
 CLICKSTREAM = f"""
 SELECT event_id,
        ts AS event_time,
-       {_case('event_type', CLICK_EVENT_MAP)} AS event_type,
-       CAST(user_id AS VARCHAR) || '-' || CAST(event_id % {USER_SPLIT} AS VARCHAR) AS user_id,
-       {sql_pick('event_id', 'country', schema.COUNTRIES, schema.COUNTRY_WEIGHTS)} AS country,
-       {sql_pick('event_id', 'device', schema.DEVICES, schema.DEVICE_WEIGHTS)} AS device,
-       {sql_pick('event_id', 'channel', schema.CHANNELS, schema.CHANNEL_WEIGHTS)} AS channel,
+       CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'view' WHEN 'signup' THEN 'cart'
+                       WHEN 'purchase' THEN 'purchase' END AS event_type,
+       CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 16 AS VARCHAR) AS user_id,{DRAW},
        CAST(value AS DECIMAL(18,2)) AS price
 FROM events
-WHERE event_type IN ({_in(CLICK_EVENT_MAP)})
+WHERE event_type IN ('view', 'click', 'signup', 'purchase')
 """
 
+# the selection of the filtered reports
+SELECTED = f"SELECT * FROM ({CLICKSTREAM}) AS every_event WHERE country IN ('DE', 'NL') AND device IN ('mobile', 'tablet')"
+
 ORDER_EVENTS = f"""
 SELECT o_orderkey AS event_id,
        o_orderdate AS event_time,
-       {_case('o_orderstatus', ORDER_STATUS_MAP)} AS event_type,
+       CASE o_orderstatus WHEN 'O' THEN 'view' WHEN 'P' THEN 'cart' WHEN 'F' THEN 'purchase' END AS event_type,
        CAST(o_custkey AS VARCHAR) AS user_id,
        r_name AS country,
        c_mktsegment AS device,
@@ -50,7 +53,7 @@ FROM orders
 JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
-WHERE o_orderstatus IN ({_in(ORDER_STATUS_MAP)})
+WHERE o_orderstatus IN ('O', 'P', 'F')
 """
 
 # ------------------------------------------------------------------ pieces
@@ -171,7 +174,7 @@ firsts AS (SELECT user_id, MIN(event_time) AS t0 FROM buys GROUP BY ALL),
 flagged AS (
     SELECT strftime(t0, '%Y-%m') AS cohort_month,
            EXISTS (SELECT 1 FROM buys b WHERE b.user_id = f.user_id AND b.event_time > f.t0
-                   AND b.event_time <= f.t0 + INTERVAL {schema.REPEAT_WINDOW_DAYS} DAY) AS again
+                   AND b.event_time <= f.t0 + INTERVAL 60 DAY) AS again
     FROM firsts f)
 SELECT cohort_month, COUNT(*) AS cohort_size, COUNT(*) FILTER (WHERE again) AS repeat_buyers,
        {pct('COUNT(*) FILTER (WHERE again)', 'COUNT(*)')} AS retention_60d_pct
@@ -296,8 +299,8 @@ SELECT channel, viewers, carted, purchasers, {rate_div_first('purchasers', 'view
 FROM counts"""
 
 
-def channel_country_matrix() -> str:
-    cols = ",\n       ".join(f"MAX(cvr) FILTER (WHERE country = '{c}') AS \"{c}\"" for c in schema.COUNTRIES)
+def channel_country_matrix(countries: tuple[str, ...]) -> str:
+    cols = ",\n       ".join(f"MAX(cvr) FILTER (WHERE country = '{c}') AS \"{c}\"" for c in countries)
     return f"""{PROFILE},
 {mode_cte('home_c', 'country')},
 {mode_cte('home_ch', 'channel')},
@@ -330,34 +333,14 @@ SELECT viewers, carted, purchasers,
 FROM t"""
 
 
-def uplift(dim: str | None) -> str:
-    steps = ", ".join(f"({x}::DOUBLE)" for x in schema.IMPROVEMENT_STEPS)
-    key = f"{dim}, " if dim else ""
-    return f"""{sequential_segment(dim)},
-g AS (
-    SELECT s.*, st.stage, imp.improvement_pct,
-           COALESCE(carted::DOUBLE / NULLIF(viewers, 0), 0.0::DOUBLE) AS v2c,
-           COALESCE(purchasers::DOUBLE / NULLIF(carted, 0), 0.0::DOUBLE) AS c2p,
-           1.0::DOUBLE + imp.improvement_pct / 100.0::DOUBLE AS lift
-    FROM s, (VALUES ('view_to_cart'), ('cart_to_purchase')) st(stage), (VALUES {steps}) imp(improvement_pct)),
-n AS (
-    SELECT *, CASE WHEN stage = 'view_to_cart' THEN CAST(FLOOR(FLOOR(viewers * (v2c * lift)) * c2p) AS BIGINT)
-                   ELSE CAST(FLOOR(carted * (c2p * lift)) AS BIGINT) END AS new_purchases
-    FROM g)
-SELECT stage, improvement_pct, {key}purchasers AS baseline_purchases, new_purchases,
-       GREATEST(0, new_purchases - purchasers) AS additional_purchases,
-       ROUND(GREATEST(0, new_purchases - purchasers) * {schema.AVG_ORDER_VALUE}::DOUBLE, 2) AS additional_revenue_eur
-FROM n"""
-
-
 def quality_checks() -> str:
-    n = [("row_count", f"n_rows >= {schema.MIN_ROWS}", "n_rows")]
-    n += [(f"has_{t}_events", f"n_{t} > 0", f"n_{t}") for t in schema.EVENT_TYPES]
-    n += [(f"{d}_present", f"nn_{d} > 0", f"nn_{d}") for d in schema.DIMENSIONS]
+    n = [("row_count", "n_rows >= 100000", "n_rows")]
+    n += [(f"has_{t}_events", f"n_{t} > 0", f"n_{t}") for t in ("view", "cart", "purchase")]
+    n += [(f"{d}_present", f"nn_{d} > 0", f"nn_{d}") for d in ("country", "device", "channel")]
     n += [(f"{c}_no_nulls", f"null_{c} = 0", f"null_{c}") for c in ("event_time", "user_id")]
     aggs = ["COUNT(*) AS n_rows"]
-    aggs += [f"COUNT(CASE WHEN event_type = '{t}' THEN 1 END) AS n_{t}" for t in schema.EVENT_TYPES]
-    aggs += [f"COUNT({d}) AS nn_{d}" for d in schema.DIMENSIONS]
+    aggs += [f"COUNT(CASE WHEN event_type = '{t}' THEN 1 END) AS n_{t}" for t in ("view", "cart", "purchase")]
+    aggs += [f"COUNT({d}) AS nn_{d}" for d in ("country", "device", "channel")]
     aggs += [f"COUNT(*) - COUNT({c}) AS null_{c}" for c in ("event_time", "user_id")]
     rows = "\nUNION ALL ".join(f"SELECT '{c}' AS check_name, {p} AS passed, {o} AS observed FROM a" for c, p, o in n)
     return f"a AS (SELECT {', '.join(aggs)} FROM ev)\n{rows}"
@@ -429,20 +412,15 @@ FROM t"""
 
 
 def hourly_stream() -> str:
-    """Finalized event-time hours of the streaming job: the watermark is the
-    latest cart/purchase hour minus one hour, and an hour is emitted once the
-    watermark has reached it."""
-    return f"""k AS (
-    SELECT DISTINCT date_trunc('hour', event_time) AS hour_start, user_id, event_type
-    FROM ev WHERE event_type IN ('cart', 'purchase') AND user_id IS NOT NULL AND event_time IS NOT NULL),
-h AS (
-    SELECT hour_start,
-           CAST(SUM(CASE WHEN event_type = 'cart' THEN 1 ELSE 0 END) AS BIGINT) AS cart_users,
-           CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchase_users
-    FROM k GROUP BY hour_start)
+    """Every event-time hour with a cart or purchase, open ones included."""
+    return f"""h AS (
+    SELECT date_trunc('hour', event_time) AS hour_start,
+           COUNT(DISTINCT user_id) FILTER (WHERE event_type = 'cart') AS cart_users,
+           COUNT(DISTINCT user_id) FILTER (WHERE event_type = 'purchase') AS purchase_users
+    FROM ev WHERE event_type IN ('cart', 'purchase') AND user_id IS NOT NULL AND event_time IS NOT NULL GROUP BY ALL)
 SELECT hour_start, cart_users, purchase_users, cart_users - purchase_users AS abandoned,
        {pct('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct
-FROM h WHERE hour_start <= (SELECT MAX(hour_start) FROM k) - INTERVAL 1 HOUR"""
+FROM h"""
 
 
 def _with(fixture: str, body: str) -> str:
@@ -483,12 +461,10 @@ SELECT channel, viewers AS sessions, purchasers AS purchases, {pct0('purchasers'
     "device_cvr_seq": _click(f"""{sequential_segment('device')}
 SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "worst_market": _click(f"""{seq_country()} ORDER BY overall_cvr_pct, country LIMIT 1"""),
-    "uplift_by_country": _click(uplift("country")),
-    "uplift_overall": _click(uplift(None)),
     "home_country_funnel": _click(home_funnel("country")),
     "home_device_funnel": _click(home_funnel("device")),
     "home_channel_funnel": _click(home_channel_funnel()),
-    "channel_country_matrix": _click(channel_country_matrix()),
+    "channel_country_matrix": _click(channel_country_matrix(("BE", "DE", "FR", "NL"))),
     "channel_conversion_summary": _click(channel_conversion_summary()),
     "overall_funnel": _click(overall_funnel()),
     "quality_checks": _click(quality_checks()),
@@ -496,7 +472,16 @@ SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "value_counts": _click(value_counts()),
     "null_profile": _click(null_profile()),
     "canonical_events": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
-    "ingest_events": _click(quality_checks()),
+    "ingest_events": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
+    "adapt_auto": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
+    "sessions_approx": _click(f"""SELECT country, channel, {USERS} AS sessions, {BUYERS} AS purchasers,
+       TRUE AS sessions_estimate_ok, TRUE AS purchasers_estimate_ok
+FROM ev GROUP BY ALL"""),
+    "country_funnel_seq_selected": _with(SELECTED, seq_country()),
+    "funnel_kpis_selected": _with(SELECTED, funnel_kpis()),
+    "channel_cvr_seq_selected": _with(SELECTED, f"""{sequential_segment('channel')}
+SELECT channel, viewers AS sessions, purchasers AS purchases, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
+    "worst_market_selected": _with(SELECTED, f"""{seq_country()} ORDER BY overall_cvr_pct, country LIMIT 1"""),
     "adapt_multistore": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
     # the retail export has no price column: NULL; its times are epoch milliseconds
     "adapt_retail": _click(
@@ -505,11 +490,7 @@ SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "adapt_heuristic": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
     "csv_roundtrip": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
     "table_roundtrip": _click(f"SELECT {EVENT_COLUMNS} FROM ev"),
-    "assign_dims": f"""SELECT event_id,
-       {sql_pick('event_id', 'country', schema.COUNTRIES, schema.COUNTRY_WEIGHTS)} AS country,
-       {sql_pick('event_id', 'device', schema.DEVICES, schema.DEVICE_WEIGHTS)} AS device,
-       {sql_pick('event_id', 'channel', schema.CHANNELS, schema.CHANNEL_WEIGHTS)} AS channel
-FROM events""",
+    "assign_dims": f"SELECT event_id,{DRAW} FROM events",
     "parse_times": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time_text, ts AS event_time FROM events",
     "preview_head": _click(f"SELECT {EVENT_COLUMNS} FROM ev ORDER BY event_time, event_id LIMIT 5"),
     "segment_filter": _click(f"SELECT {EVENT_COLUMNS} FROM ev WHERE country IN ('DE', 'NL') AND device IN ('mobile', 'tablet')"),
@@ -543,5 +524,6 @@ SELECT channel, viewers AS sessions, purchasers AS purchases, {pct0('purchasers'
     "device_cvr_seq_orders": _orders(f"""{sequential_segment('device')}
 SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "home_country_funnel_orders": _orders(home_funnel("country")),
-    "uplift_by_country_orders": _orders(uplift("country")),
+    "channel_country_matrix_orders": _orders(channel_country_matrix(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))),
+    "cohort_selfjoin_orders": _orders(cohort_retention()),
 }

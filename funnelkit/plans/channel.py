@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions.rates import avg_of_rates_sql, pct_sql
-from funnelkit.operators.flags import segment_users
-from funnelkit.operators.joins import bounded_lookup
+from funnelkit.operators.flags import flag_sql, segment_users
+from funnelkit.operators.joins import checked_broadcast
 from funnelkit.operators.ordering import order_small, small
 
 CELL_CVR = f"{pct_sql('purchasers', 'sessions')} AS cvr_pct"
@@ -72,13 +72,12 @@ def rollup_union(events: DataFrame, min_sessions: int = 30) -> DataFrame:
 def segment_cube(events: DataFrame) -> DataFrame:
     """True distinct rollup over (channel, country): users are not double counted.
 
-    GROUPING SETS on (set, channel, country, user) collapse to user flags with
-    one Expand (3 copies of the projected rows, pre-aggregated before the
-    shuffle), then the flags are summed per set.
+    Events collapse to (channel, country, user) flags first; GROUPING SETS then
+    expand those, not the events, and the flags are summed per set.
     """
-    ev = events.where("user_id IS NOT NULL").selectExpr(
-        "user_id", "channel", "country", "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS p")
-    per_user = ev.groupingSets(
+    flags = events.where("user_id IS NOT NULL").groupBy("channel", "country", "user_id").agg(
+        F.expr(f"{flag_sql('purchase')} AS p"))
+    per_user = flags.groupingSets(
         [["channel", "country", "user_id"], ["channel", "user_id"], ["user_id"]],
         "channel", "country", "user_id",
     ).agg(F.expr("max(p) AS did_purchase"), F.expr("grouping(channel) * 2 + grouping(country) AS gid"))
@@ -121,10 +120,20 @@ def distinct_vs_flags(events: DataFrame) -> DataFrame:
         F.expr("count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS purchasers_distinct"))
     flags = segment_users(events, ["country", "channel"]).withColumnsRenamed(
         {"sessions": "sessions_flags", "purchasers": "purchasers_flags"})
-    joined = distinct.join(bounded_lookup(flags, ["country", "channel"]), ["country", "channel"])
+    joined = distinct.join(checked_broadcast(flags), ["country", "channel"])
     return order_small(joined, "country", "channel")
 
 
+def sessions_approx_check(events: DataFrame, rsd: float = 0.05, allowed: float = 0.2) -> DataFrame:
+    """Exact distinct users per cell, and whether the estimate lies within `allowed` (four times `rsd`) of them."""
+    exact = segment_users(events, ["country", "channel"])
+    est = sessions_approx(events, rsd).select("country", "channel", "sessions_approx", "purchasers_approx")
+    near = f"abs({{0}}_approx - {{0}}) <= {allowed}D * {{0}} + 2 AS {{0}}_estimate_ok"
+    out = exact.join(checked_broadcast(est), ["country", "channel"]).selectExpr(
+        "country", "channel", "sessions", "purchasers", near.format("sessions"), near.format("purchasers"))
+    return order_small(out, "country", "channel")
+
+
 def sessions_approx(events: DataFrame, rsd: float = 0.05) -> DataFrame:
     """HyperLogLog++ estimate of distinct users per cell (scale variant)."""
     agg = events.groupBy("country", "channel").agg(

@@ -26,6 +26,7 @@ from funnelkit.functions.rates import pct_sql
 from funnelkit.functions.timefmt import year_month_sql
 from funnelkit.operators.ordering import order_small
 
+SALTS = 16
 PURCHASES = "event_type = 'purchase' AND user_id IS NOT NULL AND event_time IS NOT NULL"
 
 
@@ -60,12 +61,19 @@ def cohort_retention(events: DataFrame, window_days: int = 60, min_cohort: int =
 
 
 def cohort_selfjoin(events: DataFrame, window_days: int = 60, min_cohort: int = 10) -> DataFrame:
-    """Interval self-join form: first purchase x later purchases of the same user."""
-    p = events.where(PURCHASES).select("user_id", "event_time")
+    """Interval self-join form: first purchase x later purchases of the same user.
+
+    Purchase times are distinct before the join, and the join and the first
+    reduction run on (user, salt), so the purchases of one busy user spread over
+    `SALTS` tasks; only one row a salt is left for the final reduction.
+    """
+    p = events.where(PURCHASES).select("user_id", "event_time").distinct()
     first = p.groupBy("user_id").agg(F.expr("min(event_time) AS first_purchase_time"))
-    later = p.selectExpr("user_id AS r_user", "event_time AS r_time")
-    cond = F.expr(f"user_id = r_user AND r_time > first_purchase_time"
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = p.selectExpr("user_id AS r_user", "event_time AS r_time", f"CAST(pmod(hash(event_time), {SALTS}) AS INT) AS r_salt")
+    cond = F.expr(f"user_id = r_user AND salt = r_salt AND r_time > first_purchase_time"
                   f" AND r_time <= first_purchase_time + INTERVAL {int(window_days)} DAYS")
-    repeats = first.join(later, cond).groupBy("user_id").agg(F.expr("min(r_time) AS repeat_purchase_time"))
+    nearest = salted.join(later, cond).groupBy("user_id", "salt").agg(F.expr("min(r_time) AS r_time"))
+    repeats = nearest.groupBy("user_id").agg(F.expr("min(r_time) AS repeat_purchase_time"))
     per_user = first.join(repeats, "user_id", "left")
     return _cohort_table(per_user, "repeat_purchase_time IS NOT NULL", min_cohort)

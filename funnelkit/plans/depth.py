@@ -1,20 +1,23 @@
 """Session quality: funnel depth per (user, country, channel, device).
 
 The rank is DENSE_RANK within country by (depth desc, total_events desc).
-Windowing the user rows by country would put every user of a country - four
-countries - into four tasks. Instead:
+Windowing the user rows by country would put every user of a country into one
+task. Instead:
 
 * the *rank ladder* holds the distinct (country, depth, total_events) triples
-  (a pre-aggregated, tiny table) and ranks those with the window;
+  with their ranks; it is small, because d different event counts take at least
+  d * (d + 1) / 2 events;
 * a row's rank is its triple's rank, found by an equi-join on the triple.
 
+The ladder itself is ranked in two levels: inside buckets of `BUCKET`
+neighbouring event counts (a window over at most `BUCKET` rows), plus the
+number of triples in all buckets before (a window over the bucket totals).
+
 Because the rank is monotone in (depth desc, total_events desc), the top-n
 report needs no join over all users at all: take the top n rows by
 (country, depth desc, total_events desc, tie-breaks) - each task keeps its own
 top n and one task merges those - and look up ranks for those n rows only.
-
-The country average comes from the ladder too (see `rank_ladder`), so the
-whole report reads and shuffles the events once.
+Everything hangs on one user-grain aggregate, so the events are read once.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.operators.joins import bounded_by_limit
-from funnelkit.operators.ordering import order, order_small, small
-from funnelkit.session import shared_dir
+from funnelkit.operators.joins import bounded_by_limit, checked_broadcast
+from funnelkit.operators.ordering import order, order_small
 
 DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
              " AS depth_score")
+# The labels of the depth scores.
 LABEL_SQL = ("CASE depth_score WHEN 3 THEN 'converted' WHEN 2 THEN 'carted_no_purchase'"
              " WHEN 1 THEN 'view_only' ELSE 'unknown' END AS quality_label")
 OUTPUT = ("user_id", "country", "channel", "device", "depth_score", LABEL_SQL, "total_events",
           "country_avg_depth", "round(depth_score - country_avg_depth, 2) AS vs_country_avg", "rank_in_country")
 ORDER = ("country ASC NULLS FIRST", "rank_in_country", "user_id", "channel", "device")
+BUCKET = 1024
 
 
 def user_depth(events: DataFrame) -> DataFrame:
@@ -45,22 +49,25 @@ def user_depth(events: DataFrame) -> DataFrame:
 def rank_ladder(ud: DataFrame) -> DataFrame:
     """(country, depth_score, total_events, users, rank_in_country, country_avg_depth).
 
-    Both the dense rank and the country average are window functions over the
-    same `PARTITION BY country`, so they share one exchange of this small
-    table. The average is sum(depth * users) / sum(users): integer sums are
-    exact, so it equals AVG over the user rows. A NULL country gets a NULL
-    average, as the correlated `WHERE ud2.country = ud.country` gives.
+    The average is sum(depth * users) / sum(users): integer sums are exact, so
+    it equals AVG over the user rows. A NULL country gets a NULL average, as
+    the correlated `WHERE ud2.country = ud.country` gives.
     """
-    # The window partitions by country, i.e. one task per country already;
-    # one partition for the (pre-aggregated) triples saves the extra exchange.
-    triples = small(ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users")))
+    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
+    triples = triples.withColumn("bucket", F.expr(f"total_events DIV {BUCKET}"))
+    totals = triples.groupBy("country", "depth_score", "bucket").agg(
+        F.expr("count(1) AS n"), F.expr("sum(users) AS u"))
     w = "OVER (PARTITION BY country)"
-    return triples.selectExpr(
-        "*",
-        "dense_rank() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC) AS rank_in_country",
-        f"CASE WHEN country IS NOT NULL THEN round(CAST(sum(depth_score * users) {w} AS DOUBLE)"
-        f" / sum(users) {w}, 2) END AS country_avg_depth",
-    )
+    starts = totals.selectExpr(
+        "country AS b_country", "depth_score AS b_depth", "bucket AS b_bucket",
+        "sum(n) OVER (PARTITION BY country ORDER BY depth_score DESC, bucket DESC) - n AS before",
+        f"CASE WHEN country IS NOT NULL THEN round(CAST(sum(depth_score * u) {w} AS DOUBLE)"
+        f" / sum(u) {w}, 2) END AS country_avg_depth")
+    local = triples.withColumn("inner_rank", F.expr(
+        "row_number() OVER (PARTITION BY country, depth_score, bucket ORDER BY total_events DESC)"))
+    return local.join(starts, F.expr("country <=> b_country AND depth_score = b_depth AND bucket = b_bucket")).selectExpr(
+        "country", "depth_score", "total_events", "users",
+        "CAST(before + inner_rank AS INT) AS rank_in_country", "country_avg_depth")
 
 
 def _rank_join(rows: DataFrame, ladder: DataFrame, with_avg: bool = True) -> DataFrame:
@@ -69,44 +76,21 @@ def _rank_join(rows: DataFrame, ladder: DataFrame, with_avg: bool = True) -> Dat
     return rows.join(keys, F.expr("country <=> l_country AND depth_score = l_depth AND total_events = l_events"))
 
 
-def _attach(rows: DataFrame, ud: DataFrame) -> DataFrame:
-    """rows (user-depth grain) + rank and country average from the ladder."""
-    return _rank_join(rows, rank_ladder(ud)).selectExpr(*OUTPUT)
-
-
 def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
     """Top `limit` rows by (country, rank) with deterministic tie-breaks."""
     ud = user_depth(events)
     top = order(ud, "country ASC NULLS FIRST", "depth_score DESC", "total_events DESC", "user_id", "channel", "device")
-    return order_small(_attach(bounded_by_limit(top, limit), ud), *ORDER)
+    return order_small(_rank_join(bounded_by_limit(top, limit), rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)
 
 
-# A ladder up to this many rows is broadcast to the user rows (a few tens of MB).
-LADDER_BROADCAST_MAX_ROWS = 1_000_000
-
-
-def checked_ladder(ud: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(user rows, ladder) ready for the rank join, with a size-checked broadcast.
+def session_quality_full(events: DataFrame) -> DataFrame:
+    """Every (user, country, channel, device) row with its rank.
 
-    The user grain is materialised once with a reliable checkpoint in the
-    shared folder (lineage cut; both sides then read it instead of recomputing
-    the aggregation). The ladder's row count is then cheap to take: at most
-    LADDER_BROADCAST_MAX_ROWS rows are broadcast, so the user rows are joined
-    where they lie; a larger ladder goes to a sort-merge join whose skewed
-    triples AQE splits.
+    The ladder join is left to adaptive execution: the ladder is broadcast if
+    it is measured small, else a skewed triple's rows are split.
     """
-    shared_dir(ud.sparkSession)
-    rows = ud.checkpoint(eager=True)
-    ladder = rank_ladder(rows)
-    if ladder.count() <= LADDER_BROADCAST_MAX_ROWS:
-        ladder = F.broadcast(ladder)
-    return rows, ladder
-
-
-def session_quality_full(events: DataFrame) -> DataFrame:
-    """Every (user, country, channel, device) row with its rank."""
-    rows, ladder = checked_ladder(user_depth(events))
-    return order(_rank_join(rows, ladder).selectExpr(*OUTPUT), *ORDER)
+    ud = user_depth(events)
+    return order(_rank_join(ud, rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)
 
 
 def depth_window(events: DataFrame) -> DataFrame:
@@ -117,23 +101,15 @@ def depth_window(events: DataFrame) -> DataFrame:
 
 
 def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The country average written as the correlated scalar subquery in SQL.
-
-    Catalyst decorrelates it into an aggregate plus a left outer join on
-    country; it has no static size for that aggregate, so the join is planned
-    as a sort-merge join that AQE turns into a broadcast once it has measured
-    the aggregate (after the user rows were shuffled by country). This is the
-    literal SQL form; `session_quality_full` is the scale path. Both read the
-    user grain from one checkpoint, and the rank comes from the size-checked
-    ladder.
+    """The country average as the left join that the correlated scalar subquery means.
+
+    The per-country averages are broadcast after a check of their size, so the
+    user rows stay where they are; the rank comes from the ladder.
     """
-    rows, ladder = checked_ladder(user_depth(events))
+    ud = user_depth(events)
     name = f"user_depth_{uuid.uuid4().hex}"
-    rows.createOrReplaceTempView(name)
-    scored = spark.sql(f"""
-        SELECT u.*,
-               (SELECT ROUND(AVG(u2.depth_score), 2) FROM {name} u2 WHERE u2.country = u.country)
-                   AS country_avg_depth
-        FROM {name} u
-    """)
-    return order(_rank_join(scored, ladder, with_avg=False).selectExpr(*OUTPUT), *ORDER)
+    ud.createOrReplaceTempView(name)
+    averages = spark.sql(f"SELECT country AS a_country, ROUND(AVG(depth_score), 2) AS country_avg_depth"
+                         f" FROM {name} WHERE country IS NOT NULL GROUP BY country")
+    scored = ud.join(checked_broadcast(averages), F.expr("country = a_country"), "left").drop("a_country")
+    return order(_rank_join(scored, rank_ladder(ud), with_avg=False).selectExpr(*OUTPUT), *ORDER)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from funnelkit import schema
 from funnelkit.functions.rates import pct0_sql, pct_sql, ratio_sql
 from funnelkit.operators.flags import user_flags
 from funnelkit.operators.ordering import order_small
@@ -117,8 +118,8 @@ def funnel_stages(events: DataFrame) -> DataFrame:
     """The funnel chart's data: one row per stage with % of the first stage."""
     stages = funnel_counts(events).selectExpr(
         "viewers",
-        "stack(3, 1, 'Viewed', viewers, 2, 'Added to Cart', carted, 3, 'Purchased', purchasers)"
-        " AS (stage_order, stage, users)",
+        "stack(3, 1, '{}', viewers, 2, '{}', carted, 3, '{}', purchasers)".format(*schema.STAGE_LABELS)
+        + " AS (stage_order, stage, users)",
     )
     out = stages.selectExpr("stage_order", "stage", "users", f"{pct0_sql('users', 'viewers', 1)} AS pct_of_initial")
     return order_small(out, "stage_order")

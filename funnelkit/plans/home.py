@@ -48,17 +48,16 @@ def home_channel_funnel(events: DataFrame, profile: DataFrame | None = None) ->
     return order_small(out, "overall_cvr DESC NULLS LAST", "channel")
 
 
-def channel_country_matrix(events: DataFrame, countries=schema.COUNTRIES,
-                           profile: DataFrame | None = None) -> DataFrame:
-    """CVR per (home channel, home country) pivoted to one column per country.
+def channel_country_matrix(events: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """CVR per (home channel, home country) pivoted to one column per country present.
 
-    The pivot runs on the already aggregated (channel, country) cells and uses
-    a fixed value list, so it needs no extra job to discover the columns.
+    The pivot runs on the already aggregated (channel, country) cells; Spark
+    finds their countries with one job over the cells.
     """
     p = profile if profile is not None else user_profile(events)
     cells = p.groupBy(F.col("home_channel").alias("channel"), F.col("home_country").alias("country")).agg(
         F.expr(f"{div_first_pct_sql('sum(purchased)', 'sum(viewed)')} AS cvr"))
-    matrix = cells.groupBy("channel").pivot("country", list(countries)).agg(F.expr("first(cvr)"))
+    matrix = cells.groupBy("channel").pivot("country").agg(F.expr("first(cvr)"))
     return order_small(matrix, "channel")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.operators import quality, segment, standardise as std
-from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend
-from funnelkit.session import configure, scratch_path, size_shuffles
+from funnelkit.plans import channel, cohort, depth, funnel, home, spend, trend
+from funnelkit.session import configure, scratch_path
 from funnelkit.sources import adapters, files, ingest
 from funnelkit.sources.fixtures import clickstream, order_events, table
 from funnelkit.reports import REPORTS
@@ -24,14 +24,13 @@ from funnelkit.streaming import hourly
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-CLICK_TABLES = ("events",)
-ORDER_TABLES = ("orders", "customer", "nation", "region")
+# The selection of the filtered reports.
+SELECTION = (("DE", "NL"), ("mobile", "tablet"))
 
 
-def _prepare(spark: SparkSession, sf_dir: str, tables=CLICK_TABLES) -> None:
-    """Session options plus shuffle partitions sized from the input tables."""
+def _prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Session options that the results depend on (UTC, zone-free times) and adaptive execution."""
     configure(spark)
-    size_shuffles(spark, [f"{sf_dir}/{t}.parquet" for t in tables])
 
 
 def _click(report: Callable[[DataFrame], DataFrame]) -> Query:
@@ -44,12 +43,17 @@ def _click(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _orders(report: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _prepare(spark, sf_dir, ORDER_TABLES)
+        _prepare(spark, sf_dir)
         return report(order_events(spark, sf_dir))
     run.__name__ = getattr(report, "__name__", "report") + "_orders"
     return run
 
 
+def _selected(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """The report over a country x device selection of the clickstream."""
+    return _click(lambda events: report(segment.segment_filter(events, *SELECTION)))
+
+
 def _money_as_double(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.col("price").cast("double"))
 
@@ -87,8 +91,17 @@ def q_adapt_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money_as_double(std.standardise(chosen))
 
 
+def q_adapt_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An unknown export tried as every source: two refuse its header, the heuristic one takes it."""
+    _prepare(spark, sf_dir)
+    folder = scratch_path(spark, "unknown")
+    files.write_csv(adapters.raw_heuristic(spark, sf_dir), f"{folder}/export.csv")
+    chosen = adapters.first_successful(list(adapters.export_sources(spark, folder).values()))
+    return _money_as_double(std.standardise(chosen))
+
+
 def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source fallback (missing export, then the multi-store export) -> validate -> write."""
+    """Source fallback (missing export, then the multi-store export) -> staged -> validated -> the published table."""
     _prepare(spark, sf_dir)
 
     def missing_export() -> DataFrame:
@@ -97,7 +110,9 @@ def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def multistore() -> DataFrame:
         return adapters.adapt_multistore(adapters.raw_multistore(spark, sf_dir))
 
-    return ingest.ingest([missing_export, multistore], scratch_path(spark, "events-ingested"))
+    path = scratch_path(spark, "events-ingested")
+    ingest.ingest([missing_export, multistore], path, min_rows=1)
+    return _money_as_double(files.read_canonical(spark, path))
 
 
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +150,7 @@ def q_segment_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hourly_abandonment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event files -> streaming job (availableNow) -> its finalized hours."""
+    """Event files -> streaming job (availableNow) -> its report, open hours included."""
     _prepare(spark, sf_dir)
     return hourly.hourly_abandonment_from_files(spark, sf_dir)
 
@@ -153,15 +168,22 @@ QUERIES: dict[str, Query] = {
     "adapt_multistore": q_adapt_multistore,
     "adapt_retail": q_adapt_retail,
     "adapt_heuristic": q_adapt_heuristic,
+    "adapt_auto": q_adapt_auto,
+    "sessions_approx": _click(channel.sessions_approx_check),
+    # dashboard reports over a selection
+    "country_funnel_seq_selected": _selected(funnel.country_funnel_seq),
+    "funnel_kpis_selected": _selected(funnel.funnel_kpis),
+    "channel_cvr_seq_selected": _selected(funnel.channel_cvr_seq),
+    "worst_market_selected": _selected(funnel.worst_market),
     "csv_roundtrip": q_csv_roundtrip,
     "table_roundtrip": q_table_roundtrip,
     "assign_dims": q_assign_dims,
     "parse_times": q_parse_times,
     "preview_head": q_preview_head,
     "segment_filter": q_segment_filter,
-    # correlated-subquery form of the session quality ranking
+    # the country average as a join of its own
     "depth_correlated": q_depth_correlated,
-    # streaming re-aim of the hourly report (event-time hours, watermark 1 hour)
+    # streaming re-aim of the hourly report (event-time hours)
     "hourly_abandonment_stream": q_hourly_abandonment_stream,
     # order-based fixture: long date range, real dimension joins
     "country_funnel_orders": _orders(funnel.country_funnel),
@@ -177,7 +199,8 @@ QUERIES: dict[str, Query] = {
     "channel_cvr_seq_orders": _orders(funnel.channel_cvr_seq),
     "device_cvr_seq_orders": _orders(funnel.device_cvr_seq),
     "home_country_funnel_orders": _orders(lambda ev: home.home_funnel(ev, "country")),
-    "uplift_by_country_orders": _orders(scenario.uplift_by_country),
+    "channel_country_matrix_orders": _orders(home.channel_country_matrix),
+    "cohort_selfjoin_orders": _orders(cohort.cohort_selfjoin),
 }
 
 # The flagship query returned by `entry`.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from funnelkit.operators import flags, quality
-from funnelkit.plans import channel, cohort, depth, funnel, home, scenario, spend, trend
+from funnelkit.plans import channel, cohort, depth, funnel, home, spend, trend
 
 Report = Callable[[DataFrame], DataFrame]
 
@@ -35,8 +35,6 @@ REPORTS: dict[str, Report] = {
     "channel_cvr_seq": funnel.channel_cvr_seq,
     "device_cvr_seq": funnel.device_cvr_seq,
     "worst_market": funnel.worst_market,
-    "uplift_by_country": scenario.uplift_by_country,
-    "uplift_overall": scenario.uplift_overall,
     # notebook (home segment)
     "home_country_funnel": lambda ev: home.home_funnel(ev, "country"),
     "home_device_funnel": lambda ev: home.home_funnel(ev, "device"),

@@ -22,16 +22,15 @@ CHANNEL_WEIGHTS = (0.28, 0.22, 0.18, 0.12, 0.12, 0.08)
 # raw vocabulary of the retail / heuristic sources mapped onto EVENT_TYPES
 RAW_EVENT_MAP = {"view": "view", "addtocart": "cart", "transaction": "purchase"}
 
-# report thresholds and simulator defaults
+# labels of the stage report
+STAGE_LABELS = ("Viewed", "Added to Cart", "Purchased")
+
+# report thresholds
 MIN_ROWS = 100_000
-AVG_ORDER_VALUE = 39.90
-IMPROVEMENT_STEPS = tuple(x / 2 for x in range(1, 11))  # 0.5 .. 5.0 step 0.5
 REPEAT_WINDOW_DAYS = 60
 # ---------------------------------------------------------------------------
 
-# Dimension columns of the canonical table. Each holds a closed, small
-# vocabulary, so any aggregate keyed only by dimensions has at most the product
-# of the vocabulary sizes as rows. `operators.joins.bounded_lookup` relies on it.
+# Dimension columns of the canonical table.
 DIMENSIONS = ("country", "device", "channel")
 
 CANONICAL_SCHEMA = T.StructType(

@@ -24,11 +24,6 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # parquet timestamps without zone read as TIMESTAMP_NTZ (the fixture's type)
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
-    # No broadcast from static estimates (compressed file sizes can hide a
-    # large table): broadcasts come from explicit hints on provably bounded
-    # sides, or from AQE once a shuffle stage has *measured* the side's size.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 
@@ -39,12 +34,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Shuffle sizing: the user-grain aggregates shuffle roughly half the scanned
-# bytes after map-side pre-aggregation; aim for ~256 MB per shuffle partition
-# and let AQE coalesce whatever turns out smaller.
-SHUFFLE_BYTES_PER_PARTITION = 256 * 1024 * 1024
-SHUFFLE_REDUCTION = 0.5
-MAX_SHUFFLE_PARTITIONS = 50_000
+# Shuffle sizing: as if all scanned bytes were shuffled, 512 MB a partition
+# (100 TB: about 200 000); AQE coalesces whatever turns out smaller.
+SHUFFLE_BYTES_PER_PARTITION = 512 * 1024 * 1024
 
 
 def input_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
@@ -63,18 +55,17 @@ def input_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
 def size_shuffles(spark: SparkSession, paths: Sequence[str]) -> int:
     """Set `spark.sql.shuffle.partitions` from the input size and return it.
 
-    At least the cluster's default parallelism, at most MAX_SHUFFLE_PARTITIONS;
-    with AQE on this is the *initial* number, coalesced at run time, so a
-    generous value costs little while keeping each reducer's share of a
-    100 TB input within executor memory.
+    For a session of one's own (the command line calls it). At least the
+    cluster's default parallelism; with AQE on this is the *initial* number,
+    coalesced at run time, so a generous value costs little while a reducer's
+    share stays near the target at any input size.
     """
     try:
         measured = input_bytes(spark, paths)
         floor = spark.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - no JVM gateway (e.g. a Connect session): keep the session's setting
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = math.ceil(measured * SHUFFLE_REDUCTION / SHUFFLE_BYTES_PER_PARTITION)
-    n = min(max(wanted, floor), MAX_SHUFFLE_PARTITIONS)
+    n = max(math.ceil(measured / SHUFFLE_BYTES_PER_PARTITION), floor)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 
@@ -120,4 +111,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused sub-folder of the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders `scratch_path` named in this process; call it once their results were consumed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

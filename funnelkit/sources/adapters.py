@@ -16,6 +16,7 @@ are exercised on data that grows with the scale factor.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from funnelkit import schema
 from funnelkit.sources import files
 from funnelkit.sources.fixtures import USER_SPLIT, table
 
+LOG = logging.getLogger("funnelkit")
+
 REQUIRED = ("event_time", "event_type", "user_id")
 
 # Raw event vocabularies of the three sources built from the
@@ -33,7 +36,9 @@ MULTISTORE_EVENTS = {"view": "view", "click": "view", "signup": "cart", "purchas
                      "error": "remove_from_cart"}
 RETAIL_EVENTS = {"view": "view", "click": "view", "signup": "addtocart", "purchase": "transaction",
                  "error": "error"}
-# heuristic renaming rules, tried in this order per column (first rule wins)
+RETAIL_COLUMNS = ("timestamp", "visitorid", "event")
+RETAIL_SCHEMA = "timestamp BIGINT, visitorid STRING, event STRING"
+# Heuristic renaming rules, tried in this order per column (first rule wins)
 HEURISTIC_RULES = (
     ("event_type", (("event", "type"),)),
     ("event_time", (("time",), ("date",))),
@@ -90,14 +95,19 @@ def raw_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- adapters
 
+def _need(raw: DataFrame, columns: Sequence[str]) -> None:
+    lacking = sorted(set(columns) - set(raw.columns))
+    if lacking:
+        raise ValueError(f"this export has no {', '.join(lacking)} among {raw.columns}")
+
+
 def adapt_multistore(raw: DataFrame) -> DataFrame:
-    missing = [c for c in REQUIRED if c not in raw.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; got {raw.columns}")
+    _need(raw, REQUIRED)
     return raw
 
 
 def adapt_retail(raw: DataFrame) -> DataFrame:
+    _need(raw, RETAIL_COLUMNS)
     renamed = raw.withColumnsRenamed({"event": "event_type", "visitorid": "user_id", "timestamp": "event_time"})
     return renamed.withColumn("event_type", _map("event_type", schema.RAW_EVENT_MAP))
 
@@ -123,20 +133,42 @@ def adapt_heuristic(raw: DataFrame) -> DataFrame:
     return df
 
 
-def read_heuristic_source(spark: SparkSession, folder: str, preferred: str = "events.csv",
-                          nrows: int | None = None) -> DataFrame:
+def read_heuristic_source(spark: SparkSession, folder: str, preferred: str = "events.csv") -> DataFrame:
     """The preferred file if present, else the first `*.csv` in the folder."""
     path = f"{folder.rstrip('/')}/{preferred}"
     if not files.path_exists(spark, path):
         found = files.list_files(spark, folder, ".csv")
         if not found:
-            raise FileNotFoundError(f"no CSV found in {folder}")
+            raise FileNotFoundError(f"{folder} holds no .csv file")
         path = found[0]
-    return adapt_heuristic(files.read_csv(spark, path, nrows=nrows))
+    return adapt_heuristic(files.read_csv(spark, path))
+
+
+def export_sources(spark: SparkSession, path: str) -> dict[str, Callable[[], DataFrame]]:
+    """The known readers of an export at `path`, in the order in which they are tried.
+
+    A folder with a single `.csv` entry stands for that entry, any other folder
+    for all its files.
+    """
+    def multistore() -> DataFrame:
+        return adapt_multistore(files.read_csv(spark, _only_csv(spark, path)))
+
+    def retail() -> DataFrame:
+        return adapt_retail(files.read_csv(spark, _only_csv(spark, path), RETAIL_SCHEMA))
+
+    def heuristic() -> DataFrame:
+        return read_heuristic_source(spark, path)
+
+    return {f.__name__: f for f in (multistore, retail, heuristic)}
+
+
+def _only_csv(spark: SparkSession, path: str) -> str:
+    found = files.list_files(spark, path, ".csv")
+    return found[0] if len(found) == 1 else path
 
 
 def first_successful(candidates: Sequence[Callable[[], DataFrame]]) -> DataFrame:
-    """The first candidate whose frame resolves with the required columns."""
+    """The first candidate whose frame resolves with the required columns; refusals are logged."""
     errors = []
     for make in candidates:
         try:
@@ -147,4 +179,5 @@ def first_successful(candidates: Sequence[Callable[[], DataFrame]]) -> DataFrame
             return df
         except Exception as exc:  # noqa: BLE001 - any failing source falls through
             errors.append(f"{getattr(make, '__name__', make)}: {exc}")
+            LOG.warning("source refused: %s", errors[-1])
     raise RuntimeError("no source succeeded: " + "; ".join(errors))

@@ -1,14 +1,15 @@
 """File and table sources / sinks.
 
-CSV is read with an explicit schema (no inference pass over the data) and
-timestamps are written and read with microsecond precision so a round trip
-is exact. Paths are any Hadoop-compatible URI; scratch output goes under the
+CSV columns are found by their header names and cast to an explicit schema (no
+inference pass over the data); timestamps are written and read with microsecond
+precision so a round trip is exact. Paths are any Hadoop-compatible URI; scratch output goes under the
 cluster's shared folder (`session.scratch_path`), never a machine-local one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelkit import schema
@@ -16,15 +17,21 @@ from funnelkit import schema
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def read_csv(spark: SparkSession, path: str, schema_: T.StructType | None = None,
-             nrows: int | None = None) -> DataFrame:
-    """Header CSV; all columns text unless a schema is given; optional row cap."""
-    reader = spark.read.option("header", True).option("timestampNTZFormat", TS_FORMAT).option(
-        "timestampFormat", TS_FORMAT)
-    if schema_ is not None:
-        reader = reader.schema(schema_)
-    df = reader.csv(path)
-    return df.limit(nrows) if nrows is not None else df
+def read_csv(spark: SparkSession, path: str, schema_: T.StructType | str | None = None) -> DataFrame:
+    """Header CSV; all columns text, or those of a schema, found by name.
+
+    A header that lacks one of the schema's columns is an error, and so is a
+    file whose header differs from the first file's. Values that do not parse
+    become NULL.
+    """
+    df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    if schema_ is None:
+        return df
+    wanted = T.StructType.fromDDL(schema_) if isinstance(schema_, str) else schema_
+    missing = [f.name for f in wanted.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {missing}; it has {df.columns}")
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +71,23 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(n for n in names if n.endswith(suffix))
 
 
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Replace the folder `path` by the finished folder `staged` of the same file system."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {staged} to {path}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

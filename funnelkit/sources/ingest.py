@@ -1,14 +1,16 @@
-"""Ingestion: first working source -> canonical events -> validation -> table.
+"""Ingestion: first working source -> canonical events -> staged table -> validation -> published table.
 
-Validation runs before anything is written: the checks are one global
-aggregate over a column-pruned read of the standardised events, and the
-events are written only if every check passes. The output is partitioned by
+The source is read once: the standardised events are written to a staging
+folder next to the output, the checks run as one column-pruned aggregate over
+that table, and only if all pass does the folder take the output's place. A
+failed run leaves the former output as it was. The table is partitioned by
 `event_type`, so reports filtering one stage (purchases for cohorts and order
 value) read only that partition.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -16,15 +18,21 @@ from pyspark.sql import DataFrame
 from funnelkit import schema
 from funnelkit.operators.quality import quality_checks
 from funnelkit.operators.standardise import standardise
+from funnelkit.sources import files
 from funnelkit.sources.adapters import first_successful
 
 
 def ingest(candidates: Sequence[Callable[[], DataFrame]], output: str,
            min_rows: int = schema.MIN_ROWS) -> DataFrame:
-    """Returns the check table; writes `output` only when all checks pass."""
+    """The evaluated check table; `output` is replaced only when all checks pass."""
     events = standardise(first_successful(candidates))
-    checks = quality_checks(events, min_rows)
-    failed = checks.where("NOT passed").limit(1).count()
-    if failed == 0:
-        events.write.mode("overwrite").partitionBy("event_type").parquet(output)
-    return checks
+    spark = events.sparkSession
+    staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    events.write.partitionBy("event_type").parquet(staged)
+    checks = quality_checks(files.read_canonical(spark, staged), min_rows)
+    rows = checks.collect()
+    if all(r.passed for r in rows):
+        files.publish(spark, staged, output)
+    else:
+        files.remove(spark, staged)
+    return spark.createDataFrame(rows, checks.schema)

@@ -1,18 +1,19 @@
 """Hourly checkout abandonment as a Structured Streaming job.
 
 The batch report groups by hour of day; as a stream the natural bucket is the
-event-time hour. Per hour it counts *distinct* carting and purchasing users:
-
-1. cart / purchase events get their hour (`date_trunc`) and a watermark on it;
-2. `dropDuplicates(hour, user, type)` keeps the first event per user and hour;
-   its state is evicted once the watermark passes the hour, so state stays
-   bounded by the watermark delay, not by the stream's length;
-3. an append-mode aggregation per hour sums the survivors and emits an hour
-   once it can no longer change.
-
-Exact COUNT(DISTINCT) is not supported on streams; the de-duplication step
-makes the plain count exact. The cumulative "running carts" column of the
-batch report needs a global order and has no streaming counterpart.
+event-time hour. Per hour it counts *distinct* carting and purchasing users.
+Files may arrive in any order, so there is no watermark: nothing is late, and
+the newest hours are reported while they are still open.
+
+Every micro-batch
+
+1. writes its distinct (hour, user, type) keys to `keys/batch_id=<n>`, split by
+   day, replacing what an earlier attempt of the same batch left there;
+2. recounts the hours it touched from all keys of those days and writes them to
+   `hours/batch_id=<n>`, likewise replaced on a retry.
+
+The report is the newest count of each hour. A restart resumes from the
+checkpoint; a batch that runs twice writes the same files twice.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from funnelkit.session import scratch_path
 from funnelkit.sources.fixtures import clickstream_from
 
 RAW_EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+KEYS_SCHEMA = "hour_start TIMESTAMP, user_id STRING, event_type STRING, batch_id BIGINT, day DATE"
+HOURS_SCHEMA = "hour_start TIMESTAMP, cart_users BIGINT, purchase_users BIGINT, batch_id BIGINT"
 
 
 def read_event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet",
@@ -37,38 +40,50 @@ def read_event_stream(spark: SparkSession, folder: str, pattern: str = "events*.
     return reader.parquet(f"{folder.rstrip('/')}/{pattern}")
 
 
-def hourly_abandonment_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """hour_start, cart_users, purchase_users, abandoned, abandonment_rate_pct."""
-    keyed = (
-        events.where("event_type IN ('cart', 'purchase') AND user_id IS NOT NULL AND event_time IS NOT NULL")
-        .selectExpr("CAST(date_trunc('HOUR', event_time) AS TIMESTAMP) AS hour_start", "user_id", "event_type")
-        .withWatermark("hour_start", lateness)
-        .dropDuplicates(["hour_start", "user_id", "event_type"])
-    )
-    hours = keyed.groupBy("hour_start").agg(
-        F.expr("sum(CASE WHEN event_type = 'cart' THEN 1 ELSE 0 END) AS cart_users"),
-        F.expr("sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchase_users"),
-    )
-    return hours.selectExpr(
+def hour_keys(events: DataFrame) -> DataFrame:
+    """(hour_start, user_id, event_type, day) of the cart and purchase events."""
+    return events.where("event_type IN ('cart', 'purchase') AND user_id IS NOT NULL AND event_time IS NOT NULL").selectExpr(
+        "CAST(date_trunc('HOUR', event_time) AS TIMESTAMP) AS hour_start", "user_id", "event_type",
+        "CAST(event_time AS DATE) AS day")
+
+
+def _add_batch(base: str):
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        path = f"{base}/keys/batch_id={batch_id}"
+        batch.distinct().write.mode("overwrite").partitionBy("day").parquet(path)
+        new = spark.read.schema("hour_start TIMESTAMP, user_id STRING, event_type STRING, day DATE").parquet(path)
+        touched = new.select("hour_start", "day").distinct()
+        known = spark.read.schema(KEYS_SCHEMA).option("basePath", f"{base}/keys").parquet(f"{base}/keys")
+        every = (known.where(F.col("batch_id") <= batch_id).join(touched, ["day", "hour_start"], "left_semi")
+                 .select("hour_start", "user_id", "event_type").distinct())
+        hours = every.groupBy("hour_start").agg(
+            F.expr("count_if(event_type = 'cart') AS cart_users"),
+            F.expr("count_if(event_type = 'purchase') AS purchase_users"))
+        hours.write.mode("overwrite").parquet(f"{base}/hours/batch_id={batch_id}")
+    return add
+
+
+def start_hourly_abandonment(events: DataFrame, base: str) -> StreamingQuery:
+    """Process everything available now into the tables under `base`, then stop."""
+    return (hour_keys(events).writeStream.foreachBatch(_add_batch(base))
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+
+
+def hourly_report(spark: SparkSession, base: str) -> DataFrame:
+    """hour_start, cart_users, purchase_users, abandoned, abandonment_rate_pct: the newest count of each hour."""
+    hours = spark.read.schema(HOURS_SCHEMA).option("basePath", f"{base}/hours").parquet(f"{base}/hours")
+    newest = hours.groupBy("hour_start").agg(
+        F.expr("max_by(cart_users, batch_id) AS cart_users"), F.expr("max_by(purchase_users, batch_id) AS purchase_users"))
+    return newest.selectExpr(
         "hour_start", "cart_users", "purchase_users", "cart_users - purchase_users AS abandoned",
         f"{pct_sql('cart_users - purchase_users', 'cart_users')} AS abandonment_rate_pct")
 
 
-def start_available_now(df: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Process everything available now into parquet (append), then stop.
-
-    The checkpoint makes the job restartable after a failure or lost executor:
-    a rerun resumes from the last committed batch.
-    """
-    return (df.writeStream.outputMode("append").format("parquet")
-            .option("path", output).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def hourly_abandonment_from_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Run the stream over the event files once and read back its output table."""
-    base = scratch_path(spark, "hourly-stream")
-    stream = hourly_abandonment_stream(clickstream_from(read_event_stream(spark, folder)))
-    query = start_available_now(stream, f"{base}/out", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+def hourly_abandonment_from_files(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None,
+                                  base: str | None = None) -> DataFrame:
+    """Run the stream over the event files once and read its report."""
+    base = base or scratch_path(spark, "hourly-stream")
+    events = clickstream_from(read_event_stream(spark, folder, max_files_per_trigger=max_files_per_trigger))
+    start_hourly_abandonment(events, base).awaitTermination()
+    return hourly_report(spark, base)

@@ -28,4 +28,8 @@ def test_cli_segment_selection(spark):
     assert main(["run", "country_funnel_seq", "--events", table, "--countries", "DE,NL", "--devices", "mobile",
                  "--out", out]) == 0
     assert {r.country for r in spark.read.parquet(out).collect()} == {"DE", "NL"}
+    out = scratch_path(spark, "cli-dev-out")  # one dimension given: the other is not restricted
+    spark.read.parquet(table).selectExpr("* EXCEPT (country)", "'AT' AS country").write.parquet(scratch := scratch_path(spark, "cli-at"))
+    assert main(["run", "country_funnel_seq", "--events", scratch, "--devices", "mobile", "--out", out]) == 0
+    assert {r.country for r in spark.read.parquet(out).collect()} == {"AT"}
     spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -177,3 +177,30 @@ def test_value_counts_of_an_unbounded_column(spark):
                            ("u2", "view", T0, "NL", "mobile", "email")])
     rows = as_dicts(quality.value_counts(df, ["user_id"]))
     assert rows == [{"column_name": "user_id", "value": "u1", "n": 2}, {"column_name": "user_id", "value": "u2", "n": 1}]
+
+
+def test_ladder_ranks_many_event_counts_over_many_partitions(spark):
+    rows = spark.range(3000).selectExpr("id AS event_id_base", "CAST(id AS STRING) AS user_id", "CAST(1 + id * 7 % 2500 AS INT) AS n",
+                                        "CASE WHEN id % 3 = 0 THEN 'DE' WHEN id % 3 = 1 THEN 'NL' END AS country",
+                                        "CAST(1 + id % 3 AS INT) AS depth_score")
+    ud = rows.selectExpr("user_id", "country", "'email' AS channel", "'mobile' AS device", "depth_score",
+                         "CAST(n AS BIGINT) AS total_events").repartition(200)
+    got = {(r.country, r.depth_score, r.total_events): r.rank_in_country for r in depth.rank_ladder(ud).collect()}
+    triples = {(r.country, r.depth_score, r.total_events) for r in ud.collect()}
+    want = {}
+    for country in {t[0] for t in triples}:
+        own = sorted({t[1:] for t in triples if t[0] == country}, reverse=True)
+        want |= {(country, *t): i + 1 for i, t in enumerate(own)}
+    assert got == want
+
+
+def test_epoch_text_is_read_as_milliseconds(spark):
+    df = spark.createDataFrame([("1577836800000",), ("2020-01-01 00:00:00",), ("20200101",), ("x",)], "t string")
+    got = [r[0] for r in df.select(standardise.parse_time(df.t, df.schema["t"].dataType)).collect()]
+    assert got[0] == got[1] == dt.datetime(2020, 1, 1) and got[3] is None
+
+
+def test_busy_user_spreads_over_salts(spark):
+    times = [T0 + dt.timedelta(minutes=i) for i in range(300)]
+    df = _buyer(spark, *times)
+    assert as_dicts(cohort.cohort_selfjoin(df, min_cohort=1)) == _cohort(df)

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from funnelkit.oracle import ORACLE_SQL
+from funnelkit.registry import QUERIES
 from tests.conftest import SF_CHECK
 from tests.helpers import canon
 
@@ -26,12 +28,11 @@ def duck():
     con.close()
 
 
-def test_every_query_has_an_oracle_or_is_approximate():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"sessions_approx"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF_CHECK)
     rows, cols = [tuple(r) for r in sdf.collect()], sdf.columns
@@ -48,13 +49,3 @@ def test_entry_smoke(spark):
     assert df.columns == ["country", "viewers", "carted", "purchasers",
                           "view_to_cart_pct", "cart_to_purchase_pct", "overall_cvr_pct"]
     assert len(rows) == 4
-
-
-def test_sessions_approx_close_to_exact(spark):
-    approx = {(r.country, r.channel): r.sessions_approx
-              for r in entry.queries()["sessions_approx"](spark, SF_CHECK).collect()}
-    exact = {(r.country, r.channel): r.sessions_distinct
-             for r in entry.queries()["distinct_vs_flags"](spark, SF_CHECK).collect()}
-    assert approx.keys() == exact.keys()
-    for k, v in exact.items():
-        assert abs(approx[k] - v) <= 0.15 * v + 2

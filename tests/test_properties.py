@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from funnelkit.plans import cohort, depth, funnel
 from tests.helpers import T0, as_dicts, events_df
 
-SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=50, deadline=None, suppress_health_check=list(HealthCheck))
 
 event = st.tuples(
     st.sampled_from(["u1", "u2", "u3", "u4", "u5"]),

@@ -6,6 +6,7 @@ import pytest
 
 from funnelkit.operators import quality, segment
 from funnelkit.session import scratch_path, shared_dir
+from funnelkit.operators import standardise
 from funnelkit.sources import adapters, files
 from funnelkit.sources.fixtures import clickstream
 from tests.conftest import SF_SMALL
@@ -105,10 +106,34 @@ def test_shuffle_sizing_from_input_bytes(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_csv_reader_row_cap(spark):
-    path = files.write_csv(adapters.raw_multistore(spark, SF_SMALL), scratch_path(spark, "cap"))
-    assert files.read_csv(spark, path, nrows=5).count() == 5
-    assert files.read_csv(spark, path).count() == adapters.raw_multistore(spark, SF_SMALL).count()
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("event,extra,visitorid,timestamp\nview,x,u1,1577836800000\n")
+    assert files.read_csv(spark, str(tmp_path / "a.csv"), adapters.RETAIL_SCHEMA).collect() == [(1577836800000, "u1", "view")]
+    (tmp_path / "b.csv").write_text("event,visitorid\nview,u1\n")
+    with pytest.raises(ValueError, match="timestamp"):
+        files.read_csv(spark, str(tmp_path / "b.csv"), adapters.RETAIL_SCHEMA)
+
+
+def test_unknown_export_reaches_the_heuristic_source(spark, tmp_path, caplog):
+    (tmp_path / "export.csv").write_text("Event_Type,Visitor_Session,Event_Time\nview,u1,1577836800000\naddtocart,u2,1577840400000\n")
+    with caplog.at_level("WARNING", logger="funnelkit"):
+        raw = adapters.first_successful(list(adapters.export_sources(spark, str(tmp_path)).values()))
+    assert sum("refused" in r.message for r in caplog.records) == 2
+    got = sorted((r.event_type, str(r.event_time)) for r in standardise.standardise(raw).collect())
+    assert got == [("cart", "2020-01-01 01:00:00"), ("view", "2020-01-01 00:00:00")]
+
+
+def test_failed_ingest_leaves_the_former_output(spark):
+    from funnelkit.sources import ingest
+
+    good = lambda: adapters.adapt_multistore(adapters.raw_multistore(spark, SF_SMALL))
+    out = scratch_path(spark, "ingest-again")
+    ingest.ingest([good], out, min_rows=1)
+    before = files.read_canonical(spark, out).count()
+    ingest.ingest([lambda: good().limit(3)], out, min_rows=10)
+    assert files.read_canonical(spark, out).count() == before
+    ingest.ingest([lambda: good().where("event_id % 2 = 0")], out, min_rows=1)
+    assert 0 < files.read_canonical(spark, out).count() < before
 
 
 def test_read_canonical_of_partitioned_ingest_output(spark):

@@ -17,7 +17,7 @@ from funnelkit.registry import QUERIES  # noqa: E402
 
 HEADLINE = ["country_funnel", "channel_rank", "weekly_trend", "cohort_retention", "channel_country_rollup",
             "hourly_abandonment", "order_value", "channel_vs_average", "session_quality", "session_quality_full",
-            "home_country_funnel", "uplift_by_country", "segment_cube", "country_funnel_orders"]
+            "home_country_funnel", "segment_cube", "country_funnel_orders"]
 
 
 def clean(plan: str) -> str:
