@@ -1,9 +1,11 @@
 """Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are a text's lower-cased words and their prefixes of 4 to 6 letters (an
-insult's stem stays the same under its endings). From a bounded sample of
-labelled rows the terms that separate the labels are taken (chi-squared at
-least `MIN_CHI2`); on these, texts are TF-IDF vectors of unit length.
+insult's stem stays the same under its endings), and for terms that come back
+the marks `#2` and `#3` (a stem that stands once by chance differs from one used
+again and again, which a vector's direction alone does not show). From a bounded
+sample of labelled rows the terms that separate the labels are taken (log-likelihood
+ratio at least `MIN_RATIO`); on these, texts are TF-IDF vectors of unit length.
 
 The examples form a block-max inverted index: a term's postings are cut into
 blocks of `BLOCK` examples, each with the largest weight in it. A query adds up
@@ -11,7 +13,9 @@ query weight x block maximum for an upper bound a block, visits blocks from the
 largest bound on, scores their examples exactly and stops once no bound can
 beat the k-th best: the k nearest are exact.
 
-Votes are weighted by similarity (1 - distance) against a prior of base-rate
+Copies among the examples would pass for evidence, so only one of the sample's
+texts within `COPY_BITS` SimHash bits of each other is an example. Votes are
+weighted by the square of similarity (1 - distance) against a prior of base-rate
 votes; Platt scaling fitted on the sample itself (each example scored without
 itself) turns the vote share into the score. A text without any of the terms has
 no neighbour: it is scored by the rate of label 1 among such examples, which
@@ -31,15 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import fold, sample_by_hash, text_batches, texts_of
+from funnelkit.llm.simhash import majority, shingle_hashes
 
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 1500        # a label; the sample's bound
 SAMPLE_CHARS = 200_000    # longer labelled texts are not examples (all texts are scored whole)
-MIN_DF, MIN_CHI2, MAX_TERMS = 3, 25.0, 4096
+MIN_DF, MIN_RATIO, MAX_TERMS = 3, 25.0, 4096
 PREFIXES = (4, 5, 6)
+REPEATS = (2, 3)
 BLOCK = 64
 NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
+COPY_BITS = 12
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W_]+")
@@ -53,7 +60,12 @@ def term_counts(text: str) -> Counter:
         for k in PREFIXES:
             if len(w) >= k:
                 out[w[:k] + "*"] += n
-    return out
+    return out + repeats(out)
+
+
+def repeats(counts: dict[str, int]) -> Counter:
+    """The marks of the terms that stand at least so many times."""
+    return Counter(f"{t}#{k}" for t, n in counts.items() for k in REPEATS if n >= k)
 
 
 def select_terms(texts: list[Counter], labels: list[int]) -> dict[str, float]:
@@ -69,10 +81,11 @@ def select_terms(texts: list[Counter], labels: list[int]) -> dict[str, float]:
         if a < MIN_DF or a == n:
             continue
         b = df1[t]
-        num = n * (b * (n - n1 - (a - b)) - (a - b) * (n1 - b)) ** 2
-        chi = num / (a * (n - a) * n1 * (n - n1)) if 0 < n1 < n else 0.0
-        if chi >= MIN_CHI2:
-            scored.append((-chi, t))
+        parts = ((b, a * n1 / n), (a - b, a * (n - n1) / n), (n1 - b, (n - a) * n1 / n),
+                 (n - n1 - a + b, (n - a) * (n - n1) / n))
+        ratio = 2 * sum(seen * math.log(seen / due) for seen, due in parts if seen)
+        if ratio >= MIN_RATIO:
+            scored.append((-ratio, t))
     return {t: math.log(1 + n / df[t]) for _, t in sorted(scored)[:MAX_TERMS]}
 
 
@@ -82,8 +95,9 @@ class Index:
     def __init__(self, idf: dict[str, float], ids: list[int], vectors: list[dict[str, float]], labels: list[int]) -> None:
         self.idf, self.ids, self.labels = idf, ids, np.array(labels, np.float64)
         self.column = {t: i for i, t in enumerate(idf)}
-        self.words = frozenset(t for t in idf if not t.endswith("*"))
-        self.stems = {k: frozenset(t[:-1] for t in idf if t.endswith("*") and len(t) == k + 1) for k in PREFIXES}
+        plain = {t.partition("#")[0] for t in idf}
+        self.words = frozenset(t for t in plain if not t.endswith("*"))
+        self.stems = {k: frozenset(t[:-1] for t in plain if t.endswith("*") and len(t) == k + 1) for k in PREFIXES}
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         postings = defaultdict(list)
         for i, v in enumerate(vectors):
@@ -106,6 +120,7 @@ class Index:
             for k, stems in self.stems.items():
                 if w[:k] in stems and len(w) >= k:
                     out[w[:k] + "*"] += n
+        out.update(repeats(out))
         return out
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
@@ -142,8 +157,8 @@ class Model:
         self.index, self.base, self.alone, self.a, self.b = index, base, alone, a, b
 
     def share(self, near: list[tuple[float, int]]) -> float:
-        votes = sum(s for s, _ in near)
-        return ((sum(s * self.index.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (votes + PRIOR_VOTES))
+        votes = sum(s * s for s, _ in near)
+        return (sum(s * s * self.index.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (votes + PRIOR_VOTES)
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """(score, neighbours) of a whole text."""
@@ -168,9 +183,20 @@ def platt(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0])), float(w[1])
 
 
+def without_copies(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The rows but those whose text is within `COPY_BITS` of an earlier one's; label 1 comes first, then doc_id."""
+    rows = sorted(rows, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
+    fps = majority([shingle_hashes(t) for _, t, _ in rows])
+    kept: list[int] = []
+    for i in range(len(rows)):
+        if not kept or np.bitwise_count(fps[kept] ^ fps[i]).min() > COPY_BITS:
+            kept.append(i)
+    return [rows[i] for i in kept]
+
+
 def train(rows: list[tuple[int, str, int]]) -> Model:
-    """From (doc_id, text, label) examples; without any, every score is 0.5's side of nothing: base rate 0."""
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    """From (doc_id, text, label) examples; without any, no text has a neighbour and all scores are 0."""
+    rows = without_copies(rows)
     counts, labels = [term_counts(t) for _, t, _ in rows], [y for _, _, y in rows]
     idf = select_terms(counts, labels)
     blank = Index(idf, [], [], [])
