@@ -35,7 +35,7 @@ MAX_RUN = 16              # bytes read with one state
 HIDDEN = 12
 STEPS, BATCH, RATE = 300, 192, 0.02
 MIN_SCORE = 0.3           # below it no language leads; the pipeline's stage rejects such a document
-CACHE_RUNS = 400_000
+CACHE_RUNS = 300_000
 UNDETERMINED = "und"
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -253,9 +253,23 @@ class _Reader:
         return langs, scores
 
 
+_KEPT: dict[bytes, _Reader] = {}
+
+
+def reader_of(model: Model | None) -> _Reader | None:
+    """The worker process's reader of this model, kept from task to task; another model replaces it."""
+    if model is None:
+        return None
+    key = b"".join(model.weights[k].tobytes() for k in sorted(model.weights))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = _Reader(model)
+    return _KEPT[key]
+
+
 def _predictor(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(model) if model else None
+        reader = reader_of(model)
         for batch in text_batches(batches, 256):
             texts = texts_of(batch)
             lang, score = reader.predict(texts) if reader else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
@@ -280,7 +294,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def _keeper(model: Model | None, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(model) if model else None
+        reader = reader_of(model)
         for batch in text_batches(batches, 256):
             if reader:
                 lang, score = reader.predict(texts_of(batch))

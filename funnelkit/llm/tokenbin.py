@@ -31,6 +31,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -44,7 +45,7 @@ from funnelkit.llm.common import saved, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 MAGIC = b"FKT1"
 
 #: For each control byte, the byte lengths of its four ids.
@@ -53,7 +54,16 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 #: White space but the space and the line feed.
 _OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
 _MARKS = ".,\n"
-_MARKED = re.compile(r"\n?[^\W\d_]+[.,]$")
+#: A piece of letters of long-settled scripts (Latin, Greek, Cyrillic) with a mark at its end.
+_MARKED = re.compile("\n?[^\\W\\d_\u0530-\U0010ffff]+[.,]$")
+_SETTLED = "\u0530"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -125,6 +135,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.space = self.letters[ord(" ")]
         self.known: dict[str, bytes] = {}  # met lately, and what was known before that
         self.older: dict[str, bytes] = {}
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
@@ -133,6 +145,15 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _word(self, piece: str) -> bytes:
+        """Ids of a line feed or a space and a word of letters: the word is one pre-token, given to the model as such."""
+        line = piece[0] == "\n"
+        word = piece[1:] if line else piece
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(word if line else self.space + word)]).tobytes()
+        return self.marks["\n"] + ids if line else ids
+
     def _learn(self, wanted: set[str]) -> None:
         known, marks = self.known, self.marks
         new = wanted.difference(known)
@@ -142,7 +163,10 @@ class Encoder:
         known.update((p, self.older[p]) for p in new if p in self.older)
         new = new.difference(known)
         marked = [p for p in new if p[-1:] in marks and _MARKED.match(p)]
-        plain = list(new.difference(marked) | {p[:-1] for p in marked}.difference(known))
+        plain = new.difference(marked) | {p[:-1] for p in marked}.difference(known)
+        words = {p for p in plain if (p.isalpha() or p[:1] == "\n" and p[1:].isalpha()) and max(p) < _SETTLED}
+        known.update((p, self._word(p)) for p in words)
+        plain = list(plain.difference(words))
         for at in range(0, len(plain), 10_000):
             part = plain[at:at + 10_000]
             known.update(zip(part, self._ids([p if p[:1] == "\n" else " " + p for p in part])))
@@ -157,6 +181,12 @@ class Encoder:
         return [next(whole) if o else b"".join(map(get, c))[skip:] for c, o in zip(cut, odd)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, kept from task to task with what it remembers."""
+    return Encoder(path)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -165,7 +195,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def _writer(path: str | None, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(path or vocabulary_path()), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(path or vocabulary_path()), TaskContext.get().partitionId(), 0
         end, docs, n = np.array([END_ID], "<u4").tobytes(), [], 0
 
         def shard() -> pa.RecordBatch:
