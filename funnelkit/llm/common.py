@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from funnelkit.session import scratch_path
 
-_WRITTEN: list[str] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole `documents` table."""
@@ -23,12 +21,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh table in the shared folder and read it back.
 
     Cuts lineage: what follows re-reads the files, so a lost executor costs a
-    re-read and never the work before it.
+    re-read and never the work before it. `session.drop_scratch` deletes the
+    tables of this process once their results were consumed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
@@ -36,16 +34,6 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables `saved` wrote in this process; call it once the results were consumed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(folds)

@@ -258,20 +258,18 @@ def _cleaner(index: Index):
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a doc_id: contaminated, n_items, items (ids ascending, comma-joined), best_similarity.
+    """One row a contaminated doc_id: n_items, items (ids ascending, comma-joined), best_similarity.
 
-    Rows that share a doc_id are one document and join their items, also the
-    rows without one; null and empty texts are clean; an empty table gives an
-    empty result. Equal similarities keep the first window.
+    Documents without an item have no row. Rows that share a doc_id are one
+    document and join their items, also the rows without one; null and empty
+    texts are clean; an empty table gives an empty result. Equal similarities
+    keep the first window.
     """
-    found = find_items(docs, benchmark).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.sort_array(F.collect_set("item_id")).alias("found"), F.max("similarity").alias("best"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    items = F.coalesce("found", F.array().cast("array<bigint>"))
-    return (ids.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-            .select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"),
-                    F.array_join(F.transform(items, lambda x: x.cast("string")), ",").alias("items"),
-                    F.coalesce("best", F.lit(0.0)).alias("best_similarity")))
+    found = find_items(docs, benchmark).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("item_id")).alias("found"), F.max("similarity").alias("best_similarity"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_items"),
+                        F.array_join(F.transform("found", lambda x: x.cast("string")), ",").alias("items"),
+                        "best_similarity")
 
 
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

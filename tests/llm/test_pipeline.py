@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline as cp
 from funnelkit.llm import common, decontam, langid, mixing
+from funnelkit.session import drop_scratch
 from tests.conftest import SF_SMALL
 from tests.llm.test_linking import brute_fingerprint, brute_roots
 from tests.llm.test_texts import _brute_items
@@ -47,4 +48,4 @@ def test_stages_take_an_empty_table(spark):
 
 def test_scratch_tables_can_be_dropped(spark):
     common.saved(spark.range(3), "scratch-test")
-    assert common.drop_scratch(spark) >= 1
+    assert drop_scratch(spark) >= 1

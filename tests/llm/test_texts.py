@@ -316,11 +316,12 @@ def test_op9_matches_brute_force_with_planted_passages(spark):
     docs.append((2000, "here are Two, words alone"))
     bench = spark.createDataFrame([(*r, 3) for r in items.items()], "item_id long, text string, doc_id int")
     frame = spark.createDataFrame([(*r, "s") for r in docs], "doc_id long, text string, items string")
-    got = {r.doc_id: set(map(int, filter(None, r["items"].split(",")))) for r in decontam.report(frame, bench).collect()}
+    got = {r.doc_id: set(map(int, r["items"].split(","))) for r in decontam.report(frame, bench).collect()}
     known = {i: t for i, t in items.items() if t is not None}
-    assert got == {d: _brute_items(t, known) for d, t in docs}
+    want = {d: _brute_items(t, known) for d, t in docs}
+    assert got == {d: found for d, found in want.items() if found}
     clean = {r.doc_id for r in decontam.decontaminate(frame, bench).collect()}
-    assert clean == {d for d, found in got.items() if not found}
+    assert clean == {d for d, found in want.items() if not found}
 
 
 def test_op9_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
@@ -335,7 +336,7 @@ def test_op9_edge_cases(spark):
     assert decontam.decontaminate(_docs(spark), none).count() == len(ROWS)
     one = spark.createDataFrame([(7, "der die und nicht ein")], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in decontam.report(_docs(spark), one).collect()}
-    assert got == {1: "", 2: "", 3: "", 4: "", 6: "7", None: "7"}
+    assert got == {6: "7", None: "7"}
     assert decontam.report(_docs(spark).limit(0), one).collect() == []
     assert decontam.decontaminate(_docs(spark), one).columns == _docs(spark).columns
 
