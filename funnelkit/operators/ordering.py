@@ -2,7 +2,7 @@
 
 A global `orderBy` range-partitions its input, which costs a sampling job and
 an extra stage. For outputs whose size is bounded by construction (one row per
-dimension value, hour, week, month, scenario, or an explicit limit) the rows
+dimension value, hour, week, month, or an explicit limit) the rows
 are brought into one partition with a narrow `coalesce(1)` and sorted there.
 Outputs that grow with the data (user-grain reports) keep the distributed
 range sort (`order`).
