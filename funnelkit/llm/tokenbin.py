@@ -32,10 +32,10 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +45,8 @@ from funnelkit.llm.common import saved, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 300_000
+CACHE_PIECES = 450_000
+GROUP_CHARS = 6_000_000   # of texts cut at a time
 MAGIC = b"FKT1"
 
 #: For each control byte, the byte lengths of its four ids.
@@ -59,67 +60,6 @@ _MARKED = re.compile("\n?[^\\W\\d_\u0530-\U0010ffff]+[.,]$")
 _SETTLED = "\u0530"
 
 
-def byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
-    n = len(ranks)
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-n // 4) * 4, np.uint8)
-    padded[:n] = extra
-    four = padded.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
-
-
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The values that `encode_ranks` wrote, by table lookup."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
-
-
-def write_shard(docs: list[tuple[int | None, bytes]]) -> bytes:
-    """One shard of (doc_id, ids as little-endian u32 bytes)."""
-    ids = np.frombuffer(b"".join(d for _, d in docs), "<u4")
-    seen, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -count))
-    rank = np.empty(len(seen), np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
-    control, data = encode_ranks(rank[inverse])
-    return b"".join([
-        MAGIC, struct.pack("<4Q", len(docs), len(ids), len(seen), len(data)),
-        bytes(d is not None for d, _ in docs), np.array([d or 0 for d, _ in docs], "<i8").tobytes(),
-        np.array([len(b) // 4 for _, b in docs], "<u8").tobytes(), seen[order].astype("<u4").tobytes(), control, data])
-
-
-def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, counts, all ids) of a shard."""
-    if blob[:4] != MAGIC:
-        raise ValueError("not a token shard")
-    n_docs, n_ids, n_ranks, n_data = struct.unpack_from("<4Q", blob, 4)
-    at = 36
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        part = np.frombuffer(blob, kind, n, at)
-        at += part.nbytes
-        return part
-
-    has, docs, counts, to_id = take("u1", n_docs), take("<i8", n_docs), take("<u8", n_docs), take("<u4", n_ranks)
-    control, data = take("u1", (n_ids + 3) // 4), take("u1", n_data)
-    ids = to_id[decode_ranks(control.tobytes(), data.tobytes(), n_ids)] if n_ids else np.zeros(0, "<u4")
-    return [int(d) if h else None for h, d in zip(has, docs)], counts.astype(np.int64), ids
-
-
 def _odd(text: str) -> bool:
     """Other white space than single spaces and line feeds between other characters."""
     return (not text or text[0] in " \n" or text[-1] in " \n" or any(w in text for w in ("  ", "\n\n", " \n", "\n "))
@@ -135,8 +75,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.space = self.letters[ord(" ")]
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how the vocabulary writes a space
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
         self.known: dict[str, bytes] = {}  # met lately, and what was known before that
         self.older: dict[str, bytes] = {}
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
@@ -145,14 +87,15 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _word(self, piece: str) -> bytes:
-        """Ids of a line feed or a space and a word of letters: the word is one pre-token, given to the model as such."""
-        line = piece[0] == "\n"
-        word = piece[1:] if line else piece
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.model.tokenize(word if line else self.space + word)]).tobytes()
-        return self.marks["\n"] + ids if line else ids
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of " word" for words of letters: many go in one text and part again before ids that start with a space."""
+        for at in range(0, len(words), 2000):
+            some = words[at:at + 2000]
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            raw = ids.tobytes()
+            yield from map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
 
     def _learn(self, wanted: set[str]) -> None:
         known, marks = self.known, self.marks
@@ -160,12 +103,14 @@ class Encoder:
         if len(known) + 2 * len(new) > CACHE_PIECES:
             self.older, self.known = known, {}
             known, new = self.known, wanted
-        known.update((p, self.older[p]) for p in new if p in self.older)
-        new = new.difference(known)
+        known.update((p, self.older[p]) for p in new.intersection(self.older))
+        new.difference_update(known)
         marked = [p for p in new if p[-1:] in marks and _MARKED.match(p)]
-        plain = new.difference(marked) | {p[:-1] for p in marked}.difference(known)
-        words = {p for p in plain if (p.isalpha() or p[:1] == "\n" and p[1:].isalpha()) and max(p) < _SETTLED}
-        known.update((p, self._word(p)) for p in words)
+        plain = new.difference(marked)
+        plain.update(p[:-1] for p in marked)
+        plain.difference_update(known)
+        words = [p for p in plain if p.isalpha() and max(p) < _SETTLED]
+        known.update(zip(words, self._words(words)))
         plain = list(plain.difference(words))
         for at in range(0, len(plain), 10_000):
             part = plain[at:at + 10_000]
@@ -174,11 +119,36 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         odd = [_odd(t) or any(a in t for a in self.added) for t in texts]
-        cut = [[] if o else ("\n" + t).replace("\n", " \n").split(" ")[1:] for t, o in zip(texts, odd)]
-        self._learn(set(chain.from_iterable(cut)))
         whole = iter(self._ids([t for t, o in zip(texts, odd) if o]))
-        get, skip = self.known.__getitem__, len(self.marks["\n"])
-        return [next(whole) if o else b"".join(map(get, c))[skip:] for c, o in zip(cut, odd)]
+        plain = iter(self._pieced([t for t, o in zip(texts, odd) if not o]))
+        return [next(whole if o else plain) for o in odd]
+
+    def _pieced(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            some, chars = [], 0
+            while at < len(texts) and (not some or chars + len(texts[at]) <= GROUP_CHARS):
+                some.append(texts[at])
+                chars += len(texts[at])
+                at += 1
+            yield from self._group(some)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        """Arrow cuts the texts and numbers their different pieces; numpy lays the pieces' ids end to end."""
+        lines = pa.array([("\n" + t).replace("\n", " \n")[1:] for t in texts], pa.large_string())
+        cut = pc.split_pattern(lines, " ")
+        pieces = cut.flatten().dictionary_encode()
+        different, code = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
+        self._learn(set(different))
+        ids = [self.known[p] for p in different]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[code] - (end - n), n) + np.arange(end[-1])]
+        bounds = np.concatenate([[0], end])[cut.offsets.to_numpy()]
+        skip = len(self.marks["\n"]) // 4  # of the line feed put before each text
+        return (out[a + skip:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
 @lru_cache(maxsize=1)
@@ -203,7 +173,7 @@ def _writer(path: str | None, shard_ids: int):
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()),
                  pa.array([write_shard(docs)], pa.binary())], ["part", "seq", "n_ids", "blob"])
 
-        for batch in text_batches(batches, 256):
+        for batch in text_batches(batches, 2048):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch))):
                 docs.append((doc, ids + end))
                 n += len(ids) // 4 + 1
