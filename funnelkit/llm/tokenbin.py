@@ -82,18 +82,19 @@ class Encoder:
         self.known: dict[str, bytes] = {}  # met lately, and what was known before that
         self.older: dict[str, bytes] = {}
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
+        self.feed = np.zeros(len(self.spaced), bool)
+        self.feed[np.frombuffer(self.marks["\n"], "<u4")] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of " word" for words of letters: many go in one text and part again before ids that start with a space."""
+    def _words(self, words: list[str], lead: str, opens: np.ndarray) -> Iterator[bytes]:
+        """Ids of lead + word for words of letters: many go in one text and part again before the ids that open a word."""
         for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            found = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(found, "<u4")
-            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            text = lead + lead.join(words[at:at + 2000])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(opens[ids])).tolist()
             raw = ids.tobytes()
             yield from map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
 
@@ -110,8 +111,10 @@ class Encoder:
         plain.update(p[:-1] for p in marked)
         plain.difference_update(known)
         words = [p for p in plain if p.isalpha() and max(p) < _SETTLED]
-        known.update(zip(words, self._words(words)))
-        plain = list(plain.difference(words))
+        known.update(zip(words, self._words(words, " ", self.spaced)))
+        lines = [p for p in plain if p[:1] == "\n" and p[1:].isalpha() and max(p) < _SETTLED]
+        known.update(zip(lines, self._words([p[1:] for p in lines], "\n", self.feed)))
+        plain = list(plain.difference(words, lines))
         for at in range(0, len(plain), 10_000):
             part = plain[at:at + 10_000]
             known.update(zip(part, self._ids([p if p[:1] == "\n" else " " + p for p in part])))
