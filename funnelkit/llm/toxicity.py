@@ -98,6 +98,7 @@ class Index:
         plain = {t.partition("#")[0] for t in idf}
         self.words = frozenset(t for t in plain if not t.endswith("*"))
         self.stems = {k: frozenset(t[:-1] for t in plain if t.endswith("*") and len(t) == k + 1) for k in PREFIXES}
+        self.heads = frozenset(t.rstrip("*")[:PREFIXES[0]] for t in plain)
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         postings = defaultdict(list)
         for i, v in enumerate(vectors):
@@ -114,7 +115,8 @@ class Index:
     def counts(self, text: str) -> dict[str, int]:
         """Counts of the index's terms in the whole text."""
         out: dict[str, int] = defaultdict(int)
-        for w, n in Counter(_WORD.findall(text.lower())).items():
+        head, heads = PREFIXES[0], self.heads
+        for w, n in Counter([w for w in _WORD.findall(text.lower()) if w[:head] in heads]).items():
             if w in self.words:
                 out[w] += n
             for k, stems in self.stems.items():
