@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = F.broadcast(sample_by_hash(marks, F.col("__id"), ["toxic"], sample_rows, seed=6))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(chosen, F.col("doc_id") == F.col("__id")).where(F.length("text") <= SAMPLE_CHARS)
-    return train([(r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").toLocalIterator()])
+    return train([(r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()])  # the sample
 
 
 def _scorer(model: Model):
