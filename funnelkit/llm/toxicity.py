@@ -3,9 +3,13 @@
 Terms are a text's lower-cased words and their prefixes of 4 to 6 letters (an
 insult's stem stays the same under its endings), and for terms that come back
 the marks `#2` and `#3` (a stem that stands once by chance differs from one used
-again and again, which a vector's direction alone does not show). From a bounded
-sample of labelled rows the terms that separate the labels are taken (log-likelihood
-ratio at least `MIN_RATIO`); on these, texts are TF-IDF vectors of unit length.
+again and again, which a vector's direction alone does not show). Texts
+are unit vectors over all their terms: (1 + log count) x idf x label factor. The
+idf is over every document, counted by Spark for all terms of the examples; a
+term that no example holds weighs as one of a single document (it can only
+lengthen a vector, which changes no rank). The label factor, sqrt(`EVEN` +
+log-likelihood ratio / `RATIO`) over the examples, lets the terms that depend on
+the label speak louder and silences none.
 
 The examples form a block-max inverted index: a term's postings are cut into
 blocks of `BLOCK` examples, each with the largest weight in it. A query adds up
@@ -17,9 +21,9 @@ Copies among the examples would pass for evidence, so only one of the sample's
 texts within `COPY_BITS` SimHash bits of each other is an example. Votes are
 weighted by the square of similarity (1 - distance) against a prior of base-rate
 votes; Platt scaling fitted on the sample itself (each example scored without
-itself) turns the vote share into the score. A text without any of the terms has
-no neighbour: it is scored by the rate of label 1 among such examples, which
-the same scaling may not raise.
+itself) turns the vote share into the score. A text that shares no term with any
+example (an empty one) has no neighbour and is scored by the rate of label 1
+among such examples.
 """
 
 from __future__ import annotations
@@ -40,10 +44,12 @@ from funnelkit.llm.simhash import majority, shingle_hashes
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 1500        # a label; the sample's bound
 SAMPLE_CHARS = 200_000    # longer labelled texts are not examples (all texts are scored whole)
-MIN_DF, MIN_RATIO, MAX_TERMS = 3, 25.0, 4096
+EVEN, RATIO = 0.1, 25.0    # label factor of a term: sqrt(EVEN + log-likelihood ratio / RATIO)
 PREFIXES = (4, 5, 6)
 REPEATS = (2, 3)
 BLOCK = 64
+FIRST_BLOCKS = 8          # blocks scored before the bounds are compared with the k-th best
+MEMORY = 300_000          # words a task remembers
 NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
 COPY_BITS = 12
@@ -68,95 +74,155 @@ def repeats(counts: dict[str, int]) -> Counter:
     return Counter(f"{t}#{k}" for t, n in counts.items() for k in REPEATS if n >= k)
 
 
-def select_terms(texts: list[Counter], labels: list[int]) -> dict[str, float]:
-    """Term -> idf of the terms whose presence depends on the label."""
+def label_factors(texts: list[Counter], labels: list[int]) -> dict[str, float]:
+    """Term -> how much louder it speaks: never 0, the more its presence depends on the label the higher."""
     n, n1 = len(labels), sum(labels)
     df, df1 = Counter(), Counter()
     for c, y in zip(texts, labels):
         df.update(c.keys())
         if y:
             df1.update(c.keys())
-    scored = []
+    out = {}
     for t, a in df.items():
-        if a < MIN_DF or a == n:
-            continue
         b = df1[t]
         parts = ((b, a * n1 / n), (a - b, a * (n - n1) / n), (n1 - b, (n - a) * n1 / n),
                  (n - n1 - a + b, (n - a) * (n - n1) / n))
         ratio = 2 * sum(seen * math.log(seen / due) for seen, due in parts if seen)
-        if ratio >= MIN_RATIO:
-            scored.append((-ratio, t))
-    return {t: math.log(1 + n / df[t]) for _, t in sorted(scored)[:MAX_TERMS]}
+        out[t] = math.sqrt(EVEN + max(0.0, ratio) / RATIO)
+    return out
+
+
+class Terms:
+    """Counts of a text's terms by number: those of `column` keep theirs, all others are numbered from its length on.
+
+    Words are remembered up to a bound, then the memory starts anew.
+    """
+
+    def __init__(self, column: dict[str, int]) -> None:
+        self.column, self.size = column, len(column)
+        self.marks = [np.full(self.size, self.size) for _ in REPEATS]  # of each term: its marks' numbers
+        for t, i in column.items():
+            plain, mark, k = t.partition("#")
+            if mark and plain in column:
+                self.marks[REPEATS.index(int(k))][column[plain]] = i
+        self.reset()
+
+    def reset(self) -> None:
+        self.of: dict[str, tuple[int, ...]] = {}
+        self.new: dict[str, int] = {}
+
+    def numbers(self, word: str) -> tuple[int, ...]:
+        parts, column, new, size = [word], self.column, self.new, self.size
+        parts += [word[:k] + "*" for k in PREFIXES if len(word) >= k]
+        return tuple([column[t] if t in column else size + new.setdefault(t, len(new)) for t in parts])
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers ascending, counts) of the whole text; marks without a number of their own come as `size`."""
+        found = Counter(_WORD.findall(text.lower()))
+        if len(self.of) > MEMORY:
+            self.reset()
+        of, ids, times = self.of, [], []
+        for w, n in found.items():
+            known = of.get(w)
+            if known is None:
+                known = of[w] = self.numbers(w)
+            ids += known
+            times += [n] * len(known)
+        plain, back = np.unique(np.array(ids, np.int64), return_inverse=True)
+        counts = np.bincount(back, times, len(plain)) if ids else np.zeros(0)
+        known = int(np.searchsorted(plain, self.size))
+        at, n = [plain], [counts]
+        for k, marks in zip(REPEATS, self.marks):
+            at += [marks[plain[:known][counts[:known] >= k]], np.full(int((counts[known:] >= k).sum()), self.size)]
+            n += [np.ones(len(x)) for x in at[-2:]]
+        at, n = np.concatenate(at), np.concatenate(n)
+        order = np.argsort(at, kind="stable")
+        return at[order], n[order]
 
 
 class Index:
-    """Block-max inverted index over labelled unit vectors."""
+    """Block-max inverted index over labelled unit vectors; `unseen` is the weight of a term that `idf` does not hold."""
 
-    def __init__(self, idf: dict[str, float], ids: list[int], vectors: list[dict[str, float]], labels: list[int]) -> None:
-        self.idf, self.ids, self.labels = idf, ids, np.array(labels, np.float64)
+    def __init__(self, idf: dict[str, float], ids: list[int], vectors: list, labels: list[int], unseen: float = 0.0) -> None:
+        self.idf, self.unseen, self.ids, self.labels = idf, unseen, ids, np.array(labels, np.float64)
         self.column = {t: i for i, t in enumerate(idf)}
-        plain = {t.partition("#")[0] for t in idf}
-        self.words = frozenset(t for t in plain if not t.endswith("*"))
-        self.stems = {k: frozenset(t[:-1] for t in plain if t.endswith("*") and len(t) == k + 1) for k in PREFIXES}
-        self.heads = frozenset(t.rstrip("*")[:PREFIXES[0]] for t in plain)
+        self.weights = np.fromiter(idf.values(), np.float64, len(idf))
         self.blocks = max(1, -(-len(vectors) // BLOCK))
-        postings = defaultdict(list)
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[self.column[t]].append((i, w))
-        self.postings: dict[int, list] = {}
-        self.maxima = np.zeros((len(idf), self.blocks))
-        for c, rows in postings.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            np.maximum.at(self.maxima[c], at // BLOCK, w)
-            cuts = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            self.postings[c] = (at % BLOCK, w, cuts)
-
-    def counts(self, text: str) -> dict[str, int]:
-        """Counts of the index's terms in the whole text."""
-        out: dict[str, int] = defaultdict(int)
-        head, heads = PREFIXES[0], self.heads
-        for w, n in Counter([w for w in _WORD.findall(text.lower()) if w[:head] in heads]).items():
-            if w in self.words:
-                out[w] += n
-            for k, stems in self.stems.items():
-                if w[:k] in stems and len(w) >= k:
-                    out[w[:k] + "*"] += n
-        out.update(repeats(out))
-        return out
+        flat = [self._arrays(v) for v in vectors]
+        at = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in flat)])
+        example = np.repeat(np.arange(len(flat)), [len(c) for c, _ in flat]) if flat else np.zeros(0, np.int64)
+        order = np.lexsort((example, at))
+        self.example = example[order].astype(np.int32)
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in flat)])[order]
+        cell = at[order] * self.blocks + self.example // BLOCK
+        self.cells, starts = np.unique(cell, return_index=True)  # the (term, block) pairs that hold postings
+        self.starts = np.append(starts, len(cell))
+        self.maxima = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
+        self.of_term = np.searchsorted(self.cells, np.arange(len(idf) + 1) * self.blocks)
+
+    def _arrays(self, vector) -> tuple[np.ndarray, np.ndarray]:
+        """(columns ascending, weights) of a vector by term or of one that is in that form."""
+        if not isinstance(vector, dict):
+            return vector
+        pairs = sorted((self.column[t], w) for t, w in vector.items() if t in self.column)
+        return np.array([c for c, _ in pairs], np.int64), np.array([w for _, w in pairs], np.float64)
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
+        v = {t: (1 + math.log(n)) * self.idf.get(t, self.unseen) for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
+        return {t: w / norm for t, w in v.items() if t in self.idf} if norm else {}
 
-    def nearest(self, vector: dict[str, float], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`vector` of numbered terms, as (columns, weights)."""
+        known = int(np.searchsorted(at, len(self.weights)))
+        w = 1 + np.log(counts)
+        w[:known] *= self.weights[at[:known]]
+        w[known:] *= self.unseen
+        return at[:known], w[:known] / (math.sqrt(float(w @ w)) or 1.0)
+
+    def nearest(self, vector, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples (similarity, example), ties to the smaller example; none of similarity 0."""
-        if not vector:
+        cols, weights = self._arrays(vector)
+        cell, q = _ranges(self.of_term[cols], self.of_term[cols + 1], weights)
+        if not len(cell):
             return []
-        cols = np.fromiter((self.column[t] for t in vector), np.int64, len(vector))
-        weights = np.fromiter(vector.values(), np.float64, len(vector))
-        bounds = weights @ self.maxima[cols]
+        block = self.cells[cell] % self.blocks
+        bounds = np.bincount(block, q * self.maxima[cell], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for c, w in zip(cols.tolist(), weights.tolist()):
-                if self.maxima[c, b] > 0:
-                    at, pw, cuts = self.postings[c]
-                    lo, hi = cuts[b], cuts[b + 1]
-                    scores[at[lo:hi]] += w * pw[lo:hi]
-            found = [(round(float(scores[i]), 12), b * BLOCK + i) for i in np.flatnonzero(scores).tolist()]
-            best = sorted([*best, *(x for x in found if x[1] != skip)], key=lambda x: (-x[0], x[1]))[:k]
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            least = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            wanted = np.zeros(self.blocks, bool)
+            wanted[part] = (bounds[part] > 0) & (bounds[part] >= least)
+            use = wanted[block]
+            post, w = _ranges(self.starts[cell[use]], self.starts[cell[use] + 1], q[use])
+            scores = np.bincount(self.example[post], w * self.weight[post], len(self.ids)).round(12)
+            if skip >= 0:
+                scores[skip] = 0
+            top = np.flatnonzero(scores > 0)
+            if len(top) > k:
+                top = top[scores[top] >= np.partition(scores[top], -k)[-k]]
+            best = sorted([*best, *((float(scores[i]), i) for i in top.tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges lo..hi one after the other, and each one's weight."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n)
+    return at, np.repeat(weights, n)
+
+
 class Model:
     """Index, base rates and the calibration of the vote share."""
 
     def __init__(self, index: Index, base: float, alone: float, a: float, b: float) -> None:
         self.index, self.base, self.alone, self.a, self.b = index, base, alone, a, b
+        self.terms = Terms(index.column)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "terms": Terms(self.index.column)}
 
     def share(self, near: list[tuple[float, int]]) -> float:
         votes = sum(s * s for s, _ in near)
@@ -164,9 +230,9 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         """(score, neighbours) of a whole text."""
-        near = self.index.nearest(self.index.vector(self.index.counts(text)))
+        near = self.index.nearest(self.index.unit(*self.terms(text)))
         if not near:
-            return min(self.alone, THRESHOLD - 0.01), near
+            return self.alone, near
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.share(near) + self.b)))), near
 
 
@@ -196,17 +262,25 @@ def without_copies(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int
     return [rows[i] for i in kept]
 
 
-def train(rows: list[tuple[int, str, int]]) -> Model:
-    """From (doc_id, text, label) examples; without any, no text has a neighbour and all scores are 0."""
+def train(rows: list[tuple[int, str, int]], count_df) -> Model:
+    """From (doc_id, text, label) examples; without any, no text has a neighbour and all scores are 0.
+
+    `count_df` gives, for a list of terms, the number of all documents and how many hold each term.
+    """
     rows = without_copies(rows)
-    counts, labels = [term_counts(t) for _, t, _ in rows], [y for _, _, y in rows]
-    idf = select_terms(counts, labels)
-    blank = Index(idf, [], [], [])
-    vectors = [blank.vector({t: n for t, n in c.items() if t in idf}) for c in counts]
-    held = [i for i, v in enumerate(vectors) if v]
-    index = Index(idf, [rows[i][0] for i in held], [vectors[i] for i in held], [labels[i] for i in held])
+    rows = [(rows[i], c) for i, c in enumerate(term_counts(t) for _, t, _ in rows)]
+    rows.sort(key=lambda r: _lead(r[1]))  # blocks of one language have low bounds for texts of another
+    counts, rows = [c for _, c in rows], [r for r, _ in rows]
+    labels = [y for _, _, y in rows]
+    factor = label_factors(counts, labels)
+    n, df = count_df(list(factor))
+    weight = {t: f * math.log(1 + n / max(1, d)) for (t, f), d in zip(factor.items(), df)}
+    blank = Index(weight, [], [], [], math.sqrt(EVEN) * math.log(1 + n))
+    vectors = [blank._arrays(blank.vector(c)) for c in counts]
+    held = [i for i, v in enumerate(vectors) if len(v[0])]
+    index = Index(weight, [rows[i][0] for i in held], [vectors[i] for i in held], [labels[i] for i in held], blank.unseen)
     base = sum(labels) / len(labels) if labels else 0.0
-    bare = [labels[i] for i in range(len(rows)) if not vectors[i]]
+    bare = [y for v, y in zip(vectors, labels) if not len(v[0])]
     alone = (sum(bare) + base) / (len(bare) + 1)
     model = Model(index, base, alone, 1.0, 0.0)
     if held:
@@ -215,6 +289,33 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     return model
 
 
+def _lead(counts: Counter) -> tuple[int, str]:
+    """The most frequent plain word, as a sort key."""
+    return min(((-n, t) for t, n in counts.items() if t[-1] != "*" and "#" not in t), default=(0, ""))[::-1]
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """(number of rows, rows that hold each term) over the whole table; a task sends one row a term it met."""
+    column = {t: i for i, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, df, rows = Terms(column), np.zeros(len(column), np.int64), 0
+        for batch in text_batches(batches):
+            rows += batch.num_rows
+            for text in texts_of(batch):
+                at, _ = count(text)
+                df[at[:np.searchsorted(at, len(df))]] += 1
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(df[met], rows))], ["term", "n"])
+
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
+    found = sums.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most the sample's terms
+    at, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), df
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most `sample_rows` labelled rows a label outside the held-out fold, chosen by a hash of the id.
 
@@ -227,7 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     chosen = F.broadcast(sample_by_hash(marks, F.col("__id"), ["toxic"], sample_rows, seed=6))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(chosen, F.col("doc_id") == F.col("__id")).where(F.length("text") <= SAMPLE_CHARS)
-    return train([(r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()])  # the sample
+    sample = [(r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()]
+    return train(sample, lambda terms: document_frequencies(rows, terms))
 
 
 def _scorer(model: Model):

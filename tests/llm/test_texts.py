@@ -233,6 +233,21 @@ def test_op6_edge_cases(spark):
     assert toxicity.score(_docs(spark).limit(0), toxicity.fit(_docs(spark).limit(0), labels)).collect() == []
 
 
+def test_op6_all_terms_count_over_all_documents(spark):
+    ids = [i for i in range(1, 60) if common.fold_of(i, toxicity.HELD_OUT_FOLDS) != toxicity.HELD_OUT][:2]
+    texts = {ids[0]: "river stone", ids[1]: "Gamma delta gamma", 100: "a gamma here", 101: "gamma gamma", 102: "", 103: "stone 5"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    terms = {d: toxicity.term_counts(t) for d, t in texts.items()}
+    factors = toxicity.label_factors([terms[i] for i in ids], [0, 1])
+    assert set(model.index.idf) == set(terms[ids[0]]) | set(terms[ids[1]])
+    for t, w in model.index.idf.items():
+        assert np.isclose(w, factors[t] * np.log(1 + len(texts) / sum(t in c for c in terms.values()))) and w > 0
+    near = {r.doc_id: [e.split(":")[0] for e in r.evidence.split(",") if e] for r in toxicity.score(docs, model).collect()}
+    assert near[100] == near[101] == [str(ids[1])] and near[103] == [str(ids[0])] and near[102] == []
+
+
 # ------------------------------------------------------------ op7
 
 def test_raking_meets_all_marginals():
