@@ -1,7 +1,8 @@
 """Operator 9: benchmark decontamination by SimHash over item-sized windows.
 
 Texts are lower-cased and cut into words (runs of letters, digits, `_`). An
-item of n words is looked for in every window of n words of every document:
+item of n words is looked for in every window of n words of every document; a
+document of fewer words is one window, over its own length:
 
 1. *Windows.* A window with no shingle in common with an item has similarity 0,
    so windows are taken only where one of the item's shingles stands, at every
@@ -149,9 +150,9 @@ class Index:
                     n = int(self.lengths[i])
                     if min(SHINGLE, n) == size:
                         span = n - size + 1
-                        starts[n].update(range(max(0, p - span + 1), min(p, len(sh) - span) + 1))
+                        starts[n].update(range(max(0, p - span + 1), max(0, min(p, len(sh) - span)) + 1))
             for n, wanted in starts.items():
-                self._verify(sh, n - size + 1, n, np.array(sorted(wanted), np.int64), best)
+                self._verify(sh, min(n - size + 1, len(sh)), n, np.array(sorted(wanted), np.int64), best)
         return best
 
     def _verify(self, sh: np.ndarray, span: int, n: int, wanted: np.ndarray, best: dict) -> None:
@@ -167,7 +168,7 @@ class Index:
                         seen[w] = Counter(sh[start:start + span].tolist())
                     s = self.similarity(seen[w], i)
                     if s >= SIMILARITY and (i not in best or s > best[i][0]):
-                        best[i] = (s, start, start + n)
+                        best[i] = (s, start, start + span + min(SHINGLE, n) - 1)
 
 
 def _idf(benchmark: DataFrame) -> DataFrame:

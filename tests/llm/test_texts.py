@@ -339,6 +339,39 @@ def test_op9_matches_brute_force_with_planted_passages(spark):
     assert clean == {d for d, found in want.items() if not found}
 
 
+def _brute_similarity(doc, item, items):
+    """Weighted Jaccard similarity of the whole document and the item."""
+    grams = lambda t: Counter(tuple(decontam.words(t)[i:i + 5]) for i in range(len(decontam.words(t)) - 4))
+    df = Counter(g for t in items.values() for g in set(grams(t)))
+    a, b = grams(doc), grams(item)
+    weight = {g: np.log(1 + len(items) / max(1, df[g])) for g in a.keys() | b.keys()}
+    return sum(w * min(a[g], b[g]) for g, w in weight.items()) / sum(w * max(a[g], b[g]) for g, w in weight.items())
+
+
+def test_op9_finds_items_in_documents_shorter_than_they_are(spark):
+    rng = random.Random(8)
+    items = {k: " ".join(f"w{rng.randrange(400)}" for _ in range(40)) for k in range(6)}
+    items[6] = "one two three four five"
+    docs = {}
+    for k in range(6):
+        ws = items[k].split()
+        docs[10 + k] = " ".join(ws[1:]) if k % 2 else " ".join(ws[:-2])
+        docs[20 + k] = " ".join(ws[3:-3])
+        docs[30 + k] = " ".join(ws[:20] + ws[21:])
+        docs[40 + k] = " ".join(ws[:5])
+    docs[50], docs[51] = "one two three four", "Five four"
+    want = {(d, k): s for d, t in docs.items() for k, item in items.items()
+            if len(t.split()) >= 5 and (s := _brute_similarity(t, item, items)) >= decontam.SIMILARITY}
+    assert {d // 10 for d, _ in want} >= {1, 2}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontam.find_items(frame, bench).collect()}
+    assert found.keys() == want.keys()
+    for key, r in found.items():
+        assert np.isclose(r.similarity, want[key]) and (r.start, r.end) == (0, len(docs[key[0]].split()))
+    assert {r.doc_id for r in decontam.decontaminate(frame, bench).collect()} == docs.keys() - {d for d, _ in want}
+
+
 def test_op9_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     docs, bench = common.documents(spark, SF_SMALL), decontam.read_benchmark(spark, SF_SMALL)
     want = sorted(tuple(r) for r in decontam.report(docs, bench).collect())
