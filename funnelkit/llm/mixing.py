@@ -2,8 +2,12 @@
 
 Documents fall into cells (source, language, topic) with token totals. Raking
 scales the cells' token weights until the source, language and topic marginals
-meet their targets; each document is then kept with its cell's calibrated
-probability, by a hash of its id, so a rerun of a lost task decides alike.
+meet their targets. No document is kept more than once, so the sample is raked again with
+probability 1 as a bound: cells that reach it stay there and the others make up
+for them, until the sample's expected tokens meet the targets. A value with fewer
+tokens than its target asks for gives all it has, the other values share the rest.
+Each document is then kept with its cell's probability, by a hash of its id, so a
+rerun of a lost task decides alike.
 
 Topic: the bucket of the document's leading keyword, its most frequent word of
 `KEYWORD_LETTERS` or more letters (ties: the smallest word); texts without one
@@ -71,13 +75,14 @@ def features(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Plan:
-    """Cells and what raking gave them: one probability a cell."""
+    """Cells and what raking gave them: one probability a cell; `expected`: the sample's shares of tokens by dimension."""
 
     values: dict[str, list[str]]
     cells: list[tuple[str, str, str]]
     tokens: np.ndarray
     weights: np.ndarray
     probability: np.ndarray
+    expected: dict[str, dict[str, float]]
 
 
 def default_targets(feats: DataFrame, temperature: float = TEMPERATURE) -> dict[str, dict[str, float]]:
@@ -112,6 +117,20 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, fl
     contradict each other.
     """
     w = tokens.astype(np.float64) / max(1, tokens.sum())
+    codes, wanted = _coded(cells, targets)
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for code, goal in zip(codes, wanted):
+            have = np.bincount(code, w, len(goal))
+            worst = max(worst, float(np.abs(have - goal).max(initial=0.0)))
+            w = w * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[code]
+        if worst < TOLERANCE:
+            break
+    return w
+
+
+def _coded(cells: list[tuple], targets: dict[str, dict[str, float]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each dimension: the cells' value numbers (values ascending) and the values' targets, normalised."""
     codes, wanted = [], []
     for k, d in enumerate(DIMENSIONS):
         names = sorted({c[k] for c in cells})
@@ -119,15 +138,46 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, fl
         codes.append(np.array([at[c[k]] for c in cells], np.int64))
         goal = np.array([targets[d].get(v, 0.0) for v in names])
         wanted.append(goal / (goal.sum() or 1.0))
+    return codes, wanted
+
+
+def rake_bounded(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, float]], weights: np.ndarray,
+                 budget: float) -> np.ndarray:
+    """Probabilities min(1, product of one factor a value) from `weights` whose expected tokens meet the targets x `budget`.
+
+    Targets beyond a value's tokens are cut to them, the rest goes to the
+    dimension's other values in proportion.
+    """
+    codes, wanted = _coded(cells, targets)
+    goals = []
+    for code, goal in zip(codes, wanted):
+        there = np.bincount(code, tokens, len(goal))
+        goals.append(calibrate(goal, there, budget) * there)
+    u = budget * np.divide(weights, tokens, out=np.zeros_like(weights), where=tokens > 0)
     for _ in range(ROUNDS):
         worst = 0.0
-        for code, goal in zip(codes, wanted):
-            have = np.bincount(code, w, len(goal))
+        for code, goal in zip(codes, goals):
+            have = np.bincount(code, tokens * np.minimum(1.0, u), len(goal))
             worst = max(worst, float(np.abs(have - goal).max(initial=0.0)))
-            w = w * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[code]
-        if worst < TOLERANCE:
+            u = np.minimum(u * _factors(u, tokens, code, goal)[code], 1e100)
+        if worst < TOLERANCE * max(1.0, budget):
             break
-    return w
+    return calibrate(tokens * np.minimum(1.0, u), tokens, budget)
+
+
+def _factors(u: np.ndarray, tokens: np.ndarray, code: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """f of each value with sum of tokens x min(1, f x u) = goal: Newton steps from below on a concave function."""
+    have = np.bincount(code, tokens * u, len(goal))
+    f = np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)
+    for _ in range(100):
+        full = f[code] * u >= 1
+        free = np.bincount(code, np.where(full, 0.0, tokens * u), len(goal))
+        left = goal - np.bincount(code, tokens * full, len(goal))
+        new = np.maximum(f, np.divide(left, free, out=f.copy(), where=free > 1e-12 * have))
+        if (new <= f * (1 + 1e-14)).all():
+            break
+        f = new
+    return f
 
 
 def calibrate(weights: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
@@ -159,7 +209,14 @@ def plan(feats: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     cells = [tuple(r[d] for d in DIMENSIONS) for r in rows]
     tokens = np.array([r["tokens"] for r in rows], np.float64)
     weights = rake(cells, tokens, targets)
-    return Plan(values, cells, tokens, weights, calibrate(weights, tokens, keep_share * tokens.sum()))
+    chance = rake_bounded(cells, tokens, targets, weights, keep_share * tokens.sum())
+    expected, kept = {}, tokens * chance
+    for k, d in enumerate(DIMENSIONS):
+        sums = Counter()
+        for c, n in zip(cells, kept.tolist()):
+            sums[c[k]] += n
+        expected[d] = {v: n / (kept.sum() or 1.0) for v, n in sorted(sums.items())}
+    return Plan(values, cells, tokens, weights, chance, expected)
 
 
 def _cell_table(spark, p: Plan) -> DataFrame:

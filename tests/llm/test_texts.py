@@ -264,6 +264,43 @@ def test_raking_meets_all_marginals():
     assert np.allclose(mixing.calibrate(w, tokens, 10 * tokens.sum()), 1)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_the_sample_meets_the_targets_where_cells_saturate(seed):
+    rng = np.random.default_rng(seed)
+    cells = list(itertools.product([f"s{i}" for i in range(12)], ["x", "y", "z"], ["p", "q", "r"]))
+    tokens = rng.pareto(0.8, len(cells)) * 100 + 1
+    # targets that a sample can meet: the marginals of one whose cells saturate
+    factor = [dict(zip(sorted({c[k] for c in cells}), rng.lognormal(0, 1.2, 12))) for k in range(3)]
+    sample = tokens * np.minimum(1, [0.6 * np.prod([f[v] for f, v in zip(factor, c)]) for c in cells])
+    budget = sample.sum()
+    shares = lambda n, k: {v: sum(x for x, c in zip(n, cells) if c[k] == v) / budget for v in sorted(factor[k])}
+    targets = {d: shares(sample, k) for k, d in enumerate(mixing.DIMENSIONS)}
+    w = mixing.rake(cells, tokens, targets)
+    p = mixing.rake_bounded(cells, tokens, targets, w, budget)
+    clipped = mixing.calibrate(w, tokens, budget) * tokens
+    assert (p <= 1).all() and (p >= 0).all() and np.isclose((p * tokens).sum(), budget)
+    miss = 0.0
+    for k, d in enumerate(mixing.DIMENSIONS):
+        got, before = shares(p * tokens, k), shares(clipped, k)
+        assert max(abs(got[v] - targets[d][v]) for v in got) < 1e-6
+        miss = max(miss, *(abs(before[v] - targets[d][v]) for v in before))
+    assert miss > 1e-3  # clipping alone misses them
+
+
+def test_op7_expected_shares_with_one_hot_source(spark):
+    docs = common.documents(spark, SF_CHECK).withColumn(
+        "source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    feats = common.saved(mixing.features(docs), "test-features")
+    targets = mixing.default_targets(feats)
+    p = mixing.plan(feats, targets)
+    assert (p.probability >= 1 - 1e-9).sum() > 5
+    totals = {d: {r[d]: r["n"] for r in feats.groupBy(d).agg(F.sum("tokens").alias("n")).collect()} for d in mixing.DIMENSIONS}
+    budget = mixing.KEEP_SHARE * p.tokens.sum()
+    for d in mixing.DIMENSIONS:
+        if all(budget * goal <= totals[d][v] for v, goal in targets[d].items()):
+            assert all(abs(p.expected[d][v] - goal) < 1e-3 for v, goal in targets[d].items())
+
+
 def test_op7_probabilities_are_calibrated(spark):
     rows = queries.op7_source_mix(spark, SF_CHECK).collect()
     texts = {r.doc_id: r.text for r in common.documents(spark, SF_CHECK).collect()}
