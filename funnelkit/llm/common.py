@@ -85,3 +85,26 @@ def sample_by_hash(rows: DataFrame, key: Column, strata: list[str], n: int, seed
              .where(F.col("__u") * F.col("__size") <= F.lit(2.0 * n + 50)))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__u", key))
     return drawn.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__u", "__size", "__rank", *names)
+
+
+MAX_HOT = 100_000
+HOT_ROWS = 4096
+
+
+def join_by_group(rows: DataFrame, lookup: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` left-joined with `lookup` (unique keys, without nulls; `size` counts the rows of a key), `size` dropped.
+
+    Keys with over `HOT_ROWS` rows are joined from a broadcast list, so that no
+    task gets all rows of a hot key; if there are more than `MAX_HOT` such keys
+    the bound rises until the list is short enough, which it must, as n rows
+    hold at most n / bound such keys. The other keys meet by a shuffle, with no
+    more rows a key than the bound.
+    """
+    bound = HOT_ROWS
+    while (found := lookup.where(F.col(size) > bound).limit(MAX_HOT + 1).count()) > MAX_HOT:
+        bound *= 16
+    if not found:
+        return rows.join(lookup.drop(size), keys, "left")
+    hot = F.broadcast(lookup.where(F.col(size) > bound).drop(size))
+    rest = rows.join(hot, keys, "left_anti").join(lookup.where(F.col(size) <= bound).drop(size), keys, "left")
+    return rows.join(hot, keys).unionByName(rest)
