@@ -85,7 +85,7 @@ def _carry_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table, written to the shared folder."""
-    return saved(chunk_rows(pages, chunk_bytes).mapInArrow(_carry_digests, CHUNKS), "warc-chunks")
+    return saved(chunk_rows(pages, chunk_bytes).mapInArrow(_carry_digests, CHUNKS), "warc-chunks", "zstd")
 
 
 # ------------------------------------------------------------- responses and revisits
