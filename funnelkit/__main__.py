@@ -36,7 +36,8 @@ def _split(text: str | None) -> list[str]:
 
 def _run(args) -> int:
     spark = _session()
-    size_shuffles(spark, [args.events])
+    from funnelkit.sources.files import current_version
+    size_shuffles(spark, [current_version(spark, args.events)])
     if args.csv:
         from funnelkit.sources.files import read_events_csv
         events = read_events_csv(spark, args.events)
@@ -61,7 +62,7 @@ def _run(args) -> int:
 
 def _ingest(args) -> int:
     from funnelkit.sources import adapters
-    from funnelkit.sources.ingest import ingest
+    from funnelkit.sources.ingest import ingest, reject_counts
 
     spark = _session()
     sources = adapters.export_sources(spark, args.path)
@@ -70,7 +71,10 @@ def _ingest(args) -> int:
     rows = checks.collect()
     for r in rows:
         print(f"{'ok  ' if r.passed else 'FAIL'} {r.check_name}: {r.observed}")
-    return 0 if all(r.passed for r in rows) else 1
+    passed = all(r.passed for r in rows)
+    for r in reject_counts(spark, args.out).orderBy("reason").collect() if passed else []:
+        print(f"set aside ({r.reason}): {r.n}")
+    return 0 if passed else 1
 
 
 def main(argv=None) -> int:

@@ -60,36 +60,25 @@ def segment_users(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 def user_profile(events: DataFrame) -> DataFrame:
     """One row per user: lenient flags, event count and modal dimensions.
 
-    The modal value breaks ties towards the smallest value. Raw events go into
-    one hash aggregate by user and dimensions (combined map-side); the modes are
-    chosen from its rows, of which a user has at most the product of the
-    dimensions' vocabularies. These are partitioned by user once, for all that
-    follows.
+    The modal value breaks ties towards the smallest value; NULLs do not count.
+    One aggregate with one exchange, on user_id: `mode` keeps value -> count per
+    user, counted in each task before the exchange and merged after it, so a
+    user's size is bounded by the dimension's values, not by their events.
     """
-    cells = events.groupBy("user_id", *schema.DIMENSIONS).agg(
+    return events.groupBy("user_id").agg(
         F.expr(f"{flag_sql('view')} AS viewed"),
         F.expr(f"{flag_sql('cart')} AS carted"),
         F.expr(f"{flag_sql('purchase')} AS purchased"),
-        F.expr("count(1) AS n"),
-    ).repartition("user_id")
-    pairs = ", ".join(f"'{d}', {d}" for d in schema.DIMENSIONS)
-    values = cells.selectExpr("user_id", "viewed", "carted", "purchased", "n",
-                              f"stack({len(schema.DIMENSIONS)}, {pairs}) AS (dim, value)")
-    counts = values.groupBy("user_id", "dim", "value").agg(
-        F.expr("max(viewed) AS viewed"), F.expr("max(carted) AS carted"), F.expr("max(purchased) AS purchased"),
-        F.expr("sum(n) AS n"))
-    first = schema.DIMENSIONS[0]
-    return counts.groupBy("user_id").agg(
-        F.expr("max(viewed) AS viewed"), F.expr("max(carted) AS carted"), F.expr("max(purchased) AS purchased"),
-        F.expr(f"sum(n) FILTER (WHERE dim = '{first}') AS n_events"),
-        *[F.expr(f"min(CASE WHEN dim = '{d}' AND value IS NOT NULL THEN struct(-n AS k, value AS v) END)").getField("v")
-          .alias(f"home_{d}") for d in schema.DIMENSIONS],
-    )
+        F.expr("count(1) AS n_events"), *_modes())
+
+
+def _modes():
+    return [F.expr(f"mode({d}, true) AS home_{d}") for d in schema.DIMENSIONS]
 
 
 def user_mode_dims(events: DataFrame) -> DataFrame:
     """(user_id, home_country, home_device, home_channel)."""
-    return user_profile(events).select("user_id", *[f"home_{d}" for d in schema.DIMENSIONS])
+    return events.groupBy("user_id").agg(*_modes())
 
 
 def event_sets(events: DataFrame) -> DataFrame:

@@ -423,6 +423,82 @@ SELECT hour_start, cart_users, purchase_users, cart_users - purchase_users AS ab
 FROM h"""
 
 
+def cart_abandoners() -> str:
+    """Carts without a purchase from their instant to two hours later, that instant included."""
+    return """buys AS (SELECT user_id, event_time AS bought FROM ev WHERE event_type = 'purchase')
+SELECT event_id, user_id, event_time AS cart_time, country, device, channel,
+       (SELECT MIN(bought) FROM buys b WHERE b.user_id = c.user_id AND b.bought >= c.event_time) AS next_purchase_time
+FROM ev c
+WHERE event_type = 'cart' AND NOT EXISTS (
+    SELECT 1 FROM buys b WHERE b.user_id = c.user_id AND b.bought >= c.event_time
+       AND b.bought <= c.event_time + INTERVAL 2 HOUR)"""
+
+
+def time_to_purchase() -> str:
+    quantiles = ",\n       ".join(f"quantile_disc(epoch_us(t1) - epoch_us(t0), 0.{p}) / 1000000.0::DOUBLE AS p{p}_s"
+                                  for p in (25, 50, 75, 90))
+    return f"""firsts AS (SELECT user_id, channel, MIN(event_time) AS t0 FROM ev WHERE event_type = 'view' GROUP BY ALL),
+nexts AS (
+    SELECT f.channel, f.user_id, f.t0, MIN(e.event_time) AS t1
+    FROM firsts f JOIN ev e ON e.user_id = f.user_id AND e.channel = f.channel
+     AND e.event_type = 'purchase' AND e.event_time >= f.t0
+    GROUP BY ALL)
+SELECT channel, COUNT(*) AS n, {quantiles},
+       {pct('COUNT(*) FILTER (WHERE CAST(t0 AS DATE) = CAST(t1 AS DATE))', 'COUNT(*)')} AS same_day_pct
+FROM nexts GROUP BY channel"""
+
+
+def running_events_by_minute() -> str:
+    return """minutes AS (
+    SELECT CAST(date_trunc('minute', event_time) AS TIMESTAMP) AS minute, COUNT(*) AS events,
+           COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases
+    FROM ev WHERE event_time IS NOT NULL GROUP BY ALL)
+SELECT minute, events, purchases, SUM(events) OVER up::BIGINT AS running_events,
+       SUM(purchases) OVER up::BIGINT AS running_purchases,
+       LAG(events) OVER up AS prev_events, LAG(minute) OVER up AS prev_minute
+FROM minutes WINDOW up AS (ORDER BY minute)"""
+
+
+def purchase_sequence() -> str:
+    return """SELECT user_id, event_id, event_time, CAST(price * 100 AS BIGINT) AS cents,
+       CAST(ROW_NUMBER() OVER up AS INTEGER) AS purchase_no,
+       SUM(CAST(price * 100 AS BIGINT)) OVER up::BIGINT AS running_cents, LAG(event_time) OVER up AS prev_purchase_time
+FROM ev WHERE event_type = 'purchase'
+WINDOW up AS (PARTITION BY user_id ORDER BY event_time, event_id)"""
+
+
+def top_users() -> str:
+    return "SELECT user_id AS value, COUNT(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, value LIMIT 20"
+
+
+def sketch_rollup() -> str:
+    return f"""SELECT CASE WHEN GROUPING(country) = 1 THEN 'ALL' ELSE country END AS country,
+       CASE WHEN GROUPING(channel) = 1 THEN 'ALL' ELSE channel END AS channel, {ROW_TYPE} AS row_type,
+       {USERS} AS sessions, {BUYERS} AS purchasers, TRUE AS sessions_estimate_ok, TRUE AS purchasers_estimate_ok
+FROM ev GROUP BY ROLLUP (channel, country)"""
+
+
+# The damaged export: which column of a funnel event's line is spoilt, by its id.
+# An event type that no funnel stage knows leaves the export before that, unless
+# its line is broken.
+DAMAGED = """
+WITH raw AS (
+    SELECT event_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS written,
+           CASE event_type WHEN 'click' THEN 'view' WHEN 'signup' THEN 'cart' WHEN 'error' THEN 'remove_from_cart'
+                           ELSE event_type END AS event_type,
+           CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 16 AS VARCHAR) AS user_id, value,
+           event_id % 83 = 0 OR event_id % 79 = 0 AS broken, event_id % 97 = 0 AS no_time, event_id % 89 = 0 AS no_price,
+           event_id % 73 = 0 AS no_user
+    FROM events),
+funnel AS (SELECT * FROM raw WHERE NOT broken AND event_type IN ('view', 'cart', 'purchase')),
+reasons AS (
+    SELECT 'column_count' AS reason, event_id FROM raw WHERE broken
+    UNION ALL SELECT 'event_time', event_id FROM funnel WHERE no_time
+    UNION ALL SELECT 'user_id', event_id FROM funnel WHERE no_user
+    UNION ALL SELECT 'price', event_id FROM funnel WHERE no_price)
+"""
+
+
 def _with(fixture: str, body: str) -> str:
     """WITH ev AS (<fixture>) followed by the body's own CTEs or its SELECT."""
     head = f"WITH ev AS ({fixture})"
@@ -507,6 +583,26 @@ FROM ev GROUP BY ALL"""),
     "depth_correlated": _click(session_quality(None)),
     "depth_window": _click(depth_window()),
     "hourly_abandonment_stream": _click(hourly_stream()),
+    "cart_abandoners_2h": _click(cart_abandoners()),
+    "time_to_purchase": _click(time_to_purchase()),
+    "running_events_by_minute": _click(running_events_by_minute()),
+    "purchase_sequence": _click(purchase_sequence()),
+    "top_users": _click(top_users()),
+    "sessions_sketch_rollup": _click(sketch_rollup()),
+    "ingest_rejects": f"{DAMAGED}SELECT reason, COUNT(*) AS n FROM reasons GROUP BY reason",
+    "ingest_reject_rows": f"""{DAMAGED}, texts AS (
+    SELECT *, CASE WHEN no_time THEN 'yesterday' ELSE written END AS t, CASE WHEN no_user THEN '' ELSE user_id END AS u,
+           CASE WHEN no_price THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS p
+    FROM raw)
+SELECT reason, CASE WHEN broken
+    THEN t || ',' || event_type || ',' || u || ',' || p || CASE WHEN event_id % 83 = 0 THEN '' ELSE ',' || event_id || ',surplus' END
+    ELSE '{{"event_time":"' || t || '","event_type":"' || event_type || '",'
+         || CASE WHEN no_user THEN '' ELSE '"user_id":"' || u || '",' END
+         || '"price":"' || p || '","event_id":"' || event_id || '"}}' END AS record
+FROM texts JOIN reasons USING (event_id)""",
+    "ingest_damaged_events": f"""{DAMAGED}SELECT event_id, ts AS event_time, event_type, user_id,{DRAW},
+       CASE WHEN NOT no_price THEN CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) END AS price
+FROM funnel WHERE NOT no_time AND NOT no_user""",
     # order-based fixture
     "country_funnel_orders": _orders(lenient_funnel("country")),
     "channel_rank_orders": _orders(channel_rank()),
@@ -526,4 +622,9 @@ SELECT device, {pct0('purchasers', 'viewers')} AS cvr_pct FROM s"""),
     "home_country_funnel_orders": _orders(home_funnel("country")),
     "channel_country_matrix_orders": _orders(channel_country_matrix(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))),
     "cohort_selfjoin_orders": _orders(cohort_retention()),
+    "cart_abandoners_2h_orders": _orders(cart_abandoners()),
+    "time_to_purchase_orders": _orders(time_to_purchase()),
+    "running_events_by_minute_orders": _orders(running_events_by_minute()),
+    "purchase_sequence_orders": _orders(purchase_sequence()),
+    "top_users_orders": _orders(top_users()),
 }

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.rates import avg_of_rates_sql, pct_sql
 from funnelkit.operators.flags import flag_sql, segment_users
-from funnelkit.operators.joins import checked_broadcast
 from funnelkit.operators.ordering import order_small, small
 
 CELL_CVR = f"{pct_sql('purchasers', 'sessions')} AS cvr_pct"
@@ -120,7 +119,7 @@ def distinct_vs_flags(events: DataFrame) -> DataFrame:
         F.expr("count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS purchasers_distinct"))
     flags = segment_users(events, ["country", "channel"]).withColumnsRenamed(
         {"sessions": "sessions_flags", "purchasers": "purchasers_flags"})
-    joined = distinct.join(checked_broadcast(flags), ["country", "channel"])
+    joined = distinct.join(flags, ["country", "channel"])
     return order_small(joined, "country", "channel")
 
 
@@ -129,7 +128,7 @@ def sessions_approx_check(events: DataFrame, rsd: float = 0.05, allowed: float =
     exact = segment_users(events, ["country", "channel"])
     est = sessions_approx(events, rsd).select("country", "channel", "sessions_approx", "purchasers_approx")
     near = f"abs({{0}}_approx - {{0}}) <= {allowed}D * {{0}} + 2 AS {{0}}_estimate_ok"
-    out = exact.join(checked_broadcast(est), ["country", "channel"]).selectExpr(
+    out = exact.join(est, ["country", "channel"]).selectExpr(
         "country", "channel", "sessions", "purchasers", near.format("sessions"), near.format("purchasers"))
     return order_small(out, "country", "channel")
 

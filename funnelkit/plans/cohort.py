@@ -13,8 +13,8 @@ first purchase. Only the earliest later purchase matters, so the question is
    costs two rows per task, not a third of the data in one task;
 3. one aggregate per user, one per month (tiny).
 
-`cohort_selfjoin` keeps the interval-join form (equi key + strict lower bound +
-inclusive upper bound) as the general operator; it must return the same rows.
+`cohort_selfjoin` does the same through the general `interval_join` (equi key,
+strict lower bound, inclusive upper bound); it must return the same rows.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.rates import pct_sql
 from funnelkit.functions.timefmt import year_month_sql
+from funnelkit.operators.intervals import DAY, interval_join, micros_sql
 from funnelkit.operators.ordering import order_small
 
-SALTS = 16
+SLOTS = 16
 PURCHASES = "event_type = 'purchase' AND user_id IS NOT NULL AND event_time IS NOT NULL"
 
 
@@ -63,17 +64,14 @@ def cohort_retention(events: DataFrame, window_days: int = 60, min_cohort: int =
 def cohort_selfjoin(events: DataFrame, window_days: int = 60, min_cohort: int = 10) -> DataFrame:
     """Interval self-join form: first purchase x later purchases of the same user.
 
-    Purchase times are distinct before the join, and the join and the first
-    reduction run on (user, salt), so the purchases of one busy user spread over
-    `SALTS` tasks; only one row a salt is left for the final reduction.
+    Purchase times are distinct before the join, which goes by (user, time slot):
+    the purchases of one busy user spread over the `SLOTS` slots of the window,
+    and only the earliest of each slot is left for the final reduction.
     """
-    p = events.where(PURCHASES).select("user_id", "event_time").distinct()
-    first = p.groupBy("user_id").agg(F.expr("min(event_time) AS first_purchase_time"))
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    later = p.selectExpr("user_id AS r_user", "event_time AS r_time", f"CAST(pmod(hash(event_time), {SALTS}) AS INT) AS r_salt")
-    cond = F.expr(f"user_id = r_user AND salt = r_salt AND r_time > first_purchase_time"
-                  f" AND r_time <= first_purchase_time + INTERVAL {int(window_days)} DAYS")
-    nearest = salted.join(later, cond).groupBy("user_id", "salt").agg(F.expr("min(r_time) AS r_time"))
-    repeats = nearest.groupBy("user_id").agg(F.expr("min(r_time) AS repeat_purchase_time"))
-    per_user = first.join(repeats, "user_id", "left")
-    return _cohort_table(per_user, "repeat_purchase_time IS NOT NULL", min_cohort)
+    p = events.where(PURCHASES).select("user_id", F.expr(f"{micros_sql('event_time')} AS at")).distinct()
+    first = p.groupBy("user_id").agg(F.expr("min(at) AS first_at"))
+    pairs = interval_join(first, p, ["user_id"], "first_at", "at", 1, int(window_days) * DAY, splits=SLOTS)
+    repeats = pairs.groupBy("user_id", F.expr(f"at DIV {DAY}L AS day")).agg(F.expr("min(at) AS at")).groupBy("user_id").agg(
+        F.expr("min(at) AS repeat_at"))
+    per_user = first.join(repeats, "user_id", "left").withColumn("first_purchase_time", F.timestamp_micros("first_at"))
+    return _cohort_table(per_user, "repeat_at IS NOT NULL", min_cohort)

@@ -2,33 +2,28 @@
 
 The rank is DENSE_RANK within country by (depth desc, total_events desc).
 Windowing the user rows by country would put every user of a country into one
-task. Instead:
-
-* the *rank ladder* holds the distinct (country, depth, total_events) triples
-  with their ranks; it is small, because d different event counts take at least
-  d * (d + 1) / 2 events;
-* a row's rank is its triple's rank, found by an equi-join on the triple.
-
-The ladder itself is ranked in two levels: inside buckets of `BUCKET`
-neighbouring event counts (a window over at most `BUCKET` rows), plus the
-number of triples in all buckets before (a window over the bucket totals).
-
-Because the rank is monotone in (depth desc, total_events desc), the top-n
-report needs no join over all users at all: take the top n rows by
-(country, depth desc, total_events desc, tie-breaks) - each task keeps its own
-top n and one task merges those - and look up ranks for those n rows only.
-Everything hangs on one user-grain aggregate, so the events are read once.
+task.
+
+* The top-n report takes the first n rows in that order - each task keeps its
+  own n and one task merges those. Whatever ranks before a row in its country is
+  then among them too, so the rank of the n rows is found within them alone.
+* All rows are ranked by a sorted scan (`operators.prefix`): range-partitioned by
+  (country, depth, events, user), ranked inside each partition, plus what the
+  partitions before held. One shuffle gives both rank and order.
+
+The country average is sum(depth) / count(rows) of a country: integer sums are
+exact. A NULL country gets a NULL average, as the correlated
+`WHERE ud2.country = ud.country` gives.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.operators.joins import bounded_by_limit, checked_broadcast
+from funnelkit.operators.joins import bounded_by_limit, small_lookup
 from funnelkit.operators.ordering import order, order_small
+from funnelkit.operators.prefix import sorted_scan
 
 DEPTH_SQL = ("max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'cart' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)"
              " AS depth_score")
@@ -38,7 +33,7 @@ LABEL_SQL = ("CASE depth_score WHEN 3 THEN 'converted' WHEN 2 THEN 'carted_no_pu
 OUTPUT = ("user_id", "country", "channel", "device", "depth_score", LABEL_SQL, "total_events",
           "country_avg_depth", "round(depth_score - country_avg_depth, 2) AS vs_country_avg", "rank_in_country")
 ORDER = ("country ASC NULLS FIRST", "rank_in_country", "user_id", "channel", "device")
-BUCKET = 1024
+RANK_KEY = ("depth_score", "total_events")
 
 
 def user_depth(events: DataFrame) -> DataFrame:
@@ -46,70 +41,51 @@ def user_depth(events: DataFrame) -> DataFrame:
         F.expr(DEPTH_SQL), F.expr("count(1) AS total_events"))
 
 
-def rank_ladder(ud: DataFrame) -> DataFrame:
-    """(country, depth_score, total_events, users, rank_in_country, country_avg_depth).
+def country_averages(ud: DataFrame) -> DataFrame:
+    """(a_country, country_avg_depth), one row a country, NULL included."""
+    return ud.groupBy(F.col("country").alias("a_country")).agg(F.expr(
+        "CASE WHEN a_country IS NOT NULL THEN round(CAST(sum(depth_score) AS DOUBLE) / count(1), 2) END AS country_avg_depth"))
 
-    The average is sum(depth * users) / sum(users): integer sums are exact, so
-    it equals AVG over the user rows. A NULL country gets a NULL average, as
-    the correlated `WHERE ud2.country = ud.country` gives.
-    """
-    triples = ud.groupBy("country", "depth_score", "total_events").agg(F.expr("count(1) AS users"))
-    triples = triples.withColumn("bucket", F.expr(f"total_events DIV {BUCKET}"))
-    totals = triples.groupBy("country", "depth_score", "bucket").agg(
-        F.expr("count(1) AS n"), F.expr("sum(users) AS u"))
-    w = "OVER (PARTITION BY country)"
-    starts = totals.selectExpr(
-        "country AS b_country", "depth_score AS b_depth", "bucket AS b_bucket",
-        "sum(n) OVER (PARTITION BY country ORDER BY depth_score DESC, bucket DESC) - n AS before",
-        f"CASE WHEN country IS NOT NULL THEN round(CAST(sum(depth_score * u) {w} AS DOUBLE)"
-        f" / sum(u) {w}, 2) END AS country_avg_depth")
-    local = triples.withColumn("inner_rank", F.expr(
-        "row_number() OVER (PARTITION BY country, depth_score, bucket ORDER BY total_events DESC)"))
-    return local.join(starts, F.expr("country <=> b_country AND depth_score = b_depth AND bucket = b_bucket")).selectExpr(
-        "country", "depth_score", "total_events", "users",
-        "CAST(before + inner_rank AS INT) AS rank_in_country", "country_avg_depth")
-
-
-def _rank_join(rows: DataFrame, ladder: DataFrame, with_avg: bool = True) -> DataFrame:
-    keys = ladder.selectExpr("country AS l_country", "depth_score AS l_depth", "total_events AS l_events",
-                             "rank_in_country", *(["country_avg_depth"] if with_avg else []))
-    return rows.join(keys, F.expr("country <=> l_country AND depth_score = l_depth AND total_events = l_events"))
+
+def ranked(ud: DataFrame) -> DataFrame:
+    """Every row with rank_in_country, in the order of the report."""
+    return sorted_scan(ud, ["country"], ["depth_score DESC", "total_events DESC", "user_id", "channel", "device"],
+                       rank="rank_in_country", rank_by=RANK_KEY)
+
+
+def rank_ladder(ud: DataFrame) -> DataFrame:
+    """(country, depth_score, total_events, users, rank_in_country): the distinct triples with their ranks, in order."""
+    triples = ud.groupBy("country", *RANK_KEY).agg(F.expr("count(1) AS users"))
+    return sorted_scan(triples, ["country"], ["depth_score DESC", "total_events DESC"], rank="rank_in_country", rank_by=RANK_KEY)
 
 
 def session_quality(events: DataFrame, limit: int = 500) -> DataFrame:
     """Top `limit` rows by (country, rank) with deterministic tie-breaks."""
     ud = user_depth(events)
     top = order(ud, "country ASC NULLS FIRST", "depth_score DESC", "total_events DESC", "user_id", "channel", "device")
-    return order_small(_rank_join(bounded_by_limit(top, limit), rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)
+    rows = bounded_by_limit(top, limit).join(country_averages(ud), F.expr("country <=> a_country"))
+    rank = "dense_rank() OVER (PARTITION BY country ORDER BY depth_score DESC, total_events DESC) AS rank_in_country"
+    return order_small(rows.coalesce(1).selectExpr("*", rank).selectExpr(*OUTPUT), *ORDER)
 
 
 def session_quality_full(events: DataFrame) -> DataFrame:
-    """Every (user, country, channel, device) row with its rank.
-
-    The ladder join is left to adaptive execution: the ladder is broadcast if
-    it is measured small, else a skewed triple's rows are split.
-    """
-    ud = user_depth(events)
-    return order(_rank_join(ud, rank_ladder(ud)).selectExpr(*OUTPUT), *ORDER)
+    """Every (user, country, channel, device) row with its rank, in order."""
+    rows = ranked(user_depth(events))
+    averages, few = small_lookup(country_averages(rows))
+    out = rows.join(averages, F.expr("country <=> a_country")).selectExpr(*OUTPUT)
+    return out if few else order(out, *ORDER)
 
 
 def depth_window(events: DataFrame) -> DataFrame:
     """The rank ladder itself: how many rows share each (country, rank)."""
-    ladder = rank_ladder(user_depth(events)).select(
-        "country", "depth_score", "total_events", "users", "rank_in_country")
-    return order(ladder, "country ASC NULLS FIRST", "rank_in_country")
+    return rank_ladder(user_depth(events))
 
 
-def depth_correlated(spark: SparkSession, events: DataFrame) -> DataFrame:
+def depth_correlated(events: DataFrame) -> DataFrame:
     """The country average as the left join that the correlated scalar subquery means.
 
-    The per-country averages are broadcast after a check of their size, so the
-    user rows stay where they are; the rank comes from the ladder.
+    The join is left to adaptive execution, which measures the averages.
     """
-    ud = user_depth(events)
-    name = f"user_depth_{uuid.uuid4().hex}"
-    ud.createOrReplaceTempView(name)
-    averages = spark.sql(f"SELECT country AS a_country, ROUND(AVG(depth_score), 2) AS country_avg_depth"
-                         f" FROM {name} WHERE country IS NOT NULL GROUP BY country")
-    scored = ud.join(checked_broadcast(averages), F.expr("country = a_country"), "left").drop("a_country")
-    return order(_rank_join(scored, rank_ladder(ud), with_avg=False).selectExpr(*OUTPUT), *ORDER)
+    rows = ranked(user_depth(events))
+    averages = country_averages(rows).where("a_country IS NOT NULL")
+    return order(rows.join(averages, F.expr("country = a_country"), "left").selectExpr(*OUTPUT), *ORDER)

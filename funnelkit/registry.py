@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.operators import quality, segment, standardise as std
-from funnelkit.plans import channel, cohort, depth, funnel, home, spend, trend
-from funnelkit.session import configure, scratch_path
+from funnelkit.operators import heavy, quality, segment, standardise as std
+from funnelkit.plans import channel, cohort, depth, followup, funnel, home, runs, sketches, spend, trend
+from funnelkit.session import configure, saved, scratch_path
 from funnelkit.sources import adapters, files, ingest
 from funnelkit.sources.fixtures import clickstream, order_events, table
 from funnelkit.reports import REPORTS
@@ -115,6 +115,44 @@ def q_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _money_as_double(files.read_canonical(spark, path))
 
 
+def _ingested_damaged(spark: SparkSession, sf_dir: str) -> str:
+    """The damaged export written as CSV, ingested; the path of the published table."""
+    export = scratch_path(spark, "damaged-export")
+    adapters.raw_damaged_lines(spark, sf_dir).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(export)
+    path = scratch_path(spark, "events-damaged")
+    ingest.ingest([adapters.export_sources(spark, export)["multistore"]], path, min_rows=1)
+    return path
+
+
+def q_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reason, n: rows set aside by the ingestion of a damaged export."""
+    _prepare(spark, sf_dir)
+    return ingest.reject_counts(spark, _ingested_damaged(spark, sf_dir))
+
+
+def q_ingest_reject_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reason, line or JSON of each row set aside."""
+    _prepare(spark, sf_dir)
+    return files.read_rejects(spark, _ingested_damaged(spark, sf_dir))
+
+
+def q_ingest_damaged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that the damaged export still gives."""
+    _prepare(spark, sf_dir)
+    return _money_as_double(files.read_canonical(spark, _ingested_damaged(spark, sf_dir)))
+
+
+def q_sessions_sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches stored per week x country x channel, rolled up from the table and held against the exact rollup."""
+    _prepare(spark, sf_dir)
+    events = clickstream(spark, sf_dir)
+    return sketches.sketch_check(events, saved(sketches.session_sketches(events), "session-sketches"))
+
+
+def _top_users(events: DataFrame) -> DataFrame:
+    return heavy.top_values(events, "user_id", 20)
+
+
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark, sf_dir)
     path = files.write_csv(clickstream(spark, sf_dir), scratch_path(spark, "events-csv"))
@@ -155,11 +193,6 @@ def q_hourly_abandonment_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly.hourly_abandonment_from_files(spark, sf_dir)
 
 
-def q_depth_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark, sf_dir)
-    return depth.depth_correlated(spark, clickstream(spark, sf_dir))
-
-
 QUERIES: dict[str, Query] = {
     # every catalogue report over the clickstream fixture
     **{name: _click(report) for name, report in REPORTS.items() if name != "preview_head"},
@@ -175,6 +208,13 @@ QUERIES: dict[str, Query] = {
     "funnel_kpis_selected": _selected(funnel.funnel_kpis),
     "channel_cvr_seq_selected": _selected(funnel.channel_cvr_seq),
     "worst_market_selected": _selected(funnel.worst_market),
+    # rows that the ingestion sets aside
+    "ingest_rejects": q_ingest_rejects,
+    "ingest_reject_rows": q_ingest_reject_rows,
+    "ingest_damaged_events": q_ingest_damaged_events,
+    "sessions_sketch_rollup": q_sessions_sketch_rollup,
+    "top_users": _click(_top_users),
+    "top_users_orders": _orders(_top_users),
     "csv_roundtrip": q_csv_roundtrip,
     "table_roundtrip": q_table_roundtrip,
     "assign_dims": q_assign_dims,
@@ -182,7 +222,7 @@ QUERIES: dict[str, Query] = {
     "preview_head": q_preview_head,
     "segment_filter": q_segment_filter,
     # the country average as a join of its own
-    "depth_correlated": q_depth_correlated,
+    "depth_correlated": _click(depth.depth_correlated),
     # streaming re-aim of the hourly report (event-time hours)
     "hourly_abandonment_stream": q_hourly_abandonment_stream,
     # order-based fixture: long date range, real dimension joins
@@ -201,6 +241,10 @@ QUERIES: dict[str, Query] = {
     "home_country_funnel_orders": _orders(lambda ev: home.home_funnel(ev, "country")),
     "channel_country_matrix_orders": _orders(home.channel_country_matrix),
     "cohort_selfjoin_orders": _orders(cohort.cohort_selfjoin),
+    "cart_abandoners_2h_orders": _orders(followup.cart_abandoners),
+    "time_to_purchase_orders": _orders(followup.time_to_purchase),
+    "running_events_by_minute_orders": _orders(runs.running_events_by_minute),
+    "purchase_sequence_orders": _orders(runs.purchase_sequence),
 }
 
 # The flagship query returned by `entry`.

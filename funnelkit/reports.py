@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from funnelkit.operators import flags, quality
-from funnelkit.plans import channel, cohort, depth, funnel, home, spend, trend
+from funnelkit.plans import channel, cohort, depth, followup, funnel, home, runs, spend, trend
 
 Report = Callable[[DataFrame], DataFrame]
 
@@ -42,6 +42,12 @@ REPORTS: dict[str, Report] = {
     "channel_country_matrix": home.channel_country_matrix,
     "channel_conversion_summary": home.channel_conversion_summary,
     "overall_funnel": funnel.overall_funnel,
+    # follow-up of carts and views
+    "cart_abandoners_2h": followup.cart_abandoners,
+    "time_to_purchase": followup.time_to_purchase,
+    # long series
+    "running_events_by_minute": runs.running_events_by_minute,
+    "purchase_sequence": runs.purchase_sequence,
     # quality and profile
     "quality_checks": quality.quality_checks,
     "dataset_profile": quality.dataset_profile,

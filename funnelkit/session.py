@@ -15,7 +15,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +25,8 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # parquet timestamps without zone read as TIMESTAMP_NTZ (the fixture's type)
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # users whose value counts a task merges in a hash map before it sorts instead (modes)
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 
@@ -119,6 +122,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SCRATCH: list[str] = []
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a fresh table in the shared folder and read back: computed once, lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    return df.sparkSession.read.schema(nullable).parquet(path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the folders `scratch_path` named in this process; call it once their results were consumed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,38 +1,44 @@
-"""Ingestion: first working source -> canonical events -> staged table -> validation -> published table.
-
-The source is read once: the standardised events are written to a staging
-folder next to the output, the checks run as one column-pruned aggregate over
-that table, and only if all pass does the folder take the output's place. A
-failed run leaves the former output as it was. The table is partitioned by
-`event_type`, so reports filtering one stage (purchases for cohorts and order
-value) read only that partition.
+"""Ingestion: first working source -> canonical events and rejects -> new version -> validation -> published.
+
+The source is read once: the standardised events and the rows set aside are
+written by the same job into a fresh version of the output table, the checks run
+as one column-pruned aggregate over its events, and only if all pass is the
+version published (`files.publish`). Until then, and if anything fails on the
+way, readers see the former version. Events are partitioned by `event_type`, so
+reports filtering one stage (purchases for cohorts and order value) read only
+that partition.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from funnelkit import schema
 from funnelkit.operators.quality import quality_checks
-from funnelkit.operators.standardise import standardise
+from funnelkit.operators.standardise import standardise_with_rejects
 from funnelkit.sources import files
 from funnelkit.sources.adapters import first_successful
 
 
 def ingest(candidates: Sequence[Callable[[], DataFrame]], output: str,
            min_rows: int = schema.MIN_ROWS) -> DataFrame:
-    """The evaluated check table; `output` is replaced only when all checks pass."""
-    events = standardise(first_successful(candidates))
-    spark = events.sparkSession
-    staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    events.write.partitionBy("event_type").parquet(staged)
-    checks = quality_checks(files.read_canonical(spark, staged), min_rows)
-    rows = checks.collect()
-    if all(r.passed for r in rows):
-        files.publish(spark, staged, output)
+    """The evaluated check table; `output` gets a new current version only when all checks pass."""
+    rows = standardise_with_rejects(first_successful(candidates))
+    spark = rows.sparkSession
+    version = files.new_version(output)
+    rows.write.partitionBy("rejected", "event_type").parquet(version)
+    checks = quality_checks(files.read_canonical(spark, version), min_rows)
+    found = checks.collect()
+    if all(r.passed for r in found):
+        files.publish(spark, version)
     else:
-        files.remove(spark, staged)
-    return spark.createDataFrame(rows, checks.schema)
+        files.discard(spark, version)
+    return spark.createDataFrame(found, checks.schema)
+
+
+def reject_counts(spark: SparkSession, output: str) -> DataFrame:
+    """reason, n: how many rows the current version set aside for each reason."""
+    return files.read_rejects(spark, output).groupBy("reason").agg(F.expr("count(1) AS n"))

@@ -92,7 +92,7 @@ def test_ingest_validates_before_writing(spark):
     assert checks["row_count"] is False and not files.path_exists(spark, refused)
     accepted = scratch_path(spark, "ingest-ok")
     ingest.ingest([good], accepted, min_rows=1).collect()
-    back = spark.read.parquet(accepted)
+    back = files.read_canonical(spark, accepted)
     assert back.where("event_type = 'purchase'").count() == clickstream(spark, SF_SMALL).where(
         "event_type = 'purchase'").count()
 
