@@ -45,7 +45,7 @@ from funnelkit.llm.common import saved, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 450_000
+CACHE_PIECES = 600_000   # about 250 bytes each; as many again are kept from before
 GROUP_CHARS = 6_000_000   # of texts cut at a time
 MAGIC = b"FKT1"
 
@@ -84,11 +84,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_shard(docs: list[tuple[int | None, bytes]]) -> bytes:
     """One shard of (doc_id, ids as little-endian u32 bytes)."""
     ids = np.frombuffer(b"".join(d for _, d in docs), "<u4")
-    seen, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -count))
-    rank = np.empty(len(seen), np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
-    control, data = encode_ranks(rank[inverse])
+    count = np.bincount(ids)  # as long as the vocabulary
+    seen = np.flatnonzero(count)
+    order = np.lexsort((seen, -count[seen]))
+    rank = np.zeros(len(count), np.uint32)
+    rank[seen[order]] = np.arange(len(seen), dtype=np.uint32)
+    control, data = encode_ranks(rank[ids])
     return b"".join([
         MAGIC, struct.pack("<4Q", len(docs), len(ids), len(seen), len(data)),
         bytes(d is not None for d, _ in docs), np.array([d or 0 for d, _ in docs], "<i8").tobytes(),
@@ -152,27 +153,30 @@ class Encoder:
             raw = ids.tobytes()
             yield from map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
 
-    def _learn(self, wanted: set[str]) -> None:
-        known, marks = self.known, self.marks
-        new = wanted.difference(known)
-        if len(known) + 2 * len(new) > CACHE_PIECES:
-            self.older, self.known = known, {}
-            known, new = self.known, wanted
-        known.update((p, self.older[p]) for p in new.intersection(self.older))
-        new.difference_update(known)
+    def _learn(self, wanted: list[str]) -> list[bytes]:
+        """Ids of the pieces, which differ from each other; those not remembered are encoded together."""
+        if len(self.known) + len(wanted) > CACHE_PIECES:
+            self.older, self.known = self.known, {}
+        known, older, marks = self.known, self.older, self.marks
+        new = [p for p in wanted if p not in known]
+        if older:
+            known.update([(p, older[p]) for p in new if p in older])
+            new = [p for p in new if p not in known]
         marked = [p for p in new if p[-1:] in marks and _MARKED.match(p)]
-        plain = new.difference(marked)
-        plain.update(p[:-1] for p in marked)
-        plain.difference_update(known)
-        words = [p for p in plain if p.isalpha() and max(p) < _SETTLED]
+        apart = set(marked)
+        plain = {p: None for p in new if p not in apart}
+        plain.update((p[:-1], None) for p in marked if p[:-1] not in known)
+        letters = [p for p in plain if (p[1:] if p[:1] == "\n" else p).isalpha() and (p.isascii() or max(p) < _SETTLED)]
+        words = [p for p in letters if p[0] != "\n"]
         known.update(zip(words, self._words(words, " ", self.spaced)))
-        lines = [p for p in plain if p[:1] == "\n" and p[1:].isalpha() and max(p) < _SETTLED]
+        lines = [p for p in letters if p[0] == "\n"]
         known.update(zip(lines, self._words([p[1:] for p in lines], "\n", self.feed)))
-        plain = list(plain.difference(words, lines))
-        for at in range(0, len(plain), 10_000):
-            part = plain[at:at + 10_000]
+        rest = [p for p in plain if p not in known]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at:at + 10_000]
             known.update(zip(part, self._ids([p if p[:1] == "\n" else " " + p for p in part])))
-        known.update((p, known[p[:-1]] + marks[p[-1]]) for p in marked)
+        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in marked])
+        return [known[p] for p in wanted]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         odd = [_odd(t) or any(a in t for a in self.added) for t in texts]
@@ -196,8 +200,7 @@ class Encoder:
         cut = pc.split_pattern(lines, " ")
         pieces = cut.flatten().dictionary_encode()
         different, code = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
-        self._learn(set(different))
-        ids = [self.known[p] for p in different]
+        ids = self._learn(different)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
         n = size[code]
