@@ -45,7 +45,7 @@ from funnelkit.llm.common import saved, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 600_000   # about 250 bytes each; as many again are kept from before
+CACHE_PIECES = 800_000   # about 250 bytes each; as many again are kept from before
 GROUP_CHARS = 6_000_000   # of texts cut at a time
 MAGIC = b"FKT1"
 
@@ -53,7 +53,9 @@ MAGIC = b"FKT1"
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 #: White space but the space and the line feed.
-_OTHER_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
+_OTHER_SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
+#: Texts that are not cut: empty, or with other white space than single spaces and line feeds between other characters.
+_ODD = f"^$|^[ \n]|[ \n]$|[ \n][ \n]|{_OTHER_SPACE}"
 _MARKS = ".,\n"
 #: A piece of letters of long-settled scripts (Latin, Greek, Cyrillic) with a mark at its end.
 _MARKED = re.compile("\n?[^\\W\\d_\u0530-\U0010ffff]+[.,]$")
@@ -115,12 +117,6 @@ def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if h else None for h, d in zip(has, docs)], counts.astype(np.int64), ids
 
 
-def _odd(text: str) -> bool:
-    """Other white space than single spaces and line feeds between other characters."""
-    return (not text or text[0] in " \n" or text[-1] in " \n" or any(w in text for w in ("  ", "\n\n", " \n", "\n "))
-            or _OTHER_SPACE.search(text) is not None)
-
-
 class Encoder:
     """Ids of texts as little-endian u32 bytes, through the tokenizers library and a memory of pieces."""
 
@@ -129,7 +125,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.odd = "|".join([_ODD, *map(re.escape, sorted(added))])
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how the vocabulary writes a space
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -179,7 +176,7 @@ class Encoder:
         return [known[p] for p in wanted]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [_odd(t) or any(a in t for a in self.added) for t in texts]
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.odd).to_pylist()
         whole = iter(self._ids([t for t, o in zip(texts, odd) if o]))
         plain = iter(self._pieced([t for t, o in zip(texts, odd) if not o]))
         return [next(whole if o else plain) for o in odd]
