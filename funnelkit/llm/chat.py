@@ -52,7 +52,7 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def prefixes(numbered: DataFrame) -> DataFrame:
     """(conv_id, pos, h1, h2): the rolling hash of each turn prefix."""
-    marks = [F.xxhash64("pos", F.isnull("role"), "role", F.isnull("text"), "text", F.lit(s)) for s in SEEDS]
+    marks = [F.xxhash64(F.lit(s), "pos", F.isnull("role"), "role", F.isnull("text"), "text") for s in SEEDS]
     rows = numbered.select("conv_id", "chunk", "pos", marks[0].alias("m1"), marks[1].alias("m2"))
     inner = Window.partitionBy("conv_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("conv_id", "chunk", "pos", *[F.bit_xor(m).over(inner).alias(m) for m in ("m1", "m2")])

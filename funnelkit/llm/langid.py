@@ -42,8 +42,11 @@ _RUN = re.compile(r"[^\W\d_]+")
 
 
 def runs(text: str) -> list[str]:
-    """The text's runs of letters, lower-cased."""
-    return _RUN.findall(text.lower())
+    """The text's runs of letters (Unicode categories L), lower-cased; `½` or `Ⅷ` is none."""
+    found = _RUN.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def pieces(run: str) -> list[bytes]:

@@ -213,7 +213,7 @@ def shards(fps: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT)
         crowded = saved(rows.groupBy("key").count().where(F.col("count") > shard_limit).select("key"), "simhash-crowded")
         last = level == 2 or crowded.isEmpty()
         keep = rows.select("key", "fp") if last else rows.join(crowded, "key", "left_anti").select("key", "fp")
-        keep = keep.withColumn("key", F.col("key") * 4 + level)
+        keep = keep.withColumn("key", F.shiftleft("key", 2).bitwiseOR(F.lit(level).cast("long")))  # keys may wrap: shards merge
         done = keep if done is None else done.union(keep)
         if last:
             return done
@@ -254,19 +254,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, all columns, of one document a component: that with the smallest doc_id.
 
-    Rows that share a kept doc_id collapse to the one with the smallest text.
-    Rows without a doc_id stay, as nothing names them.
+    A document is a (doc_id, fingerprint): rows that share an id but not the
+    fingerprint are judged each by its own component, and rows that share both
+    collapse to the one with the smallest text. Rows without a doc_id stay, as
+    nothing names them.
     """
     found = near_duplicates(docs, **how)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost_id")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left_anti")
-    again = saved(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__again_id")).count()
-                  .where("count > 1").select("__again_id"), "simhash-again")
+    named = found.where("doc_id IS NOT NULL")
+    again = saved(named.groupBy(F.col("doc_id").alias("__again_id")).count().where("count > 1").select("__again_id"), "simhash-again")
+    lost = named.where("doc_id <> component_id").select(F.col("doc_id").alias("__lost_id")).distinct()
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept["doc_id"] == again["__again_id"], "left_anti")
-    more = kept.join(again, kept["doc_id"] == again["__again_id"], "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    picked = more.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.min_by(whole, F.coalesce(F.col("text"), F.lit(""))).alias("__row"))
+        return docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left_anti")
+    gone = lost.union(again).distinct()
+    once = docs.join(gone, docs["doc_id"] == gone["__lost_id"], "left_anti")
+    # ids that several rows share: their fingerprints are taken again, row by row
+    shared = docs.join(again, docs["doc_id"] == again["__again_id"], "left_semi")
+    rows = saved(shared.select(F.monotonically_increasing_id().alias("__at"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"),
+                               F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), "simhash-shared")
+    marks = fingerprints(rows.select(F.col("__at").alias("doc_id"), F.col("__text").alias("text")), how.get("shingle", SHINGLE))
+    stays = named.where("doc_id = component_id").select(F.col("doc_id").alias("__stay_id"), F.col("fp").alias("__stay_fp")).distinct()
+    picked = (rows.join(marks.select(F.col("doc_id").alias("__mark"), "fp"), F.col("__at") == F.col("__mark"))
+              .join(stays, (F.col("__id") == F.col("__stay_id")) & (F.col("fp") == F.col("__stay_fp")))
+              .groupBy("__id", "fp").agg(F.min_by("__row", F.coalesce(F.col("__text"), F.lit(""))).alias("__row")))
     return once.union(picked.select("__row.*"))

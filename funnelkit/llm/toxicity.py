@@ -1,15 +1,14 @@
 """Operator 6: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are a text's lower-cased words and their prefixes of 4 to 6 letters (an
-insult's stem stays the same under its endings), and for terms that come back
-the marks `#2` and `#3` (a stem that stands once by chance differs from one used
-again and again, which a vector's direction alone does not show). Texts
-are unit vectors over all their terms: (1 + log count) x idf x label factor. The
-idf is over every document, counted by Spark for all terms of the examples; a
-term that no example holds weighs as one of a single document (it can only
-lengthen a vector, which changes no rank). The label factor, sqrt(`EVEN` +
-log-likelihood ratio / `RATIO`) over the examples, lets the terms that depend on
-the label speak louder and silences none.
+Terms are the stems of a text's lower-cased words, their first `STEM` letters (an
+insult's stem stays the same under its endings), known by 64-bit hashes. Texts
+are unit vectors over all their terms: count x log(1 + n / df) x label factor. df
+is over every document, counted by Spark for all terms of the examples; a term
+that no example holds weighs as one of a single document (it only lengthens a
+vector, which changes no rank). The label factor, sqrt(1 + log-likelihood ratio /
+`RATIO`) over the examples, lets terms whose presence depends on the label speak
+louder and silences none: without it, by plain TF-IDF, a few insults drown in the
+prose around them (see the README for figures).
 
 The examples form a block-max inverted index: a term's postings are cut into
 blocks of `BLOCK` examples, each with the largest weight in it. A query adds up
@@ -17,24 +16,28 @@ query weight x block maximum for an upper bound a block, visits blocks from the
 largest bound on, scores their examples exactly and stops once no bound can
 beat the k-th best: the k nearest are exact.
 
-Copies among the examples would pass for evidence, so only one of the sample's
-texts within `COPY_BITS` SimHash bits of each other is an example. Votes are
-weighted by the square of similarity (1 - distance) against a prior of base-rate
-votes; Platt scaling fitted on the sample itself (each example scored without
-itself) turns the vote share into the score. A text that shares no term with any
-example (an empty one) has no neighbour and is scored by the rate of label 1
-among such examples.
+Copies among the examples would pass for evidence, so of the sample's texts
+within `COPY_BITS` SimHash bits of each other only the first is an example, and
+none if their labels differ. Votes are weighted by similarity (1 - distance)
+against a prior of base-rate votes. k and a Platt curve are chosen on the sample
+itself, each example scored without itself and both labels counting alike: a
+score is the probability of label 1 at even odds. A text that shares no term with
+any example (an empty one) has no neighbour and is scored by the rate of label 1.
+
+Texts are worked on in batches: Arrow numbers the different stems, numpy counts
+(document, term) pairs by sorting. Nothing but the sample's texts and arrays over
+its terms reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,153 +47,104 @@ from funnelkit.llm.simhash import majority, shingle_hashes
 HELD_OUT_FOLDS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 1500        # a label; the sample's bound
 SAMPLE_CHARS = 200_000    # longer labelled texts are not examples (all texts are scored whole)
-EVEN, RATIO = 0.1, 25.0    # label factor of a term: sqrt(EVEN + log-likelihood ratio / RATIO)
-PREFIXES = (4, 5, 6)
-REPEATS = (2, 3)
+STEM = 4
+RATIO = 25.0              # log-likelihood ratio that adds 1 to the square of a term's label factor
 BLOCK = 64
 FIRST_BLOCKS = 8          # blocks scored before the bounds are compared with the k-th best
-MEMORY = 300_000          # words a task remembers
-NEIGHBOURS = 15
-PRIOR_VOTES = 0.5
-COPY_BITS = 12
+NEIGHBOURS = (10, 15, 20, 40)  # k is the one with the least log loss on the sample
+PRIOR_VOTES = 0.1
+COPY_BITS = 3
 THRESHOLD = 0.7
-
-_WORD = re.compile(r"[^\W_]+")
-
-
-def term_counts(text: str) -> Counter:
-    """Words and prefixes (marked by a trailing `*`) of the whole text."""
-    found = Counter(_WORD.findall(text.lower()))
-    out = Counter(found)
-    for w, n in found.items():
-        for k in PREFIXES:
-            if len(w) >= k:
-                out[w[:k] + "*"] += n
-    return out + repeats(out)
-
-
-def repeats(counts: dict[str, int]) -> Counter:
-    """The marks of the terms that stand at least so many times."""
-    return Counter(f"{t}#{k}" for t, n in counts.items() for k in REPEATS if n >= k)
-
-
-def label_factors(texts: list[Counter], labels: list[int]) -> dict[str, float]:
-    """Term -> how much louder it speaks: never 0, the more its presence depends on the label the higher."""
-    n, n1 = len(labels), sum(labels)
-    df, df1 = Counter(), Counter()
-    for c, y in zip(texts, labels):
-        df.update(c.keys())
-        if y:
-            df1.update(c.keys())
-    out = {}
-    for t, a in df.items():
-        b = df1[t]
-        parts = ((b, a * n1 / n), (a - b, a * (n - n1) / n), (n1 - b, (n - a) * n1 / n),
-                 (n - n1 - a + b, (n - a) * (n - n1) / n))
-        ratio = 2 * sum(seen * math.log(seen / due) for seen, due in parts if seen)
-        out[t] = math.sqrt(EVEN + max(0.0, ratio) / RATIO)
-    return out
-
-
-class Terms:
-    """Counts of a text's terms by number: those of `column` keep theirs, all others are numbered from its length on.
-
-    Words are remembered up to a bound, then the memory starts anew.
-    """
-
-    def __init__(self, column: dict[str, int]) -> None:
-        self.column, self.size = column, len(column)
-        self.marks = [np.full(self.size, self.size) for _ in REPEATS]  # of each term: its marks' numbers
-        for t, i in column.items():
-            plain, mark, k = t.partition("#")
-            if mark and plain in column:
-                self.marks[REPEATS.index(int(k))][column[plain]] = i
-        self.reset()
-
-    def reset(self) -> None:
-        self.of: dict[str, tuple[int, ...]] = {}
-        self.new: dict[str, int] = {}
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        parts, column, new, size = [word], self.column, self.new, self.size
-        parts += [word[:k] + "*" for k in PREFIXES if len(word) >= k]
-        return tuple([column[t] if t in column else size + new.setdefault(t, len(new)) for t in parts])
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers ascending, counts) of the whole text; marks without a number of their own come as `size`."""
-        found = Counter(_WORD.findall(text.lower()))
-        if len(self.of) > MEMORY:
-            self.reset()
-        of, ids, times = self.of, [], []
-        for w, n in found.items():
-            known = of.get(w)
-            if known is None:
-                known = of[w] = self.numbers(w)
-            ids += known
-            times += [n] * len(known)
-        plain, back = np.unique(np.array(ids, np.int64), return_inverse=True)
-        counts = np.bincount(back, times, len(plain)) if ids else np.zeros(0)
-        known = int(np.searchsorted(plain, self.size))
-        at, n = [plain], [counts]
-        for k, marks in zip(REPEATS, self.marks):
-            at += [marks[plain[:known][counts[:known] >= k]], np.full(int((counts[known:] >= k).sum()), self.size)]
-            n += [np.ones(len(x)) for x in at[-2:]]
-        at, n = np.concatenate(at), np.concatenate(n)
-        order = np.argsort(at, kind="stable")
-        return at[order], n[order]
-
+BATCH_CHARS = 4_000_000   # of texts worked on at a time
+
+_STEM = re.compile(rf"([^\W_]{{1,{STEM}}})[^\W_]*")
+
+
+# ------------------------------------------------------------- terms of many texts
+
+def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term hash, count) of every term of whole texts, by text."""
+    found = [_STEM.findall(t.lower()) for t in texts]
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    flat = pa.array([w for words in found for w in words], pa.large_string()).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], np.uint64)
+    n = max(1, len(hashes))
+    keys, counts = np.unique(np.repeat(np.arange(len(texts)), lengths) * n + flat.indices.to_numpy(), return_counts=True)
+    return keys // n, hashes[keys % n], counts
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Slices of the texts of about `BATCH_CHARS` characters, with the number of the first."""
+    at = 0
+    while at < len(texts):
+        start, chars = at, 0
+        while at < len(texts) and (at == start or chars + len(texts[at]) <= BATCH_CHARS):
+            chars += len(texts[at])
+            at += 1
+        yield start, texts[start:at]
+
+
+class Weights:
+    """Hashes of the examples' terms (ascending) and the idf of each; any other term has `unseen`."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, unseen: float) -> None:
+        self.terms, self.idf, self.unseen = terms, idf, unseen
+
+    def columns(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of terms, -1 for others."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1)
+
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(columns ascending, weights) of each text's unit vector; terms that no example holds only lengthen it."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, part in _pieces(texts):
+            doc, hashes, counts = term_counts(part)
+            column = self.columns(hashes)
+            w = counts * np.where(column >= 0, self.idf[column] if len(self.idf) else 0.0, self.unseen)
+            norm = np.sqrt(np.bincount(doc, w * w, len(part)))
+            held = column >= 0
+            doc, column, w = doc[held], column[held], w[held] / norm[doc[held]]
+            order = np.lexsort((column, doc))
+            doc, column, w = doc[order], column[order], w[order]
+            ends = np.searchsorted(doc, np.arange(len(part) + 1))
+            out += [(column[a:b], w[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return out
+
+
+# ------------------------------------------------------------- the index
 
 class Index:
-    """Block-max inverted index over labelled unit vectors; `unseen` is the weight of a term that `idf` does not hold."""
+    """Block-max inverted index over labelled unit vectors (columns ascending, weights)."""
 
-    def __init__(self, idf: dict[str, float], ids: list[int], vectors: list, labels: list[int], unseen: float = 0.0) -> None:
-        self.idf, self.unseen, self.ids, self.labels = idf, unseen, ids, np.array(labels, np.float64)
-        self.column = {t: i for i, t in enumerate(idf)}
-        self.weights = np.fromiter(idf.values(), np.float64, len(idf))
+    def __init__(self, n_terms: int, vectors: list, ids: list, labels: list[int]) -> None:
+        self.ids, self.labels = ids, np.array(labels, np.float64)
         self.blocks = max(1, -(-len(vectors) // BLOCK))
-        flat = [self._arrays(v) for v in vectors]
-        at = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in flat)])
-        example = np.repeat(np.arange(len(flat)), [len(c) for c, _ in flat]) if flat else np.zeros(0, np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in vectors)])
+        example = np.repeat(np.arange(len(vectors)), [len(c) for c, _ in vectors]) if vectors else np.zeros(0, np.int64)
         order = np.lexsort((example, at))
         self.example = example[order].astype(np.int32)
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in flat)])[order]
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
         cell = at[order] * self.blocks + self.example // BLOCK
         self.cells, starts = np.unique(cell, return_index=True)  # the (term, block) pairs that hold postings
         self.starts = np.append(starts, len(cell))
         self.maxima = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
-        self.of_term = np.searchsorted(self.cells, np.arange(len(idf) + 1) * self.blocks)
-
-    def _arrays(self, vector) -> tuple[np.ndarray, np.ndarray]:
-        """(columns ascending, weights) of a vector by term or of one that is in that form."""
-        if not isinstance(vector, dict):
-            return vector
-        pairs = sorted((self.column[t], w) for t, w in vector.items() if t in self.column)
-        return np.array([c for c, _ in pairs], np.int64), np.array([w for _, w in pairs], np.float64)
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf.get(t, self.unseen) for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items() if t in self.idf} if norm else {}
-
-    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """`vector` of numbered terms, as (columns, weights)."""
-        known = int(np.searchsorted(at, len(self.weights)))
-        w = 1 + np.log(counts)
-        w[:known] *= self.weights[at[:known]]
-        w[known:] *= self.unseen
-        return at[:known], w[:known] / (math.sqrt(float(w @ w)) or 1.0)
-
-    def nearest(self, vector, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
+        self.of_term = np.searchsorted(self.cells, np.arange(n_terms + 1) * self.blocks)
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples (similarity, example), ties to the smaller example; none of similarity 0."""
-        cols, weights = self._arrays(vector)
+        cols, weights = vector
         cell, q = _ranges(self.of_term[cols], self.of_term[cols + 1], weights)
         if not len(cell):
             return []
         block = self.cells[cell] % self.blocks
         bounds = np.bincount(block, q * self.maxima[cell], self.blocks)
         order = np.argsort(-bounds, kind="stable")
+        first = max(FIRST_BLOCKS, -(-2 * k // BLOCK))
         best: list[tuple[float, int]] = []
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+        for part in (order[:first], order[first:]):
             least = best[-1][0] - 1e-9 if len(best) == k else 0.0
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = (bounds[part] > 0) & (bounds[part] >= least)
@@ -202,7 +156,7 @@ class Index:
             top = np.flatnonzero(scores > 0)
             if len(top) > k:
                 top = top[scores[top] >= np.partition(scores[top], -k)[-k]]
-            best = sorted([*best, *((float(scores[i]), i) for i in top.tolist())], key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted([*best, *zip(scores[top].tolist(), top.tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
@@ -215,96 +169,124 @@ def _ranges(lo: np.ndarray, hi: np.ndarray, weights: np.ndarray) -> tuple[np.nda
 
 
 class Model:
-    """Index, base rates and the calibration of the vote share."""
-
-    def __init__(self, index: Index, base: float, alone: float, a: float, b: float) -> None:
-        self.index, self.base, self.alone, self.a, self.b = index, base, alone, a, b
-        self.terms = Terms(index.column)
+    """Weights, index, k, base rates and the calibration of the vote share."""
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "terms": Terms(self.index.column)}
+    def __init__(self, weights: Weights, index: Index, k: int, base: float, rate: float, a: float, b: float) -> None:
+        self.weights, self.index, self.k, self.base, self.rate, self.a, self.b = weights, index, k, base, rate, a, b
 
     def share(self, near: list[tuple[float, int]]) -> float:
-        votes = sum(s * s for s, _ in near)
-        return (sum(s * s * self.index.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (votes + PRIOR_VOTES)
+        """Share of label 1 among the votes, with a prior of the sample's base rate."""
+        votes = sum(s for s, _ in near)
+        return (sum(s * self.index.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (votes + PRIOR_VOTES)
+
+    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
+        """(score, neighbours) of a text's vector."""
+        near = self.index.nearest(vector, self.k)
+        return (float(_sigmoid(self.a * self.share(near) + self.b)) if near else self.rate), near
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """(score, neighbours) of a whole text."""
-        near = self.index.nearest(self.index.unit(*self.terms(text)))
-        if not near:
-            return self.alone, near
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.share(near) + self.b)))), near
+
+def balanced(labels: np.ndarray) -> np.ndarray:
+    """A weight a row, so that both labels weigh as much together."""
+    n1 = labels.sum()
+    return len(labels) * np.where(labels == 1, 0.5 / max(1.0, n1), 0.5 / max(1.0, len(labels) - n1))
 
 
 def platt(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and offset of a logistic fit with smoothed targets, by Newton steps with a ridge."""
+    """Slope (at least 0) and offset of a balanced logistic fit with smoothed targets, by Newton steps with a ridge."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    y = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    y, each = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), balanced(labels)
     x, w = np.stack([shares, np.ones_like(shares)], 1), np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
+        p = _sigmoid(x @ w)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (each * (y - p)) - 1e-3 * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return max(0.0, float(w[0])), float(w[1])
 
 
-def without_copies(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """The rows but those whose text is within `COPY_BITS` of an earlier one's; label 1 comes first, then doc_id."""
-    rows = sorted(rows, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1]))
+def without_copies(rows: list[tuple[int | None, str, int]]) -> list[tuple[int | None, str, int]]:
+    """One row, the first by doc_id, of those within `COPY_BITS` of each other; none where their labels differ."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     fps = majority([shingle_hashes(t) for _, t, _ in rows])
-    kept: list[int] = []
+    kept, mixed = [], set()
     for i in range(len(rows)):
-        if not kept or np.bitwise_count(fps[kept] ^ fps[i]).min() > COPY_BITS:
+        near = [kept[j] for j in np.flatnonzero(np.bitwise_count(fps[kept] ^ fps[i]) <= COPY_BITS)] if kept else []
+        if not near:
             kept.append(i)
-    return [rows[i] for i in kept]
-
-
-def train(rows: list[tuple[int, str, int]], count_df) -> Model:
-    """From (doc_id, text, label) examples; without any, no text has a neighbour and all scores are 0.
-
-    `count_df` gives, for a list of terms, the number of all documents and how many hold each term.
+        mixed.update(j for j in near if rows[j][2] != rows[i][2])
+    return [rows[i] for i in kept if i not in mixed]
+
+
+def label_factors(terms: np.ndarray, texts: list[str], labels: list[int]) -> np.ndarray:
+    """Of each term: 1 if its presence says nothing about the label, more the more it does."""
+    known, y = Weights(terms, np.zeros(len(terms)), 0.0), np.array(labels, np.float64)
+    n, n1 = float(len(labels)), float(sum(labels))
+    holds, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+    for start, part in _pieces(texts):
+        doc, hashes, _ = term_counts(part)
+        column = known.columns(hashes)
+        holds += np.bincount(column, minlength=len(terms))
+        toxic += np.bincount(column, y[start + doc], minlength=len(terms))
+    ratio = np.zeros(len(terms))
+    for seen, due in ((toxic, holds * n1), (holds - toxic, holds * (n - n1)), (n1 - toxic, (n - holds) * n1),
+                      (n - n1 - holds + toxic, (n - holds) * (n - n1))):
+        some = seen > 0
+        ratio[some] += 2 * seen[some] * np.log(seen[some] * n / due[some])
+    return np.sqrt(1 + np.maximum(0.0, ratio) / RATIO)
+
+
+def train(rows: list[tuple[int | None, str, int]], rate: float, count_df) -> Model:
+    """From (doc_id, text, label) examples and the rate of label 1 among all labelled rows.
+
+    `count_df` gives, for term hashes, the number of all documents and how many
+    hold each term. Without examples no text has a neighbour and all score `rate`.
     """
     rows = without_copies(rows)
-    rows = [(rows[i], c) for i, c in enumerate(term_counts(t) for _, t, _ in rows)]
-    rows.sort(key=lambda r: _lead(r[1]))  # blocks of one language have low bounds for texts of another
-    counts, rows = [c for _, c in rows], [r for r, _ in rows]
-    labels = [y for _, _, y in rows]
-    factor = label_factors(counts, labels)
-    n, df = count_df(list(factor))
-    weight = {t: f * math.log(1 + n / max(1, d)) for (t, f), d in zip(factor.items(), df)}
-    blank = Index(weight, [], [], [], math.sqrt(EVEN) * math.log(1 + n))
-    vectors = [blank._arrays(blank.vector(c)) for c in counts]
-    held = [i for i, v in enumerate(vectors) if len(v[0])]
-    index = Index(weight, [rows[i][0] for i in held], [vectors[i] for i in held], [labels[i] for i in held], blank.unseen)
-    base = sum(labels) / len(labels) if labels else 0.0
-    bare = [y for v, y in zip(vectors, labels) if not len(v[0])]
-    alone = (sum(bare) + base) / (len(bare) + 1)
-    model = Model(index, base, alone, 1.0, 0.0)
-    if held:
-        shares = np.array([model.share(index.nearest(vectors[i], skip=k)) for k, i in enumerate(held)])
-        model.a, model.b = platt(shares, index.labels)
+    texts = [t for _, t, _ in rows]
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(term_counts(part)[1] for _, part in _pieces(texts))]))
+    n, df = count_df(terms)
+    factors = label_factors(terms, texts, [y for *_, y in rows])
+    weights = Weights(terms, factors * np.log1p(n / np.maximum(1, df)), math.log1p(n))
+    vectors = weights.vectors(texts)
+    # blocks of texts with the same heaviest common term have low bounds for the others
+    lead = [int(c[np.argmax(df[c])]) if len(c) else -1 for c, _ in vectors]
+    order = [i for i in sorted(range(len(rows)), key=lambda i: (lead[i], i)) if len(vectors[i][0])]
+    index = Index(len(terms), [vectors[i] for i in order], [rows[i][0] for i in order], [rows[i][2] for i in order])
+    base = sum(y for *_, y in rows) / len(rows) if rows else 0.0
+    model = Model(weights, index, NEIGHBOURS[0], base, rate, 1.0, 0.0)
+    if not order:
+        return model
+    nearest = [index.nearest(vectors[i], max(NEIGHBOURS), skip=at) for at, i in enumerate(order)]
+    fits = []
+    for k in NEIGHBOURS:
+        shares = np.array([model.share(near[:k]) for near in nearest])
+        a, b = platt(shares, index.labels)
+        p = _sigmoid(a * shares + b)
+        loss = -np.log(np.where(index.labels == 1, p, 1 - p))
+        fits.append((float(np.mean(balanced(index.labels) * loss)), k, a, b))
+    _, model.k, model.a, model.b = min(fits)
     return model
 
 
-def _lead(counts: Counter) -> tuple[int, str]:
-    """The most frequent plain word, as a sort key."""
-    return min(((-n, t) for t, n in counts.items() if t[-1] != "*" and "#" not in t), default=(0, ""))[::-1]
-
+# ------------------------------------------------------------- Spark side
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """(number of rows, rows that hold each term) over the whole table; a task sends one row a term it met."""
-    column = {t: i for i, t in enumerate(terms)}
+    known = Weights(terms, np.zeros(len(terms)), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, df, rows = Terms(column), np.zeros(len(column), np.int64), 0
+        df, rows = np.zeros(len(known.terms), np.int64), 0
         for batch in text_batches(batches):
             rows += batch.num_rows
-            for text in texts_of(batch):
-                at, _ = count(text)
-                df[at[:np.searchsorted(at, len(df))]] += 1
+            for _, part in _pieces(texts_of(batch)):
+                column = known.columns(term_counts(part)[1])
+                df += np.bincount(column[column >= 0], minlength=len(df))
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(df[met], rows))], ["term", "n"])
 
@@ -325,19 +307,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     marks = (labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
              .where("toxic in (0, 1) and __id is not null").where(fold(F.col("__id"), HELD_OUT_FOLDS) != HELD_OUT)
              .groupBy("__id").agg(F.max("toxic").alias("toxic")))
+    rate = marks.agg(F.avg("toxic").alias("rate")).first()["rate"] or 0.0
     chosen = F.broadcast(sample_by_hash(marks, F.col("__id"), ["toxic"], sample_rows, seed=6))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(chosen, F.col("doc_id") == F.col("__id")).where(F.length("text") <= SAMPLE_CHARS)
     sample = [(r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()]
-    return train(sample, lambda terms: document_frequencies(rows, terms))
+    return train(sample, float(rate), lambda terms: document_frequencies(rows, terms))
 
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             scores, evidence = [], []
-            for text in texts_of(batch):
-                s, near = model.score(text)
+            for vector in model.weights.vectors(texts_of(batch)):
+                s, near = model.score(vector)
                 scores.append(s)
                 evidence.append(",".join(f"{model.index.ids[i]}:{sim:.4f}:{int(model.index.labels[i])}" for sim, i in near[:5]))
             yield pa.RecordBatch.from_arrays(

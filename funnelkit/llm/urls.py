@@ -63,7 +63,7 @@ def path_of(url: Column) -> Column:
 def rule_column(host: Column, path: Column, rules=None) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; equally long ones: the first stated."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for suffix, prefix, what in sorted(RULES if rules is None else rules, key=lambda r: len(r[0] + r[1])):
+    for suffix, prefix, what in sorted(reversed(RULES if rules is None else rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == suffix) | host.endswith("." + suffix)) & path.startswith(prefix)
         rule = F.when(fits, F.lit(suffix + prefix)).otherwise(rule)
         verdict = F.when(fits, F.lit(what)).otherwise(verdict)

@@ -128,9 +128,11 @@ def test_op8_edge_cases(spark):
     assert simhash.keep_one(_edge(spark).limit(0)).collect() == []
 
 
-def test_keep_one_collapses_repeated_ids(spark):
-    docs = spark.createDataFrame([(1, "b b b b"), (1, "a a a a"), (1, None), (2, "q w e r")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(1, None), (2, "q w e r")]
+def test_keep_one_judges_rows_by_id_and_fingerprint(spark):
+    docs = spark.createDataFrame([(1, "b b b b"), (1, "a a a a"), (1, "a a a a"), (1, None), (2, "q w e r"), (3, "same text here now"),
+                                  (5, "same text here now"), (5, "totally different words go here too")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in simhash.keep_one(docs).collect()) == [
+        (1, ""), (1, "a a a a"), (1, "b b b b"), (2, "q w e r"), (3, "same text here now"), (5, "totally different words go here too")]
 
 
 # ------------------------------------------------------------ exact duplicates

@@ -198,20 +198,26 @@ def test_op5_edge_cases(spark):
 
 # ------------------------------------------------------------ op6
 
+def _vector(rng, n_terms, most):
+    cols = np.array(sorted(rng.sample(range(n_terms), rng.randint(1, most))))
+    w = np.array([rng.uniform(0.1, 3) for _ in cols])
+    return cols, w / np.linalg.norm(w)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000))
-def test_block_max_search_is_exact(seed):
+@given(st.integers(0, 10_000), st.sampled_from([1, 10, 40]))
+def test_block_max_search_is_exact(seed, k):
     rng = random.Random(seed)
-    terms = [f"t{i}" for i in range(12)]
-    idf = {t: rng.uniform(0.5, 3) for t in terms}
-    blank = toxicity.Index(idf, [], [], [])
-    vectors = [blank.vector({t: rng.randint(1, 4) for t in rng.sample(terms, rng.randint(1, 5))}) for _ in range(300)]
-    index = toxicity.Index(idf, list(range(300)), vectors, [i % 2 for i in range(300)])
-    query = blank.vector({t: rng.randint(1, 3) for t in rng.sample(terms, 3)})
-    sims = [(round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors)]
-    want = sorted((x for x in sims if x[0] > 0), key=lambda x: (-x[0], x[1]))[:toxicity.NEIGHBOURS]
-    got = index.nearest(query)
-    assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-9)
+    vectors = [_vector(rng, 12, 5) for _ in range(300)]
+    index = toxicity.Index(12, vectors, list(range(300)), [i % 2 for i in range(300)])
+    query = _vector(rng, 12, 3)
+    dense = np.zeros((301, 12))
+    for i, (c, w) in enumerate([*vectors, query]):
+        dense[i, c] = w
+    sims = [(round(float(s), 12), i) for i, s in enumerate(dense[:300] @ dense[300])]
+    want = sorted((x for x in sims if x[0] > 0), key=lambda x: (-x[0], x[1]))[:k]
+    got = index.nearest(query, k)
+    assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-9) and len(got) == len(want)
 
 
 def test_op6_separates_held_out_documents(spark):
@@ -233,19 +239,64 @@ def test_op6_edge_cases(spark):
     assert toxicity.score(_docs(spark).limit(0), toxicity.fit(_docs(spark).limit(0), labels)).collect() == []
 
 
-def test_op6_all_terms_count_over_all_documents(spark):
-    ids = [i for i in range(1, 60) if common.fold_of(i, toxicity.HELD_OUT_FOLDS) != toxicity.HELD_OUT][:2]
-    texts = {ids[0]: "river stone", ids[1]: "Gamma delta gamma", 100: "a gamma here", 101: "gamma gamma", 102: "", 103: "stone 5"}
+def _stems(text):
+    return Counter(w[:4] for w in re.findall(r"[^\W_]+", text.lower()))
+
+
+def test_op6_equals_brute_force_on_a_small_table(spark):
+    """Stems, df over all documents, label factors, cosines, neighbours, votes and scores, in plain Python."""
+    words = ["river", "stone", "gamma", "delta", "rivers", "stoned", "x9", "été", "a", "over", "overt", "moss"]
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(3, 9))) + (" vile" * rng.randint(1, 2) if i % 5 == 0 else "") for i in range(1, 90)}
+    texts |= {200: "", 201: None, 202: "---", 203: "unseen words only " * 3}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    marks = spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, marks)
-    terms = {d: toxicity.term_counts(t) for d, t in texts.items()}
-    factors = toxicity.label_factors([terms[i] for i in ids], [0, 1])
-    assert set(model.index.idf) == set(terms[ids[0]]) | set(terms[ids[1]])
-    for t, w in model.index.idf.items():
-        assert np.isclose(w, factors[t] * np.log(1 + len(texts) / sum(t in c for c in terms.values()))) and w > 0
-    near = {r.doc_id: [e.split(":")[0] for e in r.evidence.split(",") if e] for r in toxicity.score(docs, model).collect()}
-    assert near[100] == near[101] == [str(ids[1])] and near[103] == [str(ids[0])] and near[102] == []
+    marks = {i: int(i % 5 == 0) for i in range(1, 60)}
+    model = toxicity.fit(docs, spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"))
+    plain = {i: _stems(t or "") for i, t in texts.items()}
+    examples = [r[0] for r in toxicity.without_copies(
+        [(i, texts[i], y) for i, y in marks.items() if common.fold_of(i, toxicity.HELD_OUT_FOLDS) != toxicity.HELD_OUT])]
+    assert sorted(model.index.ids) == sorted(examples)
+    n, n1 = len(examples), sum(marks[i] for i in examples)
+
+    def weight(t):
+        idf = np.log(1 + len(texts) / sum(t in c for c in plain.values()))
+        a, b = sum(t in plain[i] for i in examples), sum(t in plain[i] and marks[i] for i in examples)
+        parts = ((b, a * n1 / n), (a - b, a * (n - n1) / n), (n1 - b, (n - a) * n1 / n), (n - n1 - a + b, (n - a) * (n - n1) / n))
+        ratio = 2 * sum(o * np.log(o / e) for o, e in parts if o)
+        return idf * np.sqrt(1 + ratio / toxicity.RATIO)
+
+    held = set().union(*[plain[i].keys() for i in examples])
+    unseen = np.log(1 + len(texts))
+
+    def unit(c):
+        v = {t: k * (weight(t) if t in held else unseen) for t, k in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(plain[i]) for i in examples}
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert set(got) == set(texts)
+    for i, c in plain.items():
+        mine = unit(c) if c else {}
+        sims = {e: round(sum(x * vectors[e].get(t, 0.0) for t, x in mine.items() if t in held), 10) for e in examples}
+        near = sorted(((s, e) for e, s in sims.items() if s > 0), key=lambda x: -x[0])
+        if not near:
+            assert got[i].evidence == "" and got[i].score == pytest.approx(model.rate)
+            continue
+        kth = near[:model.k][-1][0]
+        tied = len([s for s, _ in near if s >= kth - 1e-9]) > model.k
+        shown = [float(e.split(":")[1]) for e in got[i].evidence.split(",")]
+        assert shown == pytest.approx([s for s, _ in near[:5]], abs=1e-4)
+        if not tied:
+            votes = near[:model.k]
+            share = (sum(s * marks[e] for s, e in votes) + toxicity.PRIOR_VOTES * model.base) / (sum(s for s, _ in votes) + toxicity.PRIOR_VOTES)
+            assert got[i].score == pytest.approx(1 / (1 + np.exp(-(model.a * share + model.b))), abs=1e-6)
+
+
+def test_op6_copies_with_different_labels_are_no_examples():
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, 0), (2, long, 1), (3, long, 0), (4, "some other text of several words", 1), (5, "some other text of several words", 1)]
+    assert [r[0] for r in toxicity.without_copies(rows)] == [4]
 
 
 # ------------------------------------------------------------ op7
@@ -469,3 +520,7 @@ def test_op10_edge_cases(spark):
 def test_folds_agree_with_plain_python(spark):
     rows = spark.createDataFrame([(i,) for i in [None, 0, 5, -3, 10**12]], "d long").select("d", common.fold(F.col("d"), 4).alias("f"))
     assert all(r.f == common.fold_of(r.d, 4) for r in rows.collect())
+
+
+def test_op10_only_letters_make_runs():
+    assert langid.runs("½ ² 12 Ⅷ _ ①") == [] and langid.runs("a½b Äx2") == ["a", "b", "äx"]
