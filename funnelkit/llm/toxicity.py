@@ -51,6 +51,8 @@ STEM = 4
 RATIO = 25.0              # log-likelihood ratio that adds 1 to the square of a term's label factor
 BLOCK = 64
 FIRST_BLOCKS = 8          # blocks scored before the bounds are compared with the k-th best
+FREQUENT = 0.1            # terms of a larger part of the examples stand in a matrix
+QUERIES = 256             # texts whose products are taken together
 NEIGHBOURS = (10, 15, 20, 40)  # k is the one with the least log loss on the sample
 PRIOR_VOTES = 0.1
 COPY_BITS = 3
@@ -117,30 +119,62 @@ class Weights:
 # ------------------------------------------------------------- the index
 
 class Index:
-    """Block-max inverted index over labelled unit vectors (columns ascending, weights)."""
+    """Block-max inverted index over labelled unit vectors (columns ascending, weights).
+
+    Terms of over a `FREQUENT` part of the examples would list nearly all of them
+    in every block: their weights stand as rows of a matrix, and one product gives
+    their exact part of all similarities of many queries. The other terms have
+    postings in blocks with their largest weights, which bound what is still open.
+    """
 
     def __init__(self, n_terms: int, vectors: list, ids: list, labels: list[int]) -> None:
         self.ids, self.labels = ids, np.array(labels, np.float64)
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         at = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         example = np.repeat(np.arange(len(vectors)), [len(c) for c, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        often = np.bincount(at, minlength=n_terms) > FREQUENT * len(vectors)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)  # of a frequent term in the matrix
+        self.matrix = np.zeros((int(often.sum()), len(vectors)))
+        self.matrix[self.row[at[often[at]]], example[often[at]]] = weight[often[at]]
+        at, weight, example = (x[~often[at]] for x in (at, weight, example))
         order = np.lexsort((example, at))
         self.example = example[order].astype(np.int32)
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        self.weight = weight[order]
         cell = at[order] * self.blocks + self.example // BLOCK
         self.cells, starts = np.unique(cell, return_index=True)  # the (term, block) pairs that hold postings
         self.starts = np.append(starts, len(cell))
         self.maxima = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.of_term = np.searchsorted(self.cells, np.arange(n_terms + 1) * self.blocks)
+        self.block_of = np.arange(len(vectors)) // BLOCK
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k most similar examples (similarity, example), ties to the smaller example; none of similarity 0."""
+        return self.nearest_of([vector], k, [skip])[0]
+
+    def nearest_of(self, vectors: list, k: int, skips: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """`nearest` of many vectors; skips: an example each that does not count, -1 for none."""
+        if not self.ids:
+            return [[] for _ in vectors]
+        out, edges = [], np.arange(0, len(self.ids), BLOCK)
+        for start in range(0, len(vectors), QUERIES):
+            part = vectors[start:start + QUERIES]
+            queries = np.zeros((len(part), len(self.matrix)))
+            for i, (cols, weights) in enumerate(part):
+                row = self.row[cols]
+                queries[i, row[row >= 0]] = weights[row >= 0]
+            exact = queries @ self.matrix
+            most = np.maximum.reduceat(exact, edges, axis=1)
+            out += [self._finish(v, exact[i], most[i], k, skips[start + i] if skips else -1) for i, v in enumerate(part)]
+        return out
+
+    def _finish(self, vector, exact: np.ndarray, most: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """Adds the postings' part to one query's frequent part, block by block from the largest bound on."""
         cols, weights = vector
-        cell, q = _ranges(self.of_term[cols], self.of_term[cols + 1], weights)
-        if not len(cell):
-            return []
-        block = self.cells[cell] % self.blocks
-        bounds = np.bincount(block, q * self.maxima[cell], self.blocks)
+        rare = self.row[cols] < 0
+        cell, q = _ranges(self.of_term[cols[rare]], self.of_term[cols[rare] + 1], weights[rare])
+        block = self.cells[cell] % self.blocks if len(cell) else cell
+        bounds = most + np.bincount(block, q * self.maxima[cell] if len(cell) else None, self.blocks)
         order = np.argsort(-bounds, kind="stable")
         first = max(FIRST_BLOCKS, -(-2 * k // BLOCK))
         best: list[tuple[float, int]] = []
@@ -148,15 +182,17 @@ class Index:
             least = best[-1][0] - 1e-9 if len(best) == k else 0.0
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = (bounds[part] > 0) & (bounds[part] >= least)
+            if not wanted.any():
+                continue
             use = wanted[block]
             post, w = _ranges(self.starts[cell[use]], self.starts[cell[use] + 1], q[use])
-            scores = np.bincount(self.example[post], w * self.weight[post], len(self.ids)).round(12)
+            scores = (exact + np.bincount(self.example[post], w * self.weight[post], len(self.ids))) * wanted[self.block_of]
             if skip >= 0:
                 scores[skip] = 0
-            top = np.flatnonzero(scores > 0)
+            top = np.flatnonzero(scores >= max(least, 1e-12))
             if len(top) > k:
-                top = top[scores[top] >= np.partition(scores[top], -k)[-k]]
-            best = sorted([*best, *zip(scores[top].tolist(), top.tolist())], key=lambda x: (-x[0], x[1]))[:k]
+                top = top[scores[top] >= np.partition(scores[top], -k)[-k] - 1e-9]
+            best = sorted([*best, *zip(scores[top].round(12).tolist(), top.tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
@@ -179,10 +215,10 @@ class Model:
         votes = sum(s for s, _ in near)
         return (sum(s * self.index.labels[i] for s, i in near) + PRIOR_VOTES * self.base) / (votes + PRIOR_VOTES)
 
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
-        """(score, neighbours) of a text's vector."""
-        near = self.index.nearest(vector, self.k)
-        return (float(_sigmoid(self.a * self.share(near) + self.b)) if near else self.rate), near
+    def score(self, vectors: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of texts' vectors."""
+        return [(float(_sigmoid(self.a * self.share(near) + self.b)) if near else self.rate, near)
+                for near in self.index.nearest_of(vectors, self.k)]
 
 
 def _sigmoid(x):
@@ -262,7 +298,7 @@ def train(rows: list[tuple[int | None, str, int]], rate: float, count_df) -> Mod
     model = Model(weights, index, NEIGHBOURS[0], base, rate, 1.0, 0.0)
     if not order:
         return model
-    nearest = [index.nearest(vectors[i], max(NEIGHBOURS), skip=at) for at, i in enumerate(order)]
+    nearest = index.nearest_of([vectors[i] for i in order], max(NEIGHBOURS), list(range(len(order))))
     fits = []
     for k in NEIGHBOURS:
         shares = np.array([model.share(near[:k]) for near in nearest])
@@ -319,8 +355,7 @@ def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             scores, evidence = [], []
-            for vector in model.weights.vectors(texts_of(batch)):
-                s, near = model.score(vector)
+            for s, near in model.score(model.weights.vectors(texts_of(batch))):
                 scores.append(s)
                 evidence.append(",".join(f"{model.index.ids[i]}:{sim:.4f}:{int(model.index.labels[i])}" for sim, i in near[:5]))
             yield pa.RecordBatch.from_arrays(

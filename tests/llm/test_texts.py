@@ -205,11 +205,13 @@ def _vector(rng, n_terms, most):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.sampled_from([1, 10, 40]))
-def test_block_max_search_is_exact(seed, k):
+@given(st.integers(0, 10_000), st.sampled_from([1, 10, 40]), st.sampled_from([0.1, 0.25, 1.0]))
+def test_block_max_search_is_exact(seed, k, frequent):
     rng = random.Random(seed)
     vectors = [_vector(rng, 12, 5) for _ in range(300)]
+    usual, toxicity.FREQUENT = toxicity.FREQUENT, frequent  # all, some or none of the terms in the matrix
     index = toxicity.Index(12, vectors, list(range(300)), [i % 2 for i in range(300)])
+    toxicity.FREQUENT = usual
     query = _vector(rng, 12, 3)
     dense = np.zeros((301, 12))
     for i, (c, w) in enumerate([*vectors, query]):
