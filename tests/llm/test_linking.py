@@ -139,7 +139,7 @@ def test_keep_one_judges_rows_by_id_and_fingerprint(spark):
 
 def _duck(sql: str, sf: str = SF_CHECK, **frames):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         if t in frames:
             con.register(t, frames[t])
         else:
