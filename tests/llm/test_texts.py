@@ -7,8 +7,9 @@ import itertools
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -145,6 +146,104 @@ def test_templates_generalise_and_reject(spark):
     assert got["http://bad.org/shop/deal-b7/x"].rule is None and got["http://bad.org/shop/deal-b7/x"].verdict == "block"
     assert got["http://bad.org/news/n3"].verdict == "allow"
 
+def _differs(n, b, pn, pb):
+    rn, rate = pn - n, pb / max(pn, 1)
+    spread = (rate * (1 - rate) * (1 / max(n, 1) + 1 / max(rn, 1))) ** 0.5
+    return n > 0 and rn > 0 and abs(b / n - (pb - b) / rn) / max(spread, 1e-12) >= urls.Z
+
+
+def _brute_tree(pages):
+    """(page_id -> (template, purity)) by plain recursion, one segment a level; pages: (page_id, path key, labelled, blocked)."""
+    out = {}
+
+    def visit(rows, depth, node, ref_n, ref_b, purity, cover, leaf):
+        if all(len(k) < depth for _, k, _, _ in rows):
+            for i, *_ in rows:
+                out[i] = ("/".join(["", *[x for x in node[1:] if x]]), purity if leaf else cover)
+            return
+        by_value = defaultdict(list)
+        for row in rows:
+            by_value[row[1][depth] if depth < len(row[1]) else ""].append(row)
+        kids = defaultdict(list)
+        for v, some in by_value.items():
+            wild = (depth and len(by_value) >= urls.VARIED and len(some) < urls.RARE * len(rows)
+                    and v not in ("", *[n for n, _ in urls.SHAPES]))
+            kids["{*}" if wild else v] += some
+        counts = {g: (sum(r[2] for r in some), sum(r[3] for r in some)) for g, some in kids.items()}
+        own = sorted((g for g, (n, b) in counts.items() if _differs(n, b, ref_n, ref_b)), key=lambda g: (counts[g][1] / counts[g][0], g))
+        kin = [[g] for g in own[:1]]
+        for a, g in zip(own, own[1:]):
+            (n, b), (n0, b0) = counts[g], counts[a]
+            if depth == 0 or _differs(n, b, n + n0, b + b0):
+                kin.append([])
+            kin[-1].append(g)
+        pooled = {g: [sum(counts[x][j] for x in group) for j in (0, 1)] for group in kin for g in group}
+        for g, some in kids.items():
+            n, b = counts[g]
+            rn, rb, pure = ref_n, ref_b, purity
+            if g in pooled:
+                rn, rb = pooled[g]
+                pure = (rb + urls.PRIOR * purity) / (rn + urls.PRIOR)
+            seen = (b + urls.PRIOR * cover) / (len(some) + urls.PRIOR) if n else cover
+            visit(some, depth + 1, [*node, g], rn, rb, pure, seen, n > 0)
+
+    n, b = sum(r[2] for r in pages), sum(r[3] for r in pages)
+    half = 0.5 * urls.PRIOR
+    visit(pages, 0, [], n, b, (b + half) / (n + urls.PRIOR), (b + half) / (len(pages) + urls.PRIOR), False)
+    return out
+
+
+def _shaped(segment):
+    return next((name for name, pattern in urls.SHAPES if re.fullmatch(pattern, segment)), segment)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(common, "HOT_ROWS", 40)
+    rng = random.Random(seed)
+    rules = [("a.org", "/x/ads/", "block"), ("a.org", "/x/y/", "allow"), ("b.org", "/", "allow"), ("c.org", "/deep/", "block"),
+             ("c.org", "/deep/1/ok", "allow"), ("a.org", "/p", "block"), ("a.org", "/q", "block"), ("a.org", "/r", "allow")]
+    words = ["x", "y", "ads", "p1", "p2", "q", "r", "deep", "1", "22", "ok", "no", "{num}", "{odd}", "2024-05-01", *[f"s{c}" for c in "abcdefghijkl"]]
+    made = []
+    for _ in range(900):
+        host = rng.choice(["a.org", "a.org", "b.org", "c.org", ""])
+        head = rng.choice([["x", "ads"], ["x", "y"], ["deep", "1", "ok"], ["deep", "7", "no"], []])
+        made.append(f"http://{host}/" + "/".join([*head, *rng.choices(words, k=rng.randint(0, 5))]) + rng.choice(["", "/"]))
+    made += ["http://a.org/" + "trap/" * 400, "http://a.org/" + "trap/" * 300 + "end", None]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, rules).collect()}
+    assert sorted(got) == list(range(len(made)))
+    judged = [(i, [r.host, *[_shaped(x) for x in r.path.split("/") if x]], int(r.rule is not None), int(r.rule is not None and r.verdict == "block"))
+              for i, r in got.items()]
+    want = _brute_tree(judged)
+    assert {i: r.template for i, r in got.items()} == {i: t for i, (t, _) in want.items()}
+    for i, r in got.items():
+        assert np.isclose(r.purity, want[i][1], atol=1e-6)
+        if r.rule is None:
+            assert r.verdict == ("block" if want[i][1] >= urls.REJECT else "allow")
+
+
+def test_deep_branches_have_their_own_verdict(spark):
+    rules = [("b.org", "/blog/2024/05/ads/a", "block"), ("b.org", "/blog/2024/05/news/a", "allow")]
+    rows = [f"http://b.org/blog/2024/05/{kind}/{c}{i}" for kind in ("ads", "news") for c in "ab" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    for r in urls.judge(pages, rules).collect():
+        kind = rows[r.page_id].split("/")[6]
+        assert (r.template, r.verdict) == (f"/blog/{{num}}/{{num}}/{kind}/{{*}}", "block" if kind == "ads" else "allow")
+
+
+def test_op3_reads_only_the_contract_from_pages(spark):
+    """Host, path and rule of every page against DuckDB."""
+    sql = """SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+             FROM read_parquet('%s/pages.parquet')""" % SF_CHECK
+    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+                     for h, p, _ in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1])))
+    want = duckdb.sql(f"SELECT page_id, host, path, CASE {cases} END FROM ({sql})").fetchall()
+    got = queries.op3_url_templates(spark, SF_CHECK).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
 
 # ------------------------------------------------------------ op5
 
