@@ -568,6 +568,31 @@ def test_op9_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert sorted(tuple(r) for r in decontam.report(docs, bench).collect()) == want
 
 
+@pytest.mark.parametrize("items_a_block", [5, 1])
+def test_op9_similarities_do_not_depend_on_the_blocks(spark, monkeypatch, items_a_block):
+    """Items that share phrases; near copies in which a phrase of other items stands instead of rare words."""
+    monkeypatch.setattr(common, "HOT_ROWS", 30)
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(9)) for k in range(3)]
+    rare = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
+    items = {k: f"{rare(60)} {phrases[k % 2]} {rare(9)}" for k in range(12)}
+    items[12] = f"{phrases[2]} {phrases[0]}"
+    docs = {}
+    for k in range(12):
+        ws = items[k].split()
+        docs[k] = f"lead {' '.join(ws[:-9])} {phrases[1 - k % 2]} tail"
+        docs[20 + k] = f"lead {' '.join(ws[:-k - 1])} {rare(k + 1)} tail"
+        docs[40 + k] = f"{rare(5)} {phrases[k % 3]} {rare(30)}"
+    docs[60], docs[61], docs[62] = items[3] + " and " + items[12], None, ""
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id long, text string, key string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole = rows(decontam.find_items(frame, bench)), rows(decontam.decontaminate(frame, bench))
+    assert {r[0] for r in whole[0]} & set(range(12)) and len(whole[1]) < len(docs)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", items_a_block)
+    assert (rows(decontam.find_items(frame, bench)), rows(decontam.decontaminate(frame, bench))) == whole
+
+
 def test_op9_edge_cases(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(_docs(spark), none).count() == len(ROWS)
