@@ -1,7 +1,11 @@
 """Operator 1: personal data by patterns and a skip-chain conditional random field.
 
 The patterns find the base spans. Around them a CRF labels the document's
-*candidate* tokens (those with a digit or `@`); any other token is O by
+*candidate* tokens: each base span, and outside of them the words with a digit or
+`@`, cut at white space and separators. Adjacent digit groups that together end a
+number of the base spans ("020 7946 0958" after +44 20 7946 0958) are one token,
+and so is a word that is the local part of an address of the document, if that has
+an inner sign or digit ("jo.smith", not "support"). Any other word is O by
 definition and only serves as context. Factors:
 
 * unary: a log-linear model of the token's shape and its neighbours' shapes,
@@ -12,9 +16,11 @@ definition and only serves as context. Factors:
   potential that favours one label. More than two tokens with one key hang on a
   hub variable, so a token repeated n times costs n edges, not n squared.
 
-Loopy sum-product messages run until they settle. A candidate whose entity
-label wins joins the spans; base spans stay as they are. So a telephone number
-written once in full is also found where it stands without its prefix.
+Loopy sum-product messages run until they settle. A candidate whose entity label
+wins joins the spans, if links of any number, skip or chain, lead from it to a base
+span; base spans stay as they are. So a telephone number written once in full is
+also found where it stands without its prefix. A document without a base span has
+nothing that messages could carry, so its field is not run.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1500, 100_000
 SILVER_TRUST = 0.5        # unary weight of tokens without a base label: a miss of the patterns is no proof of O
 ROUNDS, DAMPING, SETTLED = 20, 0.3, 1e-3
 MIN_KEY = 5               # letters and digits that a shared key needs
+SKIP_RANGE = 4.0, 6.0     # bounds of the skip factor's log-potential
 MARGIN = 0.5              # probability of an entity label from which a token is a span
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -45,7 +52,12 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"[^\s,;|=\"'<>(){}\[\]]+")
+_HAS = re.compile(r"[0-9@]")
+_GROUPS = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[\x20().-]{1,2}")
+_STRUCTURED = re.compile(r".*[A-Za-z0-9][._+-][A-Za-z0-9]|.*[0-9]")
+SUFFIX = 7                # digits at the end of a number that name it
 
 Span = tuple[str, int, int]
 
@@ -97,15 +109,52 @@ def base_spans(text: str) -> list[Span]:
 
 # ------------------------------------------------------------ the graph of a document
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate tokens without surrounding punctuation."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        raw = m.group()
-        body = raw.strip(".,;:!?()[]{}<>\"'")
-        if body:
-            start = m.start() + raw.find(body)
-            out.append((start, start + len(body)))
+def tokens(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
+    """(start, end) of the candidate tokens, ascending and apart; base spans (the earlier of overlapping ones) are tokens."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(base, key=lambda s: (s[1], -s[2])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    locals_ = {text[a:b].partition("@")[0].lower() for kind, a, b in base if kind == "email"}
+    locals_ = {x for x in locals_ if len(x) >= MIN_KEY and _STRUCTURED.match(x)}
+    numbers = {_solid_digits(text[a:b]) for kind, a, b in base if kind in ("card", "phone")}
+    free, at = [], 0
+    for a, b in [*out, (len(text), len(text))]:
+        runs = _digit_runs(text, at, a, numbers)
+        free += runs
+        for lo, hi in zip([at, *(r[1] for r in runs)], [*(r[0] for r in runs), a]):
+            for m in _TOKEN.finditer(text, lo, hi):
+                word = m.group().strip(".:!?")
+                if word and (_HAS.search(word) or word.lower() in locals_):
+                    start = m.start() + m.group().find(word)
+                    free.append((start, start + len(word)))
+        at = b
+    return sorted(out + free)
+
+
+def _solid_digits(text: str) -> str:
+    return "".join(_GROUPS.findall(text))
+
+
+def _digit_runs(text: str, lo: int, hi: int, numbers: set[str]) -> list[tuple[int, int]]:
+    """Spans in text[lo:hi] of two or more adjacent digit groups that together are the end of one of `numbers`, zeros ahead aside."""
+    if not numbers:
+        return []
+    ends = {n[-SUFFIX:] for n in numbers}
+    groups = [(m.start(), m.end(), m.group()) for m in _GROUPS.finditer(text, lo, hi)]
+    out: list[tuple[int, int]] = []
+    for j in range(len(groups)):
+        i, digits, best = j, groups[j][2], None
+        while i and len(digits) < 20 and _GAP.fullmatch(text, groups[i - 1][1], groups[i][0]) and (not out or groups[i - 1][0] >= out[-1][1]):
+            i -= 1
+            digits = groups[i][2] + digits
+            core = digits.lstrip("0")
+            if len(core) >= SUFFIX and core[-SUFFIX:] in ends and any(n.endswith(core) for n in numbers):
+                best = i
+        if best is not None:
+            a, b = groups[best][0], groups[j][1]
+            opened = a > lo and text[a - 1] == "(" and text.find(")", a, b) >= 0
+            out.append((a - opened, b))
     return out
 
 
@@ -123,7 +172,7 @@ def features(text: str, toks: list[tuple[int, int]]) -> np.ndarray:
     """Binary shape features, one row a token."""
     rows = np.zeros((len(toks), 20), np.float32)
     for i, (a, b) in enumerate(toks):
-        t = text[a:min(b, a + 64)]
+        t = text[a:b]
         digits = sum("0" <= c <= "9" for c in t)
         rows[i, :12] = (1, "@" in t, t.count(".") == 3, digits == len(t), digits >= 7, digits >= 15, digits <= 2,
                         "-" in t, any(c.isalpha() for c in t), "=" in t, b - a > 24, t.count(".") == 1)
@@ -141,8 +190,8 @@ def keys(token: str) -> set[str]:
     solid = "".join(c for c in t if c.isalnum())
     out = {solid} if len(solid) >= MIN_KEY else set()
     digits = "".join(c for c in solid if "0" <= c <= "9")
-    if len(digits) >= 7 and len(digits) * 2 > len(solid):
-        out |= {digits, "7:" + digits[-7:]}
+    if len(digits) >= SUFFIX and len(digits) * 2 > len(solid):
+        out |= {digits, "end:" + digits[-SUFFIX:]}
     local = t.partition("@")[0]
     if len(local) >= MIN_KEY:
         out.add("local:" + local)
@@ -153,7 +202,7 @@ def skip_groups(text: str, toks: list[tuple[int, int]]) -> list[list[int]]:
     """Token indexes that share a key, each set of tokens once."""
     by_key = defaultdict(list)
     for i, (a, b) in enumerate(toks):
-        for k in keys(text[a:min(b, a + 256)]) if b - a <= 256 else ():
+        for k in keys(text[a:b]):
             by_key[k].append(i)
     return [list(g) for g in dict.fromkeys(tuple(g) for g in by_key.values() if len(g) > 1)]
 
@@ -202,7 +251,7 @@ class Field:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Spans that the field adds to the base ones; none overlaps a base span."""
-        toks = tokens(text) if base else []
+        toks = tokens(text, base) if base else []
         if not toks:
             return []
         known = labels(base, toks)
@@ -212,19 +261,26 @@ class Field:
         unary = SILVER_TRUST * (features(text, toks) @ self.unary)
         unary[known > 0] = 0
         unary[known > 0, known[known > 0]] = 20
-        p = self.marginals(unary, chain_edges(toks), groups)
+        chain = chain_edges(toks)
+        p = self.marginals(unary, chain, groups)
         best = p.argmax(axis=1)
-        reached = {i for g in groups if known[g].any() for i in g}
-        out: list[Span] = []
-        for i, (a, b) in enumerate(toks):
-            if known[i] or i not in reached or not best[i] or p[i, best[i]] < MARGIN:
-                continue
-            kind = KINDS[best[i] - 1]
-            if out and out[-1][0] == kind and a - out[-1][2] <= 3 and not known[i - 1]:
-                out[-1] = (kind, out[-1][1], b)
-            else:
-                out.append((kind, a, b))
-        return out
+        near = _reached(len(toks), [*chain, *((g[0], i) for g in groups for i in g[1:])], np.flatnonzero(known))
+        return [(KINDS[best[i] - 1], a, b) for i, (a, b) in enumerate(toks)
+                if near[i] and not known[i] and best[i] and p[i, best[i]] >= MARGIN]
+
+
+def _reached(n: int, edges: list[tuple[int, int]], start: np.ndarray) -> np.ndarray:
+    """Whether links lead from a node to one of `start`."""
+    beside, seen, todo = defaultdict(list), np.zeros(n, bool), start.tolist()
+    for i, j in edges:
+        beside[i].append(j)
+        beside[j].append(i)
+    seen[start] = True
+    while todo:
+        new = [j for j in beside[todo.pop()] if not seen[j]]
+        seen[new] = True
+        todo += new
+    return seen
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -240,18 +296,24 @@ def train(texts: list[str], steps: int = 200) -> Field:
     xs, ys = [np.zeros((0, 20), np.float32)], [np.zeros(0, np.int64)]
     chain, agree, differ = np.ones((n, n)), 1.0, 1.0
     for text in texts:
-        base, toks = base_spans(text), tokens(text)
+        base = base_spans(text)
+        toks = tokens(text, base)
         if not toks:
             continue
         y = labels(base, toks)
-        xs.append(features(text, toks))
-        ys.append(y)
+        told = np.ones(len(toks), bool)  # a token that shares a key with a base span is no example of O
+        for g in skip_groups(text, toks):
+            if y[g].any():
+                told[g] = y[g] > 0
+        xs.append(features(text, toks)[told])
+        ys.append(y[told])
         for i, j in chain_edges(toks):
             chain[y[i], y[j]] += 1
         for g in skip_groups(text, toks):
-            if y[g].any():
-                agree += (y[g] == y[g][y[g] > 0][0]).sum() - 1
-                differ += (y[g] != y[g][y[g] > 0][0]).sum()
+            kinds = y[g][y[g] > 0]
+            if len(kinds):
+                agree += (kinds == kinds[0]).sum() - 1
+                differ += (kinds != kinds[0]).sum()
     x, y = np.concatenate(xs), np.concatenate(ys)
     w = np.zeros((20, n))
     for _ in range(steps if len(x) else 0):
@@ -262,7 +324,7 @@ def train(texts: list[str], steps: int = 200) -> Field:
         w -= 1.0 * (x.T @ p / len(x) + 1e-4 * w)
     share = chain / chain.sum()
     chance = share.sum(axis=1, keepdims=True) * share.sum(axis=0, keepdims=True)
-    strength = float(np.clip(np.log(agree / differ), 3.0, 6.0))
+    strength = float(np.clip(np.log(agree / differ), *SKIP_RANGE))
     skip = np.zeros((n, n))
     skip[range(1, n), range(1, n)] = strength
     return Field(w, np.clip(np.log(share / chance), -2, 2), skip)

@@ -81,6 +81,47 @@ def test_repeated_numbers_are_found_without_their_prefix(spark):
     assert field.added("no 12345 entity 12345 here", []) == []
 
 
+@pytest.fixture(scope="module")
+def pii_field(spark):
+    return pii.fit(common.documents(spark, SF_CHECK))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("mail jo.smith@mail.example.com now; jo.smith said so, and support too", ["jo.smith"]),
+    ("mail support@mail.example.com now; support says", []),
+    ("call +44 20 7946 0958 or 020 7946 0958 or 9 30 7946 0959 x", ["020 7946 0958"]),
+    ("call +1 (555) 123-4567 or (555) 123-4567 or 1234567.", ["(555) 123-4567", "1234567"]),
+    ('{"tel":"+49 30 1234567"},{"t":"030 1234567"},' + "x" * 300 + ",030-1234567", ["030 1234567", "030-1234567"]),
+    ("no 12345 entity 12345 here", [])])
+def test_parts_and_repetitions_are_found(pii_field, text, want):
+    base = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in pii_field.added(text, base)] == want
+
+
+def test_planted_repetitions_recall_and_clean_documents(spark, pii_field):
+    """Numbers without their prefix and local parts of addresses, planted behind the documents that hold them."""
+    rng, planted, found, added, clean = random.Random(5), 0, 0, 0, 0
+    for r in common.documents(spark, SF_CHECK).where("text is not null").orderBy("doc_id").collect():
+        base = pii.base_spans(r.text)
+        clean += 1
+        added += bool(pii_field.added(r.text, base))
+        parts = [rng.choice([" ", "-"]).join(g[1:]) for k, a, b in base if k == "phone"
+                 and len("".join((g := re.findall("[0-9]+", r.text[a:b]))[1:]).lstrip("0")) >= 7]
+        parts += [x for k, a, b in base if k == "email" and len(x := r.text[a:b].partition("@")[0]) >= 5 and re.search("[._0-9]", x[1:-1])]
+        if parts:
+            text = f"{r.text} also see {' or '.join(parts)} thanks"
+            got = {text[a:b] for _, a, b in pii_field.added(text, pii.base_spans(text))}
+            planted, found = planted + len(parts), found + sum(x in got for x in parts)
+    assert planted >= 10 and found >= 0.9 * planted and added <= 0.01 * clean
+
+
+def test_tokens_are_apart_and_linear(pii_field):
+    text = "a.b@x.de " + "1 2-3.4 " * 4000 + "+49 30 1234567 " + "x" * 300_000 + " 30 1234567 " + "1" * 100_000
+    toks = pii.tokens(text, pii.base_spans(text))
+    assert all(b <= c for (_, b), (c, _) in zip(toks, toks[1:]))
+    assert (text.rindex("30 1234567"), text.rindex("30 1234567") + 10) in toks
+
+
 def test_op1_columns_and_digests(spark):
     got = queries.op1_pii_skip_chain(spark, SF_SMALL)
     texts = {r.doc_id: r.text for r in common.documents(spark, SF_SMALL).collect()}
