@@ -58,6 +58,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """The worker process's object for `key`, kept from task to task.
+
+    A process keeps one: another key's object replaces it, so the memories of
+    a pipeline's stages never add up in a reused worker.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 MAX_STRATA = 100_000
 
 

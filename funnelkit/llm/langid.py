@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import fold, sample_by_hash, text_batches, texts_of
+from funnelkit.llm.common import fold, kept, sample_by_hash, text_batches, texts_of
 
 HELD_OUT_FOLDS, HELD_OUT = 4, 2
 TRAIN_DOCS = 150          # a language; the sample's bound
@@ -256,18 +256,12 @@ class _Reader:
         return langs, scores
 
 
-_KEPT: dict[bytes, _Reader] = {}
-
-
 def reader_of(model: Model | None) -> _Reader | None:
     """The worker process's reader of this model, kept from task to task; another model replaces it."""
     if model is None:
         return None
     key = b"".join(model.weights[k].tobytes() for k in sorted(model.weights))
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Reader(model)
-    return _KEPT[key]
+    return kept(("language", key), lambda: _Reader(model))
 
 
 def _predictor(model: Model | None):

@@ -31,7 +31,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import saved, text_batches, texts_of
+from funnelkit.llm.common import kept, saved, text_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -208,10 +207,9 @@ class Encoder:
         return (out[a + skip:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process, kept from task to task with what it remembers."""
-    return Encoder(path)
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
