@@ -44,8 +44,8 @@ from funnelkit.llm.common import kept, saved, text_batches, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 800_000   # about 250 bytes each; as many again are kept from before
-GROUP_CHARS = 6_000_000   # of texts cut at a time
+CACHE_PIECES = 300_000   # about 250 bytes each; as many again are kept from before
+GROUP_CHARS = 3_000_000   # of texts cut at a time
 MAGIC = b"FKT1"
 
 #: For each control byte, the byte lengths of its four ids.
