@@ -17,9 +17,9 @@ gathers all values at once. Shards are rows of a Parquet table in the shared
 folder: Spark's writer commits them, and any store it reaches will do.
 
 Tokenising splits a text before every single space and line feed, and before a
-full stop or comma that ends such a piece of letters. The vocabulary's
+full stop or comma that ends such a piece behind a letter. The vocabulary's
 pre-tokeniser always starts a token there, so the pieces' ids joined are the
-text's ids; each task remembers the ids of the pieces it met (bounded). Texts
+text's ids; each worker remembers the ids of the pieces it met (bounded). Texts
 with other white space, or that may hold an added token, go to the library whole.
 """
 
@@ -29,7 +29,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import kept, saved, text_batches, texts_of
+from funnelkit.llm.common import kept, saved, text_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_IDS = 2_000_000
-CACHE_PIECES = 300_000   # about 250 bytes each; as many again are kept from before
-GROUP_CHARS = 3_000_000   # of texts cut at a time
+CACHE_PIECES = 600_000   # about 60 bytes each
+CACHE_BYTES = 40_000_000   # of the pieces' own letters
+GROUP_BYTES = 8_000_000   # of texts cut at a time
+WHOLE_BYTES = 1_000_000   # of texts that go to the library whole, at a time
 MAGIC = b"FKT1"
 
 #: For each control byte, the byte lengths of its four ids.
@@ -55,10 +56,8 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 _OTHER_SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
 #: Texts that are not cut: empty, or with other white space than single spaces and line feeds between other characters.
 _ODD = f"^$|^[ \n]|[ \n]$|[ \n][ \n]|{_OTHER_SPACE}"
-_MARKS = ".,\n"
-#: A piece of letters of long-settled scripts (Latin, Greek, Cyrillic) with a mark at its end.
-_MARKED = re.compile("\n?[^\\W\\d_\u0530-\U0010ffff]+[.,]$")
-_SETTLED = "\u0530"
+#: A full stop or comma behind a letter of long-settled scripts (Latin, Greek, Cyrillic), at the end.
+_MARKED = "[" + "".join(c for c in map(chr, range(0x530)) if c.isalpha()) + "][.,]$"
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -116,8 +115,28 @@ def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if h else None for h, d in zip(has, docs)], counts.astype(np.int64), ids
 
 
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[start:start + size], end to end."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of at most `size` bytes, or of one text."""
+    reach = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + size, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 class Encoder:
-    """Ids of texts as little-endian u32 bytes, through the tokenizers library and a memory of pieces."""
+    """Ids of texts, through the tokenizers library and a memory of pieces.
+
+    The memory is an Arrow array of pieces beside numpy arrays of their ids.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
@@ -128,83 +147,104 @@ class Encoder:
         self.odd = "|".join([_ODD, *map(re.escape, sorted(added))])
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # how the vocabulary writes a space
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
-        self.known: dict[str, bytes] = {}  # met lately, and what was known before that
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
-        self.feed = np.zeros(len(self.spaced), bool)
-        self.feed[np.frombuffer(self.marks["\n"], "<u4")] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        line, (self.stop,), (self.comma,) = self._ids(["\n", ".", ","])
+        feed = np.zeros(len(spaced), bool)
+        feed[line] = True
+        self.skip = len(line)  # of the line feed put before each text
+        self.opens = {" ": spaced, "\n": feed}
+        self.pieces = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, "<u4")  # of all pieces, end to end
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.turn = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _words(self, words: list[str], lead: str, opens: np.ndarray) -> Iterator[bytes]:
-        """Ids of lead + word for words of letters: many go in one text and part again before the ids that open a word."""
-        for at in range(0, len(words), 2000):
-            text = lead + lead.join(words[at:at + 2000])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * np.flatnonzero(opens[ids])).tolist()
-            raw = ids.tobytes()
-            yield from map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
-
-    def _learn(self, wanted: list[str]) -> list[bytes]:
-        """Ids of the pieces, which differ from each other; those not remembered are encoded together."""
-        if len(self.known) + len(wanted) > CACHE_PIECES:
-            self.older, self.known = self.known, {}
-        known, older, marks = self.known, self.older, self.marks
-        new = [p for p in wanted if p not in known]
-        if older:
-            known.update([(p, older[p]) for p in new if p in older])
-            new = [p for p in new if p not in known]
-        marked = [p for p in new if p[-1:] in marks and _MARKED.match(p)]
-        apart = set(marked)
-        plain = {p: None for p in new if p not in apart}
-        plain.update((p[:-1], None) for p in marked if p[:-1] not in known)
-        letters = [p for p in plain if (p[1:] if p[:1] == "\n" else p).isalpha() and (p.isascii() or max(p) < _SETTLED)]
-        words = [p for p in letters if p[0] != "\n"]
-        known.update(zip(words, self._words(words, " ", self.spaced)))
-        lines = [p for p in letters if p[0] == "\n"]
-        known.update(zip(lines, self._words([p[1:] for p in lines], "\n", self.feed)))
-        rest = [p for p in plain if p not in known]
-        for at in range(0, len(rest), 10_000):
-            part = rest[at:at + 10_000]
-            known.update(zip(part, self._ids([p if p[:1] == "\n" else " " + p for p in part])))
-        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in marked])
-        return [known[p] for p in wanted]
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def _apart(self, pieces: list[str], lead: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, sizes) of lead + piece: many go in one text and part again before the ids that open a piece."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at:at + 2000]
+            found = self._ids([lead + lead.join(part)])[0]
+            cuts = np.flatnonzero(self.opens[lead][found])
+            if len(cuts) == len(part):
+                ids.append(found)
+                sizes.append(np.diff(cuts, append=len(found)))
+            else:
+                alone = self._ids([lead + p for p in part])
+                ids += alone
+                sizes.append(np.array(list(map(len, alone))))
+        return ids, sizes
+
+    def _learn(self, wanted: pa.Array) -> np.ndarray:
+        """Places in the memory of the pieces, which differ from each other; those not remembered are encoded together."""
+        at = pc.index_in(wanted, value_set=self.pieces)
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        new = wanted.take(pa.array(missing))
+        feed = pc.starts_with(new, "\n").to_numpy(zero_copy_only=False)
+        lines, plain = new.filter(pa.array(feed)), new.filter(pa.array(~feed))
+        ids, sizes = self._apart(plain.to_pylist(), " ")
+        more = self._apart(pc.utf8_slice_codeunits(lines, 1).to_pylist(), "\n")
+        place[np.concatenate([missing[~feed], missing[feed]])] = len(self.pieces) + np.arange(len(new))
+        self.pieces = pa.concat_arrays([self.pieces, plain, lines])
+        self.ids = np.concatenate([self.ids, *ids, *more[0]])
+        self.size = np.concatenate([self.size, *sizes, *more[1]])
+        self.start = np.cumsum(self.size) - self.size
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.turn += 1
+        self.used[place] = self.turn
+        return place
+
+    def _table(self, different: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces that differ from each other, end to end; a mark after a letter is put behind the ids of the rest."""
+        marked = pc.match_substring_regex(different, _MARKED).to_numpy(zero_copy_only=False)
+        ended = different.filter(pa.array(marked))
+        rest = pa.concat_arrays([different.filter(pa.array(~marked)), pc.utf8_slice_codeunits(ended, 0, -1)]).dictionary_encode()
+        place = np.empty(len(different), np.int64)
+        place[np.argsort(marked, kind="stable")] = self._learn(rest.dictionary)[rest.indices.to_numpy()]
+        size = self.size[place]
+        comma = pc.ends_with(ended, ",").to_numpy(zero_copy_only=False)
+        ids = np.insert(gather(self.ids, self.start[place], size), np.cumsum(size)[marked], np.where(comma, self.comma, self.stop))
+        self._forget()
+        return ids, size + marked
+
+    def _forget(self) -> None:
+        """Above a bound, only the pieces met last are kept, at most half of what the bounds allow."""
+        if len(self.pieces) <= CACHE_PIECES and self.pieces.nbytes <= CACHE_BYTES:
+            return
+        last = np.argsort(-self.used, kind="stable")
+        fit = np.searchsorted(np.cumsum(pc.binary_length(self.pieces).to_numpy()[last] + 8), CACHE_BYTES // 2, "right")
+        last = np.sort(last[:min(fit, CACHE_PIECES // 2)])
+        self.pieces = self.pieces.take(pa.array(last))
+        self.ids = gather(self.ids, self.start[last], self.size[last])
+        self.size, self.used = self.size[last], self.used[last]
+        self.start = np.cumsum(self.size) - self.size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.odd).to_pylist()
-        whole = iter(self._ids([t for t, o in zip(texts, odd) if o]))
-        plain = iter(self._pieced([t for t, o in zip(texts, odd) if not o]))
-        return [next(whole if o else plain) for o in odd]
-
-    def _pieced(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            some, chars = [], 0
-            while at < len(texts) and (not some or chars + len(texts[at]) <= GROUP_CHARS):
-                some.append(texts[at])
-                chars += len(texts[at])
-                at += 1
-            yield from self._group(some)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        return [ids.tobytes() for ids in self.encode(pa.array(texts, pa.large_string()))]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a large_string array without nulls."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        whole = (ids for some in _slices(texts.filter(odd), WHOLE_BYTES) for ids in self._ids(some.to_pylist()))
+        plain = (ids for some in _slices(texts.filter(pc.invert(odd)), GROUP_BYTES) for ids in self._group(some))
+        return (next(whole if o else plain) for o in odd.to_pylist())
+
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Arrow cuts the texts and numbers their different pieces; numpy lays the pieces' ids end to end."""
-        lines = pa.array([("\n" + t).replace("\n", " \n")[1:] for t in texts], pa.large_string())
+        empty, feed = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        lines = pc.binary_join_element_wise(empty, pc.replace_substring(texts, "\n", " \n"), feed)
         cut = pc.split_pattern(lines, " ")
         pieces = cut.flatten().dictionary_encode()
-        different, code = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
-        ids = self._learn(different)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
-        n = size[code]
-        end = np.cumsum(n)
-        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[code] - (end - n), n) + np.arange(end[-1])]
-        bounds = np.concatenate([[0], end])[cut.offsets.to_numpy()]
-        skip = len(self.marks["\n"]) // 4  # of the line feed put before each text
-        return (out[a + skip:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        ids, size = self._table(pieces.dictionary)
+        code = pieces.indices.to_numpy()
+        out, size = gather(ids, (np.cumsum(size) - size)[code], size[code]), size[code]
+        bounds = np.concatenate([[0], np.cumsum(size)])[cut.offsets.to_numpy()].tolist()
+        return (out[a + self.skip:b] for a, b in zip(bounds[:-1], bounds[1:]))
 
 
 def encoder(path: str) -> Encoder:
@@ -220,7 +260,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def _writer(path: str | None, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(path or vocabulary_path()), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(path or vocabulary_path()).encode, TaskContext.get().partitionId(), 0
         end, docs, n = np.array([END_ID], "<u4").tobytes(), [], 0
 
         def shard() -> pa.RecordBatch:
@@ -229,9 +269,10 @@ def _writer(path: str | None, shard_ids: int):
                  pa.array([write_shard(docs)], pa.binary())], ["part", "seq", "n_ids", "blob"])
 
         for batch in text_batches(batches, 2048):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch))):
-                docs.append((doc, ids + end))
-                n += len(ids) // 4 + 1
+            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+                docs.append((doc, ids.tobytes() + end))
+                n += len(ids) + 1
                 if n >= shard_ids:
                     yield shard()
                     docs, n, seq = [], 0, seq + 1

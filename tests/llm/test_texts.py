@@ -315,6 +315,43 @@ def test_pieces_give_the_ids_of_the_whole_text(tokenizer):
         assert np.frombuffer(b, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+class _Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.n += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_pieces_are_encoded_together_and_once(tokenizer):
+    texts = [f"nº{i} {i}-{i}, A{i}.\n#{i} {i}'s x{'yz' * (i % 50)}." for i in range(2000)]
+    encoder = tokenbin.Encoder(tokenbin.vocabulary_path())
+    encoder.tokenizer = counted = _Counted(encoder.tokenizer)
+    got = encoder(texts)
+    assert counted.n <= 20  # of over 8000 different pieces
+    assert encoder(texts[::-1]) == got[::-1] and counted.n <= 20
+    for t, b in zip(texts, got):
+        assert np.frombuffer(b, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_forgotten_pieces_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokenbin, "CACHE_PIECES", 40)
+    monkeypatch.setattr(tokenbin, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(tokenbin, "GROUP_BYTES", 300)
+    rng = random.Random(5)
+    words = [*(f"w{i}" for i in range(60)), "漢字" * 2000, "the", "où.", "Ab,", "²", "…,"]
+    texts = ["".join(w + rng.choice(" \n") for w in rng.choices(words, k=rng.randint(1, 30))) + "." for _ in range(200)]
+    texts[50:60] = ["", "  two", "tail ", "a\tb", "q\n\nr", "漢" * 5000, ".", ",", "a.", "\n"]
+    encoder = tokenbin.Encoder(tokenbin.vocabulary_path())
+    for t, b in zip(texts, encoder(texts)):
+        assert np.frombuffer(b, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:80])
+    assert len(encoder.pieces) <= 40 and encoder.pieces.nbytes <= 5000
+    assert len(encoder.ids) == encoder.size.sum() and len(encoder.start) == len(encoder.used) == len(encoder.pieces)
+
+
 @pytest.mark.parametrize("shard_ids", [50, 2_000_000])
 def test_op5_reads_back_what_the_tokenizer_gives(spark, tokenizer, shard_ids):
     docs = common.documents(spark, SF_SMALL)
