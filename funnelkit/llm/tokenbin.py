@@ -45,7 +45,7 @@ END_ID = 0
 SHARD_IDS = 2_000_000
 CACHE_PIECES = 600_000   # about 60 bytes each
 CACHE_BYTES = 40_000_000   # of the pieces' own letters
-GROUP_BYTES = 8_000_000   # of texts cut at a time
+GROUP_BYTES = 4_000_000   # of texts cut at a time
 WHOLE_BYTES = 1_000_000   # of texts that go to the library whole, at a time
 MAGIC = b"FKT1"
 
@@ -276,6 +276,7 @@ def _writer(path: str | None, shard_ids: int):
                 if n >= shard_ids:
                     yield shard()
                     docs, n, seq = [], 0, seq + 1
+            pa.default_memory_pool().release_unused()  # what Arrow keeps back counts as the executor's memory
         if docs:
             yield shard()
     return run
